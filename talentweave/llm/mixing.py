@@ -48,56 +48,88 @@ def _crossing(rows: DataFrame, bucket: F.Column, budgets: DataFrame) -> DataFram
     return seen.where("upto >= rest and upto - held < rest").select("sk", "bound", (F.col("rest") - F.col("upto") + F.col("held")).alias("rest"))
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row.
+def _with_size(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows with columns mix_size and mix_hash added."""
+    return documents.withColumns({"mix_size": word_count(f"`{text}`"), "mix_hash": F.xxhash64(F.col(f"`{key}`"), F.lit("mix"))})
 
-    ``taken`` is the row's words times its whole passes, plus its size again for rows below the source's
-    threshold.  The one row at the threshold gives just the words that are missing (its first words); with
-    ``whole`` it is taken if that comes nearer to the target.  Rows of the same hash (repeated rows, null keys)
-    share what is missing by size.  Null or blank texts have size 0 and give nothing; null sources form one
-    source, last in order; an empty table gives no rows.  The driver holds one number per source.
+
+def thresholds(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, bool]:
+    """One row a source: name, source_size, target, whole passes, and where its last, partial pass ends.
+
+    b1 and b2 are the boundary buckets of the first and second histogram, b3 the hash at the boundary, ``missing``
+    what the rows of that hash have to give of their ``tied`` words.  Also whether the table may be broadcast.
     """
     spark = documents.sparkSession
-    rows = only(documents, key, source, text).toDF("doc_id", "source", "text").select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h"))
-    rows = written(rows, "sizes")
+    rows = _with_size(only(documents, key, source, text).toDF("doc_id", "source", "text"), "doc_id", "text")
+    rows = written(rows.select("source", F.col("mix_size").alias("size"), F.col("mix_hash").alias("h")), "sizes")
     sizes = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     targets = shares(sizes, weights, amount, most)
     plan = []
     for i, (name, size) in enumerate(sizes.items()):
         passes = min(int(targets[name] // size), int(most)) if size else 0
         plan.append((i, name, size, float(targets[name]), passes, float(targets[name] - passes * size) if size else 0.0))
-    sources = spark.createDataFrame(plan, "sk int, name string, source_size long, target double, passes int, rest double")
     few = len(plan) <= BROADCAST_SOURCES
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df.hint("merge"))
-    rows = rows.join(near(sources), rows["source"].eqNullSafe(sources["name"])).drop("name")
-    one = F.shiftrightunsigned("h", 64 - BITS)
-    two = F.shiftrightunsigned(F.shiftleft("h", BITS), 64 - BITS)
-
-    def level(rows: DataFrame, bucket: F.Column, budgets: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-        found = _crossing(rows, bucket, budgets)
-        found = written(found, f"bound{n}")
-        return found, rows.join(near(found.select("sk", F.col("bound").alias(f"b{n}"))), "sk", "left")
-
-    budgets = sources.where("rest > 0").select("sk", "rest")
-    found1, rows = level(rows, one, budgets, 1)
-    inside = rows.where(one == F.col("b1"))
-    found2, _ = level(inside, two, found1.select("sk", "rest"), 2)
-    rows = rows.join(near(found2.select("sk", F.col("bound").alias("b2"))), "sk", "left")
-    inside = rows.where((one == F.col("b1")) & (two == F.col("b2")))
-    found3 = written(_crossing(inside, F.col("h"), found2.select("sk", "rest")), "bound3")
+    near = F.broadcast if few else (lambda df: df.hint("merge"))
+    sources = spark.createDataFrame(plan, "sk int, name string, source_size long, target double, passes int, rest double")
+    rows = rows.join(near(sources.select("sk", "name")), rows["source"].eqNullSafe(sources["name"])).select("sk", "size", "h")
+    first, second = _bits("h")
+
+    found1 = written(_crossing(rows, first, sources.where("rest > 0").select("sk", "rest")), "bound")
+    inside = rows.join(near(found1.select("sk", F.col("bound").alias("b1"))), "sk").where(first == F.col("b1"))
+    found2 = written(_crossing(inside, second, found1.select("sk", "rest")), "bound")
+    inside = inside.join(near(found2.select("sk", F.col("bound").alias("b2"))), "sk").where(second == F.col("b2"))
+    found3 = written(_crossing(inside, F.col("h"), found2.select("sk", "rest")), "bound")
     tied = inside.join(near(found3.select("sk", "bound")), "sk").where("h = bound").groupBy("sk").agg(F.sum("size").alias("tied"))
-    edge = found3.join(near(tied), "sk").select("sk", F.col("bound").alias("b3"), F.col("rest").alias("missing"), "tied")
-    rows = rows.join(near(edge), "sk", "left")
-    at = F.col("missing") * F.col("size") / F.col("tied")
-    part = F.when(F.lit(whole), F.when(2 * F.col("missing") >= F.col("tied"), F.col("size")).otherwise(0)).otherwise(F.least("size", F.round(at).cast("long")))
+    out = sources.drop("rest").join(near(found1.select("sk", F.col("bound").alias("b1"))), "sk", "left")
+    out = out.join(near(found2.select("sk", F.col("bound").alias("b2"))), "sk", "left")
+    out = out.join(near(found3.join(tied, "sk").select("sk", F.col("bound").alias("b3"), F.col("rest").alias("missing"), "tied")), "sk", "left")
+    return written(out, "thresholds"), few
+
+
+def _bits(h: str) -> tuple[F.Column, F.Column]:
+    return F.shiftrightunsigned(h, 64 - BITS), F.shiftrightunsigned(F.shiftleft(h, BITS), 64 - BITS)
+
+
+def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows with mix_size, mix_source_size, mix_target and mix_taken added; nothing but the thresholds is moved."""
+    bounds, few = thresholds(documents, weights, amount, most, key, text, source)
+    names = ["source_size", "target", "passes", "b1", "b2", "b3", "missing", "tied"]
+    bounds = bounds.select(F.col("name").alias("mix_name"), *[F.col(c).alias(f"mix_{c}") for c in names])
+    rows = _with_size(documents, key, text)
+    rows = rows.join(F.broadcast(bounds) if few else bounds.hint("merge"), F.col(f"`{source}`").eqNullSafe(F.col("mix_name")))
+    size, h, (first, second) = F.col("mix_size"), F.col("mix_hash"), _bits("mix_hash")
+    b1, b2, b3, missing, tied = (F.col(f"mix_{c}") for c in names[3:])
+    part = F.when(F.lit(whole), F.when(2 * missing >= tied, size).otherwise(0)).otherwise(F.least(size, F.round(missing * size / tied).cast("long")))
     extra = (
-        F.when(F.col("b1").isNull() | (one > F.col("b1")), 0)
-        .when(one < F.col("b1"), F.col("size"))
-        .when(F.col("b2").isNull() | (two > F.col("b2")), 0)
-        .when(two < F.col("b2"), F.col("size"))
-        .when(F.col("b3").isNull() | (F.col("h") > F.col("b3")), 0)
-        .when(F.col("h") < F.col("b3"), F.col("size"))
+        F.when(b1.isNull() | (first > b1), 0)
+        .when(first < b1, size)
+        .when(b2.isNull() | (second > b2), 0)
+        .when(second < b2, size)
+        .when(b3.isNull() | (h > b3), 0)
+        .when(h < b3, size)
         .otherwise(part)
     )
-    taken = F.least(F.col("passes") * F.col("size") + extra, (F.lit(most) * F.col("size")).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    taken = F.least(F.col("mix_passes") * size + extra, (F.lit(most) * size).cast("long")).cast("long")
+    return rows.withColumn("mix_taken", taken).drop("mix_name", "mix_hash", *[f"mix_{c}" for c in names[2:]])
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row.
+
+    ``taken`` is the row's words times its whole passes, plus its size again for rows below the source's
+    threshold.  The one row at the threshold gives just the words that are missing (its first words); with
+    ``whole`` it is taken if that comes nearer to the target.  Rows of the same hash (repeated rows, null keys)
+    share what is missing by size.  Null or blank texts have size 0 and give nothing; null sources form one
+    source, last in order; an empty table gives no rows.  Only the three named columns are read; the driver holds
+    one number per source.
+    """
+    rows = mixed_rows(only(documents, key, source, text).toDF("doc_id", "source", "text"), weights, amount, most, whole)
+    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+def repeated(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row as often as the mix takes it (not at all, once, or more), with its columns."""
+    rows = mixed_rows(documents, weights, amount, most, True, key, text, source)
+    times = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(0).cast("int")
+    rows = rows.withColumn("mix_times", times).where("mix_times > 0")
+    return rows.withColumn("mix_time", F.explode(F.array_repeat(F.lit(1), F.col("mix_times")))).select(*[F.col(f"`{c}`") for c in documents.columns])
