@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ SCRIPT_NOISE_HITS, SCRIPT_NOISE_CHARS = 2, 1200
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&rsquo;": "’", "&amp;": "&"}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Without it each mention repeats the whole expression in the plan, and nested functions multiply it.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def squeeze(c: Column) -> Column:
     """Null becomes empty; every run of white space (any Unicode kind) one space; ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
@@ -46,8 +56,8 @@ def drop_noise(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Markup stripped if there seems to be any, then script noise dropped."""
-    c = F.coalesce(c, F.lit(""))
-    return drop_noise(F.when(c.contains("<") & c.contains(">"), strip_html(c)).otherwise(squeeze(c)))
+    plain = let(F.coalesce(c, F.lit("")), lambda t: F.when(t.contains("<") & t.contains(">"), strip_html(t)).otherwise(squeeze(t)))
+    return let(plain, drop_noise)
 
 
 def text_hash(c: Column) -> Column:
@@ -55,8 +65,7 @@ def text_hash(c: Column) -> Column:
 
 
 def excerpt(c: Column, limit: int = 240) -> Column:
-    c = squeeze(c)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, limit - 1)), F.lit("…")))
+    return let(squeeze(c), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("…"))))
 
 
 def blank(c: Column) -> Column:
@@ -76,9 +85,8 @@ def lines(*cs: Column) -> Column:
 
 def distinct_folded(values: Column) -> Column:
     """White space squeezed, empties dropped, the first spelling of equal values kept, order kept."""
-    values = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), squeeze), lambda x: x != "")
-    keys = F.transform(values, fold)
-    return F.filter(values, lambda x, i: F.array_position(keys, fold(x)) == i + 1)
+    clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), squeeze), lambda x: x != "")
+    return let(clean, lambda v: let(F.transform(v, fold), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, fold(x)) == i + 1)))
 
 
 def distinct_sorted(values: Column) -> Column:
