@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talentweave.functions.dates import parse_time
-from talentweave.functions.text import blank, clean_text, distinct_sorted, excerpt, filled, fold, joined_distinct, lines, section_after, squeeze, text_hash
+from talentweave.functions.text import blank, clean_text, distinct_folded, distinct_sorted, excerpt, filled, joined_distinct, lines, section_after, squeeze, text_hash
 from talentweave.functions.urls import canonical_url
 from talentweave.operators.annotate import clearance, job_type, salary, work_mode, years_mentioned
 from talentweave.operators.terms import terms_column
@@ -87,7 +87,7 @@ def _united(c: str) -> Column:
 def enrich_postings(postings: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Lists united, gaps filled, the larger number of years; preferred skills that are required go."""
     keys = ["source_id", "external_id"]
-    new = enrichment.select(*keys, *[F.col(c).alias(f"e_{c}") for c in enrichment.columns if c not in keys])
+    new = enrichment.select(*keys, F.lit(True).alias("e_is"), *[F.col(c).alias(f"e_{c}") for c in enrichment.columns if c not in keys])
     rows = postings.join(new, keys, "left")
     read = salary(F.coalesce("e_salary_text", F.lit("")))
     gap = blank(F.col("salary_text")) & ~blank(F.col("e_salary_text"))
@@ -99,9 +99,9 @@ def enrich_postings(postings: DataFrame, enrichment: DataFrame) -> DataFrame:
         "remote_mode": F.when((F.col("remote_mode") == "unknown") & ~blank(F.col("e_remote_mode")), squeeze(F.col("e_remote_mode"))).otherwise(F.col("remote_mode")),
         "experience_years": F.greatest("experience_years", F.when(F.col("e_experience_years_hint") > 0, F.col("e_experience_years_hint"))), "told_summary": squeeze(F.col("e_short_summary")),
     })
-    known = F.col("e_title_seen") if "e_title_seen" in rows.columns else F.size("clearance_terms") > 0
-    rows = rows.withColumn("preferred_skills", F.filter("preferred_skills", lambda s: ~F.array_contains(F.col("required_skills"), s)))
-    rows = rows.withColumn("clearance_summary", F.when(known & F.col("e_clearance_terms").isNotNull(), F.array_join("clearance_terms", ", ")).otherwise(F.col("clearance_summary")))
+    told = F.coalesce("e_is", F.lit(False))
+    rows = rows.withColumn("preferred_skills", F.filter("preferred_skills", lambda s: ~told | ~F.array_contains(F.col("required_skills"), s)))
+    rows = rows.withColumn("clearance_summary", F.when(told & (F.size("clearance_terms") > 0), F.array_join("clearance_terms", ", ")).otherwise(F.col("clearance_summary")))
     return rows.select(*postings.columns)
 
 
@@ -109,8 +109,6 @@ def enrich_profiles(profiles: DataFrame, enrichment: DataFrame) -> DataFrame:
     """Lists united (titles in order, at most 8), the larger number of years."""
     new = enrichment.select("resume_id", *[F.col(c).alias(f"e_{c}") for c in enrichment.columns if c != "resume_id"])
     rows = profiles.join(new, "resume_id", "left")
-    from talentweave.functions.text import distinct_folded
-
     none = F.array().cast("array<string>")
     rows = rows.withColumns({c: _united(c) for c in ("skills", "tools", "certifications", "clearance_terms")})
     rows = rows.withColumn("titles", F.slice(distinct_folded(F.concat(F.coalesce("titles", none), F.coalesce("e_recent_titles", none))), 1, 8))

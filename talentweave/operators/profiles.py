@@ -192,11 +192,12 @@ def contacts(rows: DataFrame) -> DataFrame:
     named = (F.col("n") <= 10) & ~contact & (F.size(F.split(line, " ")) <= 5) & header(line).isNull() & ~line.rlike(r"\d")
     site = first_match(line, LINK)
     linked = first_match(line, r"(?i)(?:https?://(?:www\.)?)?linkedin\.com/\S+")
-    place = (F.col("n") <= 10) & ~contact & line.contains(",") & (F.length(line) <= 80)
+    n = n.withColumn("name_n", F.min(F.when(named, F.col("n"))).over(Window.partitionBy("resume_id")))
+    place = (F.col("n") <= 10) & ~contact & line.contains(",") & (F.length(line) <= 80) & ~F.col("n").eqNullSafe(F.col("name_n"))
     first = lambda c: F.coalesce(F.min_by(c, F.when(c.isNotNull(), F.col("n"))), F.lit(""))
     return n.groupBy("resume_id").agg(
         first(F.when(named, line)).alias("full_name"), first(first_match(line, EMAIL)).alias("email"), first(first_match(line, PHONE)).alias("phone"), first(linked).alias("linkedin_url"),
-        first(F.when(~F.lower(site).contains("linkedin.com"), site)).alias("website_url"), first(F.when(place & ~named, line)).alias("location"),
+        first(F.when(~F.lower(site).contains("linkedin.com"), site)).alias("website_url"), first(F.when(place, line)).alias("location"),
     )
 
 

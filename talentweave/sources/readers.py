@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talentweave.functions.text import blank, clean_text, filled, squeeze, strip_html
 from talentweave.functions.urls import canonical_url, capture_url
 
 BOARD = "jobs array<struct<id:string,title:string,absolute_url:string,updated_at:string,content:string,location:struct<name:string>>>"
 POSTINGS = "id string, text string, hostedUrl string, descriptionPlain string, createdAt bigint, categories struct<location:string,commitment:string,team:string>, lists array<struct<text:string,content:string>>"
-CAPTURE = T.StructType.fromDDL(
-    "parser string, page struct<url:string,title:string,site:string,parser:string,captured_at:string,captured_page_count:int,next_page_url:string>, source struct<id:bigint,url:string,site:string,company:string,name:string>, "
-    "jobs array<struct<raw_id:string,external_id:string,title:string,company:string,location:string,summary:string,description:string,requirements_text:string,salary_text:string,employment_text:string,url:string,posted_at:string>>"
-)
+CAPTURED = "array<struct<raw_id:string,external_id:string,title:string,company:string,location:string,summary:string,description:string,requirements_text:string,salary_text:string,employment_text:string,url:string,posted_at:string>>"
+CAPTURE = f"parser string, page struct<url:string,title:string,site:string,parser:string,captured_at:string,captured_page_count:int,next_page_url:string>, source struct<id:bigint,url:string,site:string,company:string,name:string>, jobs {CAPTURED}"
 
 
 def resume_texts(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
@@ -81,7 +78,7 @@ def resolve_sources(batches: DataFrame, sources: DataFrame) -> DataFrame:
 
     New rows have a null source_id and a name from company, site or title.
     """
-    rows = batches.select("page", "source", F.coalesce("jobs", F.array().cast(CAPTURE["jobs"].dataType)).alias("jobs"))
+    rows = batches.select("page", "source", F.coalesce("jobs", F.array().cast(CAPTURED)).alias("jobs"))
     ids = sources.select(F.col("id").alias("by_id"))
     urls = sources.where("source_type = 'browser_capture'").groupBy("url").agg(F.max("id").alias("by_url")).withColumnRenamed("url", "s_url")
     rows = rows.join(ids, rows["source.id"] == ids["by_id"], "left").join(urls, rows["page.url"] == urls["s_url"], "left")
