@@ -163,25 +163,30 @@ _CANDIDATE = "array<struct<score:int,len:int,timed:int,ord:int,low:double,high:d
 
 
 def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, order: int) -> Column:
-    """Scored candidates of one pattern in one segment.
+    """Scored candidates of one pattern in one segment; matches do not overlap, their suffix is part of them.
 
-    Group 1 is the text before a match (at most 24 characters), the last group the 48 after it, so that a match
-    brings its window with it; matches do not overlap and their suffix is part of them.
+    One pass marks the matches; their windows (24 characters before to 48 after) are cut out by position, and their
+    groups are read from the matches alone.
     """
-    whole = rf"(?i)(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}})){pattern}(?=(.{{0,{AFTER}}}))"
-    full = rf"(?i)(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))({pattern})(?=(.{{0,{AFTER}}}))"
+    pieces = F.split(F.regexp_replace(segment, rf"(?i){pattern}", "\u0001$0\u0002"), "[\u0001\u0002]")
     groups = 5 if ranged else 3
-    take = lambda i: F.regexp_extract_all(segment, F.lit(whole), i)
-    bodies = F.regexp_extract_all(segment, F.lit(full), 2)
-    zipped = F.arrays_zip(take(1).alias("before"), bodies.alias("body"), take(groups + 2).alias("after"), *[take(i + 2).alias(f"g{i}") for i in range(groups)])
+
+    def located(p: Column, i: Column) -> Column:
+        start = F.aggregate(F.slice(p, 1, i), F.lit(0), lambda n, x: n + F.length(x))
+        body = F.get(p, i)
+        first = F.greatest(start - BEFORE, F.lit(0))
+        window = segment.substr(first + 1, start - first + F.length(body) + AFTER)
+        return F.struct(window.alias("window"), *[F.regexp_extract(body, rf"(?i)^(?:{pattern})$", g + 1).alias(f"g{g}") for g in range(groups)])
+
+    odd = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    matches = let(pieces, lambda p: F.transform(odd(p), lambda i: located(p, i)))
 
     def scored(m: Column, i: Column) -> Column:
         suffix = m["g4"] if ranged else m["g2"]
-        signed = F.coalesce(m["g0"] != "", F.lit(False)) | (F.coalesce(m["g2"] != "", F.lit(False)) if ranged else F.lit(False))
-        window = F.concat(m["before"], m["body"], m["after"])
-        seen = let(window, lambda w: F.struct(
+        signed = (m["g0"] != "") | ((m["g2"] != "") if ranged else F.lit(False))
+        seen = let(m["window"], lambda w: F.struct(
             F.length(w).alias("len"), (signed | w.contains("$") | F.lower(w).contains("usd")).alias("currency"), _has(w, PAY_CONTEXT if ranged else PAY_CONTEXT_SINGLE).alias("context"),
-            pay_interval(F.when(F.coalesce(suffix, F.lit("")) != "", suffix).otherwise(w)).alias("interval"), _has(w, PAY_WORD).alias("word"), _has(w, YEARS_RANGE).alias("years"), _has(w, OF_EXPERIENCE).alias("experience"),
+            pay_interval(F.when(suffix != "", suffix).otherwise(w)).alias("interval"), _has(w, PAY_WORD).alias("word"), _has(w, YEARS_RANGE).alias("years"), _has(w, OF_EXPERIENCE).alias("experience"),
             amount(m["g1"]).alias("low"), amount(m["g3"] if ranged else m["g1"]).alias("high"),
         ))
 
@@ -199,7 +204,7 @@ def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, ord
 
         return let(seen, judged)
 
-    return F.array_compact(F.transform(zipped, scored)).cast(_CANDIDATE)
+    return F.array_compact(F.transform(matches, scored)).cast(_CANDIDATE)
 
 
 def salary(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +10,11 @@ from pyspark.sql import functions as F
 
 from talentweave.functions.text import EMAIL, cosine, excerpt, first_match, fold, squeeze, strip_html, text_hash
 from talentweave.functions.urls import TRACKING_KEYS, canonical_url
-from talentweave.operators import annotate, dedupe, extract, filters, listings, matching, profiles, reports, state, sync, terms
+from talentweave.operators import annotate, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
 from talentweave.plans import derived as d
 from talentweave.plans.derived import table
-from talentweave.sources.sinks import flat
+from talentweave.sources.shared import shared_path
+from talentweave.sources.sinks import flat, read_current
 from talentweave.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,19 +426,28 @@ def app_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fold_events(d.app_events(table(spark, sf_dir, "events")))
 
 
-def _streamed(spark: SparkSession, sf_dir: str, flow: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """The last rows by key of a flow run over the events as they are there now."""
-    schema = table(spark, sf_dir, "events").schema
-    name = f"t_{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    run = flow(source).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """The last row of each key of a flow run over a table as it is there now.
+
+    Micro-batches are written to the shared folder with their number, the checkpoint lies beside them; nothing passes
+    through the driver, and a batch that is run again writes the same folder again.
+    """
+    schema, root = table(spark, sf_dir, name).schema, shared_path(spark, "stream")
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    out = flow(source)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    run = out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.parquet(f"{root}/out")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c != key]), "batch").alias("r")).select(key, "r.*")
 
 
 @query(_STATE)
 def app_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: flows.application_states(d.app_events(e)), "posting_id")
+    return _streamed(spark, sf_dir, "events", lambda e: flows.application_states(d.app_events(e)), "posting_id")
 
 
 _PROGRESS = "SELECT user_id AS source_id, max(event_id % 10) AS last_page, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END)::BIGINT AS detail_pages, bool_or(event_type = 'error') AS stopped_early, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_events FROM events GROUP BY user_id"
@@ -451,7 +460,7 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PROGRESS)
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda e: flows.progress_states(d.progress_events(e)), "source_id")
+    return _streamed(spark, sf_dir, "events", lambda e: flows.progress_states(d.progress_events(e)), "source_id")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, user_id % 7 AS source_id, count(*) AS n FROM events GROUP BY 1, 2")
@@ -460,3 +469,59 @@ def capture_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.capture_counts(rows).select(F.col("hour.start").alias("hour"), "source_id", "n")
 
 
+
+
+@query("SELECT o_custkey % 7 AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id, true AS active FROM orders")
+def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as captures that arrive as a stream and are merged into a published snapshot."""
+    schema, root = table(spark, sf_dir, "orders").schema, shared_path(spark, "captures")
+    none = F.lit(None).cast("timestamp")
+    prepare = lambda b: b.select((F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("content_hash"))
+    empty = prepare(table(spark, sf_dir, "orders")).where("false").withColumns({"active": F.lit(True), "first_seen_at": none, "last_seen_at": none, "last_updated_at": none, "application_status": F.lit("x"), "application_confirmation_needed": F.lit(False)})
+    merge = flows.merge_batches(prepare, f"{root}/snapshots", empty, lambda i: AS_OF + dt.timedelta(hours=i))
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_current(spark, f"{root}/snapshots").select("source_id", "external_id", "active")
+
+
+@query(f"""WITH {d.SNAPSHOTS_SQL} SELECT coalesce(old.source_id, new.source_id) AS source_id, coalesce(old.external_id, new.external_id) AS external_id, new.h IS NOT NULL AS active,
+CASE WHEN old.h IS NULL THEN TIMESTAMP '2024-01-31' ELSE TIMESTAMP '2024-01-01' END AS first_seen_at, CASE WHEN new.h IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-31' END AS last_seen_at,
+CASE WHEN new.h IS NULL OR old.h = new.h THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-31' END AS last_updated_at, coalesce(new.h, old.h) AS content_hash
+FROM old FULL JOIN new ON old.source_id = new.source_id AND old.external_id = new.external_id""")
+def sync_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    then = F.lit(dt.datetime(2024, 1, 1))
+    old = d.old_snapshot(spark, sf_dir).withColumns({"first_seen_at": then, "last_seen_at": then, "last_updated_at": then, "application_status": F.lit("applied"), "application_confirmation_needed": F.lit(False)})
+    rows = sync.publish(old, d.new_snapshot(spark, sf_dir).drop("active"), AS_OF)
+    return rows.select("source_id", "external_id", "active", "first_seen_at", "last_seen_at", "last_updated_at", "content_hash")
+
+
+_LAYOUT = [("page", "detail", "title", 0, "h1"), ("page", "card", "container", 0, "li"), ("page", "card", "text", 0, "a"), ("page", "card", "href", 0, "a@href")]
+
+
+def _with_layout(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
+    layout = spark.createDataFrame(_LAYOUT, "layout string, scope string, field string, ord int, selector string")
+    return extract.extract_layout(table(spark, sf_dir, "pages").withColumn("layout", F.lit("page")), layout, scope)
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+def page_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_layout(spark, sf_dir, "detail").select("page_id", "title")
+
+
+@query(r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 2) AS t FROM pages)
+SELECT page_id, i - 1 AS pos, replace(h[i], '&amp;', '&') AS href, replace(t[i], '&amp;', '&') AS text FROM c, unnest(range(1, len(h) + 1)) AS g(i)""")
+def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_layout(spark, sf_dir, "card").select("page_id", F.col("pos").cast("long").alias("pos"), "href", "text")
+
+
+@query("""WITH a AS (SELECT p_partkey, p_name, p_brand, p_retailprice AS p, format('{:,.2f}', p_retailprice) AS x FROM part),
+b AS (SELECT *, CASE WHEN p >= 1000 THEN format('{:,}', CAST(round_even(p, 0) AS BIGINT)) WHEN p = floor(p) THEN CAST(CAST(p AS BIGINT) AS VARCHAR) ELSE format('{:.2f}', p) END AS y FROM a)
+SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title, p_brand AS company, p AS salary_min, 'hybrid' AS remote_mode, 3.0::DOUBLE AS experience_years,
+p_name || ' at ' || p_brand || chr(10) || 'Remote mode: hybrid' || chr(10) || 'Type: contract' || chr(10) || 'Salary: $' || y || '/hr' || chr(10) || 'Hybrid contract work, 3 years of care. Salary $' || x || ' per hour' AS summary_text FROM b""")
+def normalized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as payload rows, normalised to postings."""
+    text = F.concat(F.lit("Hybrid contract work, 3 years of care. Salary $"), F.format_number("p_retailprice", 2), F.lit(" per hour"))
+    payloads = table(spark, sf_dir, "part").select(F.lit(1).alias("source_id"), F.col("p_partkey").cast("string").alias("raw_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), text.alias("description"))
+    sources = spark.createDataFrame([(1, "Parts", "https://parts.example/list", "custom_url")], "id long, name string, url string, source_type string")
+    rows = normalize.normalize_postings(payloads, sources, {"Zymurgy": ["zymurgy"]})
+    return rows.select("external_id", "title", "company", "salary_min", "remote_mode", "experience_years", "summary_text")
