@@ -7,13 +7,15 @@ Ordered aggregation over the last rows gives each piece's ids, and through the v
 
 A round contracts every occurrence of a piece's least pair at once where that cannot change the outcome: if the
 new token takes part only in merges of a higher rank, the other occurrences would come next anyway.  Otherwise it
-contracts the leftmost alone.
+contracts the leftmost alone.  Before that, pieces are cut between bytes that no token holds side by side.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -24,31 +26,54 @@ from pyspark.sql import DataFrame
 from talentweave.llm.common import only, slices, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Bytes of text to a slice, and pieces remembered by a partition before it starts anew.
-SLICE, KEPT = 3 << 20, 250_000
+#: Bytes of text to a slice, and pieces remembered by a worker before it starts anew (some 60 bytes each).
+SLICE, KEPT = 3 << 19, 800_000
 
-_RECURSIVE = """
+#: Pieces longer than this are contracted in place, so that a query holds one row a token however many rounds it takes.
+LONG = 1000
+
+_ROUND = """
+   pair AS (
+     SELECT a.piece, a.off, a.len, b.len AS more, m.t, m.alone, m.twin
+     FROM {now} a JOIN {now} b ON b.off = a.off + a.len JOIN merges m ON m.l = a.tok AND m.r = b.tok),
+   best AS (SELECT piece, min(t::BIGINT * 4294967296 + off) AS least FROM pair GROUP BY piece),
+   hits AS (
+     SELECT p.piece, p.off, p.len, p.more, p.t, p.twin
+     FROM pair p JOIN best b ON b.piece = p.piece AND b.least // 4294967296 = p.t
+     WHERE NOT p.alone OR p.off = b.least % 4294967296),
+   twins AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY off) AS n FROM hits WHERE twin),
+   chosen AS (
+     SELECT piece, off, len, more, t FROM hits WHERE NOT twin
+     UNION ALL
+     SELECT piece, off, len, more, t
+     FROM (SELECT *, row_number() OVER (PARTITION BY piece, off - n * len ORDER BY off) AS k FROM twins) WHERE k % 2 = 1)"""
+
+_RESULT = """
+SELECT s.piece, list(s.tok ORDER BY s.off) AS ids, unhex(string_agg(v.hex, '' ORDER BY s.off)) AS bytes
+FROM s {last} JOIN vocabulary v ON v.tok = s.tok
+GROUP BY s.piece ORDER BY s.piece"""
+
+_RECURSIVE = f"""
 WITH RECURSIVE s AS (
   SELECT 0 AS it, piece, off, len, tok FROM symbols
   UNION ALL
-  (WITH pair AS (
-     SELECT a.piece, a.off, a.len, b.len AS more, m.t, m.alone, m.twin
-     FROM s a JOIN s b ON b.off = a.off + a.len JOIN merges m ON m.l = a.tok AND m.r = b.tok),
-   best AS (SELECT piece, min(t) AS t FROM pair GROUP BY piece),
-   hits AS (
-     SELECT p.*, row_number() OVER (PARTITION BY p.piece ORDER BY p.off) AS n
-     FROM pair p JOIN best b ON b.piece = p.piece AND b.t = p.t),
-   runs AS (
-     SELECT *, CASE WHEN twin THEN row_number() OVER (PARTITION BY piece, off - n * len ORDER BY off) ELSE 1 END AS k FROM hits),
-   chosen AS (SELECT off, len, more, t FROM runs WHERE k % 2 = 1 AND (NOT alone OR n = 1))
+  (WITH {_ROUND.format(now="s")}
    SELECT s.it + 1, s.piece, s.off, s.len + coalesce(c.more, 0), coalesce(c.t, s.tok)
-   FROM s JOIN best b ON b.piece = s.piece LEFT JOIN chosen c ON c.off = s.off
-   WHERE NOT EXISTS (SELECT 1 FROM chosen d WHERE d.off + d.len = s.off))
+   FROM s SEMI JOIN best b ON b.piece = s.piece LEFT JOIN chosen c ON c.off = s.off ANTI JOIN chosen d ON d.off + d.len = s.off)
 ), last AS (SELECT piece, max(it) AS it FROM s GROUP BY piece)
-SELECT s.piece, list(s.tok ORDER BY s.off) AS ids, unhex(string_agg(v.hex, '' ORDER BY s.off)) AS bytes
-FROM s JOIN last l ON l.piece = s.piece AND l.it = s.it JOIN vocabulary v ON v.tok = s.tok
-GROUP BY s.piece ORDER BY s.piece
-"""
+{_RESULT.format(last="JOIN last l ON l.piece = s.piece AND l.it = s.it")}"""
+
+_IN_PLACE = f"""
+WITH RECURSIVE s(piece, off, len, tok) USING KEY (off) AS (
+  SELECT piece, off, len, tok FROM symbols
+  UNION
+  (WITH now AS (SELECT r.piece, r.off, r.len, r.tok FROM recurring.s r SEMI JOIN s a ON a.piece = r.piece WHERE r.tok >= 0),
+   {_ROUND.format(now="now")}
+   SELECT piece, off, len + more, t FROM chosen
+   UNION ALL
+   SELECT piece, off + len, 0, -1 FROM chosen)
+)
+{_RESULT.format(last="")}"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,7 +104,13 @@ class Encoder:
 
         ranks = read_ranks(path)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        #: Neighbouring bytes that stand together in some token; no merge crosses any others.
+        self.meet = np.zeros((256, 256), bool)
+        for token in ranks:
+            b = np.frombuffer(token, np.uint8)
+            self.meet[b[:-1], b[1:]] = True
+        spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": spill})
         given = merge_rows(ranks)
         self.con.register("given", given)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -89,31 +120,42 @@ class Encoder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def encode(self, pieces: list[bytes], most: int = 1_500_000) -> tuple[list[np.ndarray], list[bytes]]:
-        """Ids and decoded bytes of each piece; at most about ``most`` bytes of pieces go into one query."""
-        ids: list[np.ndarray] = []
-        decoded: list[bytes] = []
-        first = 0
+    def encode(self, pieces: list[bytes], most: int = 500_000) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """All pieces' ids, how many each has, all their decoded bytes, and how many each has.
+
+        At most about ``most`` bytes of pieces go into one query; long pieces go into queries of their own kind.
+        """
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
+        if long and len(long) < len(pieces):  # long ones after the others, and back in place
+            order = np.array([i for i, p in enumerate(pieces) if len(p) <= LONG] + long)
+            ids, counts, decoded, sizes = (x + y if isinstance(x, bytes) else np.concatenate([x, y]) for x, y in zip(self.encode([pieces[i] for i in order[: -len(long)]], most), self.encode([pieces[i] for i in long], most), strict=True))
+            back = np.argsort(order)
+            begin, at = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+            ids = np.concatenate([ids[begin[i] : begin[i] + counts[i]] for i in back])
+            return ids, counts[back], b"".join(decoded[at[i] : at[i] + sizes[i]] for i in back.tolist()), sizes[back]
+        ids, counts, decoded, sizes, first = [], [], [], [], 0
         while first < len(pieces):
             last, size = first, 0
             while last < len(pieces) and (last == first or size + len(pieces[last]) <= most):
                 size += len(pieces[last])
                 last += 1
             some = pieces[first:last]
-            lengths = np.fromiter(map(len, some), np.int64, len(some))
-            piece = np.repeat(np.arange(len(some)), lengths)
+            lengths = np.fromiter(map(len, some), np.int32, len(some))
+            piece = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
             data = np.frombuffer(b"".join(some), np.uint8)
-            off = np.arange(len(data)) + piece  # a gap of one between pieces keeps them apart
-            symbols = pa.table({"piece": piece, "off": off, "len": np.ones(len(data), np.int64), "tok": self.byte[data]})
+            off = np.arange(len(data), dtype=np.int32) + piece  # a gap of one between pieces keeps them apart
+            symbols = pa.table({"piece": piece, "off": off, "len": np.ones(len(data), np.int32), "tok": self.byte[data]})
             self.con.register("symbols", symbols)
-            got = self.con.sql(_RECURSIVE).to_arrow_table()
+            got = self.con.sql(_IN_PLACE if long else _RECURSIVE).to_arrow_table()
             self.con.unregister("symbols")
             lists = got.column("ids").combine_chunks()
-            flat, ends = lists.flatten().to_numpy().astype(np.uint32), lists.offsets.to_numpy()
-            ids += [flat[s:e] for s, e in zip(ends, ends[1:])]
-            decoded += got.column("bytes").to_pylist()
+            ids.append(lists.flatten().to_numpy().astype(np.uint32))
+            counts.append(np.diff(lists.offsets.to_numpy()))
+            back = got.column("bytes").to_pylist()
+            decoded += back
+            sizes.append(np.fromiter(map(len, back), np.int64, len(back)))
             first = last
-        return ids, decoded
+        return np.concatenate(ids), np.concatenate(counts).astype(np.int64), b"".join(decoded), np.concatenate(sizes)
 
 
 _MADE: dict[str, Encoder] = {}
@@ -178,58 +220,77 @@ def cut(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-class Partition:
-    """The pieces a partition has met, with their ids and bytes."""
+class Pieces:
+    """The pieces that a worker has met, with their ids and bytes, in flat arrays; kept from partition to partition."""
 
     def __init__(self, path: str):
         self.path = path
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.bytes: list[bytes] = []
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where each is
+        self.ids, self.begins = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.bytes, self.at = b"", np.zeros(1, np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        near = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[near] == hashes, self.places[near], -1)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        ids, counts, decoded, sizes = encoder(self.path).encode(pieces)
+        places = len(self.begins) - 1 + np.arange(len(hashes))
+        self.keys, self.places = np.concatenate([self.keys, hashes]), np.concatenate([self.places, places])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.places = self.keys[order], self.places[order]
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(counts)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.ids, self.bytes = np.concatenate([self.ids, ids]), self.bytes + decoded
 
     def encode(self, texts: list[bytes], each: Callable[[np.ndarray, bytes], None]) -> None:
         """Call ``each(ids, decoded bytes)`` for every text in order."""
-        if len(self.ids) > KEPT:
+        if len(self.keys) > KEPT:
             self._clear()
         whole = b"".join(texts)
         points = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
         data = np.frombuffer(whole, np.uint8)
         place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # byte of each code point
-        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        text_starts = text_ends - np.fromiter(map(len, texts), np.int64, len(texts))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_starts = np.cumsum(sizes) - sizes
         begins = np.zeros(len(points) + 1, bool)
         begins[np.searchsorted(place, text_starts)] = True
         starts = place[cut(points, begins[:-1])] if len(points) else np.zeros(0, np.int64)
+        apart = np.flatnonzero(~encoder(self.path).meet[data[:-1], data[1:]]) + 1  # a piece is cut where no token can run on
+        starts = np.union1d(starts, apart)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         code, unique = pd.factorize(span_hashes(data, starts, ends))
-        first = np.empty(len(unique), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
-        hashes = unique.tolist()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        if new:
+        number = self._find(unique)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first = np.empty(len(unique), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
             at = first[new]
-            pieces = [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            ids, decoded = encoder(self.path).encode(pieces)
-            for i, h in enumerate(new):
-                self.known[hashes[h]] = len(self.ids) + i
-            self.ids += ids
-            self.bytes += decoded
-        number = np.fromiter((self.known[h] for h in hashes), np.int64, len(hashes))
-        mine = [self.ids[i] for i in number.tolist()]
-        sizes = np.fromiter(map(len, mine), np.int64, len(mine))
-        flat = np.concatenate(mine) if mine else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        own = [self.bytes[i] for i in number.tolist()]
+            self._learn(unique[new], [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            number = self._find(unique)
+        begin, count = self.begins[number], self.begins[number + 1] - self.begins[number]
+        own = [self.bytes[s:e] for s, e in zip(self.at[number].tolist(), self.at[number + 1].tolist(), strict=True)]
         bounds = np.searchsorted(starts, np.append(text_starts, len(data))).tolist()
         for s, e in zip(bounds, bounds[1:], strict=False):
             c = code[s:e]
-            n = sizes[c]
-            total = int(n.sum())
-            at = np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(total)
-            each(flat[at], b"".join([own[i] for i in c.tolist()]))
+            n = count[c]
+            at = np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            each(self.ids[at], b"".join([own[i] for i in c.tolist()]))
+
+
+_PIECES: dict[str, Pieces] = {}
+
+
+def known_pieces(path: str) -> Pieces:
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
 
 
 def _path(path: str | None) -> str:
@@ -249,7 +310,7 @@ def round_trip(documents: DataFrame, ranks: str | None = None, key: str = "doc_i
     """
 
     def run(batches):
-        partition = Partition(_path(ranks))
+        pieces = known_pieces(_path(ranks))
         for part, texts in slices(batches, most=SLICE):
             n, ids_sha, bytes_sha = [], [], []
 
@@ -258,7 +319,7 @@ def round_trip(documents: DataFrame, ranks: str | None = None, key: str = "doc_i
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 bytes_sha.append(hashlib.sha256(decoded).hexdigest())
 
-            partition.encode(texts, each)
+            pieces.encode(texts, each)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return only(documents, key, text).toDF("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -268,7 +329,7 @@ def encoded(documents: DataFrame, ranks: str | None = None, key: str = "doc_id",
     """(doc_id, ids, decoded): the token ids of every row and the text decoded from them."""
 
     def run(batches):
-        partition = Partition(_path(ranks))
+        pieces = known_pieces(_path(ranks))
         for part, texts in slices(batches, most=SLICE):
             ids_, decoded_ = [], []
 
@@ -276,7 +337,7 @@ def encoded(documents: DataFrame, ranks: str | None = None, key: str = "doc_id",
                 ids_.append(ids.astype(np.int32))
                 decoded_.append(decoded.decode())
 
-            partition.encode(texts, each)
+            pieces.encode(texts, each)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids_, pa.list_(pa.int32())), pa.array(decoded_, pa.string())], ["doc_id", "ids", "decoded"])
 
     return only(documents, key, text).toDF("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
