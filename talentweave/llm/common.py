@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in slices of about so many bytes, so that a task's memory does not
 #: depend on how many rows an Arrow batch holds.  One text longer than this is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, so that a worker that lives on does not hold what its last task used."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Arrow batches cut by the bytes of their texts, each with its texts as UTF-8 (null: empty)."""
     for batch in batches:
@@ -58,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             texts = part.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
             yield part, [x or b"" for x in texts]
             first = last
+    give_back()
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:

@@ -103,16 +103,11 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         return out
     count = np.bincount(of, minlength=n)
     bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-    some = np.flatnonzero(count)
-    begin = np.searchsorted(of, some)
-    for s in range(0, len(some), 256):  # a few hundred texts at a time keeps the gathered rows small
-        t = some[s : s + 256]
-        lo, hi = begin[s], begin[s + 256] if s + 256 < len(begin) else len(h)
-        if hi - lo > 4_000_000:
-            for i, b in zip(t.tolist(), begin[s : s + 256].tolist(), strict=True):
-                out[i, :DIMS] = np.bincount(bucket[b : b + count[i]], minlength=BUCKETS).astype(np.float32) @ vectors
-        else:
-            out[t, :DIMS] = np.add.reduceat(vectors[bucket[lo:hi]], begin[s : s + 256] - lo, axis=0)
+    begin = np.searchsorted(of, np.arange(0, n + 64, 64))
+    for i, (lo, hi) in enumerate(zip(begin, begin[1:], strict=False)):  # the counts of some texts at a time
+        t = out[64 * i : 64 * i + 64]
+        words = np.bincount((of[lo:hi] - 64 * i) * BUCKETS + bucket[lo:hi], minlength=len(t) * BUCKETS).reshape(len(t), BUCKETS)
+        t[:, :DIMS] = words.astype(np.float32) @ vectors
     shape = np.bincount(of * SHAPES + _shapes(data, starts, ends, h, of), minlength=n * SHAPES).reshape(n, SHAPES)
     out[:, DIMS : 2 * DIMS] = shape.astype(np.float32) @ SHAPE_INDEX
     out[:, : 2 * DIMS] /= np.maximum(count, 1)[:, None]
