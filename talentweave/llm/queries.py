@@ -60,9 +60,36 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+#: Windows as rows: fine for small tables.
+_REPEATS = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS k FROM w, unnest(range(1, len(ws) - 33)) AS g(i)),
+c AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+m AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM p SEMI JOIN c ON p.k = c.k),
+t AS (SELECT doc_id, j, ws[j] AS word FROM w, unnest(range(1, len(ws) + 1)) AS g(j)),
+k AS (SELECT t.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY t.j) AS kept FROM t ANTI JOIN m ON t.doc_id = m.doc_id AND t.j = m.j GROUP BY t.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+  sum(20 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<\[]', '', 'g')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a
+"""
+#: What the trained model should give on pages that mark their article as the given ones do.
+_PAGES = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1|h2|li|ul|div)[^>]*>|<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_nearest, op4_quality, op5_chat, op6_digest, op7_bpe, op8_mix, op9_counts, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on 64-bit xxHash, trained models, token merges or bit estimates, and are tested by brute force."""
+    return {"op2_repeats": _REPEATS, "op5_chat": _CHAT, "op10_html": _PAGES}
