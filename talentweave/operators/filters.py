@@ -107,6 +107,17 @@ def newest_postings(postings: DataFrame, sources: DataFrame) -> DataFrame:
     return postings.where("active").join(names, "source_id").orderBy(F.desc("last_seen_at"), F.desc("id"))
 
 
+def posting_by_id(postings: DataFrame, sources: DataFrame, posting_id: int) -> DataFrame:
+    """One posting with its source's name and type; the filter reaches the scan."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "source_type")
+    return postings.where(F.col("id") == posting_id).join(names, "source_id")
+
+
+def known_index(postings: DataFrame) -> DataFrame:
+    """What is known of the postings of each source: hashes and the texts that a listing may lack."""
+    return postings.select("source_id", "external_id", "content_hash", "listing_hash", "canonical_url", "description", "employment_text", "salary_text", "active", "last_seen_at")
+
+
 def ordered_sources(sources: DataFrame) -> DataFrame:
     return sources.orderBy(F.desc("enabled"), "name", "id")
 

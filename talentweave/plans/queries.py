@@ -86,14 +86,15 @@ def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.classify_links(extract.extract_links(table(spark, sf_dir, "pages")), _RULES).select("page_id", F.col("pos").cast("long").alias("pos"), "platform", "priority")
 
 
-@query()
+@query(f"""WITH {_CLASSES}, o AS (SELECT page_id, url, min_by(platform, pos) AS platform, min_by(priority, pos) AS priority FROM m GROUP BY page_id, url)
+SELECT page_id, CAST(rank AS INT) AS rank, url AS board_url, platform FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority, url) AS rank FROM o) WHERE rank <= 10""")
 def candidates_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = extract.classify_links(extract.extract_links(table(spark, sf_dir, "pages")), _RULES)
     found = links.select("page_id", "name", "source_type", "board_url", "platform", "priority", F.col("page_url").alias("reason"), F.col("pos").alias("seq"))
     return extract.best_candidates(found, ["page_id"]).select("page_id", "rank", "board_url", "platform")
 
 
-@query()
+@query(f"WITH {_LINKS} SELECT page_id, arg_min(url, pos) AS next_url FROM l WHERE lower(text) IN ('next', 'next page', 'older', 'more jobs') OR starts_with(lower(text), 'next ') GROUP BY page_id")
 def page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.next_page(table(spark, sf_dir, "pages"))
 
