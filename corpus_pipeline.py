@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.llm import bpe, mixing, quality, simhash, substrings
-from talentweave.llm.common import partitions, written
+from talentweave.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,12 +23,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row of the smallest doc_id; rows without an id stay."""
+    """Of each group of texts alike by 0.8 or more (five-word shingles) the row of the smallest doc_id.
+
+    Rows without an id stay.
+    """
     docs = _documents(docs)
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = written(kept, "kept")
-    named = docs.where("doc_id is not null").repartition(2 * partitions(spark), "doc_id").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    groups = simhash.similar(docs, words=5, similarity=0.8)
+    kept = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    named = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
     return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 

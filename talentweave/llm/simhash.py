@@ -10,20 +10,24 @@ large group of near copies stays linear.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import concatenated, map_slices, only, words_of, written
+from talentweave.llm.common import map_slices, mixed, only, written
 from talentweave.llm.components import components, local_forest
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Further 64-bit words of a wide fingerprint come from the same shingle hashes, scrambled with these.
+_MORE = (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)
 
 
-def fingerprint_slice(texts: list[bytes], words: int) -> np.ndarray:
-    """SimHash of each text as unsigned 64-bit numbers; texts without words get zero."""
+def fingerprint_slice(texts: list[bytes], words: int, wide: bool = False) -> np.ndarray:
+    """SimHash of each text as unsigned 64-bit numbers; texts without words get zero.  Wide: four numbers a text."""
     digest, hashes, counts = xxhash.xxh64_intdigest, [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         tokens = text.translate(_LOWER).split()
@@ -38,8 +42,15 @@ def fingerprint_slice(texts: list[bytes], words: int) -> np.ndarray:
             starts, ends = [0, *cut[: n - 1].tolist()], (cut[words - 1 :] - 1).tolist()
             hashes += [digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)]
         counts[i] = n
-    out = np.zeros(len(texts), np.uint64)
-    h, first = np.array(hashes, np.uint64), 0
+    h = np.array(hashes, np.uint64)
+    if not wide:
+        return _majorities(h, counts)
+    return np.stack([_majorities(h, counts), *[_majorities(mixed(h ^ np.uint64(m)), counts) for m in _MORE]], axis=1)
+
+
+def _majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of hashes the number whose bits are those set in over half of them."""
+    out, first = np.zeros(len(counts), np.uint64), 0
     for i, n in enumerate(counts.tolist()):
         ones = np.zeros(64, np.int64)
         for k in range(first, first + n, 1 << 16):
@@ -61,82 +72,114 @@ def fingerprints(documents: DataFrame, words: int = 4, key: str = "doc_id", text
 
 
 def _blocks(x: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """x ordered by the bit counts of its four 16-bit words, cut into blocks, with each block's least and largest counts."""
+    """Order of x by the bit counts of its four 16-bit words, cuts into blocks, and each block's least and largest counts."""
     counts = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
     order = np.lexsort(counts.T)
-    x, counts = x[order], counts[order]
+    counts = counts[order]
     cuts = [(i, min(i + size, len(x))) for i in range(0, len(x), size)]
-    low = np.array([counts[i:j].min(0) for i, j in cuts])
-    high = np.array([counts[i:j].max(0) for i, j in cuts])
-    return x, cuts, low, high
+    return order, cuts, np.array([counts[i:j].min(0) for i, j in cuts]), np.array([counts[i:j].max(0) for i, j in cuts])
+
+
+@dataclass
+class Tile:
+    """Fingerprints (n,), their nodes, and for wide ones all their words (n, 4)."""
 
+    fp: np.ndarray
+    node: np.ndarray
+    words: np.ndarray | None = None
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all links within the radius between two tiles of different fingerprints."""
-    a, cuts_a, low_a, high_a = _blocks(a, size)
-    b, cuts_b, low_b, high_b = (a, cuts_a, low_a, high_a) if same else _blocks(b, size)
+    def ordered(self, order: np.ndarray) -> Tile:
+        return Tile(self.fp[order], self.node[order], None if self.words is None else self.words[order])
+
+
+def tile_links(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int = 0, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links within the radius between two tiles of different fingerprints.
+
+    Wide fingerprints must also lie within ``wide_radius`` in all their words.
+    """
+    order, cuts_a, low_a, high_a = _blocks(a.fp, size)
+    a = a.ordered(order)
+    if same:
+        b, cuts_b, low_b, high_b = a, cuts_a, low_a, high_a
+    else:
+        order, cuts_b, low_b, high_b = _blocks(b.fp, size)
+        b = b.ordered(order)
     found_a, found_b, held = [], [], 0
     for i, (s, e) in enumerate(cuts_a):
         apart = np.maximum(0, np.maximum(low_a[i] - high_b, low_b - high_a[i])).sum(1)
         for j in np.flatnonzero(apart <= radius).tolist():
             if same and j < i:
                 continue
-            near = np.bitwise_count(a[s:e, None] ^ b[None, cuts_b[j][0] : cuts_b[j][1]]) <= radius
+            t, u = cuts_b[j]
+            near = np.bitwise_count(a.fp[s:e, None] ^ b.fp[None, t:u]) <= radius
             if not near.any():
                 continue
             p, q = np.nonzero(near)
-            p, q = a[p + s], b[q + cuts_b[j][0]]
+            p, q = p + s, q + t
+            if a.words is not None:
+                close = np.bitwise_count(a.words[p] ^ b.words[q]).sum(1) <= wide_radius
+                p, q = p[close], q[close]
+            p, q = a.node[p], b.node[q]
             keep = p != q
             found_a.append(p[keep])
             found_b.append(q[keep])
-            held += len(p)
+            held += int(keep.sum())
             if held > 1 << 20:  # thin out as we go
                 p, q = local_forest(np.concatenate(found_a), np.concatenate(found_b))
                 found_a, found_b, held = [p], [q], len(p)
     if not found_a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return local_forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def links(distinct: DataFrame, radius: int = 4, tile: int = 65536) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, tile: int = 65536, wide_radius: int = 0) -> DataFrame:
     """(a, b long): links between different fingerprints whose components are those of all pairs within the radius.
 
-    ``distinct`` has one column fp without repeats.  The driver collects only how many fingerprints have each of
-    the 65 population counts; from that every tile's partners follow.
+    ``distinct`` has columns node and fp, for wide fingerprints also w1, w2, w3, without repeats.  The driver collects
+    only how many fingerprints have each of the 65 population counts; from that every tile's partners follow.  A
+    tile holds a few neighbouring counts where the radius is wide.
     """
     spark = distinct.sparkSession
-    tiles = distinct.select("fp", F.bit_count("fp").cast("int").alias("pc"))
+    more = [c for c in ("w1", "w2", "w3") if c in distinct.columns]
+    band = max(1, radius // 4)
+    tiles = distinct.select("node", "fp", *more, F.floor(F.bit_count("fp") / band).cast("int").alias("pc"))
     chunks = {r["pc"]: -(-r["n"] // tile) for r in tiles.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     first, start = {}, 0
     for pc in sorted(chunks):
         first[pc], start = start, start + chunks[pc]
     if not chunks:
         return spark.createDataFrame([], "a long, b long")
+    reach = -(-radius // band)
 
     def number(values: dict[int, int]) -> F.Column:
         return F.element_at(F.array(*[F.lit(values.get(pc, 0)) for pc in range(65)]), F.col("pc") + 1)
 
-    own = number(first) + F.pmod(F.xxhash64("fp", F.lit("tile")), number(chunks)).cast("int")
-    ends = {pc: max(first[p] + chunks[p] for p in range(pc, pc + radius + 1) if p in chunks) for pc in chunks}
-    starts = {pc: min(first[p] for p in range(pc - radius, pc + 1) if p in chunks) for pc in chunks}
-    # a tile travels as one packed row to each pair of tiles it belongs to, so a fingerprint costs 8 bytes a partner
-    packed = tiles.select("fp", own.alias("t"), number(starts).alias("from"), number(ends).alias("to")).groupBy("t").applyInArrow(_pack, "t int, `from` int, `to` int, fps binary")
-    sent = packed.select("t", "fps", F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("u"))
-    sent = sent.select(F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "fps")
+    own = number(first) + F.pmod(F.xxhash64("fp", *more, F.lit("tile")), number(chunks)).cast("int")
+    ends = {pc: max(first[p] + chunks[p] for p in range(pc, pc + reach + 1) if p in chunks) for pc in chunks}
+    starts = {pc: min(first[p] for p in range(pc - reach, pc + 1) if p in chunks) for pc in chunks}
+    # a tile travels as one packed row to each pair of tiles it belongs to, so a fingerprint costs a few bytes a partner
+    packed = tiles.select("node", F.array("fp", *more).alias("fps"), own.alias("t"), number(starts).alias("from"), number(ends).alias("to")).groupBy("t").applyInArrow(_pack, "t int, `from` int, `to` int, nodes binary, fps binary")
+    sent = packed.select("t", "nodes", "fps", F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("u"))
+    sent = sent.select(F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "nodes", "fps")
+    width = 1 + len(more)
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        held = {t.as_py(): np.frombuffer(x.as_py(), np.uint64) for t, x in zip(table.column("t"), table.column("fps"), strict=True)}
+        held = {}
+        for t, nodes, fps in zip(table.column("t"), table.column("nodes"), table.column("fps"), strict=True):
+            words = np.frombuffer(fps.as_buffer(), np.uint64).reshape(-1, width)
+            held[t.as_py()] = Tile(np.ascontiguousarray(words[:, 0]), np.frombuffer(nodes.as_buffer(), np.int64), words if width > 1 else None)
         lo, hi = key[0].as_py(), key[1].as_py()
-        p, q = tile_links(held[lo], held[hi], radius, lo == hi) if lo in held and hi in held else (np.zeros(0, np.uint64),) * 2
-        return pa.table({"a": p.view(np.int64), "b": q.view(np.int64)})
+        p, q = tile_links(held[lo], held[hi], radius, lo == hi, wide_radius) if lo in held and hi in held else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": p, "b": q})
 
     return sent.groupBy("lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def _pack(table: pa.Table) -> pa.Table:
     """All fingerprints of one tile as one row."""
-    fps = table.column("fp").to_numpy().tobytes()
-    return pa.table({"t": table.column("t")[:1], "from": table.column("from")[:1], "to": table.column("to")[:1], "fps": pa.array([fps], pa.binary())})
+    fps = table.column("fps").combine_chunks().flatten().to_numpy().tobytes()
+    nodes = table.column("node").to_numpy().tobytes()
+    return pa.table({"t": table.column("t")[:1], "from": table.column("from")[:1], "to": table.column("to")[:1], "nodes": pa.array([nodes], pa.binary()), "fps": pa.array([fps], pa.binary())})
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,9 +191,42 @@ def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4, key:
     """
     fps = written(fingerprints(documents, words, key, text), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    of = components(links(classes.select("fp"), radius))
+    of = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius))
     joined = classes.hint("merge").join(of, classes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = written(joined, "class-components")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = joined.hint("merge").join(least, "component").select("fp", "component_id")
     return fps.hint("merge").join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def wide_radius(similarity: float, bits: int, slack: float = 2.5) -> int:
+    """Bits in which fingerprints of texts of a Jaccard similarity differ, and ``slack`` standard deviations more.
+
+    Sets of one size and Jaccard similarity J have the cosine 2J / (1 + J); each bit differs with the probability of
+    their angle over pi.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p))))
+
+
+def similar(documents: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups of texts whose shingles have about the given Jaccard similarity or more.
+
+    A contract of few bits in 64 finds only copies that are nearly equal.  Here fingerprints have four words of 64
+    bits; pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits, so that texts
+    at the given similarity are found with a probability of over 0.98 and texts without common shingles stay apart.
+    Equal texts are always together.  Null and blank texts are equal; null keys count for no component's id.
+    """
+
+    def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        fps = fingerprint_slice(texts, words, wide=True).view(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), *[pa.array(fps[:, i]) for i in range(4)]], ["doc_id", "fp", "w1", "w2", "w3"])
+
+    columns = ["fp", "w1", "w2", "w3"]
+    fps = written(map_slices(only(documents, key, text).toDF("doc_id", "text"), run, "doc_id long, fp long, w1 long, w2 long, w3 long"), "fingerprints")
+    classes = fps.groupBy(*columns).agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64(*columns)))
+    classes = written(classes, "classes")
+    of = components(links(classes.select("node", *columns), wide_radius(similarity, 64), 131072, wide_radius(similarity, 256)))
+    joined = written(classes.hint("merge").join(of, "node", "left").select(*columns, "least", F.coalesce("component", "node").alias("component")), "class-components")
+    ids = joined.hint("merge").join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(*columns, "component_id")
+    return fps.hint("merge").join(ids, columns).select("doc_id", "component_id")

@@ -55,19 +55,35 @@ def test_tiles_find_all_links():
     flips = fps[:400] ^ (np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64))
     fps = np.unique(np.concatenate([fps, flips]))
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= 4
-    linked = set(fps[near.sum(1) > 1].tolist())
-    a, b = simhash.tile_links(fps, fps, 4, True, size=64)
+    node = np.arange(len(fps))
+    linked = set(node[near.sum(1) > 1].tolist())
+    a, b = simhash.tile_links(simhash.Tile(fps, node), simhash.Tile(fps, node), 4, True, size=64)
     assert set(a.tolist()) | set(b.tolist()) == linked
     half = len(fps) // 2
-    a, b = simhash.tile_links(fps[:half], fps[half:], 4, False, size=64)
+    a, b = simhash.tile_links(simhash.Tile(fps[:half], node[:half]), simhash.Tile(fps[half:], node[half:]), 4, False, size=64)
     cross = near[:half, half:]
-    assert set(a.tolist()) | set(b.tolist()) == set(fps[:half][cross.any(1)].tolist()) | set(fps[half:][cross.any(0)].tolist())
+    assert set(a.tolist()) | set(b.tolist()) == set(node[:half][cross.any(1)].tolist()) | set(node[half:][cross.any(0)].tolist())
+
+
+def test_similar_texts(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(120)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i in range(20):  # two words changed: about ten of 116 shingles
+        w = list(base[i])
+        w[30], w[80] = word(), word()
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200, rows[39][1]), (201, None), (202, ""), (None, rows[38][1])]
+    got = {d: c for d, c in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {**{i: i for i in range(40)}, **{100 + i: i for i in range(20)}, 200: 39, 201: 201, 202: 201, None: 38}
+    assert simhash.wide_radius(1.0, 256) == 0 and simhash.wide_radius(0.8, 256) > simhash.wide_radius(0.9, 256)
 
 
 def test_links_over_several_tiles(spark):
     r = np.random.default_rng(3)
     fps = np.unique(np.concatenate([r.integers(0, 2**63, 500, dtype=np.uint64), np.arange(300, dtype=np.uint64)]))
-    links = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 4, tile=50)
+    links = simhash.links(spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "node long, fp long"), 4, tile=50)
     of = {r.node: r.component for r in components(links).collect()}
     ids = fps.view(np.int64).tolist()
     want = brute_components(fps, ids, 4)
