@@ -27,7 +27,7 @@ from talentweave.llm.common import only, slices, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Bytes of text to a slice, and pieces remembered by a worker before it starts anew (some 60 bytes each).
-SLICE, KEPT = 3 << 19, 800_000
+SLICE, KEPT = 3 << 19, 500_000
 
 #: Pieces longer than this are contracted in place, so that a query holds one row a token however many rounds it takes.
 LONG = 1000
@@ -110,7 +110,7 @@ class Encoder:
             b = np.frombuffer(token, np.uint8)
             self.meet[b[:-1], b[1:]] = True
         spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": spill})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": spill})
         given = merge_rows(ranks)
         self.con.register("given", given)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -120,7 +120,7 @@ class Encoder:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def encode(self, pieces: list[bytes], most: int = 500_000) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    def encode(self, pieces: list[bytes], most: int = 300_000) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
         """All pieces' ids, how many each has, all their decoded bytes, and how many each has.
 
         At most about ``most`` bytes of pieces go into one query; long pieces go into queries of their own kind.
