@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numbers
 import os
 
 import duckdb
@@ -13,7 +14,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def _plain(v):
     if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
-    return round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return round(float(v), 9) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
