@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import map_slices, mixed, only, written
+from talentweave.llm.common import give_back, map_slices, mixed, only, written
 from talentweave.llm.components import components, local_forest
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -124,7 +124,7 @@ def tile_links(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int = 0,
             found_a.append(p[keep])
             found_b.append(q[keep])
             held += int(keep.sum())
-            if held > 1 << 20:  # thin out as we go
+            if held > 1 << 17:  # thin out as we go
                 p, q = local_forest(np.concatenate(found_a), np.concatenate(found_b))
                 found_a, found_b, held = [p], [q], len(p)
     if not found_a:
@@ -170,6 +170,7 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 65536, wide_radius:
             held[t.as_py()] = Tile(np.ascontiguousarray(words[:, 0]), np.frombuffer(nodes.as_buffer(), np.int64), words if width > 1 else None)
         lo, hi = key[0].as_py(), key[1].as_py()
         p, q = tile_links(held[lo], held[hi], radius, lo == hi, wide_radius) if lo in held and hi in held else (np.zeros(0, np.int64),) * 2
+        give_back()
         return pa.table({"a": p, "b": q})
 
     return sent.groupBy("lo", "hi").applyInArrow(compare, "a long, b long")
