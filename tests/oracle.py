@@ -12,7 +12,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, numbers.Number) and v != v):
         return None
     return round(float(v), 9) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
