@@ -6,10 +6,13 @@ tile against tile, by exclusive-or and bit counts.  A tile holds fingerprints of
 whose counts differ beyond the radius never meet; inside a pair of tiles the same rule, on the counts of the four
 16-bit words, skips small blocks.  A pair of tiles sends on a spanning forest of its links, not the links, so a
 large group of near copies stays linear.
+
+The pipeline's groups (``similar``) are made of exact Jaccard similarities; there fingerprints only propose pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,27 +27,42 @@ from talentweave.llm.components import components, local_forest
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Further 64-bit words of a wide fingerprint come from the same shingle hashes, scrambled with these.
 _MORE = (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)
+#: What travels with a wide fingerprint besides fp: its further words, its set's size and the group known so far.
+_WIDE = ("w1", "w2", "w3", "n", "label")
+
+
+def shingle_hashes(text: bytes, words: int) -> list[int]:
+    """Hashes of all shingles of a text in order, repeated ones too; a text of fewer words is one shingle."""
+    tokens = text.translate(_LOWER).split()
+    if not tokens:
+        return []
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(tokens)
+    n = max(1, len(tokens) - words + 1)
+    if n == 1:
+        return [digest(joined, 42)]
+    cut = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts, ends = [0, *cut[: n - 1].tolist()], (cut[words - 1 :] - 1).tolist()
+    return [digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)]
 
 
-def fingerprint_slice(texts: list[bytes], words: int, wide: bool = False) -> np.ndarray:
-    """SimHash of each text as unsigned 64-bit numbers; texts without words get zero.  Wide: four numbers a text."""
-    digest, hashes, counts = xxhash.xxh64_intdigest, [], np.zeros(len(texts), np.int64)
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The different shingle hashes of a text, in order of size."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def fingerprint_slice(texts: list[bytes], words: int) -> np.ndarray:
+    """SimHash of each text as unsigned 64-bit numbers; texts without words get zero."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        tokens = text.translate(_LOWER).split()
-        if not tokens:
-            continue
-        joined = b" ".join(tokens)
-        n = max(1, len(tokens) - words + 1)
-        if n == 1:
-            hashes.append(digest(joined, 42))
-        else:
-            cut = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-            starts, ends = [0, *cut[: n - 1].tolist()], (cut[words - 1 :] - 1).tolist()
-            hashes += [digest(joined[s:e], 42) for s, e in zip(starts, ends, strict=True)]
-        counts[i] = n
-    h = np.array(hashes, np.uint64)
-    if not wide:
-        return _majorities(h, counts)
+        found = shingle_hashes(text, words)
+        hashes += found
+        counts[i] = len(found)
+    return _majorities(np.array(hashes, np.uint64), counts)
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each shingle set as four unsigned 64-bit numbers; empty sets get zeros."""
+    h, counts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
     return np.stack([_majorities(h, counts), *[_majorities(mixed(h ^ np.uint64(m)), counts) for m in _MORE]], axis=1)
 
 
@@ -82,21 +100,20 @@ def _blocks(x: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int]]
 
 @dataclass
 class Tile:
-    """Fingerprints (n,), their nodes, and for wide ones all their words (n, 4)."""
+    """Fingerprints (n,), their nodes, and for wide ones all their words (n, 4), set sizes and groups known."""
 
     fp: np.ndarray
     node: np.ndarray
     words: np.ndarray | None = None
+    size: np.ndarray | None = None
+    group: np.ndarray | None = None
 
     def ordered(self, order: np.ndarray) -> Tile:
-        return Tile(self.fp[order], self.node[order], None if self.words is None else self.words[order])
-
+        return Tile(*[None if x is None else x[order] for x in (self.fp, self.node, self.words, self.size, self.group)])
 
-def tile_links(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int = 0, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of all links within the radius between two tiles of different fingerprints.
 
-    Wide fingerprints must also lie within ``wide_radius`` in all their words.
-    """
+def _near(a: Tile, b: Tile, radius: int, same: bool, size: int) -> Iterator[tuple[Tile, Tile, np.ndarray, np.ndarray]]:
+    """Block by block all pairs whose first words lie within the radius, each once: both tiles and places in them."""
     order, cuts_a, low_a, high_a = _blocks(a.fp, size)
     a = a.ordered(order)
     if same:
@@ -104,7 +121,6 @@ def tile_links(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int = 0,
     else:
         order, cuts_b, low_b, high_b = _blocks(b.fp, size)
         b = b.ordered(order)
-    found_a, found_b, held = [], [], 0
     for i, (s, e) in enumerate(cuts_a):
         apart = np.maximum(0, np.maximum(low_a[i] - high_b, low_b - high_a[i])).sum(1)
         for j in np.flatnonzero(apart <= radius).tolist():
@@ -112,35 +128,103 @@ def tile_links(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int = 0,
                 continue
             t, u = cuts_b[j]
             near = np.bitwise_count(a.fp[s:e, None] ^ b.fp[None, t:u]) <= radius
-            if not near.any():
-                continue
-            p, q = np.nonzero(near)
-            p, q = p + s, q + t
-            if a.words is not None:
-                close = np.bitwise_count(a.words[p] ^ b.words[q]).sum(1) <= wide_radius
-                p, q = p[close], q[close]
-            p, q = a.node[p], b.node[q]
-            keep = p != q
-            found_a.append(p[keep])
-            found_b.append(q[keep])
-            held += int(keep.sum())
-            if held > 1 << 17:  # thin out as we go
-                p, q = local_forest(np.concatenate(found_a), np.concatenate(found_b))
-                found_a, found_b, held = [p], [q], len(p)
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if near.any():
+                p, q = np.nonzero(near)
+                if same and i == j:
+                    p, q = p[p < q], q[p < q]
+                yield a, b, p + s, q + t
+
+
+def tile_links(a: Tile, b: Tile, radius: int, same: bool, size: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links within the radius between two tiles of different fingerprints."""
+    found_a, found_b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for x, y, p, q in _near(a, b, radius, same, size):
+        p, q = x.node[p], y.node[q]
+        keep = p != q
+        found_a.append(p[keep])
+        found_b.append(q[keep])
+        held += int(keep.sum())
+        if held > 1 << 17:  # thin out as we go
+            p, q = local_forest(np.concatenate(found_a), np.concatenate(found_b))
+            found_a, found_b, held = [p], [q], len(p)
     return local_forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def links(distinct: DataFrame, radius: int = 4, tile: int = 65536, wide_radius: int = 0) -> DataFrame:
-    """(a, b long): links between different fingerprints whose components are those of all pairs within the radius.
+def nearest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make a spanning forest of the least distances."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.argsort(far, kind="stable")
+    left, right = at[: len(a)][order], at[len(a) :][order]
+    label, live, kept = np.arange(len(nodes)), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        p, q = label[left[live]], label[right[live]]
+        live, p, q = live[p != q], p[p != q], q[p != q]
+        if not len(live):
+            return order[np.concatenate(kept)]
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, p, live)
+        np.minimum.at(best, q, live)
+        chosen = np.unique(best[best < len(a)])
+        kept.append(chosen)
+        moved, least = local_forest(label[left[chosen]], label[right[chosen]])
+        to = np.arange(len(nodes))
+        to[moved] = least
+        label = to[label]
+
+
+def tile_proposals(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int, similarity: float, thin: bool, size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, nodes, set sizes, set sizes) of pairs that may have the similarity: within both radii, sizes that allow it.
+
+    Pairs of one known group are left out.  With ``thin`` a spanning forest of the nearest pairs, else all of them.
+    """
+    held, count = [], 0
+    for x, y, p, q in _near(a, b, radius, same, size):
+        far = np.bitwise_count(x.words[p] ^ y.words[q]).sum(1, dtype=np.int64)
+        few, many = np.minimum(x.size[p], y.size[q]), np.maximum(x.size[p], y.size[q])
+        keep = (far <= wide_radius) & (x.group[p] != y.group[q]) & (many > 0)
+        keep[keep] = few[keep] / many[keep] >= similarity
+        if not keep.any():
+            continue
+        p, q, far = p[keep], q[keep], far[keep]
+        pairs = (x.node[p], y.node[q], x.size[p], y.size[q], far)
+        if not thin:
+            yield pairs[:4]
+            continue
+        held.append(pairs)
+        count += len(p)
+        if count > 1 << 19:
+            held = [_thinned(held)]
+            count = len(held[0][0])
+    if held:
+        yield _thinned(held)[:4]
+
+
+def _thinned(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    pairs = [np.concatenate(x) for x in zip(*held, strict=True)]
+    kept = nearest_forest(pairs[0], pairs[1], pairs[4])
+    return tuple(x[kept] for x in pairs)
+
+
+def _fitting(p: np.ndarray, q: np.ndarray, n_p: np.ndarray, n_q: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs cut so that their different nodes have at most so many shingles: nodes, and the pairs as places in them."""
+    nodes, first, at = np.unique(np.concatenate([p, q]), return_index=True, return_inverse=True)
+    if len(p) == 1 or np.concatenate([n_p, n_q])[first].sum() <= most:
+        yield nodes, at[: len(p)], at[len(p) :]
+        return
+    half = len(p) // 2
+    for part in (slice(None, half), slice(half, None)):
+        yield from _fitting(p[part], q[part], n_p[part], n_q[part], most)
+
+
+def _tile_pairs(distinct: DataFrame, radius: int, tile: int, compare: Callable[[int, int, dict[int, Tile]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``compare`` of every two tiles that can hold pairs within the radius.
 
-    ``distinct`` has columns node and fp, for wide fingerprints also w1, w2, w3, without repeats.  The driver collects
+    ``distinct`` has columns node and fp, for wide fingerprints also w1, w2, w3, n and label.  The driver collects
     only how many fingerprints have each of the 65 population counts; from that every tile's partners follow.  A
     tile holds a few neighbouring counts where the radius is wide.
     """
     spark = distinct.sparkSession
-    more = [c for c in ("w1", "w2", "w3") if c in distinct.columns]
+    more = [c for c in _WIDE if c in distinct.columns]
     band = max(1, radius // 4)
     tiles = distinct.select("node", "fp", *more, F.floor(F.bit_count("fp") / band).cast("int").alias("pc"))
     chunks = {r["pc"]: -(-r["n"] // tile) for r in tiles.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
@@ -148,13 +232,13 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 65536, wide_radius:
     for pc in sorted(chunks):
         first[pc], start = start, start + chunks[pc]
     if not chunks:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], schema)
     reach = -(-radius // band)
 
     def number(values: dict[int, int]) -> F.Column:
         return F.element_at(F.array(*[F.lit(values.get(pc, 0)) for pc in range(65)]), F.col("pc") + 1)
 
-    own = number(first) + F.pmod(F.xxhash64("fp", *more, F.lit("tile")), number(chunks)).cast("int")
+    own = number(first) + F.pmod(F.xxhash64("node", F.lit("tile")), number(chunks)).cast("int")
     ends = {pc: max(first[p] + chunks[p] for p in range(pc, pc + reach + 1) if p in chunks) for pc in chunks}
     starts = {pc: min(first[p] for p in range(pc - reach, pc + 1) if p in chunks) for pc in chunks}
     # a tile travels as one packed row to each pair of tiles it belongs to, so a fingerprint costs a few bytes a partner
@@ -163,17 +247,86 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 65536, wide_radius:
     sent = sent.select(F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "nodes", "fps")
     width = 1 + len(more)
 
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
-        for t, nodes, fps in zip(table.column("t"), table.column("nodes"), table.column("fps"), strict=True):
-            words = np.frombuffer(fps.as_buffer(), np.uint64).reshape(-1, width)
-            held[t.as_py()] = Tile(np.ascontiguousarray(words[:, 0]), np.frombuffer(nodes.as_buffer(), np.int64), words if width > 1 else None)
+        for batch in batches:
+            for t, nodes, fps in zip(batch.column("t"), batch.column("nodes"), batch.column("fps"), strict=True):
+                words = np.frombuffer(fps.as_buffer(), np.uint64).reshape(-1, width)
+                rest = (words[:, :4], words[:, 4].astype(np.int64), words[:, 5]) if width > 1 else ()
+                held[t.as_py()] = Tile(np.ascontiguousarray(words[:, 0]), np.frombuffer(nodes.as_buffer(), np.int64), *rest)
         lo, hi = key[0].as_py(), key[1].as_py()
-        p, q = tile_links(held[lo], held[hi], radius, lo == hi, wide_radius) if lo in held and hi in held else (np.zeros(0, np.int64),) * 2
+        if lo in held and hi in held:
+            yield from compare(lo, hi, held)
         give_back()
-        return pa.table({"a": p, "b": q})
 
-    return sent.groupBy("lo", "hi").applyInArrow(compare, "a long, b long")
+    return sent.groupBy("lo", "hi").applyInArrow(run, schema)
+
+
+def links(distinct: DataFrame, radius: int = 4, tile: int = 65536) -> DataFrame:
+    """(a, b long): links between different fingerprints whose components are those of all pairs within the radius.
+
+    ``distinct`` has columns node and fp, without repeats.
+    """
+
+    def compare(lo: int, hi: int, held: dict[int, Tile]) -> Iterator[pa.RecordBatch]:
+        p, q = tile_links(held[lo], held[hi], radius, lo == hi)
+        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
+
+    return _tile_pairs(distinct, radius, tile, compare, "a long, b long")
+
+
+def proposals(distinct: DataFrame, similarity: float, thin: bool, tile: int = 131072, most: int = 1 << 21) -> DataFrame:
+    """(lo, hi, seq, nodes, a, b): blocks of pairs that may have the similarity, as places in the block's nodes.
+
+    A block's nodes have at most ``most`` shingles (or it is one pair), so that one task can hold their sets.
+    """
+    radius, wide = wide_radius(similarity, 64), wide_radius(similarity, 256)
+
+    def compare(lo: int, hi: int, held: dict[int, Tile]) -> Iterator[pa.RecordBatch]:
+        seq = 0
+        for pairs in tile_proposals(held[lo], held[hi], radius, lo == hi, wide, similarity, thin):
+            order = np.lexsort((pairs[1], pairs[0]))
+            for nodes, a, b in _fitting(*[x[order] for x in pairs], most):
+                ids = [pa.array([x], pa.int32()) for x in (lo, hi, seq)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array([nodes], pa.list_(pa.int64())), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (a, b)]], ["lo", "hi", "seq", "nodes", "a", "b"])
+                seq += 1
+
+    return _tile_pairs(distinct, radius, tile, compare, "lo int, hi int, seq int, nodes array<long>, a binary, b binary")
+
+
+def jaccard_at_least(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """For each pair of places in ``sets`` whether the sets' Jaccard similarity is at least the given one; a is sorted."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    parts = [code[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    mark, both = np.zeros(len(code) + 1, bool), np.zeros(len(a), np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])).tolist()
+    for s, e in zip(cuts, cuts[1:], strict=False):
+        mark[parts[a[s]]] = True
+        for k in range(s, e):
+            both[k] = np.count_nonzero(mark[parts[b[k]]])
+        mark[parts[a[s]]] = False
+    return both / (sizes[a] + sizes[b] - both) >= similarity
+
+
+def confirmed(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b long): those pairs of the blocks whose shingle sets have the similarity."""
+    keys = ["lo", "hi", "seq"]
+    asked = blocks.select(F.explode("nodes").alias("node"), *[F.col(c).alias(f"of_{c}") for c in keys]).join(sets, "node")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right.column("node").to_pylist(), right.column("shingles"), strict=True))
+        out = [(np.zeros(0, np.int64),) * 2]
+        for nodes, a, b in zip(*[left.column(c) for c in ("nodes", "a", "b")], strict=True):
+            nodes = nodes.values.to_numpy()
+            a, b = (np.frombuffer(x.as_buffer(), np.int32) for x in (a, b))
+            yes = jaccard_at_least([np.frombuffer(held[x].as_buffer(), np.uint64) for x in nodes.tolist()], a, b, similarity)
+            out.append((nodes[a[yes]], nodes[b[yes]]))
+        give_back()
+        return pa.table({c: np.concatenate(x) for c, x in zip("ab", zip(*out, strict=True), strict=True)})
+
+    return blocks.groupBy(*keys).cogroup(asked.groupBy(*[f"of_{c}" for c in keys])).applyInArrow(run, "a long, b long")
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -211,23 +364,51 @@ def wide_radius(similarity: float, bits: int, slack: float = 2.5) -> int:
 
 
 def similar(documents: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): groups of texts whose shingles have about the given Jaccard similarity or more.
-
-    A contract of few bits in 64 finds only copies that are nearly equal.  Here fingerprints have four words of 64
-    bits; pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits, so that texts
-    at the given similarity are found with a probability of over 0.98 and texts without common shingles stay apart.
-    Equal texts are always together.  Null and blank texts are equal; null keys count for no component's id.
+    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of their shingle sets of at least the given one.
+
+    Texts of one shingle set are one class.  Fingerprints of four 64-bit words, built from the sets, only propose
+    pairs of classes: pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits,
+    so that pairs at the given similarity are proposed with a probability of over 0.98 (less for sets of a few
+    shingles).  Every link is a pair whose sets were compared.  First a spanning forest of the nearest pairs is
+    compared; then all pairs between the groups found so, as the others can't change the groups.  Null and blank
+    texts are equal; null keys count for no component's id.
     """
+    docs = only(documents, key, text).toDF("doc_id", "text")
+
+    def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        sets = [shingle_set(x, words) for x in texts]
+        fps = wide_fingerprints(sets).view(np.int64)
+        sizes = pa.array([len(x) for x in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([part.column(0), _node_ids(sets), *[pa.array(fps[:, i]) for i in range(4)], sizes], ["doc_id", "node", "fp", "w1", "w2", "w3", "n"])
+
+    columns = ["node", "fp", "w1", "w2", "w3", "n"]
+    fps = written(map_slices(docs, run, "doc_id long, node long, fp long, w1 long, w2 long, w3 long, n long"), "fingerprints")
+    classes = written(fps.groupBy(*columns).agg(F.min("doc_id").alias("least")), "classes")
+    blocks = written(proposals(classes.withColumn("label", F.col("node")), similarity, True), "nearest-pairs")
+    near = written(confirmed(blocks, _sets(docs, blocks, classes, words), similarity), "confirmed")
+    grouped = classes.hint("merge").join(components(near), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    blocks = written(proposals(written(grouped.select(*columns, "label"), "grouped"), similarity, False), "pairs")
+    near = near.unionByName(written(confirmed(blocks, _sets(docs, blocks, classes, words), similarity), "confirmed"))
+    joined = written(classes.hint("merge").join(components(near), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "class-components")
+    ids = joined.hint("merge").join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    return fps.hint("merge").join(ids, "node").select("doc_id", "component_id")
+
+
+def _node_ids(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+
+
+def _sets(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the sets of the classes that stand in a block, from the texts that represent them."""
+    nodes = blocks.select(F.explode("nodes").alias("node")).distinct()
+    wanted = written(classes.select("node", "least").hint("merge").join(nodes, "node", "left_semi"), "wanted")
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        fps = fingerprint_slice(texts, words, wide=True).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0), *[pa.array(fps[:, i]) for i in range(4)]], ["doc_id", "fp", "w1", "w2", "w3"])
-
-    columns = ["fp", "w1", "w2", "w3"]
-    fps = written(map_slices(only(documents, key, text).toDF("doc_id", "text"), run, "doc_id long, fp long, w1 long, w2 long, w3 long"), "fingerprints")
-    classes = fps.groupBy(*columns).agg(F.min("doc_id").alias("least")).withColumn("node", F.coalesce("least", F.xxhash64(*columns)))
-    classes = written(classes, "classes")
-    of = components(links(classes.select("node", *columns), wide_radius(similarity, 64), 131072, wide_radius(similarity, 256)))
-    joined = written(classes.hint("merge").join(of, "node", "left").select(*columns, "least", F.coalesce("component", "node").alias("component")), "class-components")
-    ids = joined.hint("merge").join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select(*columns, "component_id")
-    return fps.hint("merge").join(ids, columns).select("doc_id", "component_id")
+        sets = [shingle_set(x, words) for x in texts]
+        return pa.RecordBatch.from_arrays([_node_ids(sets), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    asked = docs.join(wanted.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    if wanted.where("least is null").limit(1).count():
+        asked = asked.unionByName(docs.where("doc_id is null"))
+    sets = map_slices(asked.select("doc_id", "text"), run, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
+    return written(sets.dropDuplicates(["node"]), "sets")

@@ -148,3 +148,43 @@ def test_repeats_keep_columns_and_clean_texts(spark):
     assert substrings.repeated_passages(rows.where("false")).count() == 0
     twice = spark.createDataFrame([(1, passage), (1, passage), (1, passage + " other")], "doc_id long, text string")
     assert [r.n_removed for r in substrings.repeated_passages(twice).collect()] == [50, 50, 50]
+
+
+def _alike(r, vocabulary):
+    """Texts in families around one centre, whose pairs lie between 0.4 and 1, some of them with a repeated line."""
+    word = lambda: f"w{r.randrange(vocabulary)}"
+    texts = []
+    for family in range(40):
+        base = [word() for _ in range(200)]
+        for changes in (0, 2, 3, 5, 7, 9, 12, 15):
+            w = list(base)
+            for at in r.sample(range(0, 200, 8), changes):
+                w[at] = word()
+            texts.append(" ".join(w + (["one common line of boiler plate"] * 60 if family % 4 == 0 else [])))
+    line = " ".join(f"menu{i}" for i in range(12))
+    return texts + [" ".join([line] * 40 + [word() for _ in range(40)]) for _ in range(20)]
+
+
+def test_similar_links_only_confirmed_pairs(spark):
+    texts = _alike(random.Random(12), 10**6)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    sim = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    label = np.arange(len(texts))
+    linked = np.array(sim) >= 0.8
+    while not ((new := np.where(linked, label[None], len(texts)).min(1)) == label).all():
+        label = new
+    off = np.array(sim)[np.triu_indices(len(texts), 1)]
+    assert min(((off > x) & (off < x + 0.1)).sum() for x in (0.5, 0.6, 0.7, 0.8)) > 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(simhash.similar(rows).collect())
+    assert [i for i in range(len(texts)) if label[got[i]] != label[i]] == []  # nothing is together that brute force keeps apart
+    assert sum(got[i] != label[i] for i in range(len(texts))) <= 0.02 * len(texts)
+
+
+def test_blocks_hold_bounded_sets():
+    r = np.random.default_rng(1)
+    p, q = np.sort(r.integers(0, 50, 300)), r.integers(50, 100, 300)
+    size = r.integers(1, 40, 100)
+    out = [(nodes[a], nodes[b], size[nodes].sum()) for nodes, a, b in simhash._fitting(p, q, size[p], size[q], 500)]
+    assert np.array_equal(np.concatenate([x[0] for x in out]), p) and np.array_equal(np.concatenate([x[1] for x in out]), q)
+    assert len(out) > 1 and max(x[2] for x in out) <= 500
