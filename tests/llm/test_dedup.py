@@ -188,3 +188,21 @@ def test_blocks_hold_bounded_sets():
     out = [(nodes[a], nodes[b], size[nodes].sum()) for nodes, a, b in simhash._fitting(p, q, size[p], size[q], 500)]
     assert np.array_equal(np.concatenate([x[0] for x in out]), p) and np.array_equal(np.concatenate([x[1] for x in out]), q)
     assert len(out) > 1 and max(x[2] for x in out) <= 500
+
+
+def test_repeats_inside_one_run(spark):
+    """An own line that comes every few words, so that its symbol may win in all windows, and a passage that comes twice."""
+    r = random.Random(7)
+    fresh = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    texts, inside = [], 0
+    for _ in range(80):
+        line = fresh(8)
+        unit = lambda: line + fresh(5)  # noqa: E731, B023
+        passage = unit() + unit() + unit()
+        texts.append(" ".join(passage + unit() + unit() + passage))
+        best, periodic = substrings.window_symbols(*substrings._tokens([texts[-1].encode()]), 35)
+        inside += len(set(best[: 65 + 39 - 34].tolist())) == 1 and not periodic.any()
+    assert inside > 0
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(x[1:]) for x in substrings.repeated_passages(rows).orderBy("doc_id").collect()]
+    assert got == brute_repeats(texts) and all(x[1] >= 78 for x in got)
