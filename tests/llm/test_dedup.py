@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -206,3 +207,28 @@ def test_repeats_inside_one_run(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = [tuple(x[1:]) for x in substrings.repeated_passages(rows).orderBy("doc_id").collect()]
     assert got == brute_repeats(texts) and all(x[1] >= 78 for x in got)
+
+
+def test_hot_symbols_are_spread(spark, monkeypatch):
+    r = random.Random(3)
+    fresh = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    header, after = fresh(9), [fresh(40) for _ in range(30)]
+    texts = [" ".join(fresh(r.randint(5, 60)) + header + (r.choice(after) if i % 3 else fresh(40)) + header) for i in range(240)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(substrings, "HOT", 100)
+    assert [tuple(x[1:]) for x in substrings.repeated_passages(rows).orderBy("doc_id").collect()] == brute_repeats(texts)
+
+    data = [t.encode() for t in texts]
+    part = pa.RecordBatch.from_pydict({"text": texts, "k": pa.array(range(240), pa.int32()), "d": pa.array(range(240), pa.int64())})
+    runs = substrings._runs(part, data, 35).to_pylist()
+    most, where = {}, {}
+    for hot in (False, True):
+        held = [[{"sym": x["sym"] or x["key"], "start": x["start"], "size": x["size"], "hot": hot} for x in runs if x["k"] == k] for k in range(240)]
+        kind = pa.list_(pa.struct([("sym", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("hot", pa.bool_())]))
+        out = substrings._candidates(part.append_column("runs", pa.array(held, kind)), data, 35).to_pylist()
+        windows = collections.Counter()
+        for x in out:
+            windows[x["key"]] += len(x["hashes"]) // 8
+        most[hot] = max(windows.values())
+        where[hot] = {(x["k"], x["start"] + i): x["hashes"][8 * i : 8 * i + 8] + x["known"][i : i + 1] for x in out for i in range(len(x["known"]))}
+    assert most[False] > 200 and most[True] == 1 and where[True] == where[False]
