@@ -59,17 +59,18 @@ class RewritesHistory(ValueError):
     """A longer prefix of the conversation did not keep the rendering of the shorter one."""
 
 
-def spans(turns: list[Turn], template: Template = instruct, window: int = 16) -> Iterator[str]:
-    """What each turn adds to the rendering, found from the outputs for successive prefixes.
+def spans(turns: list[Turn], template: Template = instruct, window: int | None = None) -> Iterator[str]:
+    """What each turn adds to the rendering, found from the outputs for successive prefixes, each rendered whole.
 
-    A long conversation is rendered in windows of ``window`` turns that begin with the last turn of the window
-    before, so that the work grows with the length; a template that looks further back than one turn shows in the
-    first turn of a window, whose rendering is compared with the one known already.
+    The first turn's span has whatever stands before it, so the spans joined are the whole rendering.  Given a
+    ``window``, a conversation is rendered in windows of so many turns that begin with the last turn of the window
+    before: work grows with the length only, but templates that look further back are refused or not noticed.
     """
+    window = window or max(len(turns), 1)
     known = None
     for first in range(0, max(len(turns), 1), window):
         start = max(first - 1, 0)
-        before = template(turns[start:first])
+        before = template(turns[start:first]) if first else ""
         if first and known is not None and before != known:
             raise RewritesHistory(f"turn {first - 1} is rendered differently in another context")
         for k in range(first + 1, min(first + window, len(turns)) + 1):
@@ -85,24 +86,21 @@ def _blank() -> dict:
     return {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "fault": None}
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[Turn], bool]]:
-    """Successive runs of at most ``most`` turns of one conversation, with whether it begins there."""
-    conv, held, begins = None, [], True
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """All rows of one conversation after the other, from rows in order; the first column tells conversations apart."""
+    held: list[tuple] = []
     for batch in batches:
-        ids, roles, texts = (batch.column(i).to_pylist() for i in range(3))
-        for i, role, text in zip(ids, roles, texts, strict=True):
-            if held and (i != conv or len(held) == most):
-                yield conv, held, begins
-                begins = i != conv
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
                 held = []
-            conv = i
-            held.append((role or "", text or ""))
+            held.append(row)
     if held:
-        yield conv, held, begins
+        yield held
 
 
-def digest(batches: Iterator[pa.RecordBatch], template: Template = instruct, most: int = 64) -> Iterator[pa.RecordBatch]:
-    """One row a conversation from rows in order; holds at most ``most`` turns and running digests."""
+def digest(batches: Iterator[pa.RecordBatch], template: Template = instruct) -> Iterator[pa.RecordBatch]:
+    """One row a conversation from rows in order; holds one conversation, as every prefix of it is rendered."""
     rows, conv, state = [], None, None
 
     def close() -> tuple:
@@ -113,17 +111,9 @@ def digest(batches: Iterator[pa.RecordBatch], template: Template = instruct, mos
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    last: list[Turn] = []
-    for i, turns, begins in _chunks(batches, most):
-        if begins:
-            if state is not None:
-                rows.append(close())
-                if len(rows) >= 2000:
-                    yield out()
-                    rows = []
-            conv, state, last = i, _blank(), []
-        # the turn before the run is its context; its own span was counted with the run before
-        for piece in list(spans(last + turns, template))[len(last) :]:
+    for held in _conversations(batches):
+        conv, state = held[0][0], _blank()
+        for piece in spans([(role or "", text or "") for _, role, text in held], template):
             for role, text, start, end in read_back(piece):
                 state["n"] += 1
                 state["turns"].update(f"{role}\n{text}\n".encode())
@@ -132,9 +122,10 @@ def digest(batches: Iterator[pa.RecordBatch], template: Template = instruct, mos
                     state["loss"].update(masked.encode())
                     state["loss_chars"] += len(masked)
             state["chars"] += len(piece)
-        last = turns[-1:]
-    if state is not None:
         rows.append(close())
+        if len(rows) >= 2000:
+            yield out()
+            rows = []
     if rows:
         yield out()
 
@@ -143,9 +134,9 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
     """One row a conversation: turns and loss text read back from the rendering, as counts and digests.
 
     Turns go in order of ``turn`` (null first), ties and repeated rows by role and text, each kept; null role or
-    text is empty; a null conv_id is a conversation of its own; an empty table gives no rows.  A conversation is
-    digested in one pass over its sorted rows in bounded memory; SHA-256 of all its turns in order cannot be put
-    together from parts, so one task reads each conversation, however long, as a stream.
+    text is empty; a null conv_id is a conversation of its own; an empty table gives no rows.  SHA-256 of all turns
+    in order cannot be put together from parts, and every prefix is rendered, so one task holds a conversation and
+    its work grows with the square of the conversation's length.
     """
     rows = only(conversations, "conv_id", "role", "text", "turn")
     rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -153,15 +144,19 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
 
 
 def formatted(conversations: DataFrame, template: Template = instruct) -> DataFrame:
-    """(conv_id, turn, role, piece, loss_start, loss_end): the rendered pieces themselves, in the rows' order.
+    """(conv_id, turn, role, piece, loss_start, loss_end): the rendered pieces themselves.
 
+    Pieces are those of ``spans`` over each conversation in the order of ``format_conversations``.
     loss_start and loss_end bound the text under the loss mask inside the piece (both 0 for other roles).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = [template([(r or "", t or "")]) for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        for held in _conversations(batches):
+            pieces = list(spans([(role or "", text or "") for _, _, role, text in held], template))
             marks = [(s, e) if role == "assistant" else (0, 0) for x in pieces for role, _, s, e in read_back(x)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pieces), pa.array([s for s, _ in marks], pa.int64()), pa.array([e for _, e in marks], pa.int64())], ["conv_id", "turn", "role", "piece", "loss_start", "loss_end"])
+            ids, turns, roles, _ = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(turns, pa.int64()), pa.array(roles, pa.string()), pa.array(pieces, pa.string()), pa.array([s for s, _ in marks], pa.int64()), pa.array([e for _, e in marks], pa.int64())], ["conv_id", "turn", "role", "piece", "loss_start", "loss_end"])
 
-    return only(conversations, "conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, turn long, role string, piece string, loss_start long, loss_end long")
+    rows = only(conversations, "conv_id", "turn", "role", "text").withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
+    rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, piece string, loss_start long, loss_end long")

@@ -214,3 +214,20 @@ def test_nearest(spark):
     few = ann.nearest(df.where("vec_id <= 3")).toPandas()
     assert sorted(few.vec_id) == [1, 2, 3] and sorted(few["rank"]) == [1, 2, 3]
     assert ann.nearest(df.where("false")).count() == 0
+
+
+def test_chat_renders_true_prefixes(spark):
+    turns = [("user", f"t{i}") for i in range(70)]
+    preamble = lambda ts: "<s>" + "".join(f"[{t}]" for _, t in ts)
+    assert "".join(chat.spans(turns, preamble)) == preamble(turns)
+    keeps_last = lambda ts: "".join(f"[{t}]" for _, t in ts[-32:])
+    alters = lambda ts: "".join(f"[{t}]" for _, t in ([("user", "changed")] if len(ts) >= 50 else ts[:1]) + ts[1:])
+    for template in (keeps_last, alters):
+        with pytest.raises(chat.RewritesHistory):
+            list(chat.spans(turns, template))
+    late = lambda ts: chat.instruct(ts[-32:])
+    rows = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for run in (chat.format_conversations, chat.formatted):
+        with pytest.raises(Exception, match="RewritesHistory"):
+            run(rows, late).collect()
+    assert "".join(r.piece for r in chat.formatted(rows).orderBy("turn").collect()) == chat.instruct(turns)
