@@ -160,13 +160,13 @@ class Transducer:
         return out_s, out_c
 
     def long_word(self, columns: np.ndarray, start: int, end: int) -> int:
-        """Count of one long word: chunk maps for likely entry states, composed by a prefix scan."""
+        """Count of one long word: chunks run from guessed entry states, and again where the guess was wrong."""
         starts = np.arange(start, end, CHUNK)
         ends = np.minimum(starts + CHUNK, end)
         guess, _ = self.run(columns, np.maximum(starts - LEAD, start), starts)
         exits, counts = self.run(columns, starts, ends, guess)
         while True:
-            # prefix scan of maps: a run of chunks whose exits meet the next entries composes to one map
+            # right once every chunk begins in the state in which the one before it ended
             wrong = np.flatnonzero(exits[:-1] != guess[1:]) + 1
             if not len(wrong):
                 return int(counts.sum())
