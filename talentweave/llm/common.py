@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes when the session's JVM ends, or earlier by ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, there = _filesystem(spark, path)
+    files.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        files, there = _filesystem(df.sparkSession, df.scratch_path)
+        files.delete(there, True)
+
+
+def rows_by_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with columns k1 and k2: 128 bits that tell its rows' keys and texts apart, nulls included."""
+    parts = [F.col(f"`{key}`"), F.col(f"`{key}`").isNull(), F.col(f"`{text}`"), F.col(f"`{text}`").isNull()]
+    return df.withColumns({"k1": F.xxhash64(F.lit(1), *parts), "k2": F.xxhash64(F.lit(2), *parts)})
 
 
 def partitions(spark: SparkSession) -> int:
@@ -156,3 +182,29 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; extra columns of the input, whatever their names, are left behind."""
     return df.select(*[F.col(f"`{x}`") for x in names])
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all bytes of the spans, one span after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal where the bytes are, and the first span of each number.
+
+    Hashes only propose which spans are equal; their bytes are compared, and should two contents ever share a hash,
+    the spans are numbered by their bytes.
+    """
+    code, unique = pd.factorize(span_hashes(data, starts, ends))
+    first = np.empty(len(unique), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    like, sizes = first[code], ends - starts
+    other = np.flatnonzero(like != np.arange(len(code)))
+    like, own = like[other], sizes[other]
+    if np.array_equal(own, sizes[like]) and np.array_equal(data[_flat(starts[other], own)], data[_flat(starts[like], own)]):
+        return code, first
+    seen: dict[bytes, int] = {}
+    raw = data.tobytes()
+    code = np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    first = np.unique(code, return_index=True)[1]
+    return code, first

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import written
+from talentweave.llm.common import discard, written
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,8 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round gives every node the least label among its neighbours' and its own, then follows labels once
     (so chains shorten by more than half a round).  Rounds go through tables in the shared folder; the driver
-    sees one number a round.  Joins are on nodes; a hub's links can be split by adaptive execution because its
-    own side has one row.  Null nodes, loops and repeated links add nothing; no links give no rows.
+    sees one number a round, and a round's tables go when the next is written.  In every join one side has one row a
+    node and comes from an exchange of its own, so adaptive execution can split a hub's links or a large group.  Null nodes, loops and repeated links add nothing; no links give no rows.
     """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     both = written(links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), "links")
@@ -46,10 +46,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = written(step, "step")
         # the old label's own node hears of the lower label too, as in union by least root
         told = step.where("low < label").groupBy(F.col("label").alias("node")).agg(F.min("low").alias("told"))
-        step = step.hint("merge").join(told, "node", "left").select("node", "label", F.least("low", F.coalesce("told", "low")).alias("low"))
+        lower = step.hint("merge").join(told, "node", "left").select("node", "label", F.least("low", F.coalesce("told", "low")).alias("low"))
+        # the side that is looked up is read from the table anew, so that a label of very many nodes can be split
         jump = step.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = step.hint("merge").join(jump, "low", "left").select("node", F.coalesce("far", "low").alias("label"), (F.coalesce("far", "low") < F.col("label")).alias("moved"))
-        new = written(new, "labels")
+        new = lower.hint("merge").join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), "label")
+        new = written(new.select("node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), "labels")
+        discard(labels, step)
+        labels = new.select("node", "label")
+        labels.scratch_path = new.scratch_path
         if not new.where("moved").limit(1).count():
+            discard(both)
             return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")

@@ -50,7 +50,7 @@ def _crossing(rows: DataFrame, bucket: F.Column, budgets: DataFrame) -> DataFram
 
 def _with_size(documents: DataFrame, key: str, text: str) -> DataFrame:
     """The rows with columns mix_size and mix_hash added."""
-    return documents.withColumns({"mix_size": word_count(f"`{text}`"), "mix_hash": F.xxhash64(F.col(f"`{key}`"), F.lit("mix"))})
+    return documents.withColumns({"mix_size": word_count(f"`{text}`"), "mix_hash": F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit("mix"))})
 
 
 def thresholds(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, bool]:
@@ -118,8 +118,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: fl
 
     ``taken`` is the row's words times its whole passes, plus its size again for rows below the source's
     threshold.  The one row at the threshold gives just the words that are missing (its first words); with
-    ``whole`` it is taken if that comes nearer to the target.  Rows of the same hash (repeated rows, null keys)
-    share what is missing by size.  Null or blank texts have size 0 and give nothing; null sources form one
+    ``whole`` it is taken if that comes nearer to the target.  Rows of the same hash of key and text (repeated
+    rows) share what is missing by size.  Null or blank texts have size 0 and give nothing; null sources form one
     source, last in order; an empty table gives no rows.  Only the three named columns are read; the driver holds
     one number per source.
     """

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import give_back, map_slices, mixed, only, written
+from talentweave.llm.common import discard, give_back, map_slices, mixed, only, rows_by_text, written
 from talentweave.llm.components import components, local_forest
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -348,8 +348,10 @@ def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4, key:
     of = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius))
     joined = classes.hint("merge").join(of, classes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     joined = written(joined, "class-components")
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = joined.hint("merge").join(least, "component").select("fp", "component_id")
+    # both sides of the two joins come from tables, so adaptive execution can split a very large group
+    least = written(joined.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    ids = written(joined.hint("merge").join(least, "component").select("fp", "component_id"), "ids")
+    discard(classes, joined, least)
     return fps.hint("merge").join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -363,37 +365,85 @@ def wide_radius(similarity: float, bits: int, slack: float = 2.5) -> int:
     return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p))))
 
 
-def similar(documents: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of their shingle sets of at least the given one.
+_CLASS = ["node", "fp", "w1", "w2", "w3", "n"]
 
-    Texts of one shingle set are one class.  Fingerprints of four 64-bit words, built from the sets, only propose
-    pairs of classes: pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits,
-    so that pairs at the given similarity are proposed with a probability of over 0.98 (less for sets of a few
-    shingles).  Every link is a pair whose sets were compared.  First a spanning forest of the nearest pairs is
-    compared; then all pairs between the groups found so, as the others can't change the groups.  Null and blank
-    texts are equal; null keys count for no component's id.
+
+def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, k1, k2, node...) of ``docs`` (doc_id, text), and classes (node, best, component) of one shingle set.
+
+    ``best`` is the class's first row: by doc_id, nulls last, then by the 128 bits of its key and text.
     """
-    docs = only(documents, key, text).toDF("doc_id", "text")
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = [shingle_set(x, words) for x in texts]
         fps = wide_fingerprints(sets).view(np.int64)
         sizes = pa.array([len(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([part.column(0), _node_ids(sets), *[pa.array(fps[:, i]) for i in range(4)], sizes], ["doc_id", "node", "fp", "w1", "w2", "w3", "n"])
+        return pa.RecordBatch.from_arrays([*part.columns[:3], _node_ids(sets), *[pa.array(fps[:, i]) for i in range(4)], sizes], ["doc_id", "k1", "k2", *_CLASS])
 
-    columns = ["node", "fp", "w1", "w2", "w3", "n"]
-    fps = written(map_slices(docs, run, "doc_id long, node long, fp long, w1 long, w2 long, w3 long, n long"), "fingerprints")
-    classes = written(fps.groupBy(*columns).agg(F.min("doc_id").alias("least")), "classes")
+    keyed = rows_by_text(docs).select("doc_id", "k1", "k2", "text")
+    fps = written(map_slices(keyed, run, "doc_id long, k1 long, k2 long, node long, fp long, w1 long, w2 long, w3 long, n long"), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("best")
+    classes = written(fps.groupBy(*_CLASS).agg(best), "classes")
     blocks = written(proposals(classes.withColumn("label", F.col("node")), similarity, True), "nearest-pairs")
     near = written(confirmed(blocks, _sets(docs, blocks, classes, words), similarity), "confirmed")
     grouped = classes.hint("merge").join(components(near), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    blocks = written(proposals(written(grouped.select(*columns, "label"), "grouped"), similarity, False), "pairs")
-    near = near.unionByName(written(confirmed(blocks, _sets(docs, blocks, classes, words), similarity), "confirmed"))
-    joined = written(classes.hint("merge").join(components(near), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "class-components")
-    ids = joined.hint("merge").join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
+    grouped = written(grouped.select(*_CLASS, "label"), "grouped")
+    more = written(proposals(grouped, similarity, False), "pairs")
+    also = written(confirmed(more, _sets(docs, more, classes, words), similarity), "confirmed")
+    of = components(near.unionByName(also))
+    joined = written(classes.hint("merge").join(of, "node", "left").select("node", "best", F.coalesce("component", "node").alias("component")), "class-components")
+    discard(classes, blocks, near, grouped, more, also)
+    return fps, joined
+
+
+def similar(documents: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by a Jaccard similarity of their shingle sets of at least the given one.
+
+    Texts of one shingle set are one class.  Fingerprints of four 64-bit words, built from the sets, only propose
+    pairs of classes: pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits,
+    so that pairs at the given similarity are proposed with a probability of over 0.98 (less for sets of a few
+    shingles).  Every link is a pair whose sets were compared.  First a spanning forest of the nearest pairs is
+    compared; then all pairs between the groups found so, as the others can't change the groups.  Null and blank
+    texts are equal; null keys count for no component's id; an empty table gives no rows.
+    """
+    fps, joined = _similar_classes(only(documents, key, text).toDF("doc_id", "text"), words, similarity)
+    least = written(joined.groupBy("component").agg(F.min("best.doc_id").alias("component_id")), "least")
+    ids = written(joined.hint("merge").join(least, "component").select("node", "component_id"), "ids")
+    discard(joined, least)
     return fps.hint("merge").join(ids, "node").select("doc_id", "component_id")
 
 
+#: Texts of one key and text that stand in several rows are dealt to so many tasks.
+SPREAD = 64
+
+
+def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of ``similar``, with all its columns: the row of the least key, null keys last.
+
+    Rows are told apart by 128 bits of key and text, so rows without a key take part like any other.  Of rows that
+    repeat (equal key and text) one stays: the least by its other columns.  An empty table gives no rows.
+    """
+    docs = only(documents, key, text).toDF("doc_id", "text")
+    fps, joined = _similar_classes(docs, words, similarity)
+    kept = joined.groupBy("component").agg(F.min("best").alias("b")).select("b.k1", "b.k2")
+    times = fps.groupBy("k1", "k2").agg(F.count("*").alias("times"))
+    kept = written(kept.hint("merge").join(times, ["k1", "k2"]), "kept")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    names = [f"c{i}" for i in range(len(columns))]
+    rows = rows_by_text(documents.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), names[documents.columns.index(key)], names[documents.columns.index(text)])
+    back = [F.col(n).alias(c) for n, c in zip(names, documents.columns, strict=True)]
+    out = rows.join(kept.where("times = 1").hint("shuffle_hash"), ["k1", "k2"], "left_semi").select(*back)
+    if kept.where("times > 1").limit(1).count():
+        # repeated rows: their few keys go to all of SPREAD places, so that no task gets all rows of one key
+        several = kept.where("times > 1").select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("place"))
+        met = rows.withColumn("place", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).join(several.hint("shuffle_hash"), ["k1", "k2", "place"], "left_semi")
+        whole = F.struct(*names)
+        for by in (["k1", "k2", "place"], ["k1", "k2"]):
+            met = met.groupBy(*by).agg(F.min(whole).alias("row")).select(*by, "row.*")
+        out = out.unionByName(met.select(*back))
+    return out
+
+
 def _node_ids(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
 
@@ -401,14 +451,11 @@ def _node_ids(sets: list[np.ndarray]) -> pa.Array:
 def _sets(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(node, shingles): the sets of the classes that stand in a block, from the texts that represent them."""
     nodes = blocks.select(F.explode("nodes").alias("node")).distinct()
-    wanted = written(classes.select("node", "least").hint("merge").join(nodes, "node", "left_semi"), "wanted")
+    wanted = written(classes.select("node", "best.k1", "best.k2").hint("merge").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = [shingle_set(x, words) for x in texts]
         return pa.RecordBatch.from_arrays([_node_ids(sets), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
-    asked = docs.join(wanted.select(F.col("least").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    if wanted.where("least is null").limit(1).count():
-        asked = asked.unionByName(docs.where("doc_id is null"))
-    sets = map_slices(asked.select("doc_id", "text"), run, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
-    return written(sets.dropDuplicates(["node"]), "sets")
+    asked = rows_by_text(docs).join(wanted.select("k1", "k2").hint("shuffle_hash"), ["k1", "k2"], "left_semi")
+    return written(map_slices(asked.select("text"), run, "node long, shingles binary").dropDuplicates(["node"]), "sets")
