@@ -1,5 +1,6 @@
 """Encoding, token counts, fingerprints, mixing, chat, pages, quality, search."""
 
+import collections
 import hashlib
 import random
 
@@ -200,7 +201,7 @@ def test_nearest(spark):
     x[100:160] = x[100]  # one common vector: ties go to the smaller id
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 40), (2040, [float("nan")] * 40), (2060, [None] * 40), (2080, [1.0, 2.0]), (None, [1.0] * 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "dim": F.lit("clash")})
-    got = ann.nearest(df, query_block=16, vector_block=200).toPandas()
+    got = ann.nearest(df, block_bytes=200 * 40 * 8).toPandas()
     x = x.astype(np.float32).astype(float)
     hits = 0
     for q in range(0, 900, 20):
@@ -231,3 +232,34 @@ def test_chat_renders_true_prefixes(spark):
         with pytest.raises(Exception, match="RewritesHistory"):
             run(rows, late).collect()
     assert "".join(r.piece for r in chat.formatted(rows).orderBy("turn").collect()) == chat.instruct(turns)
+
+
+def test_nearest_with_repeated_ids_and_extreme_lengths(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 24))
+    x[:100] *= 10.0 ** r.uniform(-150, 150, 100)[:, None]
+    x[100:110] *= 1e-200
+    x[110:120] *= 1e200
+    ids = np.arange(300)
+    ids[200:240] = 20  # one id in many rows
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(300, x[5].tolist())] * 30
+    ids, x = np.append(ids, [300] * 30), np.concatenate([x, np.repeat(x[5:6], 30, axis=0)])
+    for block_bytes in (1 << 20, 60 * 24 * 8):
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block_bytes=block_bytes).toPandas()
+        assert set(got.query_id) == {i for i in ids.tolist() if i % 20 == 0} and not (got.query_id == got.vec_id).any()
+        hits = total = 0
+        for q in sorted(set(got.query_id)):
+            with np.errstate(over="ignore", invalid="ignore"):
+                asked = min(x[ids == q].tolist())
+                score = (x * np.array(asked)[None]).sum(1)
+            score[ids == q] = -np.inf
+            others = np.flatnonzero(ids != q)
+            want = np.lexsort((ids[others], -score[others]))[:20]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert len(mine) == 20 and mine["rank"].tolist() == list(range(1, 21))
+            left = collections.Counter(ids[others][want].tolist())
+            hits += sum((left & collections.Counter(mine.vec_id.tolist())).values())
+            total += 20
+        assert hits / total >= 0.98
+    alone = spark.createDataFrame([(0, [1.0, 2.0])] * 21 + [(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in ann.nearest(alone).collect()] == [(0, 1, 1.0)]
