@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from talentweave.llm import simhash, substrings
+from talentweave.llm import common, simhash, substrings
 from talentweave.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -135,7 +135,7 @@ def _passages(seed):
 def test_repeats_equal_brute_force(spark):
     for seed in (1, 2):
         texts = _passages(seed)
-        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"k": F.lit(1), "runs": F.lit("x")}).repartition(4)
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"k1": F.lit(1), "runs": F.lit("x")}).repartition(4)
         got = [tuple(r[1:]) for r in substrings.repeated_passages(rows).orderBy("doc_id").collect()]
         assert got == brute_repeats(texts)
 
@@ -201,7 +201,8 @@ def test_repeats_inside_one_run(spark):
         unit = lambda: line + fresh(5)  # noqa: E731, B023
         passage = unit() + unit() + unit()
         texts.append(" ".join(passage + unit() + unit() + passage))
-        best, periodic = substrings.window_symbols(*substrings._tokens([texts[-1].encode()]), 35)
+        names, _, of, bounds = substrings._tokens([texts[-1].encode()])
+        best, periodic = substrings.window_symbols(names, of, bounds, 35)
         inside += len(set(best[: 65 + 39 - 34].tolist())) == 1 and not periodic.any()
     assert inside > 0
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
@@ -219,16 +220,63 @@ def test_hot_symbols_are_spread(spark, monkeypatch):
     assert [tuple(x[1:]) for x in substrings.repeated_passages(rows).orderBy("doc_id").collect()] == brute_repeats(texts)
 
     data = [t.encode() for t in texts]
-    part = pa.RecordBatch.from_pydict({"text": texts, "k": pa.array(range(240), pa.int32()), "d": pa.array(range(240), pa.int64())})
-    runs = substrings._runs(part, data, 35).to_pylist()
+    part = pa.RecordBatch.from_pydict({"text": texts, "k1": pa.array(range(240), pa.int64()), "k2": pa.array(range(240), pa.int64())})
+    runs = substrings._runs(part, data, 35, substrings.Sent(), substrings.Sent()).to_pylist()
     most, where = {}, {}
     for hot in (False, True):
-        held = [[{"sym": x["sym"] or x["key"], "start": x["start"], "size": x["size"], "hot": hot} for x in runs if x["k"] == k] for k in range(240)]
+        held = [[{"sym": x["sym"] or x["key"], "start": x["start"], "size": x["size"], "hot": hot} for x in runs if x["k1"] == k] for k in range(240)]
         kind = pa.list_(pa.struct([("sym", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("hot", pa.bool_())]))
-        out = substrings._candidates(part.append_column("runs", pa.array(held, kind)), data, 35).to_pylist()
+        out = substrings._candidates(part.append_column("runs", pa.array(held, kind)), data, 35, substrings.Sent(), substrings.Sent()).to_pylist()
         windows = collections.Counter()
         for x in out:
             windows[x["key"]] += len(x["hashes"]) // 8
         most[hot] = max(windows.values())
-        where[hot] = {(x["k"], x["start"] + i): x["hashes"][8 * i : 8 * i + 8] + x["known"][i : i + 1] for x in out for i in range(len(x["known"]))}
+        where[hot] = {(x["k1"], x["start"] + i): x["hashes"][8 * i : 8 * i + 8] + x["known"][i : i + 1] for x in out for i in range(len(x["known"]))}
     assert most[False] > 200 and most[True] == 1 and where[True] == where[False]
+
+
+def test_repeated_rows_are_linear(spark, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    one, two, short = text(300), text(80), text(10)
+    rows = [(1, one)] * 10_000 + [(None, two)] * 3000 + [(3, short)] * 20 + [(4, one + " " + short), (5, text(60)), (None, None), (None, None)]
+    want = dict(zip([(1, 300), (None, 80), (3, 10), (4, 310), (5, 60), (None, 0)], [300, 80, 0, 300, 0, 0], strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for least in (1000, 10**9):  # dealt to several places, and not
+        monkeypatch.setattr(substrings, "REPEATED", least)
+        got = substrings.repeated_passages(df).collect()
+        assert len(got) == len(rows) and {(x.doc_id, x.n_words): x.n_removed for x in got} == want
+
+
+def test_tasks_remember_what_they_sent():
+    r = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(50)) + " " + passage for _ in range(12)]
+    sent, rows = substrings.Sent(), []
+    for i in range(0, 12, 3):
+        part = pa.RecordBatch.from_pydict({"text": texts[i : i + 3], "k1": pa.array(range(i, i + 3)), "k2": pa.array(range(i, i + 3))})
+        rows += substrings._runs(part, [t.encode() for t in texts[i : i + 3]], 35, sent, substrings.Sent()).to_pylist()
+    shared = [x for x in rows if x["known"]]
+    assert {x["k1"] for x in shared} == set(range(12))
+    most = max(sum(x["key"] == y and x["sym"] == 0 for x in shared) for y in {x["key"] for x in shared})
+    assert most <= 2
+
+
+def test_spans_of_one_hash_are_told_apart(monkeypatch):
+    data = np.frombuffer(b"aa bb cc aa", np.uint8)
+    monkeypatch.setattr(common, "span_hashes", lambda data, starts, ends: np.ones(len(starts), np.uint64))
+    code, first = common.span_codes(data, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11]))
+    assert code.tolist() == [0, 1, 2, 0] and first.tolist() == [0, 1, 2]
+
+
+def test_one_of_each_group(spark):
+    text = "a b c d e f g h i j"
+    rows = [(60, text, "en", 1), (60, text, "en", 1), (60, text, "de", 0), (None, text, "en", 1), (61, text, None, None)]
+    rows += [(None, "null id text of its own here", "x", i) for i in (3, 2, 2)] + [(7, None, "n", 0), (8, "", "n", 0), (9, "another text that stands alone", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, component long").repartition(3)
+    want = [(60, text, "de", 0), (None, "null id text of its own here", "x", 2), (7, None, "n", 0), (9, "another text that stands alone", None, None)]
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert simhash.one_of_each(df.where("false")).count() == 0
+    many = spark.createDataFrame([(1, text)] * 3000 + [(None, "x y z")] * 500, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, simhash.one_of_each(many).collect()), key=str) == sorted([(1, text), (None, "x y z")], key=str)
