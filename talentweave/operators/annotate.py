@@ -154,32 +154,40 @@ def pay_interval(text: Column) -> Column:
 
 
 def _segments(text: Column) -> Column:
+    """The whole text and its parts, the first spelling of equal ones, in order; by sorting, so long texts are fine."""
     parts = lambda w: F.filter(F.transform(F.split(w, r"\s*\|\s*|(?<=[.;])\s+"), squeeze), lambda p: F.length(p) >= 3)
-    first = lambda v, keys: F.filter(v, lambda s, i: F.array_position(keys, fold(s)) == i + 1)
-    return let(squeeze(text), lambda w: let(F.concat(F.array(w), parts(w)), lambda v: let(F.transform(v, fold), lambda keys: first(v, keys))))
+    keyed = lambda v: F.array_sort(F.transform(v, lambda s, i: F.struct(fold(s).alias("k"), i.alias("i"), s.alias("s"))))
 
+    def firsts(v: Column) -> Column:
+        before = F.concat(F.slice(v, 1, 0), F.array(F.lit(None)), F.slice(v, 1, F.size(v) - 1))
+        new = F.zip_with(v, before, lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["i"].alias("i"), a["s"].alias("s"))))
+        return F.transform(F.array_sort(F.array_compact(new)), lambda x: x["s"])
 
-_CANDIDATE = "array<struct<score:int,len:int,timed:int,ord:int,low:double,high:double,interval:string>>"
+    return let(squeeze(text), lambda w: let(keyed(F.concat(F.array(w), parts(w))), firsts))
+
+
+_CANDIDATE = "array<struct<score:int,len:int,timed:int,seg:int,pat:int,nth:int,low:double,high:double,interval:string>>"
 
 
 def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, order: int) -> Column:
     """Scored candidates of one pattern in one segment; matches do not overlap, their suffix is part of them.
 
-    One pass marks the matches; their windows (24 characters before to 48 after) are cut out by position, and their
-    groups are read from the matches alone.
+    One pass marks the matches; their windows (24 characters before to 48 after) are put together from the nearest
+    pieces, as many as so many characters can take up, and their groups are read from the matches alone.
     """
     pieces = F.split(F.regexp_replace(segment, rf"(?i){pattern}", "\u0001$0\u0002"), "[\u0001\u0002]")
     groups = 5 if ranged else 3
 
-    def located(p: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(p, 1, i), F.lit(0), lambda n, x: n + F.length(x))
+    def located(p: Column, near: Column, i: Column) -> Column:
         body = F.get(p, i)
-        first = F.greatest(start - BEFORE, F.lit(0))
-        window = segment.substr(first + 1, start - first + F.length(body) + AFTER)
-        return F.struct(window.alias("window"), *[F.regexp_extract(body, rf"(?i)^(?:{pattern})$", g + 1).alias(f"g{g}") for g in range(groups)])
+        first = F.greatest(i - 2 * BEFORE, F.lit(0))
+        before = F.right(F.array_join(F.slice(near["tails"], first + 1, i - first), ""), F.lit(BEFORE))
+        after = F.left(F.array_join(F.slice(near["heads"], i + 2, 2 * AFTER), ""), F.lit(AFTER))
+        return F.struct(F.concat(before, body, after).alias("window"), *[F.regexp_extract(body, rf"(?i)^(?:{pattern})$", g + 1).alias(f"g{g}") for g in range(groups)])
 
     odd = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    matches = let(pieces, lambda p: F.transform(odd(p), lambda i: located(p, i)))
+    clipped = lambda p: F.struct(F.transform(p, lambda x: F.right(x, F.lit(BEFORE))).alias("tails"), F.transform(p, lambda x: F.left(x, F.lit(AFTER))).alias("heads"))
+    matches = let(pieces, lambda p: let(clipped(p), lambda near: F.transform(odd(p), lambda i: located(p, near, i))))
 
     def scored(m: Column, i: Column) -> Column:
         suffix = m["g4"] if ranged else m["g2"]
@@ -199,8 +207,9 @@ def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, ord
             )
             fits = (x["currency"] | x["context"]) & ~x["experience"] & low.isNotNull() & high.isNotNull() & (high >= low)
             fits = fits & ~x["years"] if ranged else fits
-            place = -(seg_no * 100_000 + order * 10_000 + i)
-            return F.when(fits, F.struct(score.cast("int").alias("score"), x["len"].alias("len"), F.when(x["interval"].isNotNull(), 1).otherwise(0).alias("timed"), place.cast("int").alias("ord"), low.alias("low"), high.alias("high"), x["interval"].alias("interval")))
+            timed = F.when(x["interval"].isNotNull(), 1).otherwise(0)
+            place = ((-seg_no).alias("seg"), F.lit(-order).alias("pat"), (-i).alias("nth"))
+            return F.when(fits, F.struct(score.cast("int").alias("score"), x["len"].alias("len"), timed.alias("timed"), *place, low.alias("low"), high.alias("high"), x["interval"].alias("interval")))
 
         return let(seen, judged)
 
@@ -230,19 +239,44 @@ CHALLENGES = (
 )
 
 
-def salary_rank(text: Column) -> Column:
-    """How good a text is as the salary line of a posting; shorter wins among equals (struct score, -length)."""
+def _worth(text: Column, info: Column) -> Column:
+    """How good a text, with what ``salary`` reads from it, is as a salary line: struct(score, -length)."""
 
-    def ranked(info: Column, noise: Column) -> Column:
+    def ranked(noise: Column) -> Column:
         shown = info["display"].isNotNull()
-        score = (
-            F.when(shown, 20).otherwise(0) + F.when(info["low"].isNotNull(), 3).otherwise(0) + F.when(F.bround(info["low"], 2) != F.bround(info["high"], 2), 8).otherwise(0)
-            + F.when(info["interval"].isNotNull(), 5).otherwise(0) + F.when(_has(text, PAY_TERMS), 4).otherwise(0) + F.when(F.regexp_count(text, F.lit(r"\$")) >= 2, 3).otherwise(0)
-            + F.when(_has(text, YEARS_RANGE), -12).otherwise(0) + F.when(noise, -6).otherwise(0) + F.when(shown & ~noise & ~text.contains("|"), 2).otherwise(0)
+        points = (
+            (shown, 20), (info["low"].isNotNull(), 3), (F.bround(info["low"], 2) != F.bround(info["high"], 2), 8), (info["interval"].isNotNull(), 5),
+            (_has(text, PAY_TERMS), 4), (F.regexp_count(text, F.lit(r"\$")) >= 2, 3), (_has(text, YEARS_RANGE), -12), (noise, -6), (shown & ~noise & ~text.contains("|"), 2),
         )
+        score = F.lit(0)
+        for holds, n in points:
+            score = score + F.when(holds, n).otherwise(0)
         return F.struct(score.alias("score"), (-F.length(text)).alias("shorter"))
 
-    return let(salary(text), lambda info: ranked(info, _has(text, EMPLOYMENT_NOISE)))
+    return let(_has(text, EMPLOYMENT_NOISE), ranked)
+
+
+def salary_rank(text: Column) -> Column:
+    """How good a text is as the salary line of a posting; shorter wins among equals (struct score, -length)."""
+    return let(salary(text), lambda info: _worth(text, info))
+
+
+def best_salary(texts: Column, readable: bool = True) -> Column:
+    """Of several texts the best as the salary line, the first of equals; empty if there is none.
+
+    With ``readable`` placeholders are left out, and texts from which no pay can be read.
+    """
+    rows = F.filter(F.transform(F.coalesce(texts, F.array().cast("array<string>")), squeeze), lambda t: t != "")
+    rows = F.transform(rows, lambda t: F.struct(t.alias("text"), salary(t).alias("info")))
+    if readable:
+        rows = F.filter(rows, lambda r: ~placeholder(r["text"]) & r["info"]["display"].isNotNull())
+    ranked = F.transform(rows, lambda r, i: F.struct(_worth(r["text"], r["info"]).alias("rank"), (-i).alias("first"), r["text"].alias("text")))
+    return F.coalesce(F.array_max(ranked)["text"], F.lit(""))
+
+
+def clearance_token(text: Column) -> Column:
+    """Whether a short text names a clearance."""
+    return F.size(clearance(text)["terms"]) > 0
 
 
 def placeholder(text: Column) -> Column:

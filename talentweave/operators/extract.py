@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +15,7 @@ from talentweave.functions.text import blank, filled, fold, squeeze, strip_html,
 from talentweave.functions.urls import absolute_url, board_identifier, first_segments, host, host_label, path, source_url
 from talentweave.operators.annotate import salary_display
 from talentweave.operators.filters import careers_path, careers_text, excluded_host
+from talentweave.operators.sizes import settled
 
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
 HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
@@ -24,19 +27,21 @@ def _attribute(attributes: Column, name: str) -> Column:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(page_id, page_url, pos, href, url, text, label) of every anchor with a target."""
+    """(page_id, page_url, pos, href, url, text, label, aria, test_id) of every anchor with a target."""
     whole = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("a"), F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("t"))
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(whole).alias("pos", "m"))
-    rows = rows.select("page_id", "page_url", "pos", _attribute(F.col("m.a"), "href").alias("href"), strip_html(F.col("m.t")).alias("text"), squeeze(F.concat_ws(" ", strip_html(F.col("m.t")), _attribute(F.col("m.a"), "aria-label"), _attribute(F.col("m.a"), "title"))).alias("label"))
+    rows = rows.select("page_id", "page_url", "pos", _attribute(F.col("m.a"), "href").alias("href"), strip_html(F.col("m.t")).alias("text"), squeeze(F.concat_ws(" ", strip_html(F.col("m.t")), _attribute(F.col("m.a"), "aria-label"), _attribute(F.col("m.a"), "title"))).alias("label"), _attribute(F.col("m.a"), "aria-label").alias("aria"), _attribute(F.col("m.a"), "data-testid").alias("test_id"))
     return rows.where("href <> ''").withColumn("url", absolute_url(F.col("page_url"), F.col("href")))
 
 
 def next_page(pages: DataFrame) -> DataFrame:
-    """(page_id, next_url): a link element of rel next, else the first anchor that reads like next."""
+    """(page_id, next_url): a link of rel next, else an anchor marked as next, else the first that reads like next."""
     rel = r"""(?is)<(?:link|a)\b(?=[^>]*\brel\s*=\s*["']?next\b)([^>]*)>"""
     linked = pages.select("page_id", F.col("url").alias("page_url"), _attribute(F.regexp_extract("html", rel, 1), "href").alias("href"), F.lit(0).alias("rule"), F.lit(0).alias("pos"))
     reads = fold(F.col("label"))
-    told = extract_links(pages).where(reads.isin("next", "next page", "older", "more jobs") | reads.startswith("next ")).select("page_id", "page_url", "href", F.lit(1).alias("rule"), "pos")
+    marked = F.when(F.col("test_id") == "pagination-page-next", 1).when(F.col("aria") == "Next", 2).when(F.col("aria") == "Next Page", 3).when(F.col("aria").contains("Next"), 4)
+    rule = F.coalesce(marked, F.when(reads.isin("next", "next page", "older", "more jobs") | reads.startswith("next "), 5))
+    told = extract_links(pages).withColumn("rule", rule).where("rule is not null").select("page_id", "page_url", "href", "rule", "pos")
     found = linked.where("href <> ''").unionByName(told)
     return found.groupBy("page_id").agg(F.min_by(absolute_url(F.col("page_url"), F.col("href")), F.struct("rule", "pos")).alias("next_url"))
 
@@ -46,16 +51,20 @@ def _variant(c: Column, where: str, kind: str = "string") -> Column:
 
 
 def jsonld_postings(pages: DataFrame) -> DataFrame:
-    """Postings in JSON-LD blocks: objects, arrays, and @graph arrays; blocks that are no JSON give nothing."""
+    """Postings in JSON-LD blocks: objects, arrays, and @graph arrays; blocks that are no JSON give nothing.
+
+    ``seq`` puts a page's postings in order.
+    """
     block = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
-    rows = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(block), 1)).alias("raw")).select("page_id", "url", F.try_parse_json("raw").alias("v")).where("v is not null")
+    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(block), 1)).alias("at", "raw")).select("page_id", "url", F.array("at").alias("seq"), F.try_parse_json("raw").alias("v")).where("v is not null")
 
-    def items(df: DataFrame, column: Column) -> DataFrame:
-        return df.withColumn("list", F.try_variant_get(column, "$", "array<variant>")).select("page_id", "url", F.explode(F.coalesce("list", F.array(column))).alias("v"))
+    def items(df: DataFrame, found: Column) -> DataFrame:
+        rows = df.select("page_id", "url", "seq", F.posexplode(found).alias("at", "v"))
+        return rows.select("page_id", "url", F.concat("seq", F.array("at")).alias("seq"), "v")
 
-    flat = items(rows, F.col("v"))
+    flat = items(rows, F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v")))
     graph = flat.where(F.try_variant_get("v", "$['@graph']", "array<variant>").isNotNull())
-    nested = graph.select("page_id", "url", F.explode(F.try_variant_get("v", "$['@graph']", "array<variant>")).alias("v"))
+    nested = items(graph, F.try_variant_get("v", "$['@graph']", "array<variant>"))
     every = flat.unionByName(nested).where(F.lower(F.try_variant_get("v", "$['@type']", "string")) == "jobposting")
     v = F.col("v")
 
@@ -64,90 +73,127 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
         return F.when(_variant(v, f"{at}.address", "variant").isNotNull() & (pieces != ""), pieces).otherwise(F.coalesce(_variant(v, f"{at}.name"), F.lit("")))
 
     several = F.try_variant_get(v, "$.jobLocation", "array<variant>")
-    listed = F.array_join(F.filter(F.transform(several, lambda x: F.coalesce(F.concat_ws(", ", *[F.nullif(F.try_variant_get(x, f"$.address.{c}", "string"), F.lit("")) for c in ("addressLocality", "addressRegion", "addressCountry")]), F.try_variant_get(x, "$.name", "string"))), lambda s: s != ""), ", ")
+    listed = F.array_join(F.filter(F.transform(several, lambda x: F.coalesce(F.nullif(F.concat_ws(", ", *[F.nullif(F.try_variant_get(x, f"$.address.{c}", "string"), F.lit("")) for c in ("addressLocality", "addressRegion", "addressCountry")]), F.lit("")), F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$", "string"), F.lit(""))), lambda s: s != ""), ", ")
     unit = F.lower(F.coalesce(_variant(v, "baseSalary.value.unitText"), F.lit("")))
     interval = F.when(unit.contains("hour"), "hour").when(unit.contains("day"), "day").when(unit.contains("week"), "week").when(unit.contains("month"), "month").when(unit.contains("year") | unit.contains("annual"), "year")
     low = F.coalesce(_variant(v, "baseSalary.value.minValue", "double"), _variant(v, "baseSalary.value.value", "double"))
     high = F.coalesce(_variant(v, "baseSalary.value.maxValue", "double"), _variant(v, "baseSalary.value.value", "double"))
     return every.select(
-        "page_id", filled(_variant(v, "identifier.value"), _variant(v, "identifier"), _variant(v, "url")).alias("raw_id"), _variant(v, "title").alias("title"), F.coalesce(_variant(v, "hiringOrganization.name"), F.lit("")).alias("company"),
+        "page_id", "seq", filled(_variant(v, "identifier.value"), _variant(v, "identifier"), _variant(v, "url")).alias("raw_id"), _variant(v, "title").alias("title"), F.coalesce(_variant(v, "hiringOrganization.name"), F.lit("")).alias("company"),
         squeeze(F.when(several.isNotNull(), listed).otherwise(filled(place("jobLocation"), _variant(v, "jobLocation")))).alias("location"), strip_html(_variant(v, "description")).alias("description"), absolute_url(F.col("url"), _variant(v, "url")).alias("url"),
         _variant(v, "datePosted").alias("posted_at"), _variant(v, "employmentType").alias("job_type"), F.coalesce(salary_display(low, high, interval, _variant(v, "baseSalary.currency")), F.lit("")).alias("salary_text"),
     )
 
 
+_ATTRIBUTE = re.compile(r"""\[([\w-]+)(?:(\*?=)["']?([^"'\]]*)["']?)?\]""")
+
+
+@functools.cache
+def _compound(selector: str) -> tuple[str, tuple[str, ...], tuple[str, ...], tuple[tuple[str, str, str], ...]]:
+    """Tag, ids, classes and attribute conditions of one selector without spaces."""
+    plain = _ATTRIBUTE.sub("", selector)
+    tag = re.match(r"[\w-]*", plain)[0]
+    return tag, tuple(re.findall(r"#([\w-]+)", plain)), tuple(re.findall(r"\.([\w-]+)", plain)), tuple(_ATTRIBUTE.findall(selector))
+
+
 class _Tree(HTMLParser):
-    """Elements of a page: tag, attributes, parent, own and descendant text in order."""
+    """Elements of a page in order: tag, attributes, parent, and where their descendants and texts end."""
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.nodes: list[tuple[str, dict[str, str], int]] = [("", {}, -1)]
-        self.text: list[tuple[int, str]] = []
-        self.end: list[int] = [-1]
+        self.text: list[str] = []
+        self.first = [0]  # of each element's texts
+        self.last: list[int | None] = [None]
+        self.end: list[int | None] = [None]  # the element after its last descendant
         self.open = [0]
         self.feed(source or "")
         self.close()
+        while self.open:
+            self._shut()
+
+    def _shut(self) -> None:
+        i = self.open.pop()
+        self.end[i], self.last[i] = len(self.nodes), len(self.text)
 
     def handle_starttag(self, tag, attrs):
         self.nodes.append((tag, {k: v or "" for k, v in attrs}, self.open[-1]))
-        self.end.append(-1)
+        self.first.append(len(self.text))
+        self.last.append(len(self.text))
+        self.end.append(len(self.nodes))
         if tag not in self.VOID:
             self.open.append(len(self.nodes) - 1)
 
     def handle_endtag(self, tag):
-        names = [self.nodes[i][0] for i in self.open]
-        if tag in names[1:]:
-            while self.open[-1] and self.nodes[self.open[-1]][0] != tag:
-                self.open.pop()
-            self.open.pop()
+        if any(self.nodes[i][0] == tag for i in self.open[:0:-1]):
+            while self.nodes[self.open[-1]][0] != tag:
+                self._shut()
+            self._shut()
 
     def handle_data(self, data):
         if self.nodes[self.open[-1]][0] not in ("script", "style", "noscript", "template"):
-            self.text.append((self.open[-1], data))
-
-    def inside(self, node: int, top: int) -> bool:
-        while node > top:
-            node = self.nodes[node][2]
-        return node == top
+            self.text.append(data)
 
     def text_of(self, top: int) -> str:
-        return " ".join(" ".join(t for n, t in self.text if self.inside(n, top)).split())
+        return " ".join(" ".join(self.text[self.first[top] : self.last[top]]).split())
+
+    def _is(self, node: int, selector: str) -> bool:
+        tag, ids, classes, conditions = _compound(selector)
+        name, attributes, _ = self.nodes[node]
+        if (tag and name != tag) or any(attributes.get("id") != x for x in ids):
+            return False
+        if classes and not set(classes) <= set(attributes.get("class", "").split()):
+            return False
+        return all(k in attributes and (not how or (value in attributes[k] if how == "*=" else attributes[k] == value)) for k, how, value in conditions)
+
+    def _matches(self, node: int, chain: list[str]) -> bool:
+        """Whether the element is the last of a chain of nested selectors; ``>`` stands before a child."""
+        if node <= 0 or not self._is(node, chain[-1]):
+            return False
+        rest = chain[:-1]
+        if not rest:
+            return True
+        above = self.nodes[node][2]
+        if rest[-1] == ">":
+            return self._matches(above, rest[:-1])
+        while above > 0:
+            if self._matches(above, rest):
+                return True
+            above = self.nodes[above][2]
+        return False
 
     def find(self, selector: str, top: int = 0) -> list[int]:
-        """Elements under ``top`` of one selector: tag, .class, #id, [name=value] and combinations of these."""
-        tag, _, rest = selector.partition("[")
-        name, *marks = tag.replace("#", " #").replace(".", " .").split() or [""]
-        if name[:1] in "#.":
-            marks, name = [name, *marks], ""
-        key, _, value = rest.rstrip("]").partition("=")
-        out = []
-        for i, (t, a, _) in enumerate(self.nodes):
-            if i <= top or (name and t != name) or (key and (key not in a or (value and a[key] != value.strip("\"'")))):
-                continue
-            classes = a.get("class", "").split()
-            if all((m[0] == "#" and a.get("id") == m[1:]) or (m[0] == "." and m[1:] in classes) for m in marks) and self.inside(i, top):
-                out.append(i)
-        return out
-
-
-def _value(tree: _Tree, selectors: list[str], top: int) -> str:
-    """Text (or, after ``@name``, an attribute) of the first selector that gives one."""
+        """Elements under ``top`` of a list of selectors: tag, .class, #id, [name], [name=value], [name*=value],
+        combinations of these; after a space the elements inside, after ``>`` the children."""
+        chains = [re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", x) for x in re.split(r",\s*(?![^\[]*\])", selector)]
+        return [i for i in range(top + 1, self.end[top]) if any(self._matches(i, c) for c in chains)]
+
+
+def _value(tree: _Tree, selectors: list[str], top: int, anchor: int | None = None) -> str:
+    """Text (or, after ``@name``, an attribute) of the first selector that gives one; ``a:`` stands for the card's link."""
+    return next(_values(tree, selectors, top, anchor), "")
+
+
+def _values(tree: _Tree, selectors: list[str], top: int, anchor: int | None = None) -> Iterator[str]:
     for selector in selectors:
         where, _, attribute = selector.partition("@")
-        for node in tree.find(where, top) if where else [top]:
+        own = [] if anchor is None else [anchor]
+        for node in own if where == "a:" else tree.find(where, top) if where else [top]:
             text = tree.nodes[node][1].get(attribute, "").strip() if attribute else tree.text_of(node)
             if text:
-                return text
-    return ""
+                yield text
 
 
 def extract_layout(pages: DataFrame, layout: DataFrame, scope: str) -> DataFrame:
     """Rows of fields by a layout table (layout, scope, field, ord, selector).
 
-    ``detail`` gives one row a page; ``card`` one for each element that the field ``container`` selects.  Pages carry
-    their layout's name.  The table is small by nature; its size is checked before it goes to the tasks.
+    ``detail`` gives one row a page; ``card`` one for each element that the field ``container`` selects, numbered in
+    ``pos``, with the place of its selector in ``rule``.  A container that is a link itself is a card of what is
+    around it.  A field whose name ends in ``[]`` gives all texts of all its selectors, each once.  Pages carry their
+    layout's name; pages of unknown layouts give nothing.  The table is small by nature; its size is checked before
+    it goes to the tasks.
     """
     rules = layout.where(F.col("scope") == scope).orderBy("layout", "field", "ord").limit(10_001).collect()
     if len(rules) > 10_000:
@@ -157,6 +203,14 @@ def extract_layout(pages: DataFrame, layout: DataFrame, scope: str) -> DataFrame
         table.setdefault(r["layout"], {}).setdefault(r["field"], []).append(r["selector"])
     fields = sorted({f for by in table.values() for f in by} - {"container"})
 
+    def card(tree: _Tree, by: dict[str, list[str]], node: int | None) -> list:
+        top, anchor = 0, None
+        if node is not None:
+            link = tree.nodes[node][0] == "a"
+            anchor = node if link else next(iter(tree.find("a[href]", node)), None)
+            top = tree.nodes[node][2] if link else node
+        return [list(dict.fromkeys(_values(tree, by.get(f, []), top, anchor))) if f.endswith("[]") else _value(tree, by.get(f, []), top, anchor) for f in fields]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -165,11 +219,17 @@ def extract_layout(pages: DataFrame, layout: DataFrame, scope: str) -> DataFrame
                 if by is None:
                     continue
                 tree = _Tree(html)
-                tops = list(dict.fromkeys(n for s in by.get("container", []) for n in tree.find(s))) if scope == "card" else [0]
-                out += [(page_id, pos, *[_value(tree, by.get(f, []), top) for f in fields]) for pos, top in enumerate(tops)]
-            yield pd.DataFrame(out, columns=["page_id", "pos", *fields])
+                tops = {None: 0}
+                if scope == "card":
+                    tops = {}
+                    for rule, selector in enumerate(by.get("container", [])):
+                        for node in tree.find(selector):
+                            tops.setdefault(node, rule)
+                out += [(page_id, pos, rule, *card(tree, by, node)) for pos, (node, rule) in enumerate(tops.items())]
+            yield pd.DataFrame(out, columns=["page_id", "pos", "rule", *fields])
 
-    return pages.select("page_id", "layout", "html").mapInPandas(run, "page_id long, pos int" + "".join(f", {f} string" for f in fields))
+    kinds = "".join(f", `{f}` {'array<string>' if f.endswith('[]') else 'string'}" for f in fields)
+    return pages.select("page_id", "layout", "html").mapInPandas(run, "page_id long, pos int, rule int" + kinds)
 
 
 # Link rules in order (host pattern, path pattern, platform, source type, kept path segments, priority).
@@ -223,7 +283,8 @@ def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: i
     """
     clean = lambda c: source_url(c, "custom_url")
     held = pages.withColumn("page_key", clean(F.col("url")))
-    links = extract_links(held.select("page_id", F.col("page_key").alias("url"), "html"))
+    # written, since every round looks them up again
+    links = settled(extract_links(held.select("page_id", F.col("page_key").alias("url"), "html")), "links")
     known = classify_links(links).where("platform <> 'careers page'")
     careers = links.where(careers_text(F.col("text")) | careers_path(F.col("url"))).withColumn("to", clean(F.col("url")))
     careers = careers.groupBy("page_url", "to").agg(F.min("pos").alias("pos"))
@@ -231,12 +292,13 @@ def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: i
     front = seeds.select("query", clean(F.col("url")).alias("page_url")).distinct()
     seen, out = front, None
     for depth in range(max_depth + 1):
-        found = front.join(known, "page_url").select("query", "name", "source_type", "board_url", "platform", "identifier", "priority", F.concat(F.lit("Found on "), "page_url").alias("reason"), (F.lit(depth * 1_000_000) + F.col("pos")).alias("seq"))
-        dry = front.join(known.select("page_url").distinct(), "page_url", "left_anti")
+        found = front.join(known.hint("merge"), "page_url").select("query", "name", "source_type", "board_url", "platform", "identifier", "priority", F.concat(F.lit("Found on "), "page_url").alias("reason"), (F.lit(depth * 1_000_000) + F.col("pos")).alias("seq"))
+        dry = front.join(known.select("page_url").distinct().hint("merge"), "page_url", "left_anti")
         own = dry.where(careers_path(F.col("page_url"))).select("query", host_label(F.col("page_url")).alias("name"), F.lit("custom_url").alias("source_type"), F.col("page_url").alias("board_url"), F.lit("careers page").alias("platform"), F.lit(None).cast("string").alias("identifier"), F.lit(3).alias("priority"), F.concat(F.lit("Careers page: "), "page_url").alias("reason"), F.lit(depth * 1_000_000).alias("seq"))
         out = found.unionByName(own) if out is None else out.unionByName(found).unionByName(own)
         if depth < max_depth:
-            front = dry.join(careers, "page_url").select("query", F.col("to").alias("page_url")).distinct().join(seen, ["query", "page_url"], "left_anti")
+            next_ = dry.join(careers.hint("merge"), "page_url").select("query", F.col("to").alias("page_url")).distinct()
+            front = settled(next_.join(seen.hint("merge"), ["query", "page_url"], "left_anti"), "front")
             seen = seen.unionByName(front)
     return best_candidates(out, ["query"])
 

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.functions.dates import due
-from talentweave.functions.text import fold
-from talentweave.functions.urls import host, path, source_type
+from talentweave.functions.text import fold, squeeze
+from talentweave.functions.urls import host, path, source_type, source_url
 
 # Hosts and words of the link rules.
 EXCLUDED_HOSTS = ("indeed.com", "linkedin.com", "glassdoor.com", "ziprecruiter.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "wikipedia.org")
 CAREER_PATHS = ("/careers", "/career", "/jobs", "/join-us", "/joinus")
 CAREER_TEXTS = ("careers", "jobs", "join us", "join-us", "open roles", "open positions")
-BUNDLES = ("multiple openings", "multiple positions", "several openings", "various positions", "more openings")
+BUNDLES = ("multiple openings", "multiple jobs", "hiring multiple", "several openings", "see all")
+JOB_WORDS = ("job", "career", "opening", "position", "posting", "opportunit")
 
 
 def location_has(query: str) -> Column:
@@ -72,6 +73,17 @@ def unsupported_reason(kind: Column, url: Column) -> Column:
     return F.when(kind == "browser_capture", "captured in the browser only").when(host(url).endswith("linkedin.com"), "marketplace pages mix employers; use the employer's own board")
 
 
+def split_supported(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources to be saved, with clean URLs, and those that can't be, with the reason.
+
+    Captures come from a browser, so a capture source is saved whatever its URL.
+    """
+    rows = sources.withColumn("url", source_url(F.col("url"), F.col("source_type")))
+    reason = F.when(F.col("source_type") != "browser_capture", unsupported_reason(F.col("source_type"), F.col("url")))
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
 def excluded_host(url: Column) -> Column:
     out = F.lit(False)
     for h in EXCLUDED_HOSTS:
@@ -88,11 +100,11 @@ def careers_text(text: Column) -> Column:
 
 
 def job_like(href: Column, title: Column) -> Column:
-    return F.lower(href).rlike("job|career|position|opening|vacanc") & (F.length(title) >= 4)
+    return F.lower(href).rlike("|".join(JOB_WORDS)) & (F.length(title) >= 4)
 
 
 def bundled(text: Column) -> Column:
-    return fold(text).rlike("|".join(BUNDLES))
+    return fold(squeeze(text)).rlike(rf"\b(?:{'|'.join(BUNDLES)})\b")
 
 
 def capture_needs_detail(url: Column, salary: Column, description: Column, requirements: Column) -> Column:

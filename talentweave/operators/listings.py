@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions.text import blank, filled
 from talentweave.operators.dedupe import keep_first
+from talentweave.operators.sizes import looked_up
 
 
 def with_known(listings: DataFrame, known: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def stop_pages(pages: DataFrame, least_page: int = 3, streak: int = 2) -> DataFr
 
 def early_stop(listings: DataFrame, pages: DataFrame) -> DataFrame:
     """Listings up to the page at which their source stops."""
-    stops = stop_pages(pages)
+    stops = looked_up(stop_pages(pages), "stops")
     return listings.join(stops, "source_id", "left").where("stop_page is null or page <= stop_page").drop("stop_page")
 
 
@@ -64,7 +65,7 @@ def empty_stop(listings: DataFrame, fetched: DataFrame, max_pages: int) -> DataF
     """Listings before their source's first page without rows, and within the most pages allowed."""
     has = listings.select("source_id", "page").distinct().withColumn("has", F.lit(True))
     first = fetched.join(has, ["source_id", "page"], "left").where("has is null").groupBy("source_id").agg(F.min("page").alias("end"))
-    return listings.join(first, "source_id", "left").where((F.col("end").isNull() | (F.col("page") < F.col("end"))) & (F.col("page") <= max_pages)).drop("end")
+    return listings.join(looked_up(first, "ends"), "source_id", "left").where((F.col("end").isNull() | (F.col("page") < F.col("end"))) & (F.col("page") <= max_pages)).drop("end")
 
 
 def detail_budget(listings: DataFrame, most: int = 10) -> DataFrame:

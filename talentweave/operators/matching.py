@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from talentweave.functions.text import cosine, distinct_sorted, fold
+from talentweave.operators.annotate import salary
 from talentweave.operators.dedupe import dedupe_postings
 from talentweave.operators.filters import filter_postings
 
@@ -49,10 +52,16 @@ def encode(df: DataFrame, text: str = "summary_text", out: str = "embedding", en
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(encoder(texts)))
-
+            lacks = np.flatnonzero(texts.notna())
+            new = [None] * len(texts)
+            if len(lacks):
+                for i, vector in zip(lacks.tolist(), encoder(texts.iloc[lacks].reset_index(drop=True)), strict=True):
+                    new[i] = vector
+            yield pd.Series(new, dtype=object)
+
+    # the function is called for every row, so what it must not encode is handed over as null
     given = F.col(out).cast("array<double>") if out in df.columns else F.lit(None).cast("array<double>")
-    return df.withColumn(out, F.coalesce(given, F.when(given.isNull(), vectors(F.coalesce(text, F.lit(""))))))
+    return df.withColumn(out, F.coalesce(given, vectors(F.when(given.isNull(), F.coalesce(text, F.lit(""))))))
 
 
 def experience_score(have: Column, wanted: Column) -> Column:
@@ -91,17 +100,18 @@ def percent(c: Column) -> Column:
     return F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
-def reasons(m: str = "") -> Column:
-    """Sentences for a scored pair, in fixed order."""
+def reasons() -> Column:
+    """Sentences for a scored pair, in fixed order; pay only where it can be read from its text."""
     joined = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    none = F.array().cast("array<string>")
     return F.array_compact(F.array(
         F.concat(F.lit("Semantic fit "), percent(F.col("embedding_score")), F.lit(".")),
         F.concat(F.lit("Skill overlap "), percent(F.col("skill_score")), F.lit(", "), F.size("matched_skills").cast("string"), F.lit(" matched.")),
         F.concat(F.lit("Experience "), percent(F.col("experience_score")), F.lit(".")),
         F.when(F.size("matched_skills") > 0, F.concat(F.lit("Matched: "), joined(F.col("matched_skills"), 8), F.lit("."))),
-        F.when(F.size("missing_skills") > 0, F.concat(F.lit("Missing: "), joined(F.col("missing_skills"), 8), F.lit("."))).otherwise("No skill gap."),
+        F.when(F.size("missing_skills") > 0, F.concat(F.lit("Missing: "), joined(F.col("missing_skills"), 8), F.lit("."))).otherwise(F.when(F.size(F.coalesce("required_skills", none)) > 0, "No skill gap.")),
         F.when(F.size("matched_clearance") > 0, F.concat(F.lit("Clearance: "), joined(F.col("matched_clearance"), 8), F.lit("."))).when(F.size("clearance_terms") > 0, F.concat(F.lit("Needs clearance: "), joined(F.col("clearance_terms"), 8), F.lit("."))),
-        F.when(F.coalesce("salary_text", F.lit("")) != "", F.concat(F.lit("Pay: "), F.col("salary_text"), F.lit("."))),
+        F.concat(F.lit("Pay: "), salary(F.coalesce("salary_text", F.lit("")))["display"], F.lit(".")),
     ))
 
 
@@ -120,29 +130,140 @@ def pairs(profiles: DataFrame, postings: DataFrame) -> DataFrame:
     return met.withColumn("_p", F.explode("_ps")).select(*postings.columns, "_p.*")
 
 
-def score_pairs(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """Scores of all pairs.  ``skill_pairs`` (left: profile's, right: posting's) says which names are equivalent; without
-    it equal folded names are."""
-    w = normalized_weights(weights)
+def _prepared(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None) -> tuple[DataFrame, DataFrame, Callable[[Column], Column]]:
+    """Profiles with the names they cover, postings with their weighted skills, and how a posting's name is looked up."""
     none = F.array().cast("array<string>")
+    name: Callable[[Column], Column] = fold
     if skill_pairs is not None:
         # each profile's skills become the posting-side names they cover, once, before any pairing
         cover = profiles.select("profile_id", F.explode("skills").alias("left")).join(skill_pairs.hint("merge"), "left").groupBy("profile_id").agg(F.collect_set("right").alias("covered"))
-        profiles = profiles.join(cover, "profile_id", "left")
-        covered = lambda s: F.array_contains(F.coalesce("p_covered", none), s)
+        profiles = profiles.join(cover.hint("merge"), "profile_id", "left").withColumn("covered", F.coalesce("covered", none))
+        name = lambda s: s
     else:
         profiles = profiles.withColumn("covered", F.transform(F.coalesce("skills", none), fold))
-        covered = lambda s: F.array_contains(F.coalesce("p_covered", none), fold(s))
     every = F.concat(F.coalesce("required_skills", none), F.coalesce("preferred_skills", none), F.coalesce("skills", none))
-    rows = pairs(profiles, postings.withColumns({"_weighted": weighted_skills(F.col("required_skills"), F.col("preferred_skills"), F.col("skills")), "_target": target_skills(F.col("required_skills"), F.col("preferred_skills"), F.col("skills")), "_every": F.array_distinct(every)}))
-    rows = rows.withColumn("_known", F.filter("_every", covered))
+    three = F.col("required_skills"), F.col("preferred_skills"), F.col("skills")
+    return profiles, postings.withColumns({"_weighted": weighted_skills(*three), "_target": target_skills(*three), "_every": F.array_distinct(every)}), name
+
+
+def _scored(rows: DataFrame, name: Callable[[Column], Column], weights: dict[str, float]) -> DataFrame:
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_known", F.filter("_every", lambda s: F.array_contains(F.col("p_covered"), name(s))))
     rows = rows.withColumns({
         "embedding_score": cosine(F.col("p_embedding"), F.col("embedding")),
         "skill_score": skill_score(F.col("_weighted"), F.col("_known"), F.size(F.coalesce("p_skills", none)) > 0),
         "experience_score": experience_score(F.col("p_experience_years"), F.col("experience_years")),
     })
-    total = F.col("embedding_score") * w["embedding"] + F.col("skill_score") * w["skill"] + F.col("experience_score") * w["experience"]
-    return rows.withColumn("score", total)
+    return rows.withColumn("score", F.col("embedding_score") * weights["embedding"] + F.col("skill_score") * weights["skill"] + F.col("experience_score") * weights["experience"])
+
+
+def score_pairs(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """Scores of all pairs.  ``skill_pairs`` (left: profile's, right: posting's) says which names are equivalent; without
+    it equal folded names are."""
+    profiles, postings, name = _prepared(profiles, postings, skill_pairs)
+    return _scored(pairs(profiles, postings), name, normalized_weights(weights))
+
+
+def _rows(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Rows of a list column; zeros for vectors that are null or of another length."""
+    column = vectors.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy()) * ~np.asarray(column.is_null())
+    out = np.zeros((len(column), dim))
+    fits = np.flatnonzero(sizes == dim)
+    if dim and len(fits):
+        out[fits] = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm > 0, norm, 1)
+
+
+def _skill_shares(people: pa.Table, jobs: pa.Table) -> np.ndarray:
+    """Skill scores of all postings (rows) for all profiles (columns), by products of small matrices."""
+    covered = people.column("p_covered").to_pylist()
+    place = {x: i for i, x in enumerate(sorted({x for xs in covered for x in xs}))}
+    has = np.zeros((len(place), len(covered)))
+    for j, xs in enumerate(covered):
+        has[[place[x] for x in xs], j] = 1
+    lists = jobs.column("names").combine_chunks()
+    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    at = np.array([place.get(x, -1) for x in lists.flatten().to_pylist()], np.int64)
+    w = jobs.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    must = np.where(w >= REQUIRED, w, 0)
+    n = len(lists)
+    total, needed = np.bincount(of, w, n), np.bincount(of, must, n)
+    share, first = np.zeros((n, len(covered))), np.zeros((n, len(covered)))
+    for s in range(0, n, 1024):
+        some = (of >= s) & (of < s + 1024) & (at >= 0)
+        for out, value in ((share, w), (first, must)):
+            table = np.zeros((min(1024, n - s), len(place)))
+            np.add.at(table, (of[some] - s, at[some]), value[some])
+            out[s : s + 1024] = table @ has
+    share /= np.maximum(total, 1e-300)[:, None]
+    share = np.where((needed > 0)[:, None], 0.75 * share + 0.25 * first / np.maximum(needed, 1e-300)[:, None], share)
+    blank = np.where(people.column("p_any").to_numpy(zero_copy_only=False), 0.5, 0.0)
+    return np.where((np.bincount(of, minlength=n) == 0)[:, None], blank[None], share)
+
+
+def candidates(profiles: DataFrame, postings: DataFrame, k: int, weights: dict[str, float], order: tuple[str, ...], margin: float = 1e-9) -> DataFrame:
+    """(p_profile_id, id): for each profile and block of postings those that can be among the k best of all.
+
+    A block of postings meets a block of profiles as matrices; every pair's score is worked out but only k (and
+    what is as good within ``margin``) stay.  Of postings that are alike in all that scores depend on only the
+    first k by ``order`` take part, so that copies can't crowd in.  ``profiles`` and ``postings`` are those of
+    ``_prepared``, with the posting's ``names`` and ``weights``.
+    """
+    spark = profiles.sparkSession
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    asks = max(1, -(-profiles.count() // (8 * BLOCK)))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = postings.select(*[F.col(c).alias(f"o_{c}") for c in order], "id", F.col("embedding").cast("array<double>").alias("e"), F.col("experience_years").cast("double").alias("years"), "names", "weights", number("id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"))
+    right = profiles.select(F.col("profile_id").alias("p_profile_id"), F.col("embedding").cast("array<double>").alias("p_e"), F.col("experience_years").cast("double").alias("p_years"), F.col("covered").alias("p_covered"), (F.size(F.coalesce("skills", F.array().cast("array<string>"))) > 0).alias("p_any"), number("profile_id", asks).alias("p_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p_b"))
+    kinds = left.schema["id"].dataType, right.schema["p_profile_id"].dataType
+    id_type, profile_type = (to_arrow_type(x) for x in kinds)
+    orders = [f"o_{c}" for c in order]
+
+    def search(jobs: pa.Table, people: pa.Table) -> pa.Table:
+        who, what = pa.array([], profile_type), pa.array([], id_type)
+        if jobs.num_rows and people.num_rows:
+            ranked = jobs.select(orders).to_pandas().sort_values(orders, ascending=False, na_position="last", kind="stable").index.to_numpy()
+            jobs = jobs.take(pa.array(ranked))
+            sizes = [len(x) for col in (people.column("p_e"), jobs.column("e")) for x in col if x.is_valid]
+            dim = max(sizes, default=0)
+            vectors = _rows(jobs.column("e"), dim)
+            kind = pd.DataFrame({"u": [x.tobytes() for x in vectors], "n": jobs.column("names").to_pylist(), "w": jobs.column("weights").to_pylist(), "y": jobs.column("years").to_pandas()})
+            again = kind.assign(n=kind.n.map(str), w=kind.w.map(str)).groupby(["u", "n", "w", "y"], dropna=False).cumcount().to_numpy()
+            stay = np.flatnonzero(again < k)
+            jobs = jobs.take(pa.array(stay))
+            score = weights["embedding"] * np.clip(_unit(vectors[stay]) @ _unit(_rows(people.column("p_e"), dim)).T, 0, 1) + weights["skill"] * _skill_shares(people, jobs)
+            wanted, have = (np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float)) for t, c in ((jobs, "years"), (people, "p_years")))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                part = np.where(have[None] <= 0, 0.0, np.minimum(have[None] / wanted[:, None], 1.0))
+            score += weights["experience"] * np.where(wanted[:, None] == 0, 1.0, part)
+            cut = np.partition(score, len(stay) - k, axis=0)[len(stay) - k] if len(stay) > k else score.min(0)
+            rows, columns = np.nonzero(score >= cut[None] - margin)
+            who, what = people.column("p_profile_id").take(pa.array(columns)), jobs.column("id").take(pa.array(rows))
+        return pa.table({"p_profile_id": who, "id": what})
+
+    return left.groupBy("b", "q").cogroup(right.groupBy("p_b", "p_q")).applyInArrow(search, f"p_profile_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}")
+
+
+def best_matches(profiles: DataFrame, postings: DataFrame, k: int = 20, skill_pairs: DataFrame | None = None, weights: dict[str, float] | None = None, order: tuple[str, ...] = ("last_seen_at", "id"), digits: int | None = None) -> DataFrame:
+    """The k best postings of each profile, scored and ranked as by ``score_pairs`` and ``top_k``.
+
+    Matrices find the candidates (a few times k a profile); only these become rows and are scored as columns.  With
+    ``digits`` scores are rounded before they are ranked.  Postings and profiles have one row an id.
+    """
+    w = normalized_weights(weights)
+    profiles, postings, name = _prepared(profiles, postings, skill_pairs)
+    given = postings.withColumns({"names": F.transform("_weighted", lambda x: name(x["skill"])), "weights": F.transform("_weighted", lambda x: x["w"])})
+    found = candidates(profiles, given, k, w, order, 1e-9 + (10.0**-digits if digits is not None else 0.0))
+    own = profiles.select(*[F.col(c).alias(f"p_{c}") for c in profiles.columns])
+    rows = postings.hint("merge").join(found.hint("merge"), "id").join(own.hint("merge"), "p_profile_id")
+    scored = _scored(rows, name, w)
+    return top_k(scored if digits is None else scored.withColumn("score", F.round("score", digits)), k, order)
 
 
 def top_k(scored: DataFrame, k: int | None = 20, order: tuple[str, ...] = ("last_seen_at", "id")) -> DataFrame:
@@ -171,8 +292,9 @@ def rank_matches(profiles: DataFrame, postings: DataFrame, *, k: int | None = 20
     """
     below = {x: filters.pop(x) for x in ("source_ids", "active_only") if x in filters}
     rows = filter_postings(dedupe_postings(filter_postings(postings, **below)), **filters)
-    scored = score_pairs(encode(profiles, encoder=encoder), encode(rows, encoder=encoder), skill_pairs, weights)
-    return explain(top_k(scored, k)).withColumnsRenamed({"p_profile_id": "profile_id", "id": "posting_id"})
+    profiles, rows = encode(profiles, encoder=encoder), encode(rows, encoder=encoder)
+    ranked = top_k(score_pairs(profiles, rows, skill_pairs, weights), None) if k is None else best_matches(profiles, rows, k, skill_pairs, weights)
+    return explain(ranked).withColumnsRenamed({"p_profile_id": "profile_id", "id": "posting_id"})
 
 
 def browse_postings(postings: DataFrame, dedupe: bool = True, **filters) -> DataFrame:

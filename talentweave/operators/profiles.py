@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.functions.dates import partial_date
-from talentweave.functions.text import EMAIL, LINK, PHONE, blank, filled, first_match, fold, squeeze, text_hash
+from talentweave.functions.text import EMAIL, LINK, PHONE, blank, clean_text, distinct_folded, filled, first_match, fold, squeeze, text_hash
 from talentweave.operators.annotate import clearance, years_mentioned
 from talentweave.operators.dedupe import keep_first
 from talentweave.operators.terms import in_categories, terms_column
@@ -123,7 +123,7 @@ def months_covered(spans_: DataFrame, key: str = "resume_id") -> DataFrame:
 def experience_years(texts: DataFrame, as_of: dt.date) -> DataFrame:
     """(resume_id, experience_years): months covered over 12 to one place, else the most years mentioned, else 0."""
     months = months_covered(spans(texts, as_of))
-    rows = texts.select("resume_id", years_mentioned(F.col("text")).alias("told")).join(months, "resume_id", "left")
+    rows = texts.select("resume_id", years_mentioned(F.col("text")).alias("told")).join(months.hint("merge"), "resume_id", "left")
     return rows.select("resume_id", F.coalesce(F.bround(F.col("months") / 12, 1), "told", F.lit(0.0)).alias("experience_years"))
 
 
@@ -165,6 +165,17 @@ def work_history(experience: DataFrame, as_of: dt.date) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= HISTORY).drop("pos")
 
 
+def history_of(experience: DataFrame, spans_: DataFrame, as_of: dt.date) -> DataFrame:
+    """``work_history``; a résumé without any entry gets its first spans paired with its first titles, at most 4."""
+    found = work_history(experience, as_of)
+    w = Window.partitionBy("resume_id").orderBy("pos")
+    times = spans_.withColumn("n", F.row_number().over(w)).where("n <= 4").select("resume_id", "n", F.col("start").alias("start_date"), F.col("end").alias("end_date"), F.lower("label").rlike("present$").alias("is_current"))
+    names = recent_titles(experience).select("resume_id", F.posexplode(F.slice("titles", 1, 4)).alias("at", "title")).select("resume_id", (F.col("at") + 1).alias("n"), "title")
+    pairs = times.join(names.hint("merge"), ["resume_id", "n"]).join(found.select("resume_id").distinct().hint("merge"), "resume_id", "left_anti")
+    none = {c: F.lit("") for c in ("company", "location", "description")}
+    return found.unionByName(pairs.withColumns(none).select(*found.columns))
+
+
 def education(rows: DataFrame, as_of: dt.date) -> DataFrame:
     """(resume_id, n, school, degree, start_date, end_date, description): at most 6 entries.
 
@@ -224,7 +235,9 @@ def structure(texts: DataFrame, skills: dict[str, list[str]], categories: dict[s
     rows = lines(texts)
     parts = sections(rows)
     experience = sectioned(rows).where("section = 'experience'").drop("section")
-    out = texts.join(parts, "resume_id", "left").join(recent_titles(experience), "resume_id", "left").join(experience_years(texts, as_of), "resume_id", "left").join(highlights(experience), "resume_id", "left").join(contacts(rows), "resume_id", "left")
+    out = texts
+    for found in (parts, recent_titles(experience), experience_years(texts, as_of), highlights(experience), contacts(rows)):
+        out = out.join(found.hint("merge"), "resume_id", "left")  # all by the same key, so texts are shuffled once
     part = lambda name: F.coalesce(F.try_element_at("sections", F.lit(name)), F.lit(""))
     base = F.concat_ws("\n", part("skills"), part("summary"), filled(part("experience"), F.col("text")), part("projects"))
     out = out.withColumns({"skills": terms_column(base, skills), "certifications": terms_column(F.col("text"), certifications), "clearance_terms": clearance(F.col("text"))["terms"], "titles": F.coalesce("titles", F.array().cast("array<string>"))})
@@ -247,6 +260,59 @@ def edit(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select(*profiles.columns)
 
 
+# ---- the nested profile that forms fill in ------------------------------------------------------------------
+_BASICS = ("full_name", "email", "phone", "location", "linkedin_url", "website_url", "headline", "summary")
+_WORK, _SCHOOL = ("title", "company", "location", "start_date", "end_date"), ("school", "degree", "field_of_study", "start_date", "end_date")
+_LISTS = ("skills", "tools", "certifications", "clearance_terms")
+#: A profile as one struct; experience_years stands beside the basics, since either may be given.
+PROFILE = (
+    f"struct<basics:struct<{','.join(f'{c}:string' for c in _BASICS)},years_experience:double>,"
+    f"work_history:array<struct<{','.join(f'{c}:string' for c in _WORK)},is_current:boolean,description:string>>,"
+    f"education:array<struct<{','.join(f'{c}:string' for c in _SCHOOL)},description:string>>,"
+    f"{','.join(f'{c}:array<string>' for c in _LISTS)},recent_titles:array<string>,experience_years:double>"
+)
+
+
+def normal_profile(profile: Column) -> Column:
+    """A profile (PROFILE) with clean texts: entries that say nothing and repeated list entries go, titles are
+    the headline and those of the history, at most 8; nulls become empty; years are those given, else those of the basics."""
+    basics = profile["basics"]
+    years = lambda a, b: F.coalesce(F.nullif(a, F.lit(0.0)), b, F.lit(0.0))
+
+    def entries(items: Column, names: tuple[str, ...], telling: tuple[str, ...], *more: str) -> Column:
+        says = lambda x: ~F.forall(F.array(*[squeeze(x[c]) for c in telling]), lambda t: t == "")
+        clean = lambda x: F.struct(*[squeeze(x[c]).alias(c) for c in names], *[F.coalesce(x[c], F.lit(False)).alias(c) for c in more], clean_text(x["description"]).alias("description"))
+        return F.coalesce(F.transform(F.filter(items, says), clean), F.array().cast(f"array<struct<{','.join([*(f'{c}:string' for c in names), *(f'{c}:boolean' for c in more), 'description:string'])}>>"))
+
+    history = entries(profile["work_history"], _WORK, ("title", "company", "description"), "is_current")
+    titles = F.slice(distinct_folded(F.concat(F.array(basics["headline"]), F.transform(history, lambda x: x["title"]))), 1, TITLES)
+    return F.struct(
+        F.struct(*[squeeze(basics[c]).alias(c) for c in _BASICS], years(basics["years_experience"], profile["experience_years"]).alias("years_experience")).alias("basics"),
+        history.alias("work_history"), entries(profile["education"], _SCHOOL, ("school", "degree", "description")).alias("education"),
+        *[distinct_folded(profile[c]).alias(c) for c in _LISTS], titles.alias("recent_titles"), years(profile["experience_years"], basics["years_experience"]).alias("experience_years"),
+    ).cast(PROFILE)
+
+
+def nested_summary(profile: Column, projects: Column) -> Column:
+    """The summary of a normalised profile; of the first 4 entries of the history title, company and 180 characters."""
+    told = lambda x: F.concat_ws(" | ", F.nullif(x["title"], F.lit("")), F.nullif(x["company"], F.lit("")), F.nullif(F.rtrim(F.substring(squeeze(x["description"]), 1, 180)), F.lit("")))
+    work = F.array_join(F.filter(F.transform(F.slice(profile["work_history"], 1, 4), told), lambda t: t != ""), " || ")
+    basics = profile["basics"]
+    return summary_text(profile["skills"], profile["tools"], profile["certifications"], profile["clearance_terms"], profile["recent_titles"], profile["experience_years"], basics["summary"], work, projects, basics["headline"])
+
+
+def edit_profiles(profiles: DataFrame, edits: DataFrame) -> DataFrame:
+    """Profiles after edits (resume_id, profile as PROFILE): lists, titles, years, summary and profile are the edited
+    ones, and the vector goes; profiles without an edit stay as they are."""
+    new = edits.select("resume_id", normal_profile(F.col("profile").cast(PROFILE)).alias("e"))
+    rows = profiles.join(new.hint("merge"), "resume_id", "left")
+    e, done = F.col("e"), F.col("e").isNotNull()
+    projects = F.coalesce(F.try_element_at("sections", F.lit("projects")), F.lit("")) if "sections" in profiles.columns else F.lit("")
+    changed = {c: e[c] for c in (*_LISTS, "experience_years")} | {"titles": e["recent_titles"], "profile": e, "summary_text": nested_summary(e, projects), "embedding": F.lit(None).cast("array<double>")}
+    changed["content_hash"] = text_hash(changed["summary_text"])
+    return rows.select(*[(F.when(done, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c) for c in profiles.columns])
+
+
 def single_active(profiles: DataFrame) -> DataFrame:
     """Only the last created profile of each owner is active; of equal file hashes the latest stays."""
     kept = keep_first(profiles, ["owner", "file_hash"], [F.desc("created_at"), F.desc("id")])

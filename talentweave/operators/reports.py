@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentweave.functions.urls import source_type
+from talentweave.operators.filters import manual_assist
+
 
 def recent_scans(scans: DataFrame, sources: DataFrame, limit: int = 25) -> DataFrame:
     """The newest scans with their sources' names; a missing source is named by its id."""
@@ -28,7 +31,36 @@ def scan_totals(results: DataFrame) -> DataFrame:
 
 def unmatched(postings: DataFrame, matches: DataFrame) -> DataFrame:
     """Postings that are in no ranking; duplicates that were merged away count as unmatched."""
-    return postings.join(matches.select(F.col("posting_id").alias("id")).distinct(), "id", "left_anti")
+    return postings.join(matches.select(F.col("posting_id").alias("id")).distinct().hint("merge"), "id", "left_anti")
+
+
+def dashboard(postings: DataFrame, matches: DataFrame, sources: DataFrame, pending: int = 6) -> DataFrame:
+    """One row of counts: postings held, those that wait for a confirmation (at most ``pending`` shown), matched and
+    not, and sources that can be scanned, or need a person at the browser."""
+    found = matches.select(F.col("posting_id").alias("id")).distinct().withColumn("is", F.lit(True)).hint("merge")
+    waits = F.coalesce(F.col("active") & F.col("application_confirmation_needed"), F.lit(False))
+    held = postings.join(found, "id", "left").agg(
+        F.count("*").alias("n_cached"), F.least(F.count_if(waits), F.lit(pending)).alias("n_pending"),
+        F.count_if(F.col("is").isNotNull()).alias("n_matched"), F.count_if(F.col("is").isNull()).alias("n_unmatched"),
+    )
+    kind = source_type(F.col("source_type"), F.col("url"))
+    asked = sources.agg(
+        F.count_if(F.col("enabled") & (kind != "browser_capture")).alias("n_scannable"), F.count_if(manual_assist(kind, F.lit(False))).alias("n_manual"), F.max("last_scan_at").alias("last_scan_at"),
+    )
+    both = held.unionByName(asked, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+def scan_note(row: str = "") -> Column:
+    """What is told of a finished scan: its error if it failed, else what was read."""
+    c = lambda name: F.col(f"{row}{name}")
+    read = F.concat(
+        c("jobs_found").cast("string"), F.lit(" job(s) across "), c("pages_scanned").cast("string"), F.lit(" page(s); "),
+        c("detail_pages_fetched").cast("string"), F.lit(" detail page(s)"), F.when(c("stopped_early"), "; stopped early after mostly-known pages").otherwise(""),
+    )
+    error = F.nullif(c("error_text"), F.lit(""))
+    failed = F.when(c("status") == "cancelled", F.coalesce(error, F.lit("Cancelled before completion."))).when(c("status").isin("blocked", "error"), error)
+    return F.coalesce(failed, read)
 
 
 def change_text(created: Column, updated: Column, unchanged: Column) -> Column:

@@ -8,21 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentweave.operators.dedupe import keep_first
+from talentweave.operators.sizes import looked_up
 
 KEYS = ("source_id", "external_id")
 
 
 def compare(stored: DataFrame, incoming: DataFrame, deactivate_missing: bool = True, value: str = "content_hash") -> DataFrame:
-    """(source_id, external_id, action): one full outer join on the key.
+    """(source_id, external_id, action): one full outer join on the key, and a look at the few sources that sent.
 
     Actions: created, updated, unchanged; for stored active rows that are missing: deactivated, if asked for and
     their source sent anything, else kept.  Rows with equal keys in a batch count once.
     """
     new = keep_first(incoming.select(*KEYS, F.col(value).alias("new")), list(KEYS), ["new"])
     old = stored.select(*KEYS, F.col(value).alias("old"), "active")
-    sent = incoming.select(F.col("source_id").alias("sent")).distinct()
     both = old.withColumn("was", F.lit(True)).join(new.withColumn("is", F.lit(True)), list(KEYS), "full_outer")
-    both = both.join(sent, both["source_id"] == sent["sent"], "left") if deactivate_missing else both.withColumn("sent", F.lit(None).cast("long"))
+    if deactivate_missing:
+        sent = looked_up(incoming.select(F.col("source_id").alias("sent")).distinct(), "sent")
+        both = both.join(sent, both["source_id"] == sent["sent"], "left")
+    else:
+        both = both.withColumn("sent", F.lit(None).cast("long"))
     action = (
         F.when(F.col("was").isNull(), "created")
         .when(F.col("is").isNotNull() & F.col("old").eqNullSafe(F.col("new")), "unchanged")
@@ -51,9 +55,12 @@ def publish(stored: DataFrame, incoming: DataFrame, as_of: dt.datetime, deactiva
     given = set(new.columns)
     new = new.select(*KEYS, *[F.col(c).alias(f"n_{c}") for c in new.columns if c not in KEYS]).withColumn("n_is", F.lit(True))
     old = stored.withColumn("o_was", F.lit(True))
-    sent = incoming.select(F.col("source_id").alias("n_sent")).distinct()
     rows = old.join(new, list(KEYS), "full_outer")
-    rows = rows.join(sent, rows["source_id"] == sent["n_sent"], "left")
+    if deactivate_missing:
+        sent = looked_up(incoming.select(F.col("source_id").alias("n_sent")).distinct(), "sent")
+        rows = rows.join(sent, rows["source_id"] == sent["n_sent"], "left")
+    else:
+        rows = rows.withColumn("n_sent", F.lit(None).cast("long"))
     fresh, seen = F.col("o_was").isNull(), F.col("n_is").isNotNull()
     same = F.col("o_was").isNotNull() & seen & F.col("content_hash").eqNullSafe(F.col("n_content_hash") if "content_hash" in given else F.lit(None))
     changed = seen & ~same
@@ -96,6 +103,12 @@ def without_sources(rows: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.join(removed.select(F.col("id").alias("source_id")), "source_id", "left_anti")
 
 
+def cleared(postings: DataFrame, scans: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All results of scans taken back: no postings, no scans, and sources as if they had never been scanned."""
+    never = {c: F.lit(None).cast(sources.schema[c].dataType) for c in ("etag", "last_modified", "last_scan_at", "last_status") if c in sources.columns}
+    return postings.where("false"), scans.where("false"), sources.withColumns(never)
+
+
 def upsert(stored: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Insert or update by key; columns the change leaves null stay."""
     new = changes.select(key, *[F.col(c).alias(f"n_{c}") for c in changes.columns if c != key])

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.functions.text import distinct_sorted, fold, squeeze
+from talentweave.functions.text import distinct_sorted, fold, let, squeeze
 
 #: Up to so many aliases become one column expression; larger lexicons are joined.
 INLINE_ALIASES = 200
@@ -21,15 +21,24 @@ REWRITTEN = (("c plus plus", "c++"), ("c sharp", "c#"))
 
 def term_condition(folded: Column, aliases: list[str]) -> Column:
     """Whether any alias stands in the folded text without a letter or digit beside it."""
-    any_of = "|".join(re.escape(a.lower()) for a in sorted(aliases))
-    return folded.rlike(f"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])")
+    names = sorted({" ".join(a.split()).lower().replace("ß", "ss") for a in aliases} - {""})
+    # a plain search for the letters is much cheaper than the pattern, and most terms are in few texts
+    there = F.lit(False)
+    for name in names:
+        there = there | folded.contains(name)
+    any_of = "|".join(map(re.escape, names))
+    return there & folded.rlike(f"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])")
+
+
+def terms_of(folded: Column, lexicon: dict[str, list[str]]) -> Column:
+    """Sorted array of the canonical terms of a small lexicon found in a text that is folded and squeezed already."""
+    found = [F.when(term_condition(folded, aliases), F.lit(name)) for name, aliases in sorted(lexicon.items()) if any(a.strip() for a in aliases)]
+    return distinct_sorted(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
 
 
 def terms_column(text: Column, lexicon: dict[str, list[str]]) -> Column:
     """Sorted array of the canonical terms of a small lexicon found in a text."""
-    folded = fold(squeeze(text))
-    found = [F.when(term_condition(folded, aliases), F.lit(name)) for name, aliases in sorted(lexicon.items()) if aliases]
-    return distinct_sorted(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
+    return let(fold(squeeze(text)), lambda folded: terms_of(folded, lexicon))
 
 
 def annotate_terms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "terms", key: str = "id") -> DataFrame:
@@ -42,14 +51,18 @@ def annotate_terms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "ter
     if len(few) <= INLINE_ALIASES:
         table: dict[str, list[str]] = {}
         for row in few:
-            table.setdefault(row["canonical"], []).append(" ".join(row["alias"].split()))
-        return df.withColumn(out, terms_column(F.col(text), table))
+            table.setdefault(row["canonical"], []).append(row["alias"])
+        # a column of its own is computed once a row, and the patterns stay in generated code
+        return df.withColumn("_folded", fold(squeeze(F.col(text)))).withColumn(out, terms_of(F.col("_folded"), table)).drop("_folded")
     piece = "( ?(?:[a-z0-9]+|[^a-z0-9 ]))"
     names = lexicon.select("canonical", fold(squeeze(F.col("alias"))).alias("alias")).where("alias <> ''").distinct()
     longest = names.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(piece), 1)))).first()[0]
     tokens = df.select(key, F.regexp_extract_all(fold(squeeze(F.col(text))), F.lit(piece), 1).alias("t"))
-    runs = tokens.select(key, F.explode(F.expr(f"flatten(transform(sequence(1, greatest(size(t), 1)), i -> transform(sequence(1, {longest}), n -> ltrim(array_join(slice(t, i, n), '')))))")).alias("alias"))
-    found = runs.hint("merge").join(names, "alias").groupBy(key).agg(distinct_sorted(F.collect_set("canonical")).alias(out))
+    # no letter or digit stands beside a run: where its own first or last sign is none, the neighbour decides
+    begins = "filter(sequence(1, greatest(size(t), 1)), i -> i = 1 or get(t, i - 1) like ' %' or not get(t, i - 2) rlike '[a-z0-9]$')"
+    ends = f"filter(sequence(1, {longest or 1}), n -> i + n - 1 <= size(t) and (i + n - 1 = size(t) or not get(t, i + n - 1) rlike '^[a-z0-9]'))"
+    runs = tokens.where("size(t) > 0").select(key, F.explode(F.array_distinct(F.expr(f"flatten(transform({begins}, i -> transform({ends}, n -> ltrim(array_join(slice(t, i, n), '')))))"))).alias("alias"))
+    found = runs.hint("merge").join(names.hint("merge"), "alias").groupBy(key).agg(distinct_sorted(F.collect_set("canonical")).alias(out))
     return df.hint("merge").join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
@@ -72,8 +85,8 @@ def _described(names: DataFrame, lexicon: DataFrame, side: str) -> DataFrame:
     known = phrases.groupBy("phrase").agg(F.max_by("canonical", "ord").alias("canonical"))  # later entries win
     every = phrases.groupBy("canonical").agg(F.collect_set("phrase").alias("known"))
     rows = names.select(F.col("name").alias(side)).where(f"{side} is not null").distinct().withColumn("phrase", skill_phrase(F.col(side)))
-    rows = rows.join(known, "phrase", "left").withColumn("entry", F.col("canonical")).withColumn("canonical", F.when(F.col("phrase") == "", "").otherwise(fold(F.coalesce("canonical", squeeze(F.col(side))))))
-    rows = rows.join(every.withColumnRenamed("canonical", "entry"), "entry", "left")
+    rows = rows.join(known.hint("merge"), "phrase", "left").withColumn("entry", F.col("canonical")).withColumn("canonical", F.when(F.col("phrase") == "", "").otherwise(fold(F.coalesce("canonical", squeeze(F.col(side))))))
+    rows = rows.join(every.withColumnRenamed("canonical", "entry").hint("merge"), "entry", "left")
     rows = rows.withColumn("phrases", F.filter(F.array_distinct(F.concat(F.coalesce("known", F.array().cast("array<string>")), F.array("phrase"))), lambda x: x != ""))
     token = F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))
     return rows.select(side, "canonical", "phrases", F.filter(token, lambda t: (F.length(t) >= 3) | t.isin(*SHORT_TOKENS)).alias("tokens"))

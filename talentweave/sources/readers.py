@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.functions.text import blank, clean_text, filled, squeeze, strip_html
@@ -16,7 +16,7 @@ CAPTURE = f"parser string, page struct<url:string,title:string,site:string,parse
 
 def resume_texts(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
     """(filename, text, status): whole text files; others and too short ones are marked, not dropped."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
     kind = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
     return rows.withColumn("status", F.when(~kind.isin("txt", "md"), "unsupported").when(F.length(squeeze(F.col("text"))) < least, "too short").otherwise("ok"))
 
@@ -44,7 +44,7 @@ def pages(spark: SparkSession, path: str, layout: str = "", kind: str = "parquet
     """Captured pages (page_id, url, html, layout) from a table, or from saved files."""
     if kind == "parquet":
         return spark.read.parquet(path).select("page_id", "url", "html", F.lit(layout).alias("layout"))
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.xxhash64("_metadata.file_path").alias("page_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"), F.lit(layout).alias("layout"))
 
 
@@ -76,7 +76,8 @@ def capture_rows(batches: DataFrame) -> DataFrame:
 def resolve_sources(batches: DataFrame, sources: DataFrame) -> DataFrame:
     """Each batch's source: by id, else the newest capture source of the page's URL, else a new row to be stored.
 
-    New rows have a null source_id and a name from company, site or title.
+    New rows have a null source_id and a name from company, site or title; batches of one new page make one row, so
+    that they get one source.
     """
     rows = batches.select("page", "source", F.coalesce("jobs", F.array().cast(CAPTURED)).alias("jobs"))
     ids = sources.select(F.col("id").alias("by_id"))
@@ -87,9 +88,5 @@ def resolve_sources(batches: DataFrame, sources: DataFrame) -> DataFrame:
     site = squeeze(filled(F.col("source.site"), F.col("page.site")))
     label = F.concat(F.lit("Capture: "), F.when((company != "") & (site != ""), F.concat(company, F.lit(" ("), site, F.lit(")"))).otherwise(filled(company, F.col("page.title"), site, F.lit("Captured postings"))))
     name = F.when(~blank(F.col("source.name")), squeeze(F.col("source.name"))).otherwise(label)
-    return rows.select(F.coalesce("by_id", "by_url").alias("source_id"), F.col("page.url").alias("url"), F.when(F.coalesce("by_id", "by_url").isNull(), name).alias("new_name"))
-
-
-def keep_earliest_page(rows: DataFrame) -> DataFrame:
-    """Rows numbered within their batch in page order."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("page_url").orderBy("pos")))
+    rows = rows.select(F.coalesce("by_id", "by_url").alias("source_id"), F.col("page.url").alias("url"), F.when(F.coalesce("by_id", "by_url").isNull(), name).alias("new_name"))
+    return rows.groupBy("source_id", "url").agg(F.min("new_name").alias("new_name"))

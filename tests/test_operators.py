@@ -1,9 +1,12 @@
 import datetime as dt
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from talentweave.operators import dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync
+from talentweave.operators import annotate, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
 
 NOW, LATER = dt.datetime(2024, 5, 1), dt.datetime(2024, 5, 2)
 POSTING = "source_id long, external_id string, id long, title string, url string, canonical_url string, content_hash string, embedding array<double>, active boolean, first_seen_at timestamp, last_seen_at timestamp, last_updated_at timestamp, application_status string, application_confirmation_needed boolean"
@@ -112,7 +115,7 @@ def test_rank_matches_end_to_end(spark):
     none = F.lit(None)
     postings = spark.createDataFrame(
         [(1, "Python engineer", ["Python"], "build python services", 2.0), (2, "Welder", ["Welding"], "weld steel", 1.0), (3, "Python engineer", ["Python"], "build", 2.0)], "id long, title string, required_skills array<string>, summary_text string, experience_years double"
-    ).withColumns({"company": F.lit("C"), "location": F.lit("Paris"), "description": F.col("summary_text"), "url": F.lit(""), "canonical_url": F.lit(""), "job_type": F.lit("full-time"), "remote_mode": F.lit("remote"), "clearance_terms": F.array(F.lit("Secret")), "preferred_skills": none.cast("array<string>"), "skills": none.cast("array<string>"), "salary_text": F.lit("$1/hr"), "application_status": none.cast("string"), "application_confirmation_needed": F.lit(False), "active": F.lit(True), "source_id": F.lit(1), "last_seen_at": F.lit(NOW), "last_updated_at": F.lit(NOW), "first_seen_at": F.lit(NOW)})
+    ).withColumns({"company": F.lit("C"), "location": F.lit("Paris"), "description": F.col("summary_text"), "url": F.lit(""), "canonical_url": F.lit(""), "job_type": F.lit("full-time"), "remote_mode": F.lit("remote"), "clearance_terms": F.array(F.lit("Secret")), "preferred_skills": none.cast("array<string>"), "skills": none.cast("array<string>"), "salary_text": F.lit("$20 - $30 per hour"), "application_status": none.cast("string"), "application_confirmation_needed": F.lit(False), "active": F.lit(True), "source_id": F.lit(1), "last_seen_at": F.lit(NOW), "last_updated_at": F.lit(NOW), "first_seen_at": F.lit(NOW)})
     people = spark.createDataFrame([(10, "python services engineer", ["python"], 3.0, ["secret"])], "profile_id long, summary_text string, skills array<string>, experience_years double, clearance_terms array<string>")
     got = matching.rank_matches(people, postings, active_only=True, location_query="PARIS").orderBy("rank").collect()
     assert [r.posting_id for r in got] == [1, 2]  # 3 is merged into 1
@@ -217,3 +220,82 @@ def test_discovery_follows_career_pages(spark):
     got = {(r["query"], r.board_url, r.platform) for r in extract.discover(pages, seeds).collect()}
     assert got == {("acme", "https://jobs.lever.co/acme", "lever"), ("b", "https://b.org/jobs", "careers page")}
     assert extract.discover(pages, seeds, max_depth=0).count() == 1
+
+
+def test_only_rows_without_vectors_are_encoded(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def encoder(texts: pd.Series) -> np.ndarray:
+        with open(seen, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        return np.array([[float(len(t)), 1.0] for t in texts])
+
+    rows = spark.createDataFrame([(1, "a", [9.0, 9.0]), (2, "bb", None), (3, None, None), (4, "dddd", [1.0, 1.0])], "id long, summary_text string, embedding array<double>").coalesce(1)
+    got = {r.id: r.embedding for r in matching.encode(rows, encoder=encoder).collect()}
+    assert got == {1: [9.0, 9.0], 2: [2.0, 1.0], 3: [0.0, 1.0], 4: [1.0, 1.0]}
+    assert sorted(open(seen).read().split("\n")[:-1]) == ["", "bb"]
+    assert {r.id: r.embedding for r in matching.encode(rows.drop("embedding").limit(2), encoder=encoder).collect()} == {1: [1.0, 1.0], 2: [2.0, 1.0]}
+
+
+CASES = [("Straße", ["Road"]), ("strasse!", ["Road"]), ("use asp.net", []), ("use .NET", ["Dot"]), ("c++x", []), ("C++ and x", ["Cpp"]), ("big  data", ["Big"]), ("bigdata big-data", []), ("", []), (None, []), ("#c++#", ["Cpp"]), ("c#, .net", ["Dot", "Sharp"])]
+ALIASES = [("Road", "straße"), ("Dot", ".net"), ("Cpp", "c++"), ("Big", "Big   Data"), ("Sharp", "C#"), ("Empty", "  ")]
+
+
+def test_small_and_large_lexicons_agree(spark, monkeypatch):
+    lexicon = spark.createDataFrame([(c, a, "x", i) for i, (c, a) in enumerate(ALIASES)], "canonical string, alias string, category string, ord int")
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "id long, text string")
+    for most in (200, 0):
+        monkeypatch.setattr(terms, "INLINE_ALIASES", most)
+        got = {r.id: r.terms for r in terms.annotate_terms(rows, "text", lexicon).collect()}
+        assert got == {i: want for i, (_, want) in enumerate(CASES)}
+
+
+def test_best_matches_equal_all_pairs(spark):
+    r = random.Random(4)
+    names = [f"s{i}" for i in range(12)]
+    pick = lambda n: [r.choice(names).upper() if r.random() < 0.3 else r.choice(names) for _ in range(r.randint(0, n))]
+    vector = lambda: None if r.random() < 0.1 else [0.0] * 5 if r.random() < 0.1 else [r.gauss(0, 1) for _ in range(5)]
+    jobs = [(i, vector(), pick(3), pick(3), pick(4) or None, r.choice([None, 0.0, 1.0, 4.0]), r.choice([None, 3, 4])) for i in range(300)]
+    jobs += [(300 + i, *jobs[7][1:]) for i in range(200)]  # very many copies of one posting
+    postings = spark.createDataFrame(jobs, "id long, embedding array<double>, required_skills array<string>, preferred_skills array<string>, skills array<string>, experience_years double, last_seen_at int").repartition(3)
+    people = spark.createDataFrame([(f"p{i}", vector(), pick(6) or None, r.choice([None, 0.0, 2.0])) for i in range(30)], "profile_id string, embedding array<double>, skills array<string>, experience_years double")
+    known = spark.createDataFrame([(a, b) for a in names for b in names if a[-1] == b[-1]], "left string, right string")
+    for pairs in (None, known):
+        want = matching.top_k(matching.score_pairs(people, postings, pairs), 7).select("p_profile_id", "id", "rank", "score").collect()
+        got = matching.best_matches(people, postings, 7, pairs).select("p_profile_id", "id", "rank", "score").collect()
+        assert sorted(got) == sorted(want) and len(got) == 210
+    assert matching.best_matches(people, postings.where("false"), 7).count() == 0 and matching.best_matches(people.where("false"), postings, 7).count() == 0
+
+
+def test_reasons_tell_only_what_is_known(spark):
+    a = F.array().cast("array<string>")
+    rows = spark.range(1).withColumns({"embedding_score": F.lit(0.5), "skill_score": F.lit(0.0), "experience_score": F.lit(1.0), "matched_skills": a, "missing_skills": a, "required_skills": a, "matched_clearance": a, "clearance_terms": a, "salary_text": F.lit("Full-time")})
+    assert len(rows.select(matching.reasons().alias("r")).first().r) == 3
+    more = rows.withColumns({"required_skills": F.array(F.lit("x")), "salary_text": F.lit("pay $20 to $30 per hour")})
+    assert more.select(matching.reasons().alias("r")).first().r[3:] == ["No skill gap.", "Pay: $20 - $30/hr."]
+
+
+def test_salary_of_long_texts_is_linear(spark):
+    text = " | ".join(f"Part {i} pays ${i} - ${i + 5} per hour" for i in range(20, 25_000))
+    rows = spark.createDataFrame([(text,), ("Pay: $10 - $20 per hour | Salary $30,000 - $40,000 a year | pay: $10 - $20 PER HOUR",)], "text string")
+    got = [r.s for r in rows.select(annotate.salary(F.col("text")).alias("s")).collect()]
+    assert got[0].interval == "hour" and got[1].low == 30_000
+
+
+def test_scan_log_and_reset(spark):
+    sources = spark.createDataFrame([(1, "e"), (2, "f")], "id long, etag string").withColumns({"last_modified": F.lit("m"), "last_scan_at": F.lit(NOW), "last_status": F.lit("ok")})
+    from talentweave.sources import sinks
+
+    log = sinks.begin_scans(sources, NOW)
+    assert [r.status for r in log.collect()] == ["running"] * 2 and log.select("id").distinct().count() == 2
+    done = log.where("source_id = 2").select("id", F.lit("error").alias("status"), F.lit("why").alias("error_text"))
+    got = {r.source_id: r for r in sinks.finish_scans(log, done, LATER).collect()}
+    assert (got[1].status, got[1].finished_at, got[2].status, got[2].error_text, got[2].finished_at, got[2].jobs_found) == ("running", None, "error", "why", LATER, 0)
+    rows, scans, back = sync.cleared(sources, log, sources)
+    assert rows.count() == scans.count() == 0 and back.select("etag", "last_modified", "last_scan_at", "last_status").distinct().collect() == [(None, None, None, None)]
+
+
+def test_words_of_cards_and_links(spark, col):
+    assert [col(filters.bundled(F.lit(x))) for x in ("Multiple  Openings", "hiring multiple cooks", "see all", "oversee allied", "multiple positions")] == [True, True, True, False, False]
+    assert [col(filters.job_like(F.lit(h), F.lit("title"))) for h in ("/posting/1", "/opportunities", "/vacancies", "/Careers")] == [True, True, False, True]
+    assert col(annotate.clearance_token(F.lit("TS/SCI"))) and not col(annotate.clearance_token(F.lit("day shift")))
