@@ -8,31 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talentweave.functions.text import EMAIL, cosine, excerpt, first_match, fold, squeeze, strip_html, text_hash
+from talentweave.functions.text import EMAIL, excerpt, first_match, fold, squeeze, strip_html, text_hash
 from talentweave.functions.urls import TRACKING_KEYS, canonical_url
 from talentweave.operators import annotate, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
 from talentweave.plans import derived as d
 from talentweave.plans.derived import table
+from talentweave.plans.registry import AS_OF, QUERIES, SQL, query
 from talentweave.sources.shared import shared_path
 from talentweave.sources.sinks import flat, read_current
 from talentweave.streaming import flows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-AS_OF = dt.datetime(2024, 1, 31)
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- pages -------------------------------------------------------------------------------------------------
 _KEYS = ", ".join(f"'{k}'" for k in TRACKING_KEYS)
 _CANONICAL = rf"""
@@ -94,11 +79,6 @@ def candidates_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.best_candidates(found, ["page_id"]).select("page_id", "rank", "board_url", "platform")
 
 
-@query(f"WITH {_LINKS} SELECT page_id, arg_min(url, pos) AS next_url FROM l WHERE lower(text) IN ('next', 'next page', 'older', 'more jobs') OR starts_with(lower(text), 'next ') GROUP BY page_id")
-def page_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.next_page(table(spark, sf_dir, "pages"))
-
-
 # ---- documents ---------------------------------------------------------------------------------------------
 _SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _FOLDED = f"replace(lower({_SQUEEZED}), 'ß', 'ss')"
@@ -136,12 +116,6 @@ def doc_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", first_match(F.col("text"), EMAIL).alias("email")).where("email is not null")
 
 
-@query(rf"SELECT doc_id, regexp_matches(lower(text), 'ray id|cloudflare|just a moment') AS challenge, CASE WHEN regexp_matches({_FOLDED}, '\bremote\b') THEN 'remote' WHEN regexp_matches({_FOLDED}, '\bhybrid\b') THEN 'hybrid' ELSE 'unknown' END AS mode FROM documents")
-def doc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", annotate.challenge_page(text).alias("challenge"), annotate.work_mode(text).alias("mode"))
-
-
 @query(r"""
 WITH l AS (SELECT doc_id, i AS pos, trim(regexp_replace(string_split(text, chr(10))[i], '\s+', ' ', 'g')) AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS g(i)),
 h AS (SELECT *, CASE WHEN regexp_matches(line, '^[^ ]+$') THEN line END AS head FROM l WHERE line <> ''),
@@ -379,14 +353,14 @@ def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT profile_id, posting_id, round(greatest(0.0, least(1.0, list_cosine_similarity(a, b))), 6) AS score FROM p, j)
 SELECT profile_id, posting_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, posting_id DESC) AS rank FROM x) WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.pairs(d.vector_profiles(spark, sf_dir).select("profile_id", "embedding"), d.vector_postings(spark, sf_dir).select("id", "embedding"))
-    rows = rows.withColumn("score", F.round(cosine(F.col("p_embedding"), F.col("embedding")), 6))
-    return matching.top_k(rows, 10, ("id",)).select(F.col("p_profile_id").alias("profile_id"), F.col("id").alias("posting_id"), "score", "rank")
+    alone = {"embedding": 1.0, "skill": 0.0, "experience": 0.0}
+    rows = matching.best_matches(d.vector_profiles(spark, sf_dir), d.vector_postings(spark, sf_dir), 10, weights=alone, order=("id",), digits=6)
+    return rows.select(F.col("p_profile_id").alias("profile_id"), F.col("id").alias("posting_id"), "score", "rank")
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = matching.score_pairs(d.vector_profiles(spark, sf_dir), d.vector_postings(spark, sf_dir))
-    return matching.explain(matching.top_k(scored, 20, ("id",))).withColumnsRenamed({"p_profile_id": "profile_id", "id": "posting_id"})
+    ranked = matching.best_matches(d.vector_profiles(spark, sf_dir), d.vector_postings(spark, sf_dir), 20, order=("id",))
+    return matching.explain(ranked).withColumnsRenamed({"p_profile_id": "profile_id", "id": "posting_id"})
 
 
 @query(f"WITH {d.RANK_SQL} SELECT profile_id, posting_id, CAST(rank AS INT) AS rank, round(score, 6) AS score, round(e, 6) AS embedding_score, round(s, 6) AS skill_score, round(xs, 6) AS experience_score FROM r WHERE rank <= 20")
@@ -526,3 +500,9 @@ def normalized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = spark.createDataFrame([(1, "Parts", "https://parts.example/list", "custom_url")], "id long, name string, url string, source_type string")
     rows = normalize.normalize_postings(payloads, sources, {"Zymurgy": ["zymurgy"]})
     return rows.select("external_id", "title", "company", "salary_min", "remote_mode", "experience_years", "summary_text")
+
+
+# the other modules register their queries when they are imported
+from talentweave.plans import boards, resumes, upkeep  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "boards", "resumes", "upkeep"]
