@@ -9,9 +9,11 @@ characters whose transitions carry a number of tokens.  States are compiled when
 
 Tokens never run on from another character into a word mark, so each word starts in the same state: the map from
 states to states that a word stands for is constant, and the counts of words add up.  Words run in lockstep, one
-character of every word a step.  A very long word is cut into chunks; each chunk's map is computed for the entry
-state that the characters before it suggest, and the maps are composed by a parallel prefix scan, in which a chunk
-whose entry state proves to be another is mapped again from that state.
+character of every word a step.  Very long words are cut into chunks.  A chunk's map gives, for each state in which
+it may be entered, the state in which it is left and the tokens counted; the states are those that the characters
+before the chunk suggest and all in which the chunk before is left, so every map leads into the domain of the next.
+The maps are composed by a parallel prefix scan: in each step every map is joined with the one that follows it, and
+reaches twice as far.
 """
 
 from __future__ import annotations
@@ -25,14 +27,19 @@ from talentweave.llm.common import map_slices, only
 MARK = 0x2581
 #: Words longer than this are cut into chunks of this length.
 CHUNK = 512
-#: Characters before a chunk from which its entry state is guessed.
+#: Characters before a chunk that suggest in which state it is entered.
 LEAD = 48
-#: The table of transitions starts anew beyond so many cells in use (4 bytes each, and 1 for the count).
+#: The table of transitions is cut down to the states in use beyond so many cells (4 bytes each, and 1 for the count).
 CELLS = 16_000_000
+#: Beyond so many known pairs of tokens they are forgotten.
+PAIRS = 500_000
+#: Columns of the characters that no piece has: by the length of their UTF-8.
+FOREIGN = 4
 
 
 class Transducer:
-    """Compiled from {piece: score}; characters outside all pieces count as their UTF-8 bytes (byte fallback)."""
+    """Compiled from {piece: score}; characters outside all pieces count as their UTF-8 bytes (byte fallback),
+    and those of one length are one character to it."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
@@ -57,8 +64,13 @@ class Transducer:
             self.token[node] = t
         self.other = len(self.names)  # a character that no piece has
         self.pairs: dict[int, bool] = {}
-        self.classes = np.full(0x110000, -1, np.int32)
-        self.characters: list[str] = []
+        self.classes = np.repeat(np.arange(FOREIGN, dtype=np.int32), [0x80, 0x800 - 0x80, 0x10000 - 0x800, 0x110000 - 0x10000])
+        own = {c for p in self.names for c in p}
+        self.classes[[ord(c) for c in own]] = -1  # columns of their own when met
+        ranges = ((0, 0x80), (0x80, 0x800), (0xE000, 0x10000), (0x10000, 0x110000))
+        # one that stands for all foreign ones of its length; if there is none, none can be met
+        self.characters = [next((c for c in map(chr, range(*r)) if c not in own), "\0") for r in ranges]
+        self.held: list[np.ndarray] = []
         self._begin()
 
     def _begin(self) -> None:
@@ -68,6 +80,18 @@ class Transducer:
         self.go = np.full((1024, max(64, len(self.characters))), -1, np.int32)
         self.emit = np.zeros(self.go.shape, np.int8)
 
+    def _cut_down(self, live: list[np.ndarray]) -> None:
+        """A table of the live states alone (and the start state); their numbers are put in place of the old ones."""
+        old = self.states
+        kept = np.unique(np.concatenate([[0], *live]))
+        self.states = [old[i] for i in kept.tolist()]
+        self.number = {state: i for i, state in enumerate(self.states)}
+        rows = max(1024, 2 * len(kept))
+        self.go = np.full((rows, self.go.shape[1]), -1, np.int32)
+        self.emit = np.zeros(self.go.shape, np.int8)
+        for x in live:
+            x[:] = np.searchsorted(kept, x)
+
     def segment(self, text: str) -> list[str]:
         """The segmentation itself, by merging; used on two tokens at a time."""
         parts = list(text)
@@ -90,6 +114,8 @@ class Transducer:
         key = u << 20 | t
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
             a, b = self.names[u], self.names[t]
             known = self.pairs[key] = self.segment(a + b) == [a, b]
         return known
@@ -116,8 +142,9 @@ class Transducer:
             n = self.number[state] = len(self.states)
             self.states.append(state)
             if n >= len(self.go):
-                self.go = np.concatenate([self.go, np.full(self.go.shape, -1, np.int32)])
-                self.emit = np.concatenate([self.emit, np.zeros(self.emit.shape, np.int8)])
+                rows = len(self.go) // 2 + 1024
+                self.go = np.concatenate([self.go, np.full((rows, self.go.shape[1]), -1, np.int32)])
+                self.emit = np.concatenate([self.emit, np.zeros((rows, self.emit.shape[1]), np.int8)])
         self.go[s, k] = n
         self.emit[s, k] = more
 
@@ -143,9 +170,13 @@ class Transducer:
         at, lengths = starts[order], lengths[order]
         state = np.zeros(len(at), np.int64) if entry is None else entry[order].astype(np.int64)
         count = np.zeros(len(at), np.int64)
+        room = CELLS
         alive = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
         for t, n in enumerate(alive.tolist()):
             k = columns[at[:n] + t]
+            if len(self.states) * self.go.shape[1] > room:
+                self._cut_down([state, *self.held])
+                room = max(CELLS, 2 * len(self.states) * self.go.shape[1])
             s = state[:n]
             cell = s * self.go.shape[1] + k
             new = self.go.ravel()[cell]
@@ -159,24 +190,46 @@ class Transducer:
         out_s[order], out_c[order] = state, count
         return out_s, out_c
 
-    def long_word(self, columns: np.ndarray, start: int, end: int) -> int:
-        """Count of one long word: chunks run from guessed entry states, and again where the guess was wrong."""
-        starts = np.arange(start, end, CHUNK)
-        ends = np.minimum(starts + CHUNK, end)
-        guess, _ = self.run(columns, np.maximum(starts - LEAD, start), starts)
-        exits, counts = self.run(columns, starts, ends, guess)
-        while True:
-            # right once every chunk begins in the state in which the one before it ended
-            wrong = np.flatnonzero(exits[:-1] != guess[1:]) + 1
-            if not len(wrong):
-                return int(counts.sum())
-            guess[wrong] = exits[wrong - 1]
-            exits[wrong], counts[wrong] = self.run(columns, starts[wrong], ends[wrong], guess[wrong])
+    def long_words(self, columns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Counts of long words: maps of all their chunks, composed by a prefix scan."""
+        many = -(-(ends - starts) // CHUNK)
+        word = np.repeat(np.arange(len(starts)), many)
+        first = np.cumsum(many) - many
+        begin = starts[word] + (np.arange(len(word)) - first[word]) * CHUNK
+        end = np.minimum(begin + CHUNK, ends[word])
+        last = np.append(word[1:] != word[:-1], True)
+        entry, _ = self.run(columns, np.maximum(begin - LEAD, starts[word]), begin)
+        entry[first] = 0
+        # a map's rows: chunk, state in which it is entered, state in which it is left, tokens
+        chunk, count = np.arange(len(word)), np.zeros(0, np.int64)
+        chunks, rows = np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        while len(chunk):
+            # arrays of states are handed over, since a table that is cut down numbers its states anew
+            self.held = [*rows, entry]
+            left, tokens = self.run(columns, begin[chunk], end[chunk], entry)
+            *rows, entry = self.held
+            rows = (np.concatenate([rows[0], entry]), np.concatenate([rows[1], left]))
+            chunks, count = np.concatenate([chunks, chunk]), np.concatenate([count, tokens])
+            on = np.flatnonzero(~last[chunk])
+            wide = len(self.states) + 1
+            asked = np.unique((chunk[on] + 1) * wide + left[on])
+            asked = asked[~np.isin(asked, chunks * wide + rows[0])]
+            chunk, entry = asked // wide, asked % wide
+        self.held = []
+        wide = len(self.states) + 1
+        names = chunks * wide + rows[0]
+        order = np.argsort(names)
+        # what follows a row is the next chunk's row for the state in which it leaves; the row after all is the end
+        follows = np.append(np.searchsorted(names[order], (chunks + 1) * wide + rows[1])[order], len(names))
+        follows[:-1][last[chunks[order]]] = len(names)
+        count = np.append(count[order], 0)
+        for _ in range(int(many.max(initial=1)).bit_length()):
+            count = count + count[follows]
+            follows = follows[follows]
+        return count[np.searchsorted(names[order], first * wide)]
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text: a mark before it, spaces as marks, words from mark to mark; an empty text has none."""
-        if len(self.states) * self.go.shape[1] > CELLS:
-            self._begin()
         marked = [("▁" + x).replace(" ", "▁") if x else "" for x in texts]
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         points = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
@@ -194,8 +247,8 @@ class Transducer:
         short = ends - starts <= 4 * CHUNK
         total = np.zeros(len(starts), np.int64)
         _, total[short] = self.run(columns, starts[short], ends[short])
-        for i in np.flatnonzero(~short).tolist():
-            total[i] = self.long_word(columns, int(starts[i]), int(ends[i]))
+        if not short.all():
+            total[~short] = self.long_words(columns, starts[~short], ends[~short])
         of = np.repeat(np.arange(len(texts)), sizes)[starts]
         np.add.at(out, of, total)
         return out
