@@ -9,6 +9,7 @@ likelihood of labelled pages (``labelled``), with the expectations from the same
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import random
 import re
@@ -80,8 +81,23 @@ def parse(source: str) -> Page:
     """The page's tree, with ends that the source leaves out; comments, scripts and the like make no nodes."""
     page = Page()
     stack, names = [-1], [""]
+    places: dict[str, list[int]] = {}  # where in the stack each name stands, so that nothing is searched for
     block, at = 0, 0
 
+    def push(number: int, name: str) -> None:
+        places.setdefault(name, []).append(len(names))
+        stack.append(number)
+        names.append(name)
+
+    def cut(back: int) -> None:
+        """Close the open elements from a place of the stack on."""
+        for name in names[back:]:
+            places[name].pop()
+        del names[back:], stack[back:]
+
+    def last(*wanted: str) -> int:
+        return max((places[x][-1] for x in wanted if places.get(x)), default=-1)
+
     def node(tag: str, hints: int, text: str | None) -> int:
         page.parent.append(stack[-1])
         page.tag.append(TAG_NUMBER.get(tag, len(TAGS)))
@@ -96,7 +112,8 @@ def parse(source: str) -> Page:
             node("#text", 0, entities.unescape(raw) if "&" in raw else raw)
 
     node("html", 0, None)
-    stack, names = [0], ["html"]
+    stack, names = [], []
+    push(0, "html")
     hidden = 0  # depth of the stack at which hidden content began
     end, n = 0, len(source)
     while end < n:
@@ -119,13 +136,9 @@ def parse(source: str) -> Page:
         if name not in INLINE:
             block += 1
         if closing:
-            if name in names:
-                while names[-1] != name:
-                    names.pop()
-                    stack.pop()
-                if len(names) > 1:
-                    names.pop()
-                    stack.pop()
+            back = last(name)
+            if back >= 0:
+                cut(max(back, 1))
                 if hidden and len(stack) < hidden:
                     hidden = 0
             continue
@@ -137,21 +150,15 @@ def parse(source: str) -> Page:
                 say("\n")
             continue
         if not hidden or name == "body":
-            if name in _P_ENDS and "p" in names:
-                back = len(names) - 1 - names[::-1].index("p")
-                if not any(x in ("table", "button", "object") for x in names[back:]):
-                    del names[back:], stack[back:]
+            if name in _P_ENDS and last("p") > last("table", "button", "object"):
+                cut(last("p"))
             ends = _CLOSES.get(name)
             if ends:
-                holds = _HOLDS[name]
-                back = len(names) - 1
-                last = None
-                while back > 0 and names[back] not in holds:
-                    if names[back] in ends:
-                        last = back
-                    back -= 1
-                if last is not None:
-                    del names[last:], stack[last:]
+                # up to the nearest holder, but never the root
+                inside = last(*_HOLDS[name]) if _HOLDS[name] else 0
+                firsts = [x[i] for x in map(places.get, ends) if x and (i := bisect.bisect_right(x, max(inside, 0))) < len(x)]
+                if firsts:
+                    cut(min(firsts))
                 if hidden and len(stack) < hidden:
                     hidden = 0
         if name in RAW and (m[3] or "").rstrip()[-1:] != "/":
@@ -167,10 +174,9 @@ def parse(source: str) -> Page:
             if not hidden:
                 node(name, _hints(m[3] or ""), None)
             continue
-        if name == "body" and "body" in names:
+        if name == "body" and places.get("body"):
             continue
-        stack.append(node(name, _hints(m[3] or ""), None) if not hidden else stack[-1])
-        names.append(name)
+        push(node(name, _hints(m[3] or ""), None) if not hidden else stack[-1], name)
         if name in HIDDEN and not hidden:
             hidden = len(stack)
     return page
@@ -262,10 +268,11 @@ def messages(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray
     n = len(f.parent)
     up = unary.copy()  # a node's own potential and what its children said
     sent = np.zeros((n, 2))
-    for level in f.levels[:0:-1]:
+    for above, level in zip(f.levels[-2::-1], f.levels[:0:-1], strict=True):
         sent[level] = _lse(pair[f.kind[level]] + up[level][:, None, :], 2)
+        at = np.searchsorted(above, f.parent[level])  # work by the level's size, so deep pages stay linear
         for s in (0, 1):
-            up[:, s] += np.bincount(f.parent[level], weights=sent[level, s], minlength=n)
+            up[above, s] += np.bincount(at, weights=sent[level, s], minlength=len(above))
     down = np.zeros((n, 2))
     edges = np.zeros((n, 2, 2))
     for level in f.levels[1:]:
