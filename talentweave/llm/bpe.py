@@ -15,15 +15,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from talentweave.llm.common import only, slices, span_hashes
+from talentweave.llm.common import only, slices, span_codes, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Bytes of text to a slice, and pieces remembered by a worker before it starts anew (some 60 bytes each).
@@ -109,7 +108,8 @@ class Encoder:
         for token in ranks:
             b = np.frombuffer(token, np.uint8)
             self.meet[b[:-1], b[1:]] = True
-        spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")
+        # what does not fit goes where Spark itself spills, and goes with the executor
+        spill = os.path.join(SparkFiles.getRootDirectory(), f"duckdb-{os.getpid()}")
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": spill})
         given = merge_rows(ranks)
         self.con.register("given", given)
@@ -224,7 +224,7 @@ class Pieces:
     """The pieces that a worker has met, with their ids and bytes, in flat arrays; kept from partition to partition."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.seed = path, 1
         self._clear()
 
     def _clear(self) -> None:
@@ -249,6 +249,31 @@ class Pieces:
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.ids, self.bytes = np.concatenate([self.ids, ids]), self.bytes + decoded
 
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Places of different pieces, learning those that are new, and the bytes decoded from their ids.
+
+        Decoded bytes must be the pieces' own; where two pieces share a hash they are not, and other hashes are taken.
+        """
+        raw = data.tobytes()
+        pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for _ in range(3):
+            hashes = span_hashes(data, starts, ends, self.seed)
+            number = self._find(hashes)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                new = new[np.unique(hashes[new], return_index=True)[1]]
+                self._learn(hashes[new], [pieces[i] for i in new.tolist()])
+                number = self._find(hashes)
+            own = [self.bytes[s:e] for s, e in zip(self.at[number].tolist(), self.at[number + 1].tolist(), strict=True)]
+            if own == pieces:
+                return number, own
+            self._clear()
+            self.seed += 1
+        # texts made to share hashes whatever the seed: these pieces alone, by their order
+        self._learn(np.arange(len(pieces), dtype=np.uint64), pieces)
+        number, self.keys, self.places = np.arange(len(pieces)), self.keys[:0], self.places[:0]
+        return number, pieces
+
     def encode(self, texts: list[bytes], each: Callable[[np.ndarray, bytes], None]) -> None:
         """Call ``each(ids, decoded bytes)`` for every text in order."""
         if len(self.keys) > KEPT:
@@ -265,17 +290,9 @@ class Pieces:
         apart = np.flatnonzero(~encoder(self.path).meet[data[:-1], data[1:]]) + 1  # a piece is cut where no token can run on
         starts = np.union1d(starts, apart)
         ends = np.append(starts[1:], len(data))[: len(starts)]
-        code, unique = pd.factorize(span_hashes(data, starts, ends))
-        number = self._find(unique)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            first = np.empty(len(unique), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            at = first[new]
-            self._learn(unique[new], [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            number = self._find(unique)
+        code, first = span_codes(data, starts, ends)
+        number, own = self._numbers(data, starts[first], ends[first])
         begin, count = self.begins[number], self.begins[number + 1] - self.begins[number]
-        own = [self.bytes[s:e] for s, e in zip(self.at[number].tolist(), self.at[number + 1].tolist(), strict=True)]
         bounds = np.searchsorted(starts, np.append(text_starts, len(data))).tolist()
         for s, e in zip(bounds, bounds[1:], strict=False):
             c = code[s:e]
