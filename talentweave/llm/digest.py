@@ -9,6 +9,7 @@ the overlap of their bits, normalised by the overlap that chance gives.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,6 +179,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _constant(values: list, kind: str) -> F.Column:
+    """An array as one literal of the plan, however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def in_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, halo, doc_id, text): rows dealt to ranges of falling doc_id, each closed by a copy of the next range's
     first row (the last range by the first row of all), sorted within partitions."""
@@ -191,9 +197,9 @@ def in_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     coarse = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
     at = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     if cuts:
-        group = F.aggregate(F.array(*[F.lit(c[0]) for c in coarse]), F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0))
+        group = F.aggregate(_constant([c[0] for c in coarse], "array<double>"), F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0))
         rows = rows.withColumn("g", group)
-        inner = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in coarse]), F.greatest(F.col("g"), F.lit(1)))
+        inner = F.element_at(_constant(coarse, "array<array<double>>"), F.greatest(F.col("g"), F.lit(1)))
         place = F.when(F.col("g") == 0, 0).otherwise((F.col("g") - 1) * wide + F.aggregate(inner, F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0)))
     else:
         rows, place = rows.withColumn("g", F.lit(0)), F.lit(0)
@@ -205,9 +211,8 @@ def in_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     if not falling:
         return rows.select("bucket", F.lit(False).alias("halo"), "doc_id", "text", "tie")
     span = range(max(falling) + 1)
-    top_id = F.element_at(F.array(*[F.lit(tops.get(b, (None, None))[0]).cast("long") for b in span]), F.col("bucket") + 1)
-    top_tie = F.element_at(F.array(*[F.lit(tops.get(b, (None, None))[1]).cast("long") for b in span]), F.col("bucket") + 1)
-    goes = F.element_at(F.array(*[F.lit(after.get(b, 0)) for b in span]), F.col("bucket") + 1)
+    told = [_constant([tops.get(b, (None, None))[i] for b in span], "array<bigint>") for i in (0, 1)]
+    top_id, top_tie, goes = (F.element_at(x, F.col("bucket") + 1) for x in (*told, _constant([after.get(b, 0) for b in span], "array<int>")))
     first = F.col("doc_id").eqNullSafe(top_id) & F.col("tie").eqNullSafe(top_tie)
     own = F.struct("bucket", F.lit(False).alias("halo"))
     sent = F.when(first, F.array(own, F.struct(goes.alias("bucket"), F.lit(True).alias("halo")))).otherwise(F.array(own))
