@@ -40,6 +40,36 @@ def shares(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1),
     return out
 
 
+def targets_of(sizes: DataFrame, weights: tuple[float, ...], amount: float, most: float) -> DataFrame:
+    """(sk, name, source_size, target): ``shares`` for any number of sources (name, source_size).
+
+    Sources are ranked by ranges of names, and what a unit of weight gets is found from sums: a source is full if
+    ``most`` times its size is less than its weight's part, and what the full ones leave raises the part of the others.
+    The driver holds a few numbers a round and one a partition.
+    """
+    spark = sizes.sparkSession
+    dealt = sizes.repartitionByRange(F.col("name").isNull(), F.col("name")).withColumn("part", F.spark_partition_id())
+    dealt = written(dealt.withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy(F.col("name").isNull(), "name"))), "ranked")
+    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in sorted(counts):
+        offsets.append((part, before))
+        before += counts[part]
+    ranked = dealt.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part")
+    sk = (F.col("before") + F.col("no") - 1).alias("sk")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("sk"), F.lit(len(weights))) + 1).cast("int"))
+    ranked = written(ranked.select(sk, "name", "source_size").withColumn("weight", weight), "weighted")
+    full = most * F.col("source_size")
+    whole, level, n_full = amount * (ranked.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        is_full = full < F.lit(level) * F.col("weight")
+        r = ranked.agg(F.count_if(is_full).alias("n"), F.sum(F.when(is_full, full).otherwise(0.0)).alias("taken"), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        if r["n"] == n_full or not r["open"]:
+            break
+        n_full, level = r["n"], (whole - r["taken"]) / r["open"]
+    return ranked.select("sk", "name", "source_size", F.least(full, F.lit(level) * F.col("weight")).alias("target"))
+
+
 def _crossing(rows: DataFrame, bucket: F.Column, budgets: DataFrame) -> DataFrame:
     """(sk, bound, rest): the bucket of each source in which its budget ends, and what is left for that bucket."""
     sums = rows.select("sk", bucket.alias("bound"), "size").groupBy("sk", "bound").agg(F.sum("size").alias("held"))
@@ -62,15 +92,18 @@ def thresholds(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amo
     spark = documents.sparkSession
     rows = _with_size(only(documents, key, source, text).toDF("doc_id", "source", "text"), "doc_id", "text")
     rows = written(rows.select("source", F.col("mix_size").alias("size"), F.col("mix_hash").alias("h")), "sizes")
-    sizes = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    targets = shares(sizes, weights, amount, most)
-    plan = []
-    for i, (name, size) in enumerate(sizes.items()):
-        passes = min(int(targets[name] // size), int(most)) if size else 0
-        plan.append((i, name, size, float(targets[name]), passes, float(targets[name] - passes * size) if size else 0.0))
-    few = len(plan) <= BROADCAST_SOURCES
+    sizes = written(rows.groupBy(F.col("source").alias("name")).agg(F.sum("size").alias("source_size")), "sources")
+    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     near = F.broadcast if few else (lambda df: df.hint("merge"))
-    sources = spark.createDataFrame(plan, "sk int, name string, source_size long, target double, passes int, rest double")
+    if few:
+        held = {r["name"]: r["source_size"] for r in sizes.collect()}  # at most BROADCAST_SOURCES rows
+        targets = shares(held, weights, amount, most)
+        sources = spark.createDataFrame([(i, name, size, float(targets[name])) for i, (name, size) in enumerate(held.items())], "sk long, name string, source_size long, target double")
+    else:
+        sources = targets_of(sizes, weights, amount, most)
+    size = F.col("source_size")
+    passes = F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(int(most)))).otherwise(0).cast("int")
+    sources = sources.withColumn("passes", passes).withColumn("rest", F.when(size > 0, F.col("target") - F.col("passes") * size).otherwise(0.0))
     rows = rows.join(near(sources.select("sk", "name")), rows["source"].eqNullSafe(sources["name"])).select("sk", "size", "h")
     first, second = _bits("h")
 
@@ -121,7 +154,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: fl
     ``whole`` it is taken if that comes nearer to the target.  Rows of the same hash of key and text (repeated
     rows) share what is missing by size.  Null or blank texts have size 0 and give nothing; null sources form one
     source, last in order; an empty table gives no rows.  Only the three named columns are read; the driver holds
-    one number per source.
+    one number a source for at most BROADCAST_SOURCES of them, and none for more.
     """
     rows = mixed_rows(only(documents, key, source, text).toDF("doc_id", "source", "text"), weights, amount, most, whole)
     return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
