@@ -313,7 +313,7 @@ def jaccard_at_least(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, simil
 def confirmed(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b long): those pairs of the blocks whose shingle sets have the similarity."""
     keys = ["lo", "hi", "seq"]
-    asked = blocks.select(F.explode("nodes").alias("node"), *[F.col(c).alias(f"of_{c}") for c in keys]).join(sets, "node")
+    asked = blocks.select(F.explode("nodes").alias("node"), *[F.col(c).alias(f"of_{c}") for c in keys]).hint("merge").join(sets.hint("merge"), "node")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = dict(zip(right.column("node").to_pylist(), right.column("shingles"), strict=True))
