@@ -402,20 +402,30 @@ def app_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
-    """The last row of each key of a flow run over a table as it is there now.
+    """The last row of each key of a flow over a table that lands in four parts, in order of time.
 
-    Micro-batches are written to the shared folder with their number, the checkpoint lies beside them; nothing passes
-    through the driver, and a batch that is run again writes the same folder again.
+    After each part the stream is started again from its checkpoint and takes what is new as one micro-batch, so
+    state goes from batch to batch and over restarts.  Micro-batches are written to the shared folder with their
+    number, the checkpoint lies beside them; nothing passes through the driver, and a batch that is run again writes
+    the same folder again.
     """
-    schema, root = table(spark, sf_dir, name).schema, shared_path(spark, "stream")
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
-    out = flow(source)
+    rows, root = table(spark, sf_dir, name), shared_path(spark, "stream")
+    moment = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = rows.select(moment.alias("m")).approxQuantile("m", [0.25, 0.5, 0.75], 0.01)
+    part = F.lit(0)
+    for cut in sorted(set(cuts)):
+        part = part + F.when(moment > F.lit(cut), 1).otherwise(0)
+    rows.where(part == 0).write.parquet(f"{root}/in")
+    out = flow(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    run = out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
-    run.awaitTermination()
+    for number in range(len(set(cuts)) + 1):
+        if number:
+            rows.where(part == number).write.mode("append").parquet(f"{root}/in")
+        run = out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+        run.awaitTermination()
     rows = spark.read.parquet(f"{root}/out")
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c != key]), "batch").alias("r")).select(key, "r.*")
 
@@ -446,17 +456,22 @@ def capture_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("SELECT o_custkey % 7 AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id, true AS active FROM orders")
+@query("""SELECT o_custkey % 7 AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id, true AS active, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS first_batch, CASE WHEN o_orderkey % 4 = 3 THEN 2 ELSE 3 END AS last_batch,
+CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS updated_batch FROM orders""")
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as captures that arrive as a stream and are merged into a published snapshot."""
-    schema, root = table(spark, sf_dir, "orders").schema, shared_path(spark, "captures")
+    """Orders as captures that arrive in four batches, each without a quarter of the keys, merged into a published snapshot."""
+    orders, root = table(spark, sf_dir, "orders"), shared_path(spark, "captures")
     none = F.lit(None).cast("timestamp")
     prepare = lambda b: b.select((F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("content_hash"))
     empty = prepare(table(spark, sf_dir, "orders")).where("false").withColumns({"active": F.lit(True), "first_seen_at": none, "last_seen_at": none, "last_updated_at": none, "application_status": F.lit("x"), "application_confirmation_needed": F.lit(False)})
     merge = flows.merge_batches(prepare, f"{root}/snapshots", empty, lambda i: AS_OF + dt.timedelta(hours=i))
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return read_current(spark, f"{root}/snapshots").select("source_id", "external_id", "active")
+    for number in range(4):
+        orders.where(F.col("o_orderkey") % 4 != number).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(orders.schema).parquet(f"{root}/in")
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    hours = lambda c: F.floor((F.unix_timestamp(c) - F.unix_timestamp(F.lit(AS_OF))) / 3600).cast("int")
+    rows = read_current(spark, f"{root}/snapshots")
+    return rows.select("source_id", "external_id", "active", *[hours(F.col(f"{c}_at")).alias(n) for c, n in (("first_seen", "first_batch"), ("last_seen", "last_batch"), ("last_updated", "updated_batch"))])
 
 
 @query(f"""WITH {d.SNAPSHOTS_SQL} SELECT coalesce(old.source_id, new.source_id) AS source_id, coalesce(old.external_id, new.external_id) AS external_id, new.h IS NOT NULL AS active,
