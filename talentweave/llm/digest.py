@@ -203,7 +203,12 @@ def in_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
         place = F.when(F.col("g") == 0, 0).otherwise((F.col("g") - 1) * wide + F.aggregate(inner, F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0)))
     else:
         rows, place = rows.withColumn("g", F.lit(0)), F.lit(0)
-    rows = rows.withColumn("bucket", place.cast("int")).drop("g")
+    # rows without an id come last, by a hash of their texts, so that many of them make several ranges
+    total = rows.agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("no_id")).first()
+    lone = max(1, -(-total["no_id"] * n // max(total["n"], 1)))
+    share = (F.lit(float(2**63)) - F.col("tie").cast("double")) / float(2**64)
+    last = F.lit(lone - 1) - F.least(F.floor(share * lone), F.lit(lone - 1))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), last).otherwise(place + lone).cast("int")).drop("g")
     order = F.struct("doc_id", "tie")
     tops = {r["bucket"]: (r["top"]["doc_id"], r["top"]["tie"]) for r in rows.groupBy("bucket").agg(F.max(order).alias("top")).collect()}  # one row a range
     falling = sorted(tops, reverse=True)

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain Python that follows their definitions step by step."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -147,6 +148,19 @@ def test_digests_equal_brute_force(spark):
         assert got[d].near_edited == pytest.approx(_likeness(mine, edited)) and got[d].near_next == pytest.approx(_likeness(mine, other))
 
 
+def test_rows_without_ids_follow_each_other(spark):
+    texts = [f"{i} " + "text " * (i % 40) for i in range(300)] + ["same"] * 40
+    rows = spark.createDataFrame([(i if i % 3 == 0 and i < 300 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(keyed, key=lambda x: (x.doc_id is None, -(x.doc_id or 0), -x.h))
+    want = []
+    for x, y in zip(order, order[1:] + order[:1], strict=True):
+        half = len(x.text) // 2
+        want.append((x.doc_id, hashlib.sha256((x.text[: len(x.text) - half] + y.text[:half]).encode()).hexdigest()))
+    got = [(x.doc_id, x.edited_sha256) for x in digest.fingerprints_with_edits(rows).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
 # ---- mixing: targets by shares worked out otherwise, rows below a threshold ----------------------------------
 def _targets(sizes: dict) -> dict:
     """The level at which 150 % are shared out, found by halving."""
