@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 SCRIPT_NOISE = r"(?i)(sourceMappingURL|window\.__|window\.onerror|webpack|rspack|bundler=|pixelRatio|screenWidth|screenHeight|function\s*\(|var\s+\w+\s*=\s*\{)"
 SCRIPT_NOISE_HITS, SCRIPT_NOISE_CHARS = 2, 1200
 # The named character references decoded besides numeric ones.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&rsquo;": "’", "&amp;": "&"}
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&ndash;": "–",
+    "&mdash;": "—", "&hellip;": "…", "&rsquo;": "’", "&amp;": "&"
+}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -33,7 +33,10 @@ def parameters(url: Column) -> Column:
     """Array of (key, value) of the query in order, decoded; blank values left out."""
     pairs = F.transform(
         F.split(F.regexp_extract(url, _QUERY, 1), "&"),
-        lambda p: F.struct(F.try_url_decode(F.regexp_extract(p, r"^([^=]*)=", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")),
+        lambda p: F.struct(
+            F.try_url_decode(F.regexp_extract(p, r"^([^=]*)=", 1)).alias("k"),
+            F.try_url_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")
+        ),
     )
     return F.filter(pairs, lambda p: p["v"].isNotNull() & (p["v"] != ""))
 
@@ -85,7 +88,10 @@ def source_url(url: Column, source_type: Column | str = "auto") -> Column:
 
     def body(u: Column) -> Column:
         on_board = (kind == "indeed") | host(u).contains(BOARD)
-        kept = F.filter(parameters(u), lambda p: ~_tracks(p["k"]) & ~F.lower(p["k"]).startswith("__cf_") & (~on_board | F.lower(p["k"]).isin(*BOARD_KEPT_KEYS)))
+        kept = F.filter(
+            parameters(u),
+            lambda p: ~_tracks(p["k"]) & ~F.lower(p["k"]).startswith("__cf_") & (~on_board | F.lower(p["k"]).isin(*BOARD_KEPT_KEYS))
+        )
         return F.when(_whole(u), _built(u, kept)).otherwise(u)
 
     return let(squeeze(url), body)
@@ -101,7 +107,10 @@ def _resolved(base: Column, link: Column) -> Column:
     folder = F.regexp_replace(F.when(path(base) == "", "/").otherwise(path(base)), "[^/]*$", "")
     bare = F.regexp_replace(base, r"[?#].*$", "")
     steps = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.concat(folder, link), r"[?#].*$", ""), r"/\.(?=/|$)", "/"), "/"), lambda s: s != ".")
-    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.array_append(a, s)))
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda a,
+        s: F.when(s == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.array_append(a, s))
+    )
     tail = F.regexp_extract(link, r"([?#].*)$", 1)
     return (
         F.when(link == "", "")
@@ -121,7 +130,13 @@ def capture_url(url: Column, page_url: Column, raw_id: Column) -> Column:
     def chosen(own: Column, page: Column, raw: Column) -> Column:
         def of(candidate: Column) -> Column:
             joined = F.when((page != "") & (scheme(candidate) == "") & (host(candidate) == ""), absolute_url(page, candidate)).otherwise(candidate)
-            on_board = let(board_job_id(candidate), lambda i: let(F.when(i != "", i).otherwise(raw), lambda j: F.when(j != "", _board_url(candidate, j)).otherwise(canonical_url(candidate))))
+            on_board = let(
+                board_job_id(candidate),
+                lambda i: let(
+                    F.when(i != "", i).otherwise(raw),
+                    lambda j: F.when(j != "", _board_url(candidate, j)).otherwise(canonical_url(candidate))
+                )
+            )
             return F.when(candidate == "", "").when(_whole(candidate) & host(candidate).contains(BOARD), on_board).otherwise(canonical_url(joined))
 
         bare_board = (own == "") & _whole(page) & (raw != "") & host(page).contains(BOARD)

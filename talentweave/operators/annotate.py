@@ -19,7 +19,10 @@ CLEARANCE_LEVELS = {
 CLEARANCE_CONTEXT = r"\b(clearance|clearances|cleared|polygraph|poly|adjudicat|investigation|eligible|eligibility|obtain|maintain|maintained|access|sci|sap|dod|federal|public trust)\b"
 CLEARANCE_ACTIVE = r"\b(active|current|existing|adjudicated|held|maintain(?:ed)?|possess(?:es|ed)?)\b"
 CLEARANCE_OBTAIN = r"\b(eligible|eligibility|ability)\b.*\b(obtain|maintain)\b|\bmust be able to obtain\b"
-POLYGRAPHS = (("Full Scope Polygraph", r"\b(full[- ]scope|fs)\s+poly(graph)?\b"), ("CI Polygraph", r"\b(ci|counterintelligence)\s+poly(graph)?\b"), ("Polygraph", r"\bpoly(graph|graphed)?\b"))
+POLYGRAPHS = (
+    ("Full Scope Polygraph", r"\b(full[- ]scope|fs)\s+poly(graph)?\b"),
+    ("CI Polygraph", r"\b(ci|counterintelligence)\s+poly(graph)?\b"), ("Polygraph", r"\bpoly(graph|graphed)?\b")
+)
 # ---- fixed values: work mode, job type ---------------------------------------------------------------------
 WORK_MODES = {
     "remote": r"\bremote\b|\bwork from home\b|\bdistributed\b",
@@ -108,12 +111,18 @@ def sentences(text: Column) -> Column:
 def clearance(text: Column) -> Column:
     """struct(terms, summary, active, obtainable), from sentences that speak of clearance and name one."""
     speaks = lambda s: F.lower(s).contains("top secret") | F.lower(s).contains("ts/sci") | F.lower(s).contains("public trust") | _has(s, CLEARANCE_CONTEXT)
-    told = F.filter(F.transform(F.filter(sentences(text), speaks), lambda s: F.struct(s.alias("s"), _sentence_terms(s).alias("t"))), lambda x: F.size(x["t"]) > 0)
+    told = F.filter(
+        F.transform(F.filter(sentences(text), speaks), lambda s: F.struct(s.alias("s"), _sentence_terms(s).alias("t"))),
+        lambda x: F.size(x["t"]) > 0
+    )
 
     def body(told: Column) -> Column:
         named = F.flatten(F.transform(told, lambda x: x["t"]))
         terms = F.filter(F.array(*[F.lit(x) for x in CLEARANCE_ORDER]), lambda t: F.array_contains(named, t))
-        return F.struct(terms.alias("terms"), F.exists(told, lambda x: _has(x["s"], CLEARANCE_ACTIVE)).alias("active"), F.exists(told, lambda x: _has(x["s"], CLEARANCE_OBTAIN)).alias("obtainable"))
+        return F.struct(
+            terms.alias("terms"), F.exists(told, lambda x: _has(x["s"], CLEARANCE_ACTIVE)).alias("active"),
+            F.exists(told, lambda x: _has(x["s"], CLEARANCE_OBTAIN)).alias("obtainable")
+        )
 
     def summed(c: Column) -> Column:
         marks = F.concat_ws(", ", F.when(c["active"], "active/current"), F.when(c["obtainable"], "eligible to obtain"))
@@ -134,7 +143,9 @@ def amount(c: Column) -> Column:
 
 
 def amount_text(c: Column) -> Column:
-    return F.when(c >= 1000, F.format_number(F.bround(c, 0), 0)).when(c == F.floor(c), c.cast("long").cast("string")).otherwise(F.format_string("%.2f", c))
+    return F.when(c >= 1000, F.format_number(F.bround(c, 0), 0)).when(
+        c == F.floor(c), c.cast("long").cast("string")
+    ).otherwise(F.format_string("%.2f", c))
 
 
 def salary_display(low: Column, high: Column, interval: Column, currency: Column | None = None) -> Column:
@@ -145,7 +156,9 @@ def salary_display(low: Column, high: Column, interval: Column, currency: Column
     for name, (_, short) in INTERVALS.items():
         suffix = F.when(interval == name, short).otherwise(suffix)
     two = low.isNotNull() & high.isNotNull() & (F.bround(low, 2) != F.bround(high, 2))
-    text = F.when(two, F.concat(sign, amount_text(low), F.lit(" - "), sign, amount_text(high))).otherwise(F.concat(sign, amount_text(F.coalesce(low, high))))
+    text = F.when(
+        two, F.concat(sign, amount_text(low), F.lit(" - "), sign, amount_text(high))
+    ).otherwise(F.concat(sign, amount_text(F.coalesce(low, high))))
     return F.when(low.isNotNull() | high.isNotNull(), F.concat(text, suffix))
 
 
@@ -183,17 +196,25 @@ def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, ord
         first = F.greatest(i - 2 * BEFORE, F.lit(0))
         before = F.right(F.array_join(F.slice(near["tails"], first + 1, i - first), ""), F.lit(BEFORE))
         after = F.left(F.array_join(F.slice(near["heads"], i + 2, 2 * AFTER), ""), F.lit(AFTER))
-        return F.struct(F.concat(before, body, after).alias("window"), *[F.regexp_extract(body, rf"(?i)^(?:{pattern})$", g + 1).alias(f"g{g}") for g in range(groups)])
+        return F.struct(
+            F.concat(before, body, after).alias("window"),
+            *[F.regexp_extract(body, rf"(?i)^(?:{pattern})$", g + 1).alias(f"g{g}") for g in range(groups)]
+        )
 
     odd = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(1), F.size(p) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    clipped = lambda p: F.struct(F.transform(p, lambda x: F.right(x, F.lit(BEFORE))).alias("tails"), F.transform(p, lambda x: F.left(x, F.lit(AFTER))).alias("heads"))
+    clipped = lambda p: F.struct(
+        F.transform(p, lambda x: F.right(x, F.lit(BEFORE))).alias("tails"),
+        F.transform(p, lambda x: F.left(x, F.lit(AFTER))).alias("heads")
+    )
     matches = let(pieces, lambda p: let(clipped(p), lambda near: F.transform(odd(p), lambda i: located(p, near, i))))
 
     def scored(m: Column, i: Column) -> Column:
         suffix = m["g4"] if ranged else m["g2"]
         signed = (m["g0"] != "") | ((m["g2"] != "") if ranged else F.lit(False))
         seen = let(m["window"], lambda w: F.struct(
-            F.length(w).alias("len"), (signed | w.contains("$") | F.lower(w).contains("usd")).alias("currency"), _has(w, PAY_CONTEXT if ranged else PAY_CONTEXT_SINGLE).alias("context"),
+            F.length(w).alias("len"), (signed | w.contains("$") | F.lower(w).contains("usd")).alias("currency"), _has(
+                w, PAY_CONTEXT if ranged else PAY_CONTEXT_SINGLE
+            ).alias("context"),
             pay_interval(F.when(suffix != "", suffix).otherwise(w)).alias("interval"), _has(w, PAY_WORD).alias("word"), _has(w, YEARS_RANGE).alias("years"), _has(w, OF_EXPERIENCE).alias("experience"),
             amount(m["g1"]).alias("low"), amount(m["g3"] if ranged else m["g1"]).alias("high"),
         ))
@@ -202,14 +223,22 @@ def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, ord
             low, high = x["low"], x["high"]
             score = (
                 F.when(x["currency"], 8).otherwise(0) + F.when(x["context"], 4).otherwise(0) + F.when(x["interval"].isNotNull(), 5).otherwise(0)
-                + F.when(F.bround(low, 2) != F.bround(high, 2), 8).otherwise(0) + F.when(low >= 1000, 2).otherwise(0) + F.when(high >= 1000, 2).otherwise(0)
+                + F.when(
+                    F.bround(low, 2) != F.bround(high, 2), 8
+                ).otherwise(0) + F.when(low >= 1000, 2).otherwise(0) + F.when(high >= 1000, 2).otherwise(0)
                 + F.when(x["word"], 2).otherwise(0) + F.when(x["years"], -12).otherwise(0)
             )
             fits = (x["currency"] | x["context"]) & ~x["experience"] & low.isNotNull() & high.isNotNull() & (high >= low)
             fits = fits & ~x["years"] if ranged else fits
             timed = F.when(x["interval"].isNotNull(), 1).otherwise(0)
             place = ((-seg_no).alias("seg"), F.lit(-order).alias("pat"), (-i).alias("nth"))
-            return F.when(fits, F.struct(score.cast("int").alias("score"), x["len"].alias("len"), timed.alias("timed"), *place, low.alias("low"), high.alias("high"), x["interval"].alias("interval")))
+            return F.when(
+                fits,
+                F.struct(
+                    score.cast("int").alias("score"), x["len"].alias("len"), timed.alias("timed"), *place, low.alias("low"),
+                    high.alias("high"), x["interval"].alias("interval")
+                )
+            )
 
         return let(seen, judged)
 
@@ -219,11 +248,16 @@ def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, ord
 def salary(text: Column) -> Column:
     """struct(low, high, currency, interval, display): the best-scored candidate of all segments, first of equals."""
     patterns = ((RANGE, True), (DASHED, True), (NAMED, False), (BOUNDED, False))
-    found = F.flatten(F.transform(_segments(text), lambda s, n: F.flatten(F.array(*[_candidates(s, n, p, ranged, i) for i, (p, ranged) in enumerate(patterns)]))))
+    found = F.flatten(
+        F.transform(_segments(text), lambda s, n: F.flatten(F.array(*[_candidates(s, n, p, ranged, i) for i, (p, ranged) in enumerate(patterns)])))
+    )
 
     def shown(best: Column) -> Column:
         display = salary_display(best["low"], best["high"], best["interval"])
-        return F.struct(best["low"].alias("low"), best["high"].alias("high"), F.when(best.isNotNull(), "USD").alias("currency"), best["interval"].alias("interval"), display.alias("display"))
+        return F.struct(
+            best["low"].alias("low"), best["high"].alias("high"), F.when(best.isNotNull(), "USD").alias("currency"),
+            best["interval"].alias("interval"), display.alias("display")
+        )
 
     return let(F.array_max(found), shown)
 
@@ -246,7 +280,9 @@ def _worth(text: Column, info: Column) -> Column:
         shown = info["display"].isNotNull()
         points = (
             (shown, 20), (info["low"].isNotNull(), 3), (F.bround(info["low"], 2) != F.bround(info["high"], 2), 8), (info["interval"].isNotNull(), 5),
-            (_has(text, PAY_TERMS), 4), (F.regexp_count(text, F.lit(r"\$")) >= 2, 3), (_has(text, YEARS_RANGE), -12), (noise, -6), (shown & ~noise & ~text.contains("|"), 2),
+            (_has(text, PAY_TERMS), 4), (
+                F.regexp_count(text, F.lit(r"\$")) >= 2, 3
+            ), (_has(text, YEARS_RANGE), -12), (noise, -6), (shown & ~noise & ~text.contains("|"), 2),
         )
         score = F.lit(0)
         for holds, n in points:

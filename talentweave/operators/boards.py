@@ -20,7 +20,10 @@ LAYOUTS = (
     ("indeed", "card", "company", (".companyName", "[data-testid='company-name']", "span.companyName")),
     ("indeed", "card", "location", (".companyLocation", "[data-testid='text-location']")),
     ("indeed", "card", "summary", (".job-snippet", "[data-testid='job-snippet']")),
-    ("indeed", "card", "salary[]", (".salary-snippet", ".salary-snippet-container", ".estimated-salary", "[class*='salary']", "[data-testid='attribute_snippet_testid']")),
+    (
+        "indeed", "card", "salary[]",
+        (".salary-snippet", ".salary-snippet-container", ".estimated-salary", "[class*='salary']", "[data-testid='attribute_snippet_testid']")
+    ),
     ("indeed", "card", "posted_at", (".date", "[data-testid='myJobsStateDate']")),
     ("clearance", "card", "container", (".job-search-list-item-desktop", "article, .job, .job-listing, li")),
     ("clearance", "card", "title", ("a.job-search-list-item-desktop__job-name[href]", "a:")),
@@ -40,22 +43,70 @@ LAYOUTS = (
     ("generic", "card", "summary", (".description", ".summary", "p")),
     ("generic", "card", "salary[]", (".salary", ".salary-range", ".compensation", "[class*='salary']")),
     ("clearance", "detail", "title", ("h1.job-view-header-content__top__job-name", ".job-view-header-content__top__job-name", "h1")),
-    ("clearance", "detail", "company", ("h2.job-view-header-content__top__job-company", ".job-view-header-content__top__job-company a", ".job-view-header-content__top__job-company")),
-    ("clearance", "detail", "location", (".job-info .job-fit__nonSkills--location .el-tag__content", ".job-view-header-content__top__location", "[data-testid='job-location']")),
+    (
+        "clearance", "detail", "company",
+        ("h2.job-view-header-content__top__job-company", ".job-view-header-content__top__job-company a", ".job-view-header-content__top__job-company")
+    ),
+    (
+        "clearance", "detail", "location",
+        (".job-info .job-fit__nonSkills--location .el-tag__content", ".job-view-header-content__top__location", "[data-testid='job-location']")
+    ),
     ("clearance", "detail", "description", (".job-description",)),
     ("clearance", "detail", "requirements_text", (".job-info",)),
-    ("clearance", "detail", "salary[]", (".job-info .job-fit__nonSkills--salary .el-tag__content", ".job-info .salary-estimate-link", ".job-info [class*='salary']")),
-    ("clearance", "detail", "employment[]", (".job-info .job-fit__nonSkills--careerLevel .el-tag__content", ".job-info .job-fit__nonSkills--location .el-tag__content", ".job-info .job-fit__nonSkills--required .el-tag__content")),
+    (
+        "clearance", "detail", "salary[]",
+        (".job-info .job-fit__nonSkills--salary .el-tag__content", ".job-info .salary-estimate-link", ".job-info [class*='salary']")
+    ),
+    (
+        "clearance", "detail", "employment[]",
+        (
+            ".job-info .job-fit__nonSkills--careerLevel .el-tag__content",
+            ".job-info .job-fit__nonSkills--location .el-tag__content", ".job-info .job-fit__nonSkills--required .el-tag__content"
+        )
+    ),
     ("clearance", "detail", "posted_at", (".job-view-header-content time", ".posted-date", "time")),
-    ("generic", "detail", "title", ("h1", "[data-testid='jobsearch-JobInfoHeader-title']", "[data-testid='viewJobTitle']", "[itemprop='title']", "title")),
-    ("generic", "detail", "company", (".companyName", "[data-testid='inlineHeader-companyName']", "[data-company-name='true']", ".jobsearch-CompanyInfoContainer a", "[itemprop='hiringOrganization']")),
-    ("generic", "detail", "location", (".companyLocation", "[data-testid='inlineHeader-companyLocation']", "[data-testid='job-location']", "[itemprop='jobLocation']")),
-    ("generic", "detail", "description", ("#jobDescriptionText, .jobsearch-JobComponent-description, .jobsearch-jobDescriptionText, .jobDescriptionText, .posting, .job-description",)),
-    ("generic", "detail", "salary[]", ("#jobDetailsSection [aria-label='Pay'] li", "#jobDetailsSection [aria-label='Pay'] [data-testid='list-item']", "#jobDetailsSection [aria-label='Pay'] span", "#salaryInfoAndJobType", "[data-testid='salaryInfoAndJobType']", "[data-testid='jobsearch-CollapsedEmbeddedHeader-salary']", ".salaryText", ".jobsearch-OtherJobDetailsContainer")),
-    ("generic", "detail", "employment[]", ("#jobDetailsSection [aria-label='Job type'] li", "#jobDetailsSection [aria-label='Job type'] [data-testid='list-item']", "#jobDetailsSection [aria-label='Work setting'] li", "#jobDetailsSection [aria-label='Work setting'] [data-testid='list-item']", "[data-testid='attribute_snippet_testid']")),
+    (
+        "generic", "detail", "title",
+        ("h1", "[data-testid='jobsearch-JobInfoHeader-title']", "[data-testid='viewJobTitle']", "[itemprop='title']", "title")
+    ),
+    (
+        "generic", "detail", "company",
+        (
+            ".companyName", "[data-testid='inlineHeader-companyName']", "[data-company-name='true']",
+            ".jobsearch-CompanyInfoContainer a", "[itemprop='hiringOrganization']"
+        )
+    ),
+    (
+        "generic", "detail", "location",
+        (".companyLocation", "[data-testid='inlineHeader-companyLocation']", "[data-testid='job-location']", "[itemprop='jobLocation']")
+    ),
+    (
+        "generic", "detail", "description",
+        ("#jobDescriptionText, .jobsearch-JobComponent-description, .jobsearch-jobDescriptionText, .jobDescriptionText, .posting, .job-description",)
+    ),
+    (
+        "generic", "detail", "salary[]",
+        (
+            "#jobDetailsSection [aria-label='Pay'] li", "#jobDetailsSection [aria-label='Pay'] [data-testid='list-item']",
+            "#jobDetailsSection [aria-label='Pay'] span", "#salaryInfoAndJobType", "[data-testid='salaryInfoAndJobType']",
+            "[data-testid='jobsearch-CollapsedEmbeddedHeader-salary']", ".salaryText", ".jobsearch-OtherJobDetailsContainer"
+        )
+    ),
+    (
+        "generic", "detail", "employment[]",
+        (
+            "#jobDetailsSection [aria-label='Job type'] li",
+            "#jobDetailsSection [aria-label='Job type'] [data-testid='list-item']",
+            "#jobDetailsSection [aria-label='Work setting'] li",
+            "#jobDetailsSection [aria-label='Work setting'] [data-testid='list-item']", "[data-testid='attribute_snippet_testid']"
+        )
+    ),
     ("generic", "detail", "posted_at", (".date", "[data-testid='myJobsStateDate']", "time")),
 )
-FIELDS = ("raw_id", "title", "company", "location", "summary", "description", "requirements_text", "salary_text", "employment_text", "url", "posted_at")
+FIELDS = (
+    "raw_id", "title", "company", "location", "summary", "description", "requirements_text", "salary_text", "employment_text",
+    "url", "posted_at"
+)
 
 
 def layouts(spark: SparkSession) -> DataFrame:
@@ -84,25 +135,37 @@ def cards(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     rows = extract_layout(pages, layout or layouts(pages.sparkSession), "card").join(pages.select("page_id", F.col("url").alias("page_url"), "layout").hint("merge"), "page_id")
     kind, title, href = F.col("layout"), squeeze(F.col("title")), F.col("href")
     listed = F.lower(href).rlike("job|position|clearance") & (F.length(title) >= 3)
-    rows = rows.where((title != "") & (href != "") & F.when(kind == "generic", job_like(href, title)).when(kind == "clearance", listed).otherwise(True))
+    rows = rows.where(
+        (title != "") & (href != "") & F.when(kind == "generic", job_like(href, title)).when(kind == "clearance", listed).otherwise(True)
+    )
     rows = rows.withColumn("least", F.min("rule").over(Window.partitionBy("page_id"))).where("rule = least")
     tokens = F.when(F.size("tokens[]") > 0, F.col("`tokens[]`")).when(F.size("groups[]") > 0, F.col("`groups[]`")).otherwise(F.col("`footer[]`"))
     rows = rows.withColumn("told", F.when(kind == "clearance", tokens).otherwise(F.array().cast("array<string>")))
     elsewhere = lambda t: fold(t) != fold(F.col("location"))
     posted = F.coalesce(F.get(F.filter("told", lambda t: F.startswith(fold(t), F.lit("posted"))), 0), F.lit(""))
-    needs = F.concat(F.array("summary"), F.filter("told", lambda t: (t != F.coalesce(F.get(F.filter("told", lambda x: F.startswith(fold(x), F.lit("posted"))), 0), F.lit(""))) & elsewhere(t)))
+    needs = F.concat(
+        F.array("summary"),
+        F.filter(
+            "told",
+            lambda t: (t != F.coalesce(F.get(F.filter("told", lambda x: F.startswith(fold(x), F.lit("posted"))), 0), F.lit(""))) & elsewhere(t)
+        )
+    )
     clear = kind == "clearance"
     found = _filled_in(rows.select(
         "page_id", "pos", F.when(kind == "indeed", F.col("raw_id")).otherwise(href).alias("raw_id"), title.alias("title"), "company", "location", "summary",
         F.when(clear, _joined(needs)).alias("requirements_text"),
-        F.when(clear, best_salary(F.concat(F.array("summary"), F.col("told"), F.col("`salary[]`")))).otherwise(best_salary(F.col("`salary[]`"), readable=False)).alias("salary_text"),
+        F.when(
+            clear, best_salary(F.concat(F.array("summary"), F.col("told"), F.col("`salary[]`")))
+        ).otherwise(best_salary(F.col("`salary[]`"), readable=False)).alias("salary_text"),
         F.when(clear, _joined(F.filter("told", lambda t: employment_fragment(t) & elsewhere(t)))).alias("employment_text"),
         absolute_url(F.col("page_url"), href).alias("url"), F.when(clear, posted).otherwise(F.col("posted_at")).alias("posted_at"),
     ))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))
     first = pages.select("page_id", (F.col("layout") == "generic").alias("first"))
     told = jsonld_postings(pages).withColumn("n", place).join(first.hint("merge"), "page_id")
-    return found.unionByName(_filled_in(told.withColumn("pos", F.when(F.col("first"), F.col("n") - 1_000_000).otherwise(F.col("n") + 1_000_000).cast("int"))))
+    return found.unionByName(
+        _filled_in(told.withColumn("pos", F.when(F.col("first"), F.col("n") - 1_000_000).otherwise(F.col("n") + 1_000_000).cast("int")))
+    )
 
 
 def details(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
@@ -117,13 +180,24 @@ def details(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     pay = best_salary(F.concat("`salary[]`", F.array("description", "requirements_text")))
     apart = lambda t: (t != F.col("salary_text")) & (fold(t) != fold(F.col("location"))) & ~clearance_token(t) & ~placeholder(t)
     clear = clear.withColumn("salary_text", pay).withColumn("employment_text", _joined(F.filter("`employment[]`", apart)))
-    clear = clear.select("page_id", F.lit(0).alias("way"), *[c for c in FIELDS if c in clear.columns], F.col("page_url").alias("url"), F.col("page_url").alias("raw_id"))
+    clear = clear.select(
+        "page_id", F.lit(0).alias("way"), *[c for c in FIELDS if c in clear.columns], F.col("page_url").alias("url"),
+        F.col("page_url").alias("raw_id")
+    )
     first = jsonld_postings(pages)
     first = first.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("seq"))).where("n = 1").join(url.hint("merge"), "page_id")
-    first = first.select("page_id", F.lit(1).alias("way"), *[c for c in FIELDS if c in first.columns and c != "url"], filled(F.col("url"), F.col("page_url")).alias("url"))
+    first = first.select(
+        "page_id", F.lit(1).alias("way"), *[c for c in FIELDS if c in first.columns and c != "url"],
+        filled(F.col("url"), F.col("page_url")).alias("url")
+    )
     plain = extract_layout(pages.withColumn("layout", F.lit("generic")), rules, "detail").where("title <> ''").join(url.hint("merge"), "page_id")
-    plain = plain.withColumn("salary_text", best_salary(F.col("`salary[]`"), readable=False)).withColumn("employment_text", _joined(F.filter("`employment[]`", lambda t: t != F.col("salary_text"))))
-    plain = plain.select("page_id", F.lit(2).alias("way"), *[c for c in FIELDS if c in plain.columns], F.col("page_url").alias("url"), F.col("page_url").alias("raw_id"))
+    plain = plain.withColumn("salary_text", best_salary(F.col("`salary[]`"), readable=False)).withColumn(
+        "employment_text", _joined(F.filter("`employment[]`", lambda t: t != F.col("salary_text")))
+    )
+    plain = plain.select(
+        "page_id", F.lit(2).alias("way"), *[c for c in FIELDS if c in plain.columns], F.col("page_url").alias("url"),
+        F.col("page_url").alias("raw_id")
+    )
     rows = clear.unionByName(first, allowMissingColumns=True).unionByName(plain, allowMissingColumns=True).where(~blank(F.col("title")))
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("way"))).where("n = 1").withColumn("pos", F.lit(0))
     return _filled_in(best)

@@ -30,16 +30,25 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """(page_id, page_url, pos, href, url, text, label, aria, test_id) of every anchor with a target."""
     whole = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), 1).alias("a"), F.regexp_extract_all("html", F.lit(ANCHOR), 2).alias("t"))
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(whole).alias("pos", "m"))
-    rows = rows.select("page_id", "page_url", "pos", _attribute(F.col("m.a"), "href").alias("href"), strip_html(F.col("m.t")).alias("text"), squeeze(F.concat_ws(" ", strip_html(F.col("m.t")), _attribute(F.col("m.a"), "aria-label"), _attribute(F.col("m.a"), "title"))).alias("label"), _attribute(F.col("m.a"), "aria-label").alias("aria"), _attribute(F.col("m.a"), "data-testid").alias("test_id"))
+    rows = rows.select(
+        "page_id", "page_url", "pos", _attribute(F.col("m.a"), "href").alias("href"), strip_html(F.col("m.t")).alias("text"),
+        squeeze(F.concat_ws(" ", strip_html(F.col("m.t")), _attribute(F.col("m.a"), "aria-label"), _attribute(F.col("m.a"), "title"))).alias("label"),
+        _attribute(F.col("m.a"), "aria-label").alias("aria"), _attribute(F.col("m.a"), "data-testid").alias("test_id")
+    )
     return rows.where("href <> ''").withColumn("url", absolute_url(F.col("page_url"), F.col("href")))
 
 
 def next_page(pages: DataFrame) -> DataFrame:
     """(page_id, next_url): a link of rel next, else an anchor marked as next, else the first that reads like next."""
     rel = r"""(?is)<(?:link|a)\b(?=[^>]*\brel\s*=\s*["']?next\b)([^>]*)>"""
-    linked = pages.select("page_id", F.col("url").alias("page_url"), _attribute(F.regexp_extract("html", rel, 1), "href").alias("href"), F.lit(0).alias("rule"), F.lit(0).alias("pos"))
+    linked = pages.select(
+        "page_id", F.col("url").alias("page_url"), _attribute(F.regexp_extract("html", rel, 1), "href").alias("href"),
+        F.lit(0).alias("rule"), F.lit(0).alias("pos")
+    )
     reads = fold(F.col("label"))
-    marked = F.when(F.col("test_id") == "pagination-page-next", 1).when(F.col("aria") == "Next", 2).when(F.col("aria") == "Next Page", 3).when(F.col("aria").contains("Next"), 4)
+    marked = F.when(
+        F.col("test_id") == "pagination-page-next", 1
+    ).when(F.col("aria") == "Next", 2).when(F.col("aria") == "Next Page", 3).when(F.col("aria").contains("Next"), 4)
     rule = F.coalesce(marked, F.when(reads.isin("next", "next page", "older", "more jobs") | reads.startswith("next "), 5))
     told = extract_links(pages).withColumn("rule", rule).where("rule is not null").select("page_id", "page_url", "href", "rule", "pos")
     found = linked.where("href <> ''").unionByName(told)
@@ -56,7 +65,9 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
     ``seq`` puts a page's postings in order.
     """
     block = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
-    rows = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(block), 1)).alias("at", "raw")).select("page_id", "url", F.array("at").alias("seq"), F.try_parse_json("raw").alias("v")).where("v is not null")
+    rows = pages.select(
+        "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(block), 1)).alias("at", "raw")
+    ).select("page_id", "url", F.array("at").alias("seq"), F.try_parse_json("raw").alias("v")).where("v is not null")
 
     def items(df: DataFrame, found: Column) -> DataFrame:
         rows = df.select("page_id", "url", "seq", F.posexplode(found).alias("at", "v"))
@@ -69,19 +80,50 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
     v = F.col("v")
 
     def place(at: str) -> Column:
-        pieces = F.concat_ws(", ", *[F.nullif(_variant(v, f"{at}.address.{c}"), F.lit("")) for c in ("addressLocality", "addressRegion", "addressCountry")])
-        return F.when(_variant(v, f"{at}.address", "variant").isNotNull() & (pieces != ""), pieces).otherwise(F.coalesce(_variant(v, f"{at}.name"), F.lit("")))
+        pieces = F.concat_ws(
+            ", ",
+            *[F.nullif(_variant(v, f"{at}.address.{c}"), F.lit("")) for c in ("addressLocality", "addressRegion", "addressCountry")]
+        )
+        return F.when(
+            _variant(v, f"{at}.address", "variant").isNotNull() & (pieces != ""), pieces
+        ).otherwise(F.coalesce(_variant(v, f"{at}.name"), F.lit("")))
 
     several = F.try_variant_get(v, "$.jobLocation", "array<variant>")
-    listed = F.array_join(F.filter(F.transform(several, lambda x: F.coalesce(F.nullif(F.concat_ws(", ", *[F.nullif(F.try_variant_get(x, f"$.address.{c}", "string"), F.lit("")) for c in ("addressLocality", "addressRegion", "addressCountry")]), F.lit("")), F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$", "string"), F.lit(""))), lambda s: s != ""), ", ")
+    listed = F.array_join(
+        F.filter(
+            F.transform(
+                several,
+                lambda x: F.coalesce(
+                    F.nullif(
+                        F.concat_ws(
+                            ", ",
+                            *[F.nullif(F.try_variant_get(x, f"$.address.{c}", "string"), F.lit("")) for c in ("addressLocality", "addressRegion", "addressCountry")]
+                        ),
+                        F.lit("")
+                    ),
+                    F.try_variant_get(x, "$.name", "string"), F.try_variant_get(x, "$", "string"), F.lit("")
+                )
+            ),
+            lambda s: s != ""
+        ),
+        ", "
+    )
     unit = F.lower(F.coalesce(_variant(v, "baseSalary.value.unitText"), F.lit("")))
-    interval = F.when(unit.contains("hour"), "hour").when(unit.contains("day"), "day").when(unit.contains("week"), "week").when(unit.contains("month"), "month").when(unit.contains("year") | unit.contains("annual"), "year")
+    interval = F.when(unit.contains("hour"), "hour").when(unit.contains("day"), "day").when(unit.contains("week"), "week").when(unit.contains("month"), "month").when(
+        unit.contains("year") | unit.contains("annual"), "year"
+    )
     low = F.coalesce(_variant(v, "baseSalary.value.minValue", "double"), _variant(v, "baseSalary.value.value", "double"))
     high = F.coalesce(_variant(v, "baseSalary.value.maxValue", "double"), _variant(v, "baseSalary.value.value", "double"))
     return every.select(
-        "page_id", "seq", filled(_variant(v, "identifier.value"), _variant(v, "identifier"), _variant(v, "url")).alias("raw_id"), _variant(v, "title").alias("title"), F.coalesce(_variant(v, "hiringOrganization.name"), F.lit("")).alias("company"),
-        squeeze(F.when(several.isNotNull(), listed).otherwise(filled(place("jobLocation"), _variant(v, "jobLocation")))).alias("location"), strip_html(_variant(v, "description")).alias("description"), absolute_url(F.col("url"), _variant(v, "url")).alias("url"),
-        _variant(v, "datePosted").alias("posted_at"), _variant(v, "employmentType").alias("job_type"), F.coalesce(salary_display(low, high, interval, _variant(v, "baseSalary.currency")), F.lit("")).alias("salary_text"),
+        "page_id", "seq", filled(
+            _variant(v, "identifier.value"), _variant(v, "identifier"), _variant(v, "url")
+        ).alias("raw_id"), _variant(v, "title").alias("title"), F.coalesce(_variant(v, "hiringOrganization.name"), F.lit("")).alias("company"),
+        squeeze(
+            F.when(several.isNotNull(), listed).otherwise(filled(place("jobLocation"), _variant(v, "jobLocation")))
+        ).alias("location"), strip_html(_variant(v, "description")).alias("description"), absolute_url(F.col("url"), _variant(v, "url")).alias("url"),
+        _variant(v, "datePosted").alias("posted_at"), _variant(v, "employmentType").alias("job_type"), F.coalesce(
+            salary_display(low, high, interval, _variant(v, "baseSalary.currency")), F.lit("")
+        ).alias("salary_text"),
     )
 
 
@@ -146,7 +188,10 @@ class _Tree(HTMLParser):
             return False
         if classes and not set(classes) <= set(attributes.get("class", "").split()):
             return False
-        return all(k in attributes and (not how or (value in attributes[k] if how == "*=" else attributes[k] == value)) for k, how, value in conditions)
+        return all(
+            k in attributes and (not how or (value in attributes[k] if how == "*=" else attributes[k] == value)) for k, how,
+            value in conditions
+        )
 
     def _matches(self, node: int, chain: list[str]) -> bool:
         """Whether the element is the last of a chain of nested selectors; ``>`` stands before a child."""
@@ -261,8 +306,19 @@ def classify_links(links: DataFrame, rules: tuple = LINK_RULES) -> DataFrame:
         return F.get(F.array(*[F.lit(r[i]) for r in rules]), F.col("rule")).cast(kind)
 
     kept = of(4, "int")
-    board = F.when(kept == 1, F.when(of(2, "string") == "greenhouse", F.concat(F.regexp_extract(clean, "^([a-z]+://[^/]*)", 1), F.lit("/"), F.coalesce(board_identifier(clean), F.lit("")))).otherwise(first_segments(clean, 1))).when(kept == 2, first_segments(clean, 2)).otherwise(clean)
-    rows = rows.withColumns({"platform": of(2, "string"), "source_type": of(3, "string"), "priority": of(5, "int"), "board_url": source_url(board, "custom_url"), "identifier": F.when(of(5, "int") == 0, board_identifier(clean))})
+    board = F.when(
+        kept == 1,
+        F.when(
+            of(2, "string") == "greenhouse",
+            F.concat(F.regexp_extract(clean, "^([a-z]+://[^/]*)", 1), F.lit("/"), F.coalesce(board_identifier(clean), F.lit("")))
+        ).otherwise(first_segments(clean, 1))
+    ).when(kept == 2, first_segments(clean, 2)).otherwise(clean)
+    rows = rows.withColumns(
+        {
+            "platform": of(2, "string"), "source_type": of(3, "string"), "priority": of(5, "int"),
+            "board_url": source_url(board, "custom_url"), "identifier": F.when(of(5, "int") == 0, board_identifier(clean))
+        }
+    )
     return rows.withColumn("name", host_label(F.col("board_url"))).drop("clean", "rule")
 
 
@@ -270,7 +326,9 @@ def best_candidates(candidates: DataFrame, by: list[str], limit: int = 10) -> Da
     """One candidate of each type and URL (fixed platforms, shorter reasons, first seen), then the first by priority."""
     ats = F.when(F.col("platform").isin("greenhouse", "lever"), 0).otherwise(1)
     row = F.struct(*candidates.columns)
-    one = candidates.groupBy(*[F.col(c).alias(f"_{c}") for c in by], F.col("source_type").alias("_t"), F.col("board_url").alias("_u")).agg(F.min_by(row, F.struct(ats, F.length("reason"), "seq")).alias("_r")).select("_r.*")
+    one = candidates.groupBy(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("source_type").alias("_t"), F.col("board_url").alias("_u")
+    ).agg(F.min_by(row, F.struct(ats, F.length("reason"), "seq")).alias("_r")).select("_r.*")
     w = Window.partitionBy(*by).orderBy("priority", fold(F.col("name")), "board_url")
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
@@ -288,13 +346,23 @@ def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: i
     known = classify_links(links).where("platform <> 'careers page'")
     careers = links.where(careers_text(F.col("text")) | careers_path(F.col("url"))).withColumn("to", clean(F.col("url")))
     careers = careers.groupBy("page_url", "to").agg(F.min("pos").alias("pos"))
-    careers = careers.withColumn("n", F.row_number().over(Window.partitionBy("page_url").orderBy("pos"))).where(F.col("n") <= per_page).select("page_url", "to")
+    careers = careers.withColumn(
+        "n", F.row_number().over(Window.partitionBy("page_url").orderBy("pos"))
+    ).where(F.col("n") <= per_page).select("page_url", "to")
     front = seeds.select("query", clean(F.col("url")).alias("page_url")).distinct()
     seen, out = front, None
     for depth in range(max_depth + 1):
-        found = front.join(known.hint("merge"), "page_url").select("query", "name", "source_type", "board_url", "platform", "identifier", "priority", F.concat(F.lit("Found on "), "page_url").alias("reason"), (F.lit(depth * 1_000_000) + F.col("pos")).alias("seq"))
+        found = front.join(known.hint("merge"), "page_url").select(
+            "query", "name", "source_type", "board_url", "platform", "identifier", "priority",
+            F.concat(F.lit("Found on "), "page_url").alias("reason"), (F.lit(depth * 1_000_000) + F.col("pos")).alias("seq")
+        )
         dry = front.join(known.select("page_url").distinct().hint("merge"), "page_url", "left_anti")
-        own = dry.where(careers_path(F.col("page_url"))).select("query", host_label(F.col("page_url")).alias("name"), F.lit("custom_url").alias("source_type"), F.col("page_url").alias("board_url"), F.lit("careers page").alias("platform"), F.lit(None).cast("string").alias("identifier"), F.lit(3).alias("priority"), F.concat(F.lit("Careers page: "), "page_url").alias("reason"), F.lit(depth * 1_000_000).alias("seq"))
+        own = dry.where(careers_path(F.col("page_url"))).select(
+            "query", host_label(F.col("page_url")).alias("name"), F.lit("custom_url").alias("source_type"),
+            F.col("page_url").alias("board_url"), F.lit("careers page").alias("platform"),
+            F.lit(None).cast("string").alias("identifier"), F.lit(3).alias("priority"),
+            F.concat(F.lit("Careers page: "), "page_url").alias("reason"), F.lit(depth * 1_000_000).alias("seq")
+        )
         out = found.unionByName(own) if out is None else out.unionByName(found).unionByName(own)
         if depth < max_depth:
             next_ = dry.join(careers.hint("merge"), "page_url").select("query", F.col("to").alias("page_url")).distinct()
@@ -305,4 +373,8 @@ def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: i
 
 def to_sources(candidates: DataFrame) -> DataFrame:
     """Candidates as rows to be stored, with default limits and a note."""
-    return candidates.select("name", "source_type", source_url(F.col("board_url"), F.col("source_type")).alias("url"), "identifier", F.lit(True).alias("enabled"), F.lit(180).alias("refresh_minutes"), F.lit(3).alias("max_pages"), F.lit(750).alias("request_delay_ms"), F.concat_ws(": ", "platform", "reason").alias("notes")).where(~blank(F.col("url")))
+    return candidates.select(
+        "name", "source_type", source_url(F.col("board_url"), F.col("source_type")).alias("url"), "identifier",
+        F.lit(True).alias("enabled"), F.lit(180).alias("refresh_minutes"), F.lit(3).alias("max_pages"),
+        F.lit(750).alias("request_delay_ms"), F.concat_ws(": ", "platform", "reason").alias("notes")
+    ).where(~blank(F.col("url")))

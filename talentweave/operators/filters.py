@@ -12,7 +12,10 @@ from talentweave.functions.text import fold, squeeze
 from talentweave.functions.urls import host, path, source_type, source_url
 
 # Hosts and words of the link rules.
-EXCLUDED_HOSTS = ("indeed.com", "linkedin.com", "glassdoor.com", "ziprecruiter.com", "facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "wikipedia.org")
+EXCLUDED_HOSTS = (
+    "indeed.com", "linkedin.com", "glassdoor.com", "ziprecruiter.com", "facebook.com", "instagram.com", "twitter.com", "x.com",
+    "youtube.com", "wikipedia.org"
+)
 CAREER_PATHS = ("/careers", "/career", "/jobs", "/join-us", "/joinus")
 CAREER_TEXTS = ("careers", "jobs", "join us", "join-us", "open roles", "open positions")
 BUNDLES = ("multiple openings", "multiple jobs", "hiring multiple", "several openings", "see all")
@@ -39,7 +42,10 @@ def application_state(state: str) -> Column:
     return status == state
 
 
-def filter_postings(postings: DataFrame, *, source_ids: list[int] = (), location_query: str = "", remote_mode: str = "any", job_type: str = "any", clearance_terms: list[str] = (), state: str = "all", active_only: bool = False) -> DataFrame:
+def filter_postings(
+    postings: DataFrame, *, source_ids: list[int] = (), location_query: str = "", remote_mode: str = "any", job_type: str = "any",
+    clearance_terms: list[str] = (), state: str = "all", active_only: bool = False
+) -> DataFrame:
     """All given conditions at once; those on source and activity reach the scan."""
     if active_only:
         postings = postings.where("active")
@@ -70,7 +76,9 @@ def due_sources(sources: DataFrame, every_minutes: int, as_of: dt.datetime) -> D
 
 def unsupported_reason(kind: Column, url: Column) -> Column:
     """Why a source can't be read directly, or null."""
-    return F.when(kind == "browser_capture", "captured in the browser only").when(host(url).endswith("linkedin.com"), "marketplace pages mix employers; use the employer's own board")
+    return F.when(kind == "browser_capture", "captured in the browser only").when(
+        host(url).endswith("linkedin.com"), "marketplace pages mix employers; use the employer's own board"
+    )
 
 
 def split_supported(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +135,10 @@ def posting_by_id(postings: DataFrame, sources: DataFrame, posting_id: int) -> D
 
 def known_index(postings: DataFrame) -> DataFrame:
     """What is known of the postings of each source: hashes and the texts that a listing may lack."""
-    return postings.select("source_id", "external_id", "content_hash", "listing_hash", "canonical_url", "description", "employment_text", "salary_text", "active", "last_seen_at")
+    return postings.select(
+        "source_id", "external_id", "content_hash", "listing_hash", "canonical_url", "description", "employment_text",
+        "salary_text", "active", "last_seen_at"
+    )
 
 
 def ordered_sources(sources: DataFrame) -> DataFrame:

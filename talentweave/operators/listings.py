@@ -13,7 +13,10 @@ from talentweave.operators.sizes import looked_up
 def with_known(listings: DataFrame, known: DataFrame) -> DataFrame:
     """Listings with what is known of them: missing texts filled, flags known_listing and needs_detail."""
     fields = ("description", "employment_text", "salary_text")
-    old = known.select("source_id", "external_id", *[F.col(c).alias(f"k_{c}") for c in fields], F.col("listing_hash").alias("k_hash"), F.lit(True).alias("k_is"))
+    old = known.select(
+        "source_id", "external_id", *[F.col(c).alias(f"k_{c}") for c in fields], F.col("listing_hash").alias("k_hash"),
+        F.lit(True).alias("k_is")
+    )
     rows = listings.join(old, ["source_id", "external_id"], "left")
     same = F.coalesce(F.col("k_hash") == F.col("listing_hash"), F.lit(False))
     salary_missing = (F.col("source_type") == "clearance") & blank(F.col("salary_text")) & blank(F.col("k_salary_text")) if "source_type" in listings.columns else F.lit(False)
@@ -65,7 +68,9 @@ def empty_stop(listings: DataFrame, fetched: DataFrame, max_pages: int) -> DataF
     """Listings before their source's first page without rows, and within the most pages allowed."""
     has = listings.select("source_id", "page").distinct().withColumn("has", F.lit(True))
     first = fetched.join(has, ["source_id", "page"], "left").where("has is null").groupBy("source_id").agg(F.min("page").alias("end"))
-    return listings.join(looked_up(first, "ends"), "source_id", "left").where((F.col("end").isNull() | (F.col("page") < F.col("end"))) & (F.col("page") <= max_pages)).drop("end")
+    return listings.join(
+        looked_up(first, "ends"), "source_id", "left"
+    ).where((F.col("end").isNull() | (F.col("page") < F.col("end"))) & (F.col("page") <= max_pages)).drop("end")
 
 
 def detail_budget(listings: DataFrame, most: int = 10) -> DataFrame:
@@ -76,7 +81,9 @@ def detail_budget(listings: DataFrame, most: int = 10) -> DataFrame:
 def override(listings: DataFrame, details: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Detail values over list values where they are not empty."""
     new = details.select(*keys, *[F.col(c).alias(f"d_{c}") for c in fields])
-    return listings.join(new, keys, "left").withColumns({c: F.coalesce(F.nullif(F.col(f"d_{c}"), F.lit("")), F.col(c)) for c in fields}).drop(*[f"d_{c}" for c in fields])
+    return listings.join(new, keys, "left").withColumns(
+        {c: F.coalesce(F.nullif(F.col(f"d_{c}"), F.lit("")), F.col(c)) for c in fields}
+    ).drop(*[f"d_{c}" for c in fields])
 
 
 def first_company(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -85,9 +85,14 @@ def skill_score(weighted: Column, known: Column, has_skills: Column) -> Column:
     total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x["w"])
     got = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + F.when(F.array_contains(known, x["skill"]), x["w"]).otherwise(0.0))
     must = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + F.when(x["w"] >= REQUIRED, x["w"]).otherwise(0.0))
-    must_got = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + F.when((x["w"] >= REQUIRED) & F.array_contains(known, x["skill"]), x["w"]).otherwise(0.0))
+    must_got = F.aggregate(
+        weighted, F.lit(0.0), lambda a,
+        x: a + F.when((x["w"] >= REQUIRED) & F.array_contains(known, x["skill"]), x["w"]).otherwise(0.0)
+    )
     share = got / F.nullif(total, F.lit(0.0))
-    return F.when(F.size(weighted) == 0, F.when(has_skills, 0.5).otherwise(0.0)).otherwise(F.coalesce(F.when(must > 0, 0.75 * share + 0.25 * must_got / must).otherwise(share), F.lit(0.0)))
+    return F.when(
+        F.size(weighted) == 0, F.when(has_skills, 0.5).otherwise(0.0)
+    ).otherwise(F.coalesce(F.when(must > 0, 0.75 * share + 0.25 * must_got / must).otherwise(share), F.lit(0.0)))
 
 
 def target_skills(required: Column, preferred: Column, every: Column) -> Column:
@@ -109,8 +114,12 @@ def reasons() -> Column:
         F.concat(F.lit("Skill overlap "), percent(F.col("skill_score")), F.lit(", "), F.size("matched_skills").cast("string"), F.lit(" matched.")),
         F.concat(F.lit("Experience "), percent(F.col("experience_score")), F.lit(".")),
         F.when(F.size("matched_skills") > 0, F.concat(F.lit("Matched: "), joined(F.col("matched_skills"), 8), F.lit("."))),
-        F.when(F.size("missing_skills") > 0, F.concat(F.lit("Missing: "), joined(F.col("missing_skills"), 8), F.lit("."))).otherwise(F.when(F.size(F.coalesce("required_skills", none)) > 0, "No skill gap.")),
-        F.when(F.size("matched_clearance") > 0, F.concat(F.lit("Clearance: "), joined(F.col("matched_clearance"), 8), F.lit("."))).when(F.size("clearance_terms") > 0, F.concat(F.lit("Needs clearance: "), joined(F.col("clearance_terms"), 8), F.lit("."))),
+        F.when(
+            F.size("missing_skills") > 0, F.concat(F.lit("Missing: "), joined(F.col("missing_skills"), 8), F.lit("."))
+        ).otherwise(F.when(F.size(F.coalesce("required_skills", none)) > 0, "No skill gap.")),
+        F.when(F.size("matched_clearance") > 0, F.concat(F.lit("Clearance: "), joined(F.col("matched_clearance"), 8), F.lit("."))).when(
+            F.size("clearance_terms") > 0, F.concat(F.lit("Needs clearance: "), joined(F.col("clearance_terms"), 8), F.lit("."))
+        ),
         F.concat(F.lit("Pay: "), salary(F.coalesce("salary_text", F.lit("")))["display"], F.lit(".")),
     ))
 
@@ -124,7 +133,9 @@ def pairs(profiles: DataFrame, postings: DataFrame) -> DataFrame:
     n = profiles.count()
     blocks = max(1, -(-n // BLOCK))
     own = F.struct(*[F.col(c).alias(f"p_{c}") for c in profiles.columns])
-    dealt = profiles.select(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int").alias("_b"), own.alias("_p")).groupBy("_b").agg(F.collect_list("_p").alias("_ps"))
+    dealt = profiles.select(
+        F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int").alias("_b"), own.alias("_p")
+    ).groupBy("_b").agg(F.collect_list("_p").alias("_ps"))
     sent = postings.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = sent.join(F.broadcast(dealt) if n <= BROADCAST_PROFILES else dealt.hint("shuffle_hash"), "_b")
     return met.withColumn("_p", F.explode("_ps")).select(*postings.columns, "_p.*")
@@ -136,14 +147,18 @@ def _prepared(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame |
     name: Callable[[Column], Column] = fold
     if skill_pairs is not None:
         # each profile's skills become the posting-side names they cover, once, before any pairing
-        cover = profiles.select("profile_id", F.explode("skills").alias("left")).join(skill_pairs.hint("merge"), "left").groupBy("profile_id").agg(F.collect_set("right").alias("covered"))
+        cover = profiles.select(
+            "profile_id", F.explode("skills").alias("left")
+        ).join(skill_pairs.hint("merge"), "left").groupBy("profile_id").agg(F.collect_set("right").alias("covered"))
         profiles = profiles.join(cover.hint("merge"), "profile_id", "left").withColumn("covered", F.coalesce("covered", none))
         name = lambda s: s
     else:
         profiles = profiles.withColumn("covered", F.transform(F.coalesce("skills", none), fold))
     every = F.concat(F.coalesce("required_skills", none), F.coalesce("preferred_skills", none), F.coalesce("skills", none))
     three = F.col("required_skills"), F.col("preferred_skills"), F.col("skills")
-    return profiles, postings.withColumns({"_weighted": weighted_skills(*three), "_target": target_skills(*three), "_every": F.array_distinct(every)}), name
+    return profiles, postings.withColumns(
+        {"_weighted": weighted_skills(*three), "_target": target_skills(*three), "_every": F.array_distinct(every)}
+    ), name
 
 
 def _scored(rows: DataFrame, name: Callable[[Column], Column], weights: dict[str, float]) -> DataFrame:
@@ -154,7 +169,10 @@ def _scored(rows: DataFrame, name: Callable[[Column], Column], weights: dict[str
         "skill_score": skill_score(F.col("_weighted"), F.col("_known"), F.size(F.coalesce("p_skills", none)) > 0),
         "experience_score": experience_score(F.col("p_experience_years"), F.col("experience_years")),
     })
-    return rows.withColumn("score", F.col("embedding_score") * weights["embedding"] + F.col("skill_score") * weights["skill"] + F.col("experience_score") * weights["experience"])
+    return rows.withColumn(
+        "score",
+        F.col("embedding_score") * weights["embedding"] + F.col("skill_score") * weights["skill"] + F.col("experience_score") * weights["experience"]
+    )
 
 
 def score_pairs(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
@@ -207,7 +225,9 @@ def _skill_shares(people: pa.Table, jobs: pa.Table) -> np.ndarray:
     return np.where((np.bincount(of, minlength=n) == 0)[:, None], blank[None], share)
 
 
-def candidates(profiles: DataFrame, postings: DataFrame, k: int, weights: dict[str, float], order: tuple[str, ...], margin: float = 1e-9) -> DataFrame:
+def candidates(
+    profiles: DataFrame, postings: DataFrame, k: int, weights: dict[str, float], order: tuple[str, ...], margin: float = 1e-9
+) -> DataFrame:
     """(p_profile_id, id): for each profile and block of postings those that can be among the k best of all.
 
     A block of postings meets a block of profiles as matrices; every pair's score is worked out but only k (and
@@ -219,8 +239,17 @@ def candidates(profiles: DataFrame, postings: DataFrame, k: int, weights: dict[s
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     asks = max(1, -(-profiles.count() // (8 * BLOCK)))
     number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = postings.select(*[F.col(c).alias(f"o_{c}") for c in order], "id", F.col("embedding").cast("array<double>").alias("e"), F.col("experience_years").cast("double").alias("years"), "names", "weights", number("id", blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q"))
-    right = profiles.select(F.col("profile_id").alias("p_profile_id"), F.col("embedding").cast("array<double>").alias("p_e"), F.col("experience_years").cast("double").alias("p_years"), F.col("covered").alias("p_covered"), (F.size(F.coalesce("skills", F.array().cast("array<string>"))) > 0).alias("p_any"), number("profile_id", asks).alias("p_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p_b"))
+    left = postings.select(
+        *[F.col(c).alias(f"o_{c}") for c in order], "id", F.col("embedding").cast("array<double>").alias("e"),
+        F.col("experience_years").cast("double").alias("years"), "names", "weights", number("id", blocks).alias("b"),
+        F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q")
+    )
+    right = profiles.select(
+        F.col("profile_id").alias("p_profile_id"), F.col("embedding").cast("array<double>").alias("p_e"),
+        F.col("experience_years").cast("double").alias("p_years"), F.col("covered").alias("p_covered"),
+        (F.size(F.coalesce("skills", F.array().cast("array<string>"))) > 0).alias("p_any"),
+        number("profile_id", asks).alias("p_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p_b")
+    )
     kinds = left.schema["id"].dataType, right.schema["p_profile_id"].dataType
     id_type, profile_type = (to_arrow_type(x) for x in kinds)
     orders = [f"o_{c}" for c in order]
@@ -233,12 +262,22 @@ def candidates(profiles: DataFrame, postings: DataFrame, k: int, weights: dict[s
             sizes = [len(x) for col in (people.column("p_e"), jobs.column("e")) for x in col if x.is_valid]
             dim = max(sizes, default=0)
             vectors = _rows(jobs.column("e"), dim)
-            kind = pd.DataFrame({"u": [x.tobytes() for x in vectors], "n": jobs.column("names").to_pylist(), "w": jobs.column("weights").to_pylist(), "y": jobs.column("years").to_pandas()})
+            kind = pd.DataFrame(
+                {
+                    "u": [x.tobytes() for x in vectors], "n": jobs.column("names").to_pylist(),
+                    "w": jobs.column("weights").to_pylist(), "y": jobs.column("years").to_pandas()
+                }
+            )
             again = kind.assign(n=kind.n.map(str), w=kind.w.map(str)).groupby(["u", "n", "w", "y"], dropna=False).cumcount().to_numpy()
             stay = np.flatnonzero(again < k)
             jobs = jobs.take(pa.array(stay))
-            score = weights["embedding"] * np.clip(_unit(vectors[stay]) @ _unit(_rows(people.column("p_e"), dim)).T, 0, 1) + weights["skill"] * _skill_shares(people, jobs)
-            wanted, have = (np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float)) for t, c in ((jobs, "years"), (people, "p_years")))
+            score = weights["embedding"] * np.clip(
+                _unit(vectors[stay]) @ _unit(_rows(people.column("p_e"), dim)).T, 0, 1
+            ) + weights["skill"] * _skill_shares(people, jobs)
+            wanted, have = (
+                np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float)) for t,
+                c in ((jobs, "years"), (people, "p_years"))
+            )
             with np.errstate(divide="ignore", invalid="ignore"):
                 part = np.where(have[None] <= 0, 0.0, np.minimum(have[None] / wanted[:, None], 1.0))
             score += weights["experience"] * np.where(wanted[:, None] == 0, 1.0, part)
@@ -247,10 +286,15 @@ def candidates(profiles: DataFrame, postings: DataFrame, k: int, weights: dict[s
             who, what = people.column("p_profile_id").take(pa.array(columns)), jobs.column("id").take(pa.array(rows))
         return pa.table({"p_profile_id": who, "id": what})
 
-    return left.groupBy("b", "q").cogroup(right.groupBy("p_b", "p_q")).applyInArrow(search, f"p_profile_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}")
+    return left.groupBy("b", "q").cogroup(right.groupBy("p_b", "p_q")).applyInArrow(
+        search, f"p_profile_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}"
+    )
 
 
-def best_matches(profiles: DataFrame, postings: DataFrame, k: int = 20, skill_pairs: DataFrame | None = None, weights: dict[str, float] | None = None, order: tuple[str, ...] = ("last_seen_at", "id"), digits: int | None = None) -> DataFrame:
+def best_matches(
+    profiles: DataFrame, postings: DataFrame, k: int = 20, skill_pairs: DataFrame | None = None,
+    weights: dict[str, float] | None = None, order: tuple[str, ...] = ("last_seen_at", "id"), digits: int | None = None
+) -> DataFrame:
     """The k best postings of each profile, scored and ranked as by ``score_pairs`` and ``top_k``.
 
     Matrices find the candidates (a few times k a profile); only these become rows and are scored as columns.  With
@@ -258,7 +302,9 @@ def best_matches(profiles: DataFrame, postings: DataFrame, k: int = 20, skill_pa
     """
     w = normalized_weights(weights)
     profiles, postings, name = _prepared(profiles, postings, skill_pairs)
-    given = postings.withColumns({"names": F.transform("_weighted", lambda x: name(x["skill"])), "weights": F.transform("_weighted", lambda x: x["w"])})
+    given = postings.withColumns(
+        {"names": F.transform("_weighted", lambda x: name(x["skill"])), "weights": F.transform("_weighted", lambda x: x["w"])}
+    )
     found = candidates(profiles, given, k, w, order, 1e-9 + (10.0**-digits if digits is not None else 0.0))
     own = profiles.select(*[F.col(c).alias(f"p_{c}") for c in profiles.columns])
     rows = postings.hint("merge").join(found.hint("merge"), "id").join(own.hint("merge"), "p_profile_id")
@@ -285,7 +331,10 @@ def explain(ranked: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", reasons())
 
 
-def rank_matches(profiles: DataFrame, postings: DataFrame, *, k: int | None = 20, weights: dict[str, float] | None = None, skill_pairs: DataFrame | None = None, encoder: Encoder = hashed_vectors, **filters) -> DataFrame:
+def rank_matches(
+    profiles: DataFrame, postings: DataFrame, *, k: int | None = 20, weights: dict[str, float] | None = None,
+    skill_pairs: DataFrame | None = None, encoder: Encoder = hashed_vectors, **filters
+) -> DataFrame:
     """Deduplicate, filter, encode what lacks a vector, score, rank, explain.
 
     Activity and source filters go below the deduplication; all others judge its winners.

@@ -23,7 +23,10 @@ HEADERS = {
 }
 MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 DATE_RANGE = rf"(?i)((?:{MONTH}\s+)?\d{{4}}|\d{{1,2}}/\d{{4}})\s*(?:-|–|—|to)\s*(present|current|now|(?:{MONTH}\s+)?\d{{4}}|\d{{1,2}}/\d{{4}})"
-TITLE_WORDS = ("administrator", "analyst", "architect", "consultant", "coordinator", "developer", "director", "engineer", "lead", "manager", "operator", "owner", "scientist", "specialist", "support", "technician")
+TITLE_WORDS = (
+    "administrator", "analyst", "architect", "consultant", "coordinator", "developer", "director", "engineer", "lead", "manager",
+    "operator", "owner", "scientist", "specialist", "support", "technician"
+)
 COMPANY_WORDS = ("inc", "llc", "corp", "corporation", "ltd", "university", "systems", "solutions", "company")
 DEGREE_WORDS = ("bachelor", "master", "associate", "phd", "doctor", "certificate", "certification", "b.s", "b.a", "m.s", "m.a")
 BULLET = r"^[-*•]"
@@ -110,7 +113,10 @@ def spans(texts: DataFrame, as_of: dt.date, key: str = "resume_id", text: str =
     take = lambda i: F.regexp_extract_all(F.col(text), F.lit(f"({DATE_RANGE})".replace("((?i)", "(?i)(", 1)), i)
     zipped = F.arrays_zip(take(1).alias("label"), take(2).alias("a"), take(3).alias("b"))
     rows = texts.select(F.col(key).alias("resume_id"), F.posexplode(zipped).alias("pos", "m"))
-    rows = rows.select("resume_id", "pos", partial_date(F.col("m.a"), as_of).alias("start"), partial_date(F.col("m.b"), as_of).alias("end"), F.col("m.label").alias("label"))
+    rows = rows.select(
+        "resume_id", "pos", partial_date(F.col("m.a"), as_of).alias("start"), partial_date(F.col("m.b"), as_of).alias("end"),
+        F.col("m.label").alias("label")
+    )
     return rows.where("start is not null and end >= start")
 
 
@@ -151,17 +157,23 @@ def work_history(experience: DataFrame, as_of: dt.date) -> DataFrame:
         F.min("pos").alias("pos"), head(F.col("parts.title")).alias("title"), head(F.col("parts.company")).alias("company"),
         F.min_by(F.when(gives, F.col("parts")), F.when(gives, F.col("pos"))).alias("named"),
         head(F.regexp_extract(line, DATE_RANGE, 1)).alias("a"), head(F.regexp_extract(line, DATE_RANGE, 2)).alias("b"),
-        F.array_sort(F.collect_list(F.when(plain & line.contains(",") & (F.length(line) <= 90), F.struct("pos", "line", gives.alias("gives"))))).alias("places"),
+        F.array_sort(
+            F.collect_list(F.when(plain & line.contains(",") & (F.length(line) <= 90), F.struct("pos", "line", gives.alias("gives"))))
+        ).alias("places"),
         squeeze(ordered_text(F.when(line.rlike(BULLET), F.regexp_replace(line, r"^[-*• ]+", "")), F.col("pos"), " ")).alias("description"),
     )
     lacks = blank(F.col("company")) & F.col("named").isNotNull()
     places = F.filter("places", lambda p: ~(lacks & p["gives"]))
     found = found.select(
-        "resume_id", "pos", F.when(lacks & blank(F.col("title")), F.col("named.title")).otherwise(F.col("title")).alias("title"), F.when(lacks, F.col("named.company")).otherwise(F.col("company")).alias("company"),
+        "resume_id", "pos", F.when(
+            lacks & blank(F.col("title")), F.col("named.title")
+        ).otherwise(F.col("title")).alias("title"), F.when(lacks, F.col("named.company")).otherwise(F.col("company")).alias("company"),
         F.coalesce(F.get(places, 0)["line"], F.lit("")).alias("location"), partial_date(F.col("a"), as_of).alias("start_date"), partial_date(F.col("b"), as_of).alias("end_date"),
         F.lower("b").isin("present", "current", "now").alias("is_current"), "description",
     )
-    found = keep_first(found, ["resume_id", fold(F.col("title")), fold(F.col("company")), "start_date"], ["pos"]).where("title <> '' or company <> ''")
+    found = keep_first(
+        found, ["resume_id", fold(F.col("title")), fold(F.col("company")), "start_date"], ["pos"]
+    ).where("title <> '' or company <> ''")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= HISTORY).drop("pos")
 
 
@@ -169,8 +181,13 @@ def history_of(experience: DataFrame, spans_: DataFrame, as_of: dt.date) -> Data
     """``work_history``; a résumé without any entry gets its first spans paired with its first titles, at most 4."""
     found = work_history(experience, as_of)
     w = Window.partitionBy("resume_id").orderBy("pos")
-    times = spans_.withColumn("n", F.row_number().over(w)).where("n <= 4").select("resume_id", "n", F.col("start").alias("start_date"), F.col("end").alias("end_date"), F.lower("label").rlike("present$").alias("is_current"))
-    names = recent_titles(experience).select("resume_id", F.posexplode(F.slice("titles", 1, 4)).alias("at", "title")).select("resume_id", (F.col("at") + 1).alias("n"), "title")
+    times = spans_.withColumn("n", F.row_number().over(w)).where("n <= 4").select(
+        "resume_id", "n", F.col("start").alias("start_date"), F.col("end").alias("end_date"),
+        F.lower("label").rlike("present$").alias("is_current")
+    )
+    names = recent_titles(experience).select(
+        "resume_id", F.posexplode(F.slice("titles", 1, 4)).alias("at", "title")
+    ).select("resume_id", (F.col("at") + 1).alias("n"), "title")
     pairs = times.join(names.hint("merge"), ["resume_id", "n"]).join(found.select("resume_id").distinct().hint("merge"), "resume_id", "left_anti")
     none = {c: F.lit("") for c in ("company", "location", "description")}
     return found.unionByName(pairs.withColumns(none).select(*found.columns))
@@ -184,14 +201,24 @@ def education(rows: DataFrame, as_of: dt.date) -> DataFrame:
     """
     line, w = F.col("line"), Window.partitionBy("resume_id").orderBy("pos")
     starts = _any(line, DEGREE_WORDS) | dated(line)
-    numbered = segments(rows, starts).withColumn("any", F.max(starts).over(Window.partitionBy("resume_id"))).withColumn("place", F.row_number().over(Window.partitionBy("resume_id", "segment").orderBy("pos")))
+    numbered = segments(rows, starts).withColumn("any", F.max(starts).over(Window.partitionBy("resume_id"))).withColumn(
+        "place", F.row_number().over(Window.partitionBy("resume_id", "segment").orderBy("pos"))
+    )
     entries = numbered.where("segment > 0").groupBy("resume_id", F.col("segment").cast("int").alias("n")).agg(
         F.coalesce(F.min_by("line", F.when(F.col("place") == 2, F.col("place"))), F.lit("")).alias("school"),
-        F.min_by(F.when(_any(line, DEGREE_WORDS), F.when(dated(line), clean_title(_before_dates(line))).otherwise(line)).otherwise(""), "place").alias("degree"),
-        F.min_by(partial_date(F.regexp_extract(line, DATE_RANGE, 1), as_of), "place").alias("start_date"), F.min_by(partial_date(F.regexp_extract(line, DATE_RANGE, 2), as_of), "place").alias("end_date"),
+        F.min_by(
+            F.when(_any(line, DEGREE_WORDS), F.when(dated(line), clean_title(_before_dates(line))).otherwise(line)).otherwise(""),
+            "place"
+        ).alias("degree"),
+        F.min_by(
+            partial_date(F.regexp_extract(line, DATE_RANGE, 1), as_of), "place"
+        ).alias("start_date"), F.min_by(partial_date(F.regexp_extract(line, DATE_RANGE, 2), as_of), "place").alias("end_date"),
         squeeze(ordered_text(F.when(F.col("place") > 2, line), F.col("pos"), " ")).alias("description"),
     )
-    nothing = numbered.where("not any and place <= 4").select("resume_id", F.col("place").alias("n"), F.col("line").alias("school"), F.lit("").alias("degree"), F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit("").alias("description"))
+    nothing = numbered.where("not any and place <= 4").select(
+        "resume_id", F.col("place").alias("n"), F.col("line").alias("school"), F.lit("").alias("degree"),
+        F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit("").alias("description")
+    )
     return entries.unionByName(nothing).where(F.col("n") <= EDUCATION)
 
 
@@ -215,21 +242,36 @@ def contacts(rows: DataFrame) -> DataFrame:
 def highlights(experience: DataFrame) -> DataFrame:
     """(resume_id, highlights): the first 4 bullets and title lines, joined by bars."""
     line = F.col("line")
-    rows = experience.where(line.rlike(BULLET) | _any(line, TITLE_WORDS)).withColumn("n", F.row_number().over(Window.partitionBy("resume_id").orderBy("pos"))).where(F.col("n") <= HIGHLIGHTS)
+    rows = experience.where(line.rlike(BULLET) | _any(line, TITLE_WORDS)).withColumn(
+        "n", F.row_number().over(Window.partitionBy("resume_id").orderBy("pos"))
+    ).where(F.col("n") <= HIGHLIGHTS)
     return rows.groupBy("resume_id").agg(ordered_text(F.regexp_replace(line, r"^[-*• ]+", ""), F.col("pos"), " | ").alias("highlights"))
 
 
-def summary_text(skills: Column, tools: Column, certifications: Column, cleared: Column, titles: Column, years: Column, summary: Column, highlights_: Column, projects: Column, headline: Column | None = None) -> Column:
+def summary_text(
+    skills: Column, tools: Column, certifications: Column, cleared: Column, titles: Column, years: Column, summary: Column,
+    highlights_: Column, projects: Column, headline: Column | None = None
+) -> Column:
     def listed(name: str, c: Column, n: int) -> Column:
         return F.when(F.size(c) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(c, 1, n), ", ")))
 
     def told(name: str, c: Column) -> Column:
         return F.when(~blank(c), F.concat(F.lit(f"{name}: "), c))
 
-    return F.concat_ws("\n", told("Headline", F.lit("") if headline is None else headline), listed("Recent titles", titles, 6), listed("Skills", skills, 30), listed("Tools and platforms", tools, 22), listed("Certifications", certifications, 12), listed("Clearance", cleared, 99), F.when(years > 0, F.concat(F.lit("Estimated experience: "), F.format_string("%.1f", years), F.lit(" years"))), told("Profile", summary), told("Experience highlights", highlights_), told("Projects", projects))
+    return F.concat_ws(
+        "\n", told("Headline", F.lit("") if headline is None else headline), listed("Recent titles", titles, 6),
+        listed("Skills", skills, 30), listed("Tools and platforms", tools, 22), listed("Certifications", certifications, 12),
+        listed("Clearance", cleared, 99),
+        F.when(years > 0, F.concat(F.lit("Estimated experience: "), F.format_string("%.1f", years), F.lit(" years"))),
+        told("Profile", summary), told("Experience highlights", highlights_), told("Projects", projects)
+    )
 
 
-def structure(texts: DataFrame, skills: dict[str, list[str]], categories: dict[str, str], certifications: dict[str, list[str]], as_of: dt.date, tool_categories: tuple[str, ...] = ("tool", "platform", "cloud", "data", "analytics", "runtime"), least: int = 40) -> DataFrame:
+def structure(
+    texts: DataFrame, skills: dict[str, list[str]], categories: dict[str, str], certifications: dict[str, list[str]],
+    as_of: dt.date, tool_categories: tuple[str, ...] = ("tool", "platform", "cloud", "data", "analytics", "runtime"),
+    least: int = 40
+) -> DataFrame:
     """One profile a text (resume_id, text): all of the above; texts under ``least`` characters are left out."""
     texts = texts.where(F.length(squeeze(F.col("text"))) >= least)
     rows = lines(texts)
@@ -240,9 +282,17 @@ def structure(texts: DataFrame, skills: dict[str, list[str]], categories: dict[s
         out = out.join(found.hint("merge"), "resume_id", "left")  # all by the same key, so texts are shuffled once
     part = lambda name: F.coalesce(F.try_element_at("sections", F.lit(name)), F.lit(""))
     base = F.concat_ws("\n", part("skills"), part("summary"), filled(part("experience"), F.col("text")), part("projects"))
-    out = out.withColumns({"skills": terms_column(base, skills), "certifications": terms_column(F.col("text"), certifications), "clearance_terms": clearance(F.col("text"))["terms"], "titles": F.coalesce("titles", F.array().cast("array<string>"))})
+    out = out.withColumns(
+        {
+            "skills": terms_column(base, skills), "certifications": terms_column(F.col("text"), certifications),
+            "clearance_terms": clearance(F.col("text"))["terms"], "titles": F.coalesce("titles", F.array().cast("array<string>"))
+        }
+    )
     out = out.withColumn("tools", in_categories(F.col("skills"), categories, tool_categories))
-    summary = summary_text(F.col("skills"), F.col("tools"), F.col("certifications"), F.col("clearance_terms"), F.col("titles"), F.col("experience_years"), squeeze(part("summary")), F.coalesce("highlights", F.lit("")), part("projects"))
+    summary = summary_text(
+        F.col("skills"), F.col("tools"), F.col("certifications"), F.col("clearance_terms"), F.col("titles"),
+        F.col("experience_years"), squeeze(part("summary")), F.coalesce("highlights", F.lit("")), part("projects")
+    )
     return out.withColumn("summary_text", summary).withColumn("content_hash", text_hash(F.col("summary_text")))
 
 
@@ -255,8 +305,16 @@ def edit(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     rows = rows.withColumns({c: F.coalesce(clean(F.col(f"e_{c}")), F.col(c)) for c in lists})
     headline = F.coalesce("e_headline", F.lit("")) if "headline" in edits.columns else F.lit("")
     changed = F.coalesce(*[F.col(c).isNotNull() for c in new.columns if c != "resume_id"][:1], F.lit(False))
-    summary = summary_text(F.col("skills"), F.col("tools"), F.col("certifications"), F.col("clearance_terms"), F.col("titles"), F.col("experience_years"), F.lit(""), F.lit(""), F.lit(""), headline)
-    rows = rows.withColumns({"summary_text": F.when(changed, summary).otherwise(F.col("summary_text")), "embedding": F.when(~changed, F.col("embedding").cast("array<double>"))})
+    summary = summary_text(
+        F.col("skills"), F.col("tools"), F.col("certifications"), F.col("clearance_terms"), F.col("titles"),
+        F.col("experience_years"), F.lit(""), F.lit(""), F.lit(""), headline
+    )
+    rows = rows.withColumns(
+        {
+            "summary_text": F.when(changed, summary).otherwise(F.col("summary_text")),
+            "embedding": F.when(~changed, F.col("embedding").cast("array<double>"))
+        }
+    )
     return rows.select(*profiles.columns)
 
 
@@ -281,24 +339,41 @@ def normal_profile(profile: Column) -> Column:
 
     def entries(items: Column, names: tuple[str, ...], telling: tuple[str, ...], *more: str) -> Column:
         says = lambda x: ~F.forall(F.array(*[squeeze(x[c]) for c in telling]), lambda t: t == "")
-        clean = lambda x: F.struct(*[squeeze(x[c]).alias(c) for c in names], *[F.coalesce(x[c], F.lit(False)).alias(c) for c in more], clean_text(x["description"]).alias("description"))
-        return F.coalesce(F.transform(F.filter(items, says), clean), F.array().cast(f"array<struct<{','.join([*(f'{c}:string' for c in names), *(f'{c}:boolean' for c in more), 'description:string'])}>>"))
+        clean = lambda x: F.struct(
+            *[squeeze(x[c]).alias(c) for c in names], *[F.coalesce(x[c], F.lit(False)).alias(c) for c in more],
+            clean_text(x["description"]).alias("description")
+        )
+        return F.coalesce(
+            F.transform(F.filter(items, says), clean),
+            F.array().cast(f"array<struct<{','.join([*(f'{c}:string' for c in names), *(f'{c}:boolean' for c in more), 'description:string'])}>>")
+        )
 
     history = entries(profile["work_history"], _WORK, ("title", "company", "description"), "is_current")
     titles = F.slice(distinct_folded(F.concat(F.array(basics["headline"]), F.transform(history, lambda x: x["title"]))), 1, TITLES)
     return F.struct(
-        F.struct(*[squeeze(basics[c]).alias(c) for c in _BASICS], years(basics["years_experience"], profile["experience_years"]).alias("years_experience")).alias("basics"),
+        F.struct(
+            *[squeeze(basics[c]).alias(c) for c in _BASICS],
+            years(basics["years_experience"], profile["experience_years"]).alias("years_experience")
+        ).alias("basics"),
         history.alias("work_history"), entries(profile["education"], _SCHOOL, ("school", "degree", "description")).alias("education"),
-        *[distinct_folded(profile[c]).alias(c) for c in _LISTS], titles.alias("recent_titles"), years(profile["experience_years"], basics["years_experience"]).alias("experience_years"),
+        *[distinct_folded(profile[c]).alias(c) for c in _LISTS], titles.alias("recent_titles"), years(
+            profile["experience_years"], basics["years_experience"]
+        ).alias("experience_years"),
     ).cast(PROFILE)
 
 
 def nested_summary(profile: Column, projects: Column) -> Column:
     """The summary of a normalised profile; of the first 4 entries of the history title, company and 180 characters."""
-    told = lambda x: F.concat_ws(" | ", F.nullif(x["title"], F.lit("")), F.nullif(x["company"], F.lit("")), F.nullif(F.rtrim(F.substring(squeeze(x["description"]), 1, 180)), F.lit("")))
+    told = lambda x: F.concat_ws(
+        " | ", F.nullif(x["title"], F.lit("")), F.nullif(x["company"], F.lit("")),
+        F.nullif(F.rtrim(F.substring(squeeze(x["description"]), 1, 180)), F.lit(""))
+    )
     work = F.array_join(F.filter(F.transform(F.slice(profile["work_history"], 1, 4), told), lambda t: t != ""), " || ")
     basics = profile["basics"]
-    return summary_text(profile["skills"], profile["tools"], profile["certifications"], profile["clearance_terms"], profile["recent_titles"], profile["experience_years"], basics["summary"], work, projects, basics["headline"])
+    return summary_text(
+        profile["skills"], profile["tools"], profile["certifications"], profile["clearance_terms"], profile["recent_titles"],
+        profile["experience_years"], basics["summary"], work, projects, basics["headline"]
+    )
 
 
 def edit_profiles(profiles: DataFrame, edits: DataFrame) -> DataFrame:
@@ -308,7 +383,10 @@ def edit_profiles(profiles: DataFrame, edits: DataFrame) -> DataFrame:
     rows = profiles.join(new.hint("merge"), "resume_id", "left")
     e, done = F.col("e"), F.col("e").isNotNull()
     projects = F.coalesce(F.try_element_at("sections", F.lit("projects")), F.lit("")) if "sections" in profiles.columns else F.lit("")
-    changed = {c: e[c] for c in (*_LISTS, "experience_years")} | {"titles": e["recent_titles"], "profile": e, "summary_text": nested_summary(e, projects), "embedding": F.lit(None).cast("array<double>")}
+    changed = {c: e[c] for c in (*_LISTS, "experience_years")} | {
+        "titles": e["recent_titles"], "profile": e, "summary_text": nested_summary(e, projects),
+        "embedding": F.lit(None).cast("array<double>")
+    }
     changed["content_hash"] = text_hash(changed["summary_text"])
     return rows.select(*[(F.when(done, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c) for c in profiles.columns])
 

@@ -12,7 +12,10 @@ from talentweave.operators.filters import manual_assist
 def recent_scans(scans: DataFrame, sources: DataFrame, limit: int = 25) -> DataFrame:
     """The newest scans with their sources' names; a missing source is named by its id."""
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("known_name"))
-    name = F.coalesce("known_name", F.when(F.col("source_id").isNotNull(), F.concat(F.lit("Source #"), F.col("source_id").cast("string"))), F.lit("Unknown source"))
+    name = F.coalesce(
+        "known_name", F.when(F.col("source_id").isNotNull(), F.concat(F.lit("Source #"), F.col("source_id").cast("string"))),
+        F.lit("Unknown source")
+    )
     return scans.join(names, "source_id", "left").withColumn("source_name", name).drop("known_name").orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
 
 
@@ -26,7 +29,9 @@ def scan_summary(results: DataFrame) -> DataFrame:
 def scan_totals(results: DataFrame) -> DataFrame:
     """Running totals of each source."""
     sums = [F.sum(c).alias(c) for c in ("jobs_created", "jobs_updated", "jobs_unchanged")]
-    return results.groupBy("source_id").agg(F.count("*").alias("n_scans"), *sums, F.count_if(F.col("status").isin("error", "blocked")).alias("n_issues"))
+    return results.groupBy("source_id").agg(
+        F.count("*").alias("n_scans"), *sums, F.count_if(F.col("status").isin("error", "blocked")).alias("n_issues")
+    )
 
 
 def unmatched(postings: DataFrame, matches: DataFrame) -> DataFrame:
@@ -56,10 +61,14 @@ def scan_note(row: str = "") -> Column:
     c = lambda name: F.col(f"{row}{name}")
     read = F.concat(
         c("jobs_found").cast("string"), F.lit(" job(s) across "), c("pages_scanned").cast("string"), F.lit(" page(s); "),
-        c("detail_pages_fetched").cast("string"), F.lit(" detail page(s)"), F.when(c("stopped_early"), "; stopped early after mostly-known pages").otherwise(""),
+        c("detail_pages_fetched").cast("string"), F.lit(" detail page(s)"), F.when(
+            c("stopped_early"), "; stopped early after mostly-known pages"
+        ).otherwise(""),
     )
     error = F.nullif(c("error_text"), F.lit(""))
-    failed = F.when(c("status") == "cancelled", F.coalesce(error, F.lit("Cancelled before completion."))).when(c("status").isin("blocked", "error"), error)
+    failed = F.when(
+        c("status") == "cancelled", F.coalesce(error, F.lit("Cancelled before completion."))
+    ).when(c("status").isin("blocked", "error"), error)
     return F.coalesce(failed, read)
 
 
@@ -84,5 +93,7 @@ def result_rows(matches: DataFrame) -> DataFrame:
     pay = F.concat_ws(" | ", F.nullif(F.col("job_type"), F.lit("")), F.nullif(F.col("salary_text"), F.lit("")))
     return matches.select(
         "profile_id", "posting_id", "title", "company", pay.alias("terms"), label(F.col("remote_mode"), MODE_LABELS, "Unknown").alias("mode"),
-        label(F.col("application_status"), STATE_LABELS, "Not applied").alias("state"), F.concat(F.bround(F.col("score") * 100, 0).cast("int").cast("string"), F.lit("%")).alias("score_text"),
+        label(F.col("application_status"), STATE_LABELS, "Not applied").alias("state"), F.concat(
+            F.bround(F.col("score") * 100, 0).cast("int").cast("string"), F.lit("%")
+        ).alias("score_text"),
     )

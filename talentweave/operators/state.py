@@ -30,8 +30,13 @@ def fold_events(events: DataFrame) -> DataFrame:
     joined = rows.hint("merge").join(last, "posting_id", "left")
     free = F.col("own").isNull() & (F.col("set_at").isNull() | ((F.col("at") > F.col("set_at")) & ~F.col("set").isin(*SETTLED)))
     # openings before the last set event count for the time of the last opening if they made the posting pending then
-    folded = joined.groupBy("posting_id").agg(F.first("set").alias("set"), F.first("set_at.ts").alias("set_ts"), F.max(F.when(free, F.col("ts"))).alias("opened"))
+    folded = joined.groupBy("posting_id").agg(
+        F.first("set").alias("set"), F.first("set_at.ts").alias("set_ts"), F.max(F.when(free, F.col("ts"))).alias("opened")
+    )
     pending = F.col("opened").isNotNull() | (F.col("set") == "pending")
     status = F.when(pending, "pending").otherwise(F.col("set"))
     opened = F.coalesce("opened", F.when(F.col("set") == "pending", F.col("set_ts")))
-    return folded.select("posting_id", status.alias("status"), F.coalesce(status == "pending", F.lit(False)).alias("confirmation_needed"), opened.alias("pending_since"))
+    return folded.select(
+        "posting_id", status.alias("status"), F.coalesce(status == "pending", F.lit(False)).alias("confirmation_needed"),
+        opened.alias("pending_since")
+    )

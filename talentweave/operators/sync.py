@@ -73,11 +73,15 @@ def publish(stored: DataFrame, incoming: DataFrame, as_of: dt.datetime, deactiva
     out = {c: pick(c, changed) for c in content}
     out |= {
         "content_hash": pick("content_hash", changed), "url": pick("url", seen), "canonical_url": pick("canonical_url", seen),
-        "embedding": F.when(changed, F.col("n_embedding") if "embedding" in given else F.lit(None)).otherwise(F.col("embedding")) if "embedding" in stored.columns else None,
+        "embedding": F.when(
+            changed, F.col("n_embedding") if "embedding" in given else F.lit(None)
+        ).otherwise(F.col("embedding")) if "embedding" in stored.columns else None,
         "active": F.when(seen, True).when(missing, False).otherwise(F.col("active")),
         "first_seen_at": F.when(fresh, now).otherwise(F.col("first_seen_at")), "last_seen_at": F.when(seen, now).otherwise(F.col("last_seen_at")),
         "last_updated_at": F.when(changed | moved, now).otherwise(F.col("last_updated_at")),
-        "application_status": F.coalesce("application_status", F.lit("not_applied")), "application_confirmation_needed": F.coalesce("application_confirmation_needed", F.lit(False)),
+        "application_status": F.coalesce("application_status", F.lit("not_applied")), "application_confirmation_needed": F.coalesce(
+            "application_confirmation_needed", F.lit(False)
+        ),
     }
     return rows.select(*[(F.col(c) if c in KEYS or c not in out else out[c]).alias(c) for c in stored.columns])
 

@@ -61,7 +61,12 @@ def annotate_terms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "ter
     # no letter or digit stands beside a run: where its own first or last sign is none, the neighbour decides
     begins = "filter(sequence(1, greatest(size(t), 1)), i -> i = 1 or get(t, i - 1) like ' %' or not get(t, i - 2) rlike '[a-z0-9]$')"
     ends = f"filter(sequence(1, {longest or 1}), n -> i + n - 1 <= size(t) and (i + n - 1 = size(t) or not get(t, i + n - 1) rlike '^[a-z0-9]'))"
-    runs = tokens.where("size(t) > 0").select(key, F.explode(F.array_distinct(F.expr(f"flatten(transform({begins}, i -> transform({ends}, n -> ltrim(array_join(slice(t, i, n), '')))))"))).alias("alias"))
+    runs = tokens.where("size(t) > 0").select(
+        key,
+        F.explode(
+            F.array_distinct(F.expr(f"flatten(transform({begins}, i -> transform({ends}, n -> ltrim(array_join(slice(t, i, n), '')))))"))
+        ).alias("alias")
+    )
     found = runs.hint("merge").join(names.hint("merge"), "alias").groupBy(key).agg(distinct_sorted(F.collect_set("canonical")).alias(out))
     return df.hint("merge").join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
@@ -81,13 +86,21 @@ def skill_phrase(c: Column) -> Column:
 
 def _described(names: DataFrame, lexicon: DataFrame, side: str) -> DataFrame:
     """(side, canonical, phrases, tokens) for each distinct name."""
-    phrases = lexicon.select("canonical", F.col("ord").cast("long").alias("ord"), F.explode(F.array(skill_phrase(F.col("canonical")), skill_phrase(F.col("alias")))).alias("phrase")).where("phrase <> ''")
+    phrases = lexicon.select(
+        "canonical", F.col("ord").cast("long").alias("ord"),
+        F.explode(F.array(skill_phrase(F.col("canonical")), skill_phrase(F.col("alias")))).alias("phrase")
+    ).where("phrase <> ''")
     known = phrases.groupBy("phrase").agg(F.max_by("canonical", "ord").alias("canonical"))  # later entries win
     every = phrases.groupBy("canonical").agg(F.collect_set("phrase").alias("known"))
     rows = names.select(F.col("name").alias(side)).where(f"{side} is not null").distinct().withColumn("phrase", skill_phrase(F.col(side)))
-    rows = rows.join(known.hint("merge"), "phrase", "left").withColumn("entry", F.col("canonical")).withColumn("canonical", F.when(F.col("phrase") == "", "").otherwise(fold(F.coalesce("canonical", squeeze(F.col(side))))))
+    rows = rows.join(known.hint("merge"), "phrase", "left").withColumn("entry", F.col("canonical")).withColumn(
+        "canonical", F.when(F.col("phrase") == "", "").otherwise(fold(F.coalesce("canonical", squeeze(F.col(side)))))
+    )
     rows = rows.join(every.withColumnRenamed("canonical", "entry").hint("merge"), "entry", "left")
-    rows = rows.withColumn("phrases", F.filter(F.array_distinct(F.concat(F.coalesce("known", F.array().cast("array<string>")), F.array("phrase"))), lambda x: x != ""))
+    rows = rows.withColumn(
+        "phrases",
+        F.filter(F.array_distinct(F.concat(F.coalesce("known", F.array().cast("array<string>")), F.array("phrase"))), lambda x: x != "")
+    )
     token = F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))
     return rows.select(side, "canonical", "phrases", F.filter(token, lambda t: (F.length(t) >= 3) | t.isin(*SHORT_TOKENS)).alias("tokens"))
 

@@ -21,7 +21,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.col("c_name").alias("company"), F.col("c_mktsegment").alias("location"),
         F.col("o_orderpriority").alias("description"), F.col("o_orderpriority").alias("job_type"), status.alias("application_status"), (F.col("o_orderkey") % 2 == 0).alias("application_confirmation_needed"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("Secret"), F.lit("Polygraph"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("Secret"))).otherwise(F.array().cast("array<string>")).alias("clearance_terms"),
+        F.when(
+            F.col("o_orderkey") % 3 == 0, F.array(F.lit("Secret"), F.lit("Polygraph"))
+        ).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("Secret"))).otherwise(F.array().cast("array<string>")).alias("clearance_terms"),
         F.lit(True).alias("active"), F.lit("unknown").alias("remote_mode"), F.col("o_orderdate").alias("last_seen_at"), F.col("o_totalprice").alias("price"),
     )
 
@@ -36,7 +38,11 @@ FROM orders JOIN customer ON o_custkey = c_custkey
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, price: F.Column) -> DataFrame:
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.sha2(price.cast("decimal(18,2)").cast("string"), 256).alias("content_hash"), F.col("o_orderkey").alias("key"), F.lit(True).alias("active"))
+    return table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"),
+        F.sha2(price.cast("decimal(18,2)").cast("string"), 256).alias("content_hash"), F.col("o_orderkey").alias("key"),
+        F.lit(True).alias("active")
+    )
 
 
 def old_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     w = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     known = F.col("l_orderkey") % 10 < 8 + F.col("l_suppkey") % 3
-    return rows.select(F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page"), F.row_number().over(w).alias("pos"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("external_id"), known.alias("known"), (~known).alias("needs_detail"))
+    return rows.select(
+        F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page"), F.row_number().over(w).alias("pos"),
+        F.concat_ws("-", "l_orderkey", "l_partkey").alias("external_id"), known.alias("known"), (~known).alias("needs_detail")
+    )
 
 
 LISTINGS_SQL = """
@@ -78,7 +87,10 @@ def vector_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector as a profile, with two skills and years."""
     e = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
     skills = F.array(F.concat(F.lit("s"), (F.col("vec_id") / 50 % 7).cast("int")), F.concat(F.lit("s"), F.col("label")))
-    return e.select(F.col("vec_id").alias("profile_id"), F.col("embedding").cast("array<double>").alias("embedding"), skills.alias("skills"), (F.col("vec_id") % 4).cast("double").alias("experience_years"), F.array().cast("array<string>").alias("clearance_terms"))
+    return e.select(
+        F.col("vec_id").alias("profile_id"), F.col("embedding").cast("array<double>").alias("embedding"), skills.alias("skills"),
+        (F.col("vec_id") % 4).cast("double").alias("experience_years"), F.array().cast("array<string>").alias("clearance_terms")
+    )
 
 
 def vector_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +119,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC,
 def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(suppkey, name): words of the names of the parts that a supplier ships."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return l.join(p, l["l_partkey"] == p["p_partkey"]).select(F.col("l_suppkey").alias("suppkey"), F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    return l.join(p, l["l_partkey"] == p["p_partkey"]).select(
+        F.col("l_suppkey").alias("suppkey"), F.explode(F.split("p_name", " ")).alias("name")
+    ).distinct()
 
 
 def app_events(events: DataFrame) -> DataFrame:
-    action = F.when(F.col("event_type") == "view", "opened").when(F.col("event_type") == "purchase", "applied").when(F.col("event_type") == "error", "not_interested").when(F.col("event_type") == "signup", "not_applied").otherwise("ignored")
+    action = F.when(F.col("event_type") == "view", "opened").when(F.col("event_type") == "purchase", "applied").when(
+        F.col("event_type") == "error", "not_interested"
+    ).when(F.col("event_type") == "signup", "not_applied").otherwise("ignored")
     return events.select(F.col("user_id").alias("posting_id"), "ts", F.col("event_id").alias("seq"), action.alias("action"))
 
 
 def progress_events(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").alias("source_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 10).alias("page"), F.when(F.col("value") > 100, 1).otherwise(0).alias("detail_pages"), (F.col("event_type") == "error").alias("stopped_early"), F.col("event_type").alias("status"))
+    return events.select(
+        F.col("user_id").alias("source_id"), "ts", F.col("event_id").alias("seq"), (F.col("event_id") % 10).alias("page"),
+        F.when(F.col("value") > 100, 1).otherwise(0).alias("detail_pages"),
+        (F.col("event_type") == "error").alias("stopped_early"), F.col("event_type").alias("status")
+    )

@@ -37,14 +37,18 @@ def canonical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CANONICAL} SELECT canonical, arg_max(page_id, (length(html), page_id)) AS page_id, max(length(html)) AS n_html FROM c GROUP BY canonical")
 def dedupe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("canonical"), F.length("html").cast("long").alias("n_html"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", canonical_url(F.col("url")).alias("canonical"), F.length("html").cast("long").alias("n_html")
+    )
     return dedupe.best_of(pages, F.col("canonical"), F.col("n_html"), F.col("page_id")).select("canonical", "page_id", "n_html")
 
 
 @query(f"WITH t AS (SELECT page_id, {_STRIPPED.format(c='html')} AS t FROM pages) SELECT page_id, sha256(t) AS text_hash, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substr(t, 1, 119)) || '…' END AS excerpt FROM t")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = strip_html(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select("page_id", text_hash(F.col("t")).alias("text_hash"), excerpt(F.col("t"), 120).alias("excerpt"))
+    return table(spark, sf_dir, "pages").select("page_id", text.alias("t")).select(
+        "page_id", text_hash(F.col("t")).alias("text_hash"), excerpt(F.col("t"), 120).alias("excerpt")
+    )
 
 
 _LINKS = rf"""
@@ -68,14 +72,19 @@ m AS (SELECT page_id, pos, url, CASE WHEN x BETWEEN 'a' AND 'f' THEN 'early' WHE
 
 @query(f"WITH {_CLASSES} SELECT page_id, pos, platform, priority FROM m")
 def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.classify_links(extract.extract_links(table(spark, sf_dir, "pages")), _RULES).select("page_id", F.col("pos").cast("long").alias("pos"), "platform", "priority")
+    return extract.classify_links(extract.extract_links(table(spark, sf_dir, "pages")), _RULES).select(
+        "page_id", F.col("pos").cast("long").alias("pos"), "platform", "priority"
+    )
 
 
 @query(f"""WITH {_CLASSES}, o AS (SELECT page_id, url, min_by(platform, pos) AS platform, min_by(priority, pos) AS priority FROM m GROUP BY page_id, url)
 SELECT page_id, CAST(rank AS INT) AS rank, url AS board_url, platform FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority, url) AS rank FROM o) WHERE rank <= 10""")
 def candidates_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = extract.classify_links(extract.extract_links(table(spark, sf_dir, "pages")), _RULES)
-    found = links.select("page_id", "name", "source_type", "board_url", "platform", "priority", F.col("page_url").alias("reason"), F.col("pos").alias("seq"))
+    found = links.select(
+        "page_id", "name", "source_type", "board_url", "platform", "priority", F.col("page_url").alias("reason"),
+        F.col("pos").alias("seq")
+    )
     return extract.best_candidates(found, ["page_id"]).select("page_id", "rank", "board_url", "platform")
 
 
@@ -90,9 +99,15 @@ def doc_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-_LEXICON = [("License", "license", "legal", 1), ("License", "licence", "legal", 2), ("Apache", "apache", "tool", 3), ("MIT", "mit", "tool", 4), ("And", "und", "word", 5), ("And", "and", "word", 6), ("The", "der", "word", 7), ("The", "the", "word", 8)]
+_LEXICON = [
+    ("License", "license", "legal", 1), ("License", "licence", "legal", 2), ("Apache", "apache", "tool", 3),
+    ("MIT", "mit", "tool", 4), ("And", "und", "word", 5), ("And", "and", "word", 6), ("The", "der", "word", 7),
+    ("The", "the", "word", 8)
+]
 _TERMS = {"And": "und|and", "Apache": "apache", "License": "licence|license", "MIT": "mit", "The": "der|the"}
-_TERM_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9])({p})([^a-z0-9]|$)') THEN '{n}' END" for n, p in _TERMS.items()) + "], lambda x: x IS NOT NULL)"
+_TERM_LIST = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(t, '(^|[^a-z0-9])({p})([^a-z0-9]|$)') THEN '{n}' END" for n, p in _TERMS.items()
+) + "], lambda x: x IS NOT NULL)"
 
 
 def _lexicon(spark: SparkSession) -> DataFrame:
@@ -124,7 +139,9 @@ SELECT doc_id, section, count(*) AS n_lines, sha256(string_agg(line, chr(10) ORD
 def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = profiles.lines(table(spark, sf_dir, "documents"), key="doc_id")
     rows = profiles.sectioned(rows, F.when(F.col("line").rlike("^[^ ]+$"), F.col("line")))
-    return rows.groupBy(F.col("resume_id").alias("doc_id"), "section").agg(F.count("*").alias("n_lines"), F.sha2(profiles.ordered_text(F.col("line"), F.col("pos")), 256).alias("text_hash"))
+    return rows.groupBy(F.col("resume_id").alias("doc_id"), "section").agg(
+        F.count("*").alias("n_lines"), F.sha2(profiles.ordered_text(F.col("line"), F.col("pos")), 256).alias("text_hash")
+    )
 
 
 @query("""
@@ -134,8 +151,12 @@ SELECT conv_id, CAST(segment AS BIGINT) AS segment, count(*) AS n_turns, sum(len
 def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("resume_id"), F.col("turn").alias("pos"), "role", "text")
     before = Window.partitionBy("resume_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = profiles.segments(rows, F.col("role") == "user").withColumn("answered", F.last(F.when(F.col("role") == "assistant", F.col("pos")), ignorenulls=True).over(before))
-    return rows.groupBy(F.col("resume_id").alias("conv_id"), "segment").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.min("answered").alias("answered"))
+    rows = profiles.segments(rows, F.col("role") == "user").withColumn(
+        "answered", F.last(F.when(F.col("role") == "assistant", F.col("pos")), ignorenulls=True).over(before)
+    )
+    return rows.groupBy(F.col("resume_id").alias("conv_id"), "segment").agg(
+        F.count("*").alias("n_turns"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.min("answered").alias("answered")
+    )
 
 
 @query(r"""
@@ -181,7 +202,12 @@ m AS (SELECT suppkey, names, list_filter(names, lambda x: x < 'm') AS required,
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = d.part_words(spark, sf_dir).groupBy("suppkey").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    return s.withColumns({"required": F.filter("names", lambda x: x < "m"), "preferred": F.filter("names", lambda x: x >= "m"), "have": F.filter("names", lambda x: F.length(x) % 2 == 0)})
+    return s.withColumns(
+        {
+            "required": F.filter("names", lambda x: x < "m"), "preferred": F.filter("names", lambda x: x >= "m"),
+            "have": F.filter("names", lambda x: F.length(x) % 2 == 0)
+        }
+    )
 
 
 @query(f"""WITH {_SUPPLIERS}, n AS (SELECT suppkey, len(required) AS r, len(preferred) AS p, len(list_intersect(required, have)) AS rm, len(list_intersect(preferred, have)) AS pm FROM m)
@@ -239,7 +265,9 @@ def filter_orders_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH p AS ({d.POSTINGS_SQL}) SELECT id, source_id FROM p WHERE application_confirmation_needed ORDER BY last_seen_at DESC, id DESC LIMIT 6")
 def pending_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.pending_confirmation(d.postings(spark, sf_dir).withColumn("application_last_opened_at", F.col("last_seen_at"))).select("id", "source_id")
+    return filters.pending_confirmation(
+        d.postings(spark, sf_dir).withColumn("application_last_opened_at", F.col("last_seen_at"))
+    ).select("id", "source_id")
 
 
 _DEDUPE = f"""WITH p AS ({d.POSTINGS_SQL}), k AS (SELECT *, lower(company) || '|' || lower(location) || '|' || lower(job_type) AS key,
@@ -250,7 +278,13 @@ SELECT key, arg_max(id, (pri, length(description), last_seen_at, id)) AS id, cou
 @query(f"SELECT id FROM ({_DEDUPE})")
 def dedupe_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = d.postings(spark, sf_dir).withColumns({"title": F.lit(""), "url": none, "canonical_url": none, "required_skills": F.lit(None).cast("array<string>"), "skills": F.lit(None).cast("array<string>"), "last_updated_at": F.col("last_seen_at"), "first_seen_at": F.col("last_seen_at")})
+    rows = d.postings(spark, sf_dir).withColumns(
+        {
+            "title": F.lit(""), "url": none, "canonical_url": none, "required_skills": F.lit(None).cast("array<string>"),
+            "skills": F.lit(None).cast("array<string>"), "last_updated_at": F.col("last_seen_at"),
+            "first_seen_at": F.col("last_seen_at")
+        }
+    )
     return dedupe.dedupe_postings(rows).select("id")
 
 
@@ -289,7 +323,9 @@ _FIRST = f"WITH l AS ({d.LISTINGS_SQL}), f AS (SELECT *, row_number() OVER (PART
 
 @query(f"{_FIRST} SELECT source_id, page, pos, external_id FROM c")
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listings.cap(listings.dedupe_source(d.listings(spark, sf_dir))).select("source_id", "page", F.col("pos").cast("long").alias("pos"), "external_id")
+    return listings.cap(listings.dedupe_source(d.listings(spark, sf_dir))).select(
+        "source_id", "page", F.col("pos").cast("long").alias("pos"), "external_id"
+    )
 
 
 @query(f"{_FIRST}, b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page, pos) AS k FROM c WHERE NOT known) SELECT source_id, page, pos, external_id FROM b WHERE k <= 10")
@@ -323,13 +359,20 @@ _SCANS = "s AS (SELECT o_orderkey AS id, o_custkey AS source_id, o_orderdate AS
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "blocked").otherwise("error")
-    return table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("started_at"), status.alias("status"), (key % 11).alias("jobs_created"), (key % 5).alias("jobs_updated"), (key % 3).alias("jobs_unchanged"), (key % 11 + key % 5 + key % 3).alias("jobs_found"), F.lit(0).alias("jobs_deactivated"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("started_at"), status.alias("status"),
+        (key % 11).alias("jobs_created"), (key % 5).alias("jobs_updated"), (key % 3).alias("jobs_unchanged"),
+        (key % 11 + key % 5 + key % 3).alias("jobs_found"), F.lit(0).alias("jobs_deactivated")
+    )
 
 
 @query(f"WITH {_SCANS} SELECT id, coalesce(c_name, 'Source #' || source_id) AS source_name, status, '+' || created || ' / ~' || updated || ' / =' || unchanged AS change FROM s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON source_id = c_custkey ORDER BY started_at DESC, id DESC LIMIT 25")
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return reports.recent_scans(_scans(spark, sf_dir), sources).select("id", "source_name", "status", reports.change_text(F.col("jobs_created"), F.col("jobs_updated"), F.col("jobs_unchanged")).alias("change"))
+    return reports.recent_scans(_scans(spark, sf_dir), sources).select(
+        "id", "source_name", "status",
+        reports.change_text(F.col("jobs_created"), F.col("jobs_updated"), F.col("jobs_unchanged")).alias("change")
+    )
 
 
 @query(f"WITH {_SCANS} SELECT count(*) AS n_sources, sum(created + updated + unchanged)::BIGINT AS jobs_found, sum(created)::BIGINT AS jobs_created, sum(updated)::BIGINT AS jobs_updated, sum(unchanged)::BIGINT AS jobs_unchanged, 0::BIGINT AS jobs_deactivated, count(*) FILTER (status = 'completed') AS n_completed, count(*) FILTER (status = 'error') AS n_error, count(*) FILTER (status = 'blocked') AS n_blocked, count(*) FILTER (status IN ('error', 'blocked')) AS n_issues FROM s")
@@ -384,7 +427,10 @@ m AS (SELECT DISTINCT profile_id, unnest(generate_series(a, b, INTERVAL 1 MONTH)
 SELECT profile_id, count(*) AS months, round_even(count(*) / 12, 1) AS years FROM m GROUP BY profile_id""")
 def experience_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.trunc("o_orderdate", "month")
-    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("profile_id"), start.alias("start"), F.add_months(start, (F.col("o_orderkey") % 24).cast("int")).alias("end"))
+    spans = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("profile_id"), start.alias("start"),
+        F.add_months(start, (F.col("o_orderkey") % 24).cast("int")).alias("end")
+    )
     rows = profiles.months_covered(spans, "profile_id")
     return rows.select("profile_id", "months", F.bround(F.col("months") / 12, 1).alias("years"))
 
@@ -424,7 +470,9 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, flow: Callable[[DataF
     for number in range(len(set(cuts)) + 1):
         if number:
             rows.where(part == number).write.mode("append").parquet(f"{root}/in")
-        run = out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+        run = out.writeStream.outputMode("update").option(
+            "checkpointLocation", f"{root}/checkpoint"
+        ).foreachBatch(keep).trigger(availableNow=True).start()
         run.awaitTermination()
     rows = spark.read.parquet(f"{root}/out")
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in out.columns if c != key]), "batch").alias("r")).select(key, "r.*")
@@ -462,16 +510,32 @@ def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as captures that arrive in four batches, each without a quarter of the keys, merged into a published snapshot."""
     orders, root = table(spark, sf_dir, "orders"), shared_path(spark, "captures")
     none = F.lit(None).cast("timestamp")
-    prepare = lambda b: b.select((F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("content_hash"))
-    empty = prepare(table(spark, sf_dir, "orders")).where("false").withColumns({"active": F.lit(True), "first_seen_at": none, "last_seen_at": none, "last_updated_at": none, "application_status": F.lit("x"), "application_confirmation_needed": F.lit(False)})
+    prepare = lambda b: b.select(
+        (F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"),
+        F.sha2(F.col("o_totalprice").cast("string"), 256).alias("content_hash")
+    )
+    empty = prepare(table(spark, sf_dir, "orders")).where("false").withColumns(
+        {
+            "active": F.lit(True), "first_seen_at": none, "last_seen_at": none, "last_updated_at": none,
+            "application_status": F.lit("x"), "application_confirmation_needed": F.lit(False)
+        }
+    )
     merge = flows.merge_batches(prepare, f"{root}/snapshots", empty, lambda i: AS_OF + dt.timedelta(hours=i))
     for number in range(4):
         orders.where(F.col("o_orderkey") % 4 != number).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(orders.schema).parquet(f"{root}/in")
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.foreachBatch(merge).option(
+            "checkpointLocation", f"{root}/checkpoint"
+        ).trigger(availableNow=True).start().awaitTermination()
     hours = lambda c: F.floor((F.unix_timestamp(c) - F.unix_timestamp(F.lit(AS_OF))) / 3600).cast("int")
     rows = read_current(spark, f"{root}/snapshots")
-    return rows.select("source_id", "external_id", "active", *[hours(F.col(f"{c}_at")).alias(n) for c, n in (("first_seen", "first_batch"), ("last_seen", "last_batch"), ("last_updated", "updated_batch"))])
+    return rows.select(
+        "source_id", "external_id", "active",
+        *[
+            hours(F.col(f"{c}_at")).alias(n) for c,
+            n in (("first_seen", "first_batch"), ("last_seen", "last_batch"), ("last_updated", "updated_batch"))
+        ]
+    )
 
 
 @query(f"""WITH {d.SNAPSHOTS_SQL} SELECT coalesce(old.source_id, new.source_id) AS source_id, coalesce(old.external_id, new.external_id) AS external_id, new.h IS NOT NULL AS active,
@@ -480,12 +544,20 @@ CASE WHEN new.h IS NULL OR old.h = new.h THEN TIMESTAMP '2024-01-01' ELSE TIMEST
 FROM old FULL JOIN new ON old.source_id = new.source_id AND old.external_id = new.external_id""")
 def sync_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     then = F.lit(dt.datetime(2024, 1, 1))
-    old = d.old_snapshot(spark, sf_dir).withColumns({"first_seen_at": then, "last_seen_at": then, "last_updated_at": then, "application_status": F.lit("applied"), "application_confirmation_needed": F.lit(False)})
+    old = d.old_snapshot(spark, sf_dir).withColumns(
+        {
+            "first_seen_at": then, "last_seen_at": then, "last_updated_at": then, "application_status": F.lit("applied"),
+            "application_confirmation_needed": F.lit(False)
+        }
+    )
     rows = sync.publish(old, d.new_snapshot(spark, sf_dir).drop("active"), AS_OF)
     return rows.select("source_id", "external_id", "active", "first_seen_at", "last_seen_at", "last_updated_at", "content_hash")
 
 
-_LAYOUT = [("page", "detail", "title", 0, "h1"), ("page", "card", "container", 0, "li"), ("page", "card", "text", 0, "a"), ("page", "card", "href", 0, "a@href")]
+_LAYOUT = [
+    ("page", "detail", "title", 0, "h1"), ("page", "card", "container", 0, "li"), ("page", "card", "text", 0, "a"),
+    ("page", "card", "href", 0, "a@href")
+]
 
 
 def _with_layout(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
@@ -511,8 +583,13 @@ p_name || ' at ' || p_brand || chr(10) || 'Remote mode: hybrid' || chr(10) || 'T
 def normalized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as payload rows, normalised to postings."""
     text = F.concat(F.lit("Hybrid contract work, 3 years of care. Salary $"), F.format_number("p_retailprice", 2), F.lit(" per hour"))
-    payloads = table(spark, sf_dir, "part").select(F.lit(1).alias("source_id"), F.col("p_partkey").cast("string").alias("raw_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), text.alias("description"))
-    sources = spark.createDataFrame([(1, "Parts", "https://parts.example/list", "custom_url")], "id long, name string, url string, source_type string")
+    payloads = table(spark, sf_dir, "part").select(
+        F.lit(1).alias("source_id"), F.col("p_partkey").cast("string").alias("raw_id"), F.col("p_name").alias("title"),
+        F.col("p_brand").alias("company"), text.alias("description")
+    )
+    sources = spark.createDataFrame(
+        [(1, "Parts", "https://parts.example/list", "custom_url")], "id long, name string, url string, source_type string"
+    )
     rows = normalize.normalize_postings(payloads, sources, {"Zymurgy": ["zymurgy"]})
     return rows.select("external_id", "title", "company", "salary_min", "remote_mode", "experience_years", "summary_text")
 

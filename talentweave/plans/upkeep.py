@@ -17,9 +17,18 @@ from talentweave.plans.registry import AS_OF, chosen, query
 from talentweave.sources import sinks
 
 # ---- sources -------------------------------------------------------------------------------------------------
-_URLS = ["https://boards.greenhouse.io/acme/jobs/1?gh_src=x", "https://jobs.lever.co/acme/2", "https://www.Indeed.com/jobs?q=a&l=b&from=x&vjk=7", "https://www.clearancejobs.com/jobs?page=2", "https://firm.example//careers/", "https://www.linkedin.com/jobs", "https://boards.greenhouse.io/embed/acme2", "https://shop.example/"]
+_URLS = [
+    "https://boards.greenhouse.io/acme/jobs/1?gh_src=x", "https://jobs.lever.co/acme/2",
+    "https://www.Indeed.com/jobs?q=a&l=b&from=x&vjk=7", "https://www.clearancejobs.com/jobs?page=2",
+    "https://firm.example//careers/", "https://www.linkedin.com/jobs", "https://boards.greenhouse.io/embed/acme2",
+    "https://shop.example/"
+]
 _TYPES = ["greenhouse", "lever", "indeed", "clearance", "custom_url", "custom_url", "greenhouse", "custom_url"]
-_CLEAN = ["https://boards.greenhouse.io/acme/jobs/1", "https://jobs.lever.co/acme/2", "https://www.indeed.com/jobs?l=b&q=a", "https://www.clearancejobs.com/jobs?page=2", "https://firm.example/careers", "https://www.linkedin.com/jobs", "https://boards.greenhouse.io/embed/acme2", "https://shop.example/"]
+_CLEAN = [
+    "https://boards.greenhouse.io/acme/jobs/1", "https://jobs.lever.co/acme/2", "https://www.indeed.com/jobs?l=b&q=a",
+    "https://www.clearancejobs.com/jobs?page=2", "https://firm.example/careers", "https://www.linkedin.com/jobs",
+    "https://boards.greenhouse.io/embed/acme2", "https://shop.example/"
+]
 _LABELS = ["Greenhouse", "Lever", "Indeed", "Clearancejobs", "Firm", "Linkedin", "Greenhouse", "Shop"]
 _IDS = ["acme", "acme", "jobs", "jobs", "careers", "jobs", "acme2", None]
 
@@ -41,7 +50,11 @@ def source_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sources(spark, sf_dir)
     kind, url = urls.source_type(F.col("source_type"), F.col("url")), F.col("url")
     held = filters.scannable(rows).select("id", F.lit(True).alias("scannable"))
-    flags = rows.select("id", kind.alias("kind"), urls.source_url(url, kind).alias("clean"), urls.host_label(url).alias("label"), urls.board_identifier(url).alias("identifier"), filters.manual_assist(kind, F.col("id") % 13 == 0).alias("manual"), filters.excluded_host(url).alias("excluded"), filters.careers_path(url).alias("careers"))
+    flags = rows.select(
+        "id", kind.alias("kind"), urls.source_url(url, kind).alias("clean"), urls.host_label(url).alias("label"),
+        urls.board_identifier(url).alias("identifier"), filters.manual_assist(kind, F.col("id") % 13 == 0).alias("manual"),
+        filters.excluded_host(url).alias("excluded"), filters.careers_path(url).alias("careers")
+    )
     return flags.join(held.hint("merge"), "id", "left").withColumn("scannable", F.coalesce("scannable", F.lit(False)))
 
 
@@ -54,14 +67,20 @@ def saved_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'completed' END AS last_status, CASE WHEN s_suppkey % 2 = 0 THEN TIMESTAMP '2024-01-31' ELSE TIMESTAMP '2024-01-01' END AS last_scan_at, 'e' AS etag FROM supplier")
 def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sources(spark, sf_dir)
-    results = rows.where("id % 2 = 0").select(F.col("id").alias("source_id"), F.lit(AS_OF).alias("last_scan_at"), F.lit("new").alias("last_status"), F.lit(None).cast("string").alias("etag"))
+    results = rows.where("id % 2 = 0").select(
+        F.col("id").alias("source_id"), F.lit(AS_OF).alias("last_scan_at"), F.lit("new").alias("last_status"),
+        F.lit(None).cast("string").alias("etag")
+    )
     return sync.scan_state(rows, results).select("id", "name", "last_status", "last_scan_at", "etag")
 
 
 @query("SELECT s_suppkey + 10000 * CAST(s_suppkey % 3 = 0 AS INT) AS id, CASE WHEN s_suppkey % 3 > 0 THEN CASE WHEN s_suppkey % 3 = 1 THEN 'changed' ELSE s_name END ELSE 'added' END AS name FROM supplier UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0")
 def source_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sources(spark, sf_dir).select("id", "name")
-    changes = rows.select((F.col("id") + F.when(F.col("id") % 3 == 0, 10000).otherwise(0)).alias("id"), F.when(F.col("id") % 3 == 0, "added").when(F.col("id") % 3 == 1, "changed").alias("name"))
+    changes = rows.select(
+        (F.col("id") + F.when(F.col("id") % 3 == 0, 10000).otherwise(0)).alias("id"),
+        F.when(F.col("id") % 3 == 0, "added").when(F.col("id") % 3 == 1, "changed").alias("name")
+    )
     return sync.upsert(rows, changes)
 
 
@@ -75,7 +94,12 @@ def cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = d.postings(spark, sf_dir)
     held = sync.cleared(postings, postings.select("id"), _sources(spark, sf_dir))
     gone = F.col("etag").isNull() & F.col("last_modified").isNull() & F.col("last_scan_at").isNull() & F.col("last_status").isNull()
-    parts = [x.agg(F.count("*").alias("n"), F.count_if(gone if name == "sources" else F.lit(True)).alias("n_null")).select(F.lit(name).alias("what"), "n", "n_null") for name, x in zip(("postings", "scans", "sources"), held, strict=True)]
+    parts = [
+        x.agg(
+            F.count("*").alias("n"), F.count_if(gone if name == "sources" else F.lit(True)).alias("n_null")
+        ).select(F.lit(name).alias("what"), "n", "n_null") for name,
+        x in zip(("postings", "scans", "sources"), held, strict=True)
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -92,8 +116,14 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans that begin, and are closed with what came of them; every fourth still runs."""
     log = sinks.begin_scans(_sources(spark, sf_dir), dt.datetime(2024, 1, 30))
     k = F.col("source_id")
-    done = log.where("source_id % 4 < 3").select("id", F.expr(chosen("source_id", ["completed", "error", "blocked", "x"])).alias("status"), F.when(k % 4 == 0, k).alias("jobs_found"), F.when(k % 4 == 1, "failed").when(k % 4 == 2, "asks who").alias("error_text"))
-    unknown = spark.range(1).select((F.col("id") - 1).alias("id"), F.lit("x").alias("status"), F.lit(9).cast("long").alias("jobs_found"), F.lit("y").alias("error_text"))
+    done = log.where("source_id % 4 < 3").select(
+        "id", F.expr(chosen("source_id", ["completed", "error", "blocked", "x"])).alias("status"),
+        F.when(k % 4 == 0, k).alias("jobs_found"), F.when(k % 4 == 1, "failed").when(k % 4 == 2, "asks who").alias("error_text")
+    )
+    unknown = spark.range(1).select(
+        (F.col("id") - 1).alias("id"), F.lit("x").alias("status"), F.lit(9).cast("long").alias("jobs_found"),
+        F.lit("y").alias("error_text")
+    )
     return sinks.finish_scans(log, done.unionByName(unknown), AS_OF).select("source_id", "status", "jobs_found", "error_text", "finished_at")
 
 
@@ -104,7 +134,11 @@ _STATES = ["completed", "error", "blocked", "cancelled"]
 ELSE o_orderkey % 9 || ' job(s) across ' || o_orderkey % 5 || ' page(s); ' || o_orderkey % 7 || ' detail page(s)' || CASE WHEN o_orderkey % 2 = 0 THEN '; stopped early after mostly-known pages' ELSE '' END END AS note FROM orders""")
 def scan_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.expr(chosen("o_orderkey", _STATES)).alias("status"), F.when((k % 3 == 0) & (k % 4 > 0), "told").otherwise("").alias("error_text"), (k % 9).alias("jobs_found"), (k % 5).alias("pages_scanned"), (k % 7).alias("detail_pages_fetched"), (k % 2 == 0).alias("stopped_early"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.expr(chosen("o_orderkey", _STATES)).alias("status"),
+        F.when((k % 3 == 0) & (k % 4 > 0), "told").otherwise("").alias("error_text"), (k % 9).alias("jobs_found"),
+        (k % 5).alias("pages_scanned"), (k % 7).alias("detail_pages_fetched"), (k % 2 == 0).alias("stopped_early")
+    )
     return rows.select("id", reports.scan_note().alias("note"))
 
 
@@ -133,15 +167,25 @@ def posting_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH p AS ({d.POSTINGS_SQL}) SELECT id, CASE WHEN id % 4 = 1 THEN 'remote' WHEN id % 4 = 2 THEN 'hybrid' ELSE 'unknown' END AS remote_mode FROM p WHERE id % 4 = 1")
 def filter_orders_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d.postings(spark, sf_dir).withColumn("remote_mode", F.expr("CASE WHEN id % 4 = 1 THEN 'remote' WHEN id % 4 = 2 THEN 'hybrid' ELSE 'unknown' END"))
+    rows = d.postings(spark, sf_dir).withColumn(
+        "remote_mode", F.expr("CASE WHEN id % 4 = 1 THEN 'remote' WHEN id % 4 = 2 THEN 'hybrid' ELSE 'unknown' END")
+    )
     return filters.filter_postings(rows, remote_mode="remote").select("id", "remote_mode")
 
 
 @query(f"""WITH p AS ({d.POSTINGS_SQL}) SELECT id, lower(replace(company, '  ', ' ')) AS company, 'contract | $5' AS terms, CASE WHEN id % 2 = 0 THEN 'Remote' ELSE 'Unknown' END AS mode,
 CASE application_status WHEN 'applied' THEN 'Applied' WHEN 'pending' THEN 'Pending' ELSE 'Not applied' END AS state, round_even(id % 101, 0)::INT || '%' AS score_text FROM p""")
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d.postings(spark, sf_dir).withColumns({"profile_id": F.lit(1), "posting_id": F.col("id"), "title": F.lit("T"), "job_type": F.lit("contract"), "salary_text": F.lit("$5"), "remote_mode": F.when(F.col("id") % 2 == 0, "remote").otherwise("unknown"), "score": (F.col("id") % 101) / 100})
-    return reports.result_rows(rows).select(F.col("posting_id").alias("id"), F.lower("company").alias("company"), "terms", "mode", "state", "score_text")
+    rows = d.postings(spark, sf_dir).withColumns(
+        {
+            "profile_id": F.lit(1), "posting_id": F.col("id"), "title": F.lit("T"), "job_type": F.lit("contract"),
+            "salary_text": F.lit("$5"), "remote_mode": F.when(F.col("id") % 2 == 0, "remote").otherwise("unknown"),
+            "score": (F.col("id") % 101) / 100
+        }
+    )
+    return reports.result_rows(rows).select(
+        F.col("posting_id").alias("id"), F.lower("company").alias("company"), "terms", "mode", "state", "score_text"
+    )
 
 
 _LINKS = ["/jobs/1", "/Career/x", "/about", "/posting/9", "/opportunities"]
@@ -153,11 +197,21 @@ o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS needs_detail, o_orderkey % 3 = 0 AS
 def card_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     word = F.expr(chosen("o_orderkey", ["Not specified", "Part-time", "TS/SCI", "Nothing"]))
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.expr(chosen("o_orderkey", _LINKS)).alias("href"), F.expr(chosen("o_orderkey", _TITLES)).alias("title"), word.alias("word"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.expr(chosen("o_orderkey", _LINKS)).alias("href"), F.expr(chosen("o_orderkey", _TITLES)).alias("title"),
+        word.alias("word")
+    )
     host = F.when(F.col("id") % 3 == 0, "https://www.clearancejobs.com/x").otherwise("https://a.example/x")
-    detail = filters.capture_needs_detail(host, F.lit("$1"), F.when(F.col("id") % 2 == 0, "short").otherwise(F.repeat(F.lit("long "), F.lit(60))), F.lit("all"))
+    detail = filters.capture_needs_detail(
+        host, F.lit("$1"), F.when(F.col("id") % 2 == 0, "short").otherwise(F.repeat(F.lit("long "), F.lit(60))), F.lit("all")
+    )
     told = F.when(F.col("id") % 3 == 0, "Please wait. Just a  moment... Just a moment").otherwise("Open")
-    return rows.select("id", filters.job_like(F.col("href"), F.col("title")).alias("job_like"), filters.bundled(F.col("title")).alias("bundled"), annotate.placeholder(F.col("word")).alias("placeholder"), annotate.employment_fragment(F.col("word")).alias("employment"), annotate.clearance_token(F.col("word")).alias("cleared"), detail.alias("needs_detail"), annotate.challenge_page(told).alias("challenge"))
+    return rows.select(
+        "id", filters.job_like(F.col("href"), F.col("title")).alias("job_like"), filters.bundled(F.col("title")).alias("bundled"),
+        annotate.placeholder(F.col("word")).alias("placeholder"), annotate.employment_fragment(F.col("word")).alias("employment"),
+        annotate.clearance_token(F.col("word")).alias("cleared"), detail.alias("needs_detail"),
+        annotate.challenge_page(told).alias("challenge")
+    )
 
 
 _MODES = ["Remote work", "A hybrid week", "On-site only", "In office", "Somewhere"]
@@ -166,21 +220,32 @@ _MODES = ["Remote work", "A hybrid week", "On-site only", "In office", "Somewher
 @query(f"SELECT o_orderkey AS id, {chosen('o_orderkey', ['remote', 'hybrid', 'on-site', 'on-site', 'unknown'])} AS mode, {chosen('o_orderkey', ['full-time', 'contract', None])} AS kind, CASE WHEN o_orderkey % 2 = 0 THEN 1.5 + o_orderkey % 9 END::DOUBLE AS years FROM orders")
 def text_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = chosen("o_orderkey", ["Full time role", "1099 position", "A job"])
-    text = F.expr(f"concat_ws(', ', {chosen('o_orderkey', _MODES)}, {kinds}, CASE WHEN o_orderkey % 2 = 0 THEN concat('1 year then ', 1 + o_orderkey % 9, '.5+ years') END)")
+    text = F.expr(
+        f"concat_ws(', ', {chosen('o_orderkey', _MODES)}, {kinds}, CASE WHEN o_orderkey % 2 = 0 THEN concat('1 year then ', 1 + o_orderkey % 9, '.5+ years') END)"
+    )
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
-    return rows.select("id", annotate.work_mode(F.col("text")).alias("mode"), annotate.job_type(F.col("text")).alias("kind"), annotate.years_mentioned(F.col("text")).alias("years"))
+    return rows.select(
+        "id", annotate.work_mode(F.col("text")).alias("mode"), annotate.job_type(F.col("text")).alias("kind"),
+        annotate.years_mentioned(F.col("text")).alias("years")
+    )
 
 
 @query(r"""SELECT doc_id, doc_id % 4 = 0 AS challenge, CASE WHEN doc_id % 3 = 0 THEN 'remote' WHEN doc_id % 3 = 1 THEN 'hybrid' ELSE 'unknown' END AS mode FROM documents""")
 def doc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, some of them with a sentence that tells a work mode or asks for a check."""
-    text = F.concat_ws(" ", "text", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'Fully REMOTE.' WHEN doc_id % 3 = 1 THEN 'Hybrid week.' END"), F.expr("CASE WHEN doc_id % 4 = 0 THEN 'Ray ID: 1f' END"))
+    text = F.concat_ws(
+        " ", "text", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'Fully REMOTE.' WHEN doc_id % 3 = 1 THEN 'Hybrid week.' END"),
+        F.expr("CASE WHEN doc_id % 4 = 0 THEN 'Ray ID: 1f' END")
+    )
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     return rows.select("doc_id", annotate.challenge_page(F.col("text")).alias("challenge"), annotate.work_mode(F.col("text")).alias("mode"))
 
 
 # ---- URLs ----------------------------------------------------------------------------------------------------
-_RAW = ["https://www.indeed.com/jobs?q=a&vjk=v1&jk=j1", "/rc/clk?jk=j2&from=x", "", "https://Other.example/a//b/?utm_x=1&b=2&a=1#f", "https://duck.example/l/?uddg=https%3A%2F%2Fa.example%2Fx&rut=1"]
+_RAW = [
+    "https://www.indeed.com/jobs?q=a&vjk=v1&jk=j1", "/rc/clk?jk=j2&from=x", "", "https://Other.example/a//b/?utm_x=1&b=2&a=1#f",
+    "https://duck.example/l/?uddg=https%3A%2F%2Fa.example%2Fx&rut=1"
+]
 
 
 @query(f"""SELECT o_orderkey AS id, {chosen('o_orderkey', ['v1', 'j2', '', '', ''])} AS job_id, {chosen('o_orderkey', ['https://www.indeed.com/viewjob?jk=v1', 'https://www.indeed.com/viewjob?jk=j2', 'https://www.indeed.com/viewjob?jk=r', 'https://other.example/a/b?a=1&b=2', 'https://duck.example/l?rut=1&uddg=https%3A%2F%2Fa.example%2Fx'])} AS url,
@@ -189,7 +254,10 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(chosen("o_orderkey", _RAW)).alias("raw"))
     page = F.lit("https://www.indeed.com/jobs")
     following = urls.next_page_url(F.lit("https://b.example/list?page=9&q=x"), (F.col("id") % 4).cast("int"), F.lit(3))
-    return rows.select("id", urls.board_job_id(F.col("raw")).alias("job_id"), urls.capture_url(F.col("raw"), page, F.lit("r")).alias("url"), urls.unwrap_redirect(F.col("raw")).alias("target"), following.alias("next_url"))
+    return rows.select(
+        "id", urls.board_job_id(F.col("raw")).alias("job_id"), urls.capture_url(F.col("raw"), page, F.lit("r")).alias("url"),
+        urls.unwrap_redirect(F.col("raw")).alias("target"), following.alias("next_url")
+    )
 
 
 @query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z' AS told FROM orders")
@@ -197,7 +265,12 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), iso(F.col("o_orderdate").cast("timestamp")).alias("told"))
 
 
-_BOARDS = ["https://boards.greenhouse.io/acme/jobs/1", "https://jobs.lever.co/b/2?lever-source=x", "https://jobs.ashbyhq.com/c/3", "https://jobs.smartrecruiters.com/D/4", "https://jobs.jobvite.com/e/job/5", "https://f.workdayjobs.com/en/g/6", "https://g.bamboohr.com/careers/7", "https://h.example/careers/8", "https://i.example/about", "https://www.linkedin.com/jobs/9"]
+_BOARDS = [
+    "https://boards.greenhouse.io/acme/jobs/1", "https://jobs.lever.co/b/2?lever-source=x", "https://jobs.ashbyhq.com/c/3",
+    "https://jobs.smartrecruiters.com/D/4", "https://jobs.jobvite.com/e/job/5", "https://f.workdayjobs.com/en/g/6",
+    "https://g.bamboohr.com/careers/7", "https://h.example/careers/8", "https://i.example/about",
+    "https://www.linkedin.com/jobs/9"
+]
 _PLATFORMS = ["greenhouse", "lever", "ashby", "smartrecruiters", "jobvite", None, "bamboohr", "careers page", None, None]
 
 
@@ -211,7 +284,10 @@ def board_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- terms and skills ----------------------------------------------------------------------------------------
-_MANY = [(f"Term {i}", f"w{i}x", "made", i) for i in range(300)] + [("Road", "straße", "word", 300), ("License", "licence", "word", 301), ("License", "license", "word", 302), ("Dot", ".net", "word", 303), ("Two", "apache   license", "word", 304)]
+_MANY = [(f"Term {i}", f"w{i}x", "made", i) for i in range(300)] + [
+    ("Road", "straße", "word", 300), ("License", "licence", "word", 301), ("License", "license", "word", 302),
+    ("Dot", ".net", "word", 303), ("Two", "apache   license", "word", 304)
+]
 
 
 @query(r"""WITH f AS (SELECT doc_id, replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss') || ' w' || doc_id % 400 || 'x on strasse asp.net' || CASE WHEN doc_id % 2 = 0 THEN ' .net' ELSE '' END AS t FROM documents)
@@ -229,15 +305,24 @@ def skill_pairs_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names alike by folding, by a lexicon's aliases, and by their words; others are not paired."""
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("nr"), F.col("s_suppkey") + 1000).alias("k"))
     names = lambda *x: s.select(F.explode(F.array(*[F.concat(F.lit(v), "k") for v in x])).alias("name"))
-    lexicon = s.select(F.concat(F.lit("Amazon Web Services "), "k").alias("canonical"), F.concat(F.lit("aws "), "k").alias("alias"), F.lit("cloud").alias("category"), F.lit(1).alias("ord"))
-    return terms.skill_pairs(names("Python ", "Amazon Web Services ", "machine learning ", "welding "), names("python ", "AWS ", "machine learning models ", "cooking "), lexicon)
+    lexicon = s.select(
+        F.concat(F.lit("Amazon Web Services "), "k").alias("canonical"), F.concat(F.lit("aws "), "k").alias("alias"),
+        F.lit("cloud").alias("category"), F.lit(1).alias("ord")
+    )
+    return terms.skill_pairs(
+        names("Python ", "Amazon Web Services ", "machine learning ", "welding "),
+        names("python ", "AWS ", "machine learning models ", "cooking "), lexicon
+    )
 
 
 # ---- vectors and ranking -------------------------------------------------------------------------------------
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 64 END AS n, CASE WHEN vec_id % 3 = 0 THEN length('text ' || vec_id) ELSE round(embedding[1]::DOUBLE, 4) END::DOUBLE AS first FROM embeddings")
 def encode_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third row has no vector and gets one (here of its text's length); the others keep theirs."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 > 0, F.col("embedding").cast("array<double>")).alias("embedding"), F.concat(F.lit("text "), "vec_id").alias("summary_text"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 3 > 0, F.col("embedding").cast("array<double>")).alias("embedding"),
+        F.concat(F.lit("text "), "vec_id").alias("summary_text")
+    )
     got = matching.encode(rows, encoder=lambda texts: np.stack([texts.str.len(), texts.str.len()], axis=1).astype(float))
     return got.select("id", F.size("embedding").alias("n"), F.round(F.get("embedding", 0), 4).alias("first"))
 
@@ -247,7 +332,9 @@ def vectors_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of another model are taken anew."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
     held = e.select("id", F.array(F.lit(1.0)).alias("embedding"), F.when(F.col("id") % 2 == 0, "new").otherwise("old").alias("model"))
-    return sync.fill_vectors(held, e.select("id", F.array(F.lit(2.0)).alias("embedding")), model="new").select("id", F.get("embedding", 0).alias("first"), "model")
+    return sync.fill_vectors(
+        held, e.select("id", F.array(F.lit(2.0)).alias("embedding")), model="new"
+    ).select("id", F.get("embedding", 0).alias("first"), "model")
 
 
 @query("""WITH p AS (SELECT vec_id % 50 = 0 AS mine, vec_id AS k FROM embeddings), r AS (SELECT k AS id FROM p WHERE NOT mine)
@@ -256,5 +343,12 @@ def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     k = F.col("id")
     rows = table(spark, sf_dir, "embeddings").where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"))
-    rows = rows.withColumns({"embedding_score": F.lit(0.5), "skill_score": F.lit(0.25), "experience_score": F.lit(1.0), "matched_skills": a("a"), "missing_skills": F.when(k % 2 == 0, a("b")).otherwise(a()), "required_skills": F.when(k % 3 == 0, a("a")), "matched_clearance": a(), "clearance_terms": F.when(k % 5 == 0, a("Secret")).otherwise(a()), "salary_text": F.when(k % 7 == 0, "$20 to $30 per hour").when(k % 7 == 1, "Full-time")})
+    rows = rows.withColumns(
+        {
+            "embedding_score": F.lit(0.5), "skill_score": F.lit(0.25), "experience_score": F.lit(1.0), "matched_skills": a("a"),
+            "missing_skills": F.when(k % 2 == 0, a("b")).otherwise(a()), "required_skills": F.when(k % 3 == 0, a("a")),
+            "matched_clearance": a(), "clearance_terms": F.when(k % 5 == 0, a("Secret")).otherwise(a()),
+            "salary_text": F.when(k % 7 == 0, "$20 to $30 per hour").when(k % 7 == 1, "Full-time")
+        }
+    )
     return rows.select("id", F.array_join(matching.reasons(), "|").alias("reasons"))

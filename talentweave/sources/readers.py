@@ -16,9 +16,14 @@ CAPTURE = f"parser string, page struct<url:string,title:string,site:string,parse
 
 def resume_texts(spark: SparkSession, path: str, least: int = 40) -> DataFrame:
     """(filename, text, status): whole text files; others and too short ones are marked, not dropped."""
-    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text")
+    )
     kind = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
-    return rows.withColumn("status", F.when(~kind.isin("txt", "md"), "unsupported").when(F.length(squeeze(F.col("text"))) < least, "too short").otherwise("ok"))
+    return rows.withColumn(
+        "status",
+        F.when(~kind.isin("txt", "md"), "unsupported").when(F.length(squeeze(F.col("text"))) < least, "too short").otherwise("ok")
+    )
 
 
 def board_payloads(spark: SparkSession, path: str, source_id: int) -> DataFrame:
@@ -35,7 +40,13 @@ def postings_payloads(spark: SparkSession, path: str, source_id: int) -> DataFra
     rows = spark.read.schema(POSTINGS).option("multiLine", True).json(path)
     return rows.select(
         F.lit(source_id).cast("long").alias("source_id"), F.col("id").alias("raw_id"), F.col("text").alias("title"), F.col("categories.location").alias("location"), F.col("categories.commitment").alias("employment_text"),
-        F.col("descriptionPlain").alias("description"), F.array_join(F.transform(F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")), lambda x: strip_html(F.concat_ws(" ", x["text"], x["content"]))), "\n").alias("requirements_text"),
+        F.col("descriptionPlain").alias("description"), F.array_join(
+            F.transform(
+                F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")),
+                lambda x: strip_html(F.concat_ws(" ", x["text"], x["content"]))
+            ),
+            "\n"
+        ).alias("requirements_text"),
         F.col("hostedUrl").alias("url"), F.col("createdAt").cast("string").alias("posted_at"),
     )
 
@@ -45,7 +56,10 @@ def pages(spark: SparkSession, path: str, layout: str = "", kind: str = "parquet
     if kind == "parquet":
         return spark.read.parquet(path).select("page_id", "url", "html", F.lit(layout).alias("layout"))
     rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.xxhash64("_metadata.file_path").alias("page_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"), F.lit(layout).alias("layout"))
+    return rows.select(
+        F.xxhash64("_metadata.file_path").alias("page_id"), F.col("_metadata.file_path").alias("url"),
+        F.col("value").alias("html"), F.lit(layout).alias("layout")
+    )
 
 
 def pages_of(pages_: DataFrame, urls: DataFrame) -> DataFrame:
@@ -65,8 +79,12 @@ def capture_rows(batches: DataFrame) -> DataFrame:
     url = capture_url(F.col("j.url"), F.col("page.url"), raw)
     summary = clean_text(F.col("j.summary"))
     rows = rows.select(
-        F.col("source.id").alias("source_id"), F.col("page.url").alias("page_url"), "pos", F.when(raw != "", raw).otherwise(url).alias("raw_id"), squeeze(F.col("j.title")).alias("title"), squeeze(filled(F.col("j.company"), F.col("source.company"), F.col("source.name"))).alias("company"),
-        squeeze(F.col("j.location")).alias("location"), summary.alias("summary"), clean_text(filled(F.col("j.description"), F.col("j.summary"))).alias("description"), F.col("j.requirements_text").alias("requirements_text"), F.col("j.salary_text").alias("salary_text"),
+        F.col("source.id").alias("source_id"), F.col("page.url").alias("page_url"), "pos", F.when(raw != "", raw).otherwise(url).alias("raw_id"), squeeze(F.col("j.title")).alias("title"), squeeze(
+            filled(F.col("j.company"), F.col("source.company"), F.col("source.name"))
+        ).alias("company"),
+        squeeze(F.col("j.location")).alias("location"), summary.alias("summary"), clean_text(filled(
+            F.col("j.description"), F.col("j.summary")
+        )).alias("description"), F.col("j.requirements_text").alias("requirements_text"), F.col("j.salary_text").alias("salary_text"),
         squeeze(F.col("j.employment_text")).alias("employment_text"), url.alias("url"), url.alias("canonical_url"), F.col("j.posted_at").alias("posted_at"), F.lit("browser_extension").alias("capture_mode"), squeeze(F.col("page.title")).alias("captured_page_title"),
         squeeze(F.col("page.site")).alias("captured_site"), squeeze(filled(F.col("parser"), F.col("page.parser"))).alias("capture_parser"),
     )
@@ -86,7 +104,15 @@ def resolve_sources(batches: DataFrame, sources: DataFrame) -> DataFrame:
     named = F.filter("jobs", lambda j: ~blank(squeeze(j["company"])))
     company = squeeze(filled(F.col("source.company"), F.get(named, 0)["company"]))
     site = squeeze(filled(F.col("source.site"), F.col("page.site")))
-    label = F.concat(F.lit("Capture: "), F.when((company != "") & (site != ""), F.concat(company, F.lit(" ("), site, F.lit(")"))).otherwise(filled(company, F.col("page.title"), site, F.lit("Captured postings"))))
+    label = F.concat(
+        F.lit("Capture: "),
+        F.when(
+            (company != "") & (site != ""), F.concat(company, F.lit(" ("), site, F.lit(")"))
+        ).otherwise(filled(company, F.col("page.title"), site, F.lit("Captured postings")))
+    )
     name = F.when(~blank(F.col("source.name")), squeeze(F.col("source.name"))).otherwise(label)
-    rows = rows.select(F.coalesce("by_id", "by_url").alias("source_id"), F.col("page.url").alias("url"), F.when(F.coalesce("by_id", "by_url").isNull(), name).alias("new_name"))
+    rows = rows.select(
+        F.coalesce("by_id", "by_url").alias("source_id"), F.col("page.url").alias("url"),
+        F.when(F.coalesce("by_id", "by_url").isNull(), name).alias("new_name")
+    )
     return rows.groupBy("source_id", "url").agg(F.min("new_name").alias("new_name"))

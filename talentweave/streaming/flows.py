@@ -36,7 +36,12 @@ def application_states(events: DataFrame) -> DataFrame:
                 status = new
                 since = ts.to_pydatetime() if new == "pending" else None
         state.update((status, since))
-        yield pd.DataFrame({"posting_id": [key[0]], "status": [status], "confirmation_needed": [status == "pending"], "pending_since": [pd.Timestamp(since) if since is not None else pd.NaT]})
+        yield pd.DataFrame(
+            {
+                "posting_id": [key[0]], "status": [status], "confirmation_needed": [status == "pending"],
+                "pending_since": [pd.Timestamp(since) if since is not None else pd.NaT]
+            }
+        )
 
     return rows.groupBy("posting_id").applyInPandasWithState(fold, STATE, "status string, since timestamp", "update", GroupStateTimeout.NoTimeout)
 
@@ -45,17 +50,23 @@ def progress_states(events: DataFrame) -> DataFrame:
     """Per source: last page, detail pages, whether it stopped early, the last status and the counts that came with it."""
     at = F.struct("ts", "seq")
     return events.groupBy("source_id").agg(
-        F.max("page").alias("last_page"), F.coalesce(F.sum("detail_pages"), F.lit(0)).alias("detail_pages"), F.coalesce(F.bool_or("stopped_early"), F.lit(False)).alias("stopped_early"),
+        F.max("page").alias("last_page"), F.coalesce(F.sum("detail_pages"), F.lit(0)).alias("detail_pages"), F.coalesce(
+            F.bool_or("stopped_early"), F.lit(False)
+        ).alias("stopped_early"),
         F.max_by("status", F.when(F.col("status").isNotNull(), at)).alias("status"), F.count("*").alias("n_events"),
     )
 
 
 def capture_counts(captures: DataFrame, late: str = "2 hours") -> DataFrame:
     """Captures by hour; those later than the watermark are not counted (they are merged all the same)."""
-    return captures.withWatermark("captured_at", late).groupBy(F.window("captured_at", "1 hour").alias("hour"), "source_id").agg(F.count("*").alias("n"))
+    return captures.withWatermark("captured_at", late).groupBy(
+        F.window("captured_at", "1 hour").alias("hour"), "source_id"
+    ).agg(F.count("*").alias("n"))
 
 
-def merge_batches(prepare: Callable[[DataFrame], DataFrame], root: str, empty: DataFrame, as_of: Callable[[int], dt.datetime]) -> Callable[[DataFrame, int], None]:
+def merge_batches(
+    prepare: Callable[[DataFrame], DataFrame], root: str, empty: DataFrame, as_of: Callable[[int], dt.datetime]
+) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each micro-batch is merged into the snapshot and published as version batch id + 1.
 
     A batch that is replayed reads the version before its own, so it writes the same rows again.

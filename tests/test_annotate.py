@@ -43,7 +43,10 @@ def test_labels(col):
     assert col(A.challenge_page(L("Just a Moment...")))
 
 
-LEXICON = [("Azure", "azure", "cloud", 1), ("Azure AD", "azure active directory", "platform", 2), ("C++", "c++", "language", 3), ("Entra", "entra id", "platform", 4), ("Entra", "active directory", "platform", 5)]
+LEXICON = [
+    ("Azure", "azure", "cloud", 1), ("Azure AD", "azure active directory", "platform", 2), ("C++", "c++", "language", 3),
+    ("Entra", "entra id", "platform", 4), ("Entra", "active directory", "platform", 5)
+]
 SCHEMA = "canonical string, alias string, category string, ord int"
 
 

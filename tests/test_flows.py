@@ -13,17 +13,25 @@ EMPTY = "source_id long, external_id string, title string, url string, content_h
 
 
 def _capture(path, n, jobs):
-    (path / f"b{n}.json").write_text(json.dumps({"parser": "list", "page": {"url": "https://www.indeed.com/jobs", "title": "Jobs", "site": "Indeed"}, "source": {"id": 4, "name": "S"}, "jobs": jobs}))
+    (path / f"b{n}.json").write_text(
+        json.dumps({"parser": "list", "page": {"url": "https://www.indeed.com/jobs", "title": "Jobs", "site": "Indeed"}, "source": {"id": 4, "name": "S"}, "jobs": jobs})
+    )
 
 
-JOBS = [{"raw_id": "k1", "title": " Cook ", "summary": "<b>a</b> b", "url": "https://www.indeed.com/rc/clk?jk=k1&from=x"}, {"raw_id": "k2", "title": "Clerk", "company": "Z"}]
+JOBS = [
+    {"raw_id": "k1", "title": " Cook ", "summary": "<b>a</b> b", "url": "https://www.indeed.com/rc/clk?jk=k1&from=x"},
+    {"raw_id": "k2", "title": "Clerk", "company": "Z"}
+]
 
 
 def test_capture_rows(spark, tmp_path):
     _capture(tmp_path, 0, JOBS)
     batches = readers.captures(spark, str(tmp_path))
     rows = readers.capture_rows(batches).orderBy("pos").collect()
-    assert [(r.raw_id, r.title, r.company, r.url, r.summary) for r in rows] == [("k1", "Cook", "S", "https://www.indeed.com/viewjob?jk=k1", "a b"), ("k2", "Clerk", "Z", "https://www.indeed.com/viewjob?jk=k2", "")]
+    assert [(r.raw_id, r.title, r.company, r.url, r.summary) for r in rows] == [
+        ("k1", "Cook", "S", "https://www.indeed.com/viewjob?jk=k1", "a b"),
+        ("k2", "Clerk", "Z", "https://www.indeed.com/viewjob?jk=k2", "")
+    ]
     sources = spark.createDataFrame([(4, "https://x.org", "custom_url")], "id long, url string, source_type string")
     assert readers.resolve_sources(batches, sources).first()["source_id"] == 4
     new = readers.resolve_sources(batches, sources.where("id = 0")).first()
@@ -34,7 +42,9 @@ def test_capture_stream_is_idempotent(spark, tmp_path):
     landed, root = tmp_path / "in", str(tmp_path / "snap")
     landed.mkdir()
     empty = spark.createDataFrame([], EMPTY)
-    prepare = lambda b: readers.capture_rows(b).select("source_id", F.col("raw_id").alias("external_id"), "title", "url", F.sha2("title", 256).alias("content_hash"))
+    prepare = lambda b: readers.capture_rows(b).select(
+        "source_id", F.col("raw_id").alias("external_id"), "title", "url", F.sha2("title", 256).alias("content_hash")
+    )
     merge = flows.merge_batches(prepare, root, empty, lambda i: NOW + dt.timedelta(days=i))
 
     def run():
@@ -70,20 +80,35 @@ def test_state_stream_equals_batch(spark, tmp_path):
 
 
 def test_readers_of_board_files(spark, tmp_path):
-    (tmp_path / "board.json").write_text(json.dumps({"jobs": [{"id": "1", "title": "A", "absolute_url": "u", "content": "<p>x &amp; y</p>", "location": {"name": "Rome"}}]}))
-    assert readers.board_payloads(spark, str(tmp_path / "board.json"), 7).select("source_id", "raw_id", "description", "location").first()[:] == (7, "1", "x & y", "Rome")
-    (tmp_path / "posts.json").write_text(json.dumps([{"id": "p", "text": "T", "createdAt": 1700000000000, "categories": {"location": "Bern"}, "lists": [{"text": "Needs", "content": "<li>a</li>"}]}]))
-    assert readers.postings_payloads(spark, str(tmp_path / "posts.json"), 7).select("raw_id", "requirements_text", "location").first()[:] == ("p", "Needs a", "Bern")
+    (tmp_path / "board.json").write_text(
+        json.dumps({"jobs": [{"id": "1", "title": "A", "absolute_url": "u", "content": "<p>x &amp; y</p>", "location": {"name": "Rome"}}]})
+    )
+    assert readers.board_payloads(spark, str(tmp_path / "board.json"), 7).select(
+        "source_id", "raw_id", "description", "location"
+    ).first()[:] == (7, "1", "x & y", "Rome")
+    (tmp_path / "posts.json").write_text(
+        json.dumps([{"id": "p", "text": "T", "createdAt": 1700000000000, "categories": {"location": "Bern"}, "lists": [{"text": "Needs", "content": "<li>a</li>"}]}])
+    )
+    assert readers.postings_payloads(spark, str(tmp_path / "posts.json"), 7).select(
+        "raw_id", "requirements_text", "location"
+    ).first()[:] == ("p", "Needs a", "Bern")
     folder = tmp_path / "texts"
     folder.mkdir()
     for name, text in (("a.txt", "x" * 50), ("b.md", "short"), ("c.exe", "y" * 50)):
         (folder / name).write_text(text)
-    assert {r.filename: r.status for r in readers.resume_texts(spark, str(folder)).collect()} == {"a.txt": "ok", "b.md": "too short", "c.exe": "unsupported"}
+    assert {r.filename: r.status for r in readers.resume_texts(spark, str(folder)).collect()} == {
+        "a.txt": "ok", "b.md": "too short", "c.exe": "unsupported"
+    }
 
 
 def test_exports(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "Tïtle", 0.123456, ["a", "b"], ["r1", "r2"], NOW)], "posting_id long, title string, score double, matched_skills array<string>, reasons array<string>, posted_at timestamp")
-    rows = rows.withColumns({c: F.col("score") for c in ("embedding_score", "skill_score", "experience_score")}).withColumn("missing_skills", F.array().cast("array<string>"))
+    rows = spark.createDataFrame(
+        [(1, "Tïtle", 0.123456, ["a", "b"], ["r1", "r2"], NOW)],
+        "posting_id long, title string, score double, matched_skills array<string>, reasons array<string>, posted_at timestamp"
+    )
+    rows = rows.withColumns({c: F.col("score") for c in ("embedding_score", "skill_score", "experience_score")}).withColumn(
+        "missing_skills", F.array().cast("array<string>")
+    )
     sinks.write_csv(rows, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
     assert back["score"] == "0.1235" and back["matched_skills"] == "a, b" and back["reasons"] == "r1 | r2" and len(back) == 15

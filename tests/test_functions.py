@@ -45,7 +45,10 @@ def test_source_and_capture_urls(col):
 
 def test_absolute_urls(col):
     a = lambda x: col(urls.absolute_url(L("https://a.org/x/y.html?q#f"), L(x)))
-    assert [a("z"), a("../z"), a("/z"), a("//b.org/z"), a("?p=1"), a("http://c.org"), a("")] == ["https://a.org/x/z", "https://a.org/z", "https://a.org/z", "https://b.org/z", "https://a.org/x/y.html?p=1", "http://c.org", ""]
+    assert [a("z"), a("../z"), a("/z"), a("//b.org/z"), a("?p=1"), a("http://c.org"), a("")] == [
+        "https://a.org/x/z", "https://a.org/z", "https://a.org/z", "https://b.org/z", "https://a.org/x/y.html?p=1",
+        "http://c.org", ""
+    ]
 
 
 def test_dates(col):
@@ -54,4 +57,6 @@ def test_dates(col):
     assert col(dates.parse_time(L("0"))) is None and col(dates.parse_time(L("soon"))) is None
     as_of = dt.date(2024, 5, 17)
     p = lambda x: col(dates.partial_date(L(x), as_of))
-    assert [p("Jan 2021"), p("january 2021"), p("3/2020"), p("2020"), p("Present"), p("x")] == [dt.date(2021, 1, 1), dt.date(2021, 1, 1), dt.date(2020, 3, 1), dt.date(2020, 1, 1), dt.date(2024, 5, 1), None]
+    assert [p("Jan 2021"), p("january 2021"), p("3/2020"), p("2020"), p("Present"), p("x")] == [
+        dt.date(2021, 1, 1), dt.date(2021, 1, 1), dt.date(2020, 3, 1), dt.date(2020, 1, 1), dt.date(2024, 5, 1), None
+    ]

@@ -28,7 +28,10 @@ def test_publish_twice_is_unchanged(spark):
 
 
 def test_publish_updates_and_deactivates(spark):
-    stored = sync.publish(spark.createDataFrame([], POSTING), _batch(spark, [(1, "a", "A", "u", "h"), (1, "b", "B", "u", "h"), (2, "c", "C", "u", "h")]), NOW)
+    stored = sync.publish(
+        spark.createDataFrame([], POSTING),
+        _batch(spark, [(1, "a", "A", "u", "h"), (1, "b", "B", "u", "h"), (2, "c", "C", "u", "h")]), NOW
+    )
     stored = stored.withColumns({"embedding": F.array(F.lit(1.0)), "application_status": F.lit("applied")})
     new = _batch(spark, [(1, "a", "A2", "u", "h9")])
     full = {r.external_id: r for r in sync.publish(stored, new, LATER).collect()}
@@ -59,16 +62,30 @@ def test_source_upkeep(spark):
 
 def test_dedupe_keeps_furthest_and_richest(spark):
     rows = spark.createDataFrame(
-        [(1, "T", "https://a.org/1?utm_a=1", "short", "not_applied", NOW), (2, "T", "https://a.org/1", "a longer text", "not_applied", NOW), (3, "T", "https://a.org/1/", "x", "applied", NOW), (4, "T", None, "y", None, NOW), (5, "t ", "", "yy", None, NOW)],
+        [
+            (1, "T", "https://a.org/1?utm_a=1", "short", "not_applied", NOW),
+            (2, "T", "https://a.org/1", "a longer text", "not_applied", NOW), (3, "T", "https://a.org/1/", "x", "applied", NOW),
+            (4, "T", None, "y", None, NOW), (5, "t ", "", "yy", None, NOW)
+        ],
         "id long, title string, url string, description string, application_status string, last_seen_at timestamp",
-    ).withColumns({"company": F.lit("C"), "location": F.lit("L"), "job_type": F.lit(None).cast("string"), "canonical_url": F.lit(None).cast("string"), "application_confirmation_needed": F.lit(None).cast("boolean"), "required_skills": F.lit(None).cast("array<string>"), "skills": F.lit(None).cast("array<string>"), "last_updated_at": F.col("last_seen_at"), "first_seen_at": F.col("last_seen_at")})
+    ).withColumns(
+        {
+            "company": F.lit("C"), "location": F.lit("L"), "job_type": F.lit(None).cast("string"),
+            "canonical_url": F.lit(None).cast("string"), "application_confirmation_needed": F.lit(None).cast("boolean"),
+            "required_skills": F.lit(None).cast("array<string>"), "skills": F.lit(None).cast("array<string>"),
+            "last_updated_at": F.col("last_seen_at"), "first_seen_at": F.col("last_seen_at")
+        }
+    )
     once = dedupe.dedupe_postings(rows)
     assert sorted(r.id for r in once.collect()) == [3, 5]
     assert sorted(r.id for r in dedupe.dedupe_postings(once.repartition(3)).collect()) == [3, 5]
 
 
 def test_listing_rules(spark):
-    rows = spark.createDataFrame([(1, p, i, f"{p}-{i}", p > 1 or i == 0) for p in range(1, 5) for i in range(6)] + [(1, 2, 9, "1-0", True)], "source_id long, page int, pos int, external_id string, known boolean")
+    rows = spark.createDataFrame(
+        [(1, p, i, f"{p}-{i}", p > 1 or i == 0) for p in range(1, 5) for i in range(6)] + [(1, 2, 9, "1-0", True)],
+        "source_id long, page int, pos int, external_id string, known boolean"
+    )
     rows = listings.dedupe_source(rows)
     assert rows.count() == 24
     kept = listings.early_stop(rows, listings.page_counts(rows, F.col("known")))
@@ -76,7 +93,13 @@ def test_listing_rules(spark):
     fetched = spark.createDataFrame([(1, p) for p in range(1, 7)], "source_id long, page int")
     assert listings.empty_stop(rows.where("page <> 3"), fetched, 9).agg(F.max("page")).first()[0] == 2
     assert listings.cap(rows, 5).count() == 5
-    page = spark.createDataFrame([(1, 1, 0, "r", "u", "T", "C"), (1, 1, 1, "r", "v", "T2", "C"), (1, 1, 2, None, "w", "T", "C"), (1, 1, 3, "", "w", "T", "C"), (1, 1, 4, None, None, "", "C")], "source_id long, page int, pos int, raw_id string, url string, title string, company string")
+    page = spark.createDataFrame(
+        [
+            (1, 1, 0, "r", "u", "T", "C"), (1, 1, 1, "r", "v", "T2", "C"), (1, 1, 2, None, "w", "T", "C"),
+            (1, 1, 3, "", "w", "T", "C"), (1, 1, 4, None, None, "", "C")
+        ],
+        "source_id long, page int, pos int, raw_id string, url string, title string, company string"
+    )
     assert sorted(r.pos for r in listings.dedupe_page(page).collect()) == [0, 2]
     details = spark.createDataFrame([("r", "", "new")], "raw_id string, title string, company string")
     assert listings.override(page.where("pos = 0"), details, ["raw_id"], ["title", "company"]).select("title", "company").first()[:] == ("T", "new")
@@ -101,7 +124,9 @@ def test_events_fold_to_state(spark):
 
 def test_scoring_rules(spark, col):
     a = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
-    score = lambda req, pref, every, known, has=True: col(matching.skill_score(matching.weighted_skills(a(*req), a(*pref), a(*every)), a(*known), F.lit(has)))
+    score = lambda req, pref, every, known, has=True: col(
+        matching.skill_score(matching.weighted_skills(a(*req), a(*pref), a(*every)), a(*known), F.lit(has))
+    )
     assert score(["x", "y"], [], [], ["x"]) == pytest.approx(0.5)
     assert score(["x"], ["y"], [], ["x"]) == pytest.approx(0.75 / 1.55 + 0.25)
     assert score([], [], ["x", "y"], ["y"]) == pytest.approx(0.5)
@@ -114,9 +139,24 @@ def test_scoring_rules(spark, col):
 def test_rank_matches_end_to_end(spark):
     none = F.lit(None)
     postings = spark.createDataFrame(
-        [(1, "Python engineer", ["Python"], "build python services", 2.0), (2, "Welder", ["Welding"], "weld steel", 1.0), (3, "Python engineer", ["Python"], "build", 2.0)], "id long, title string, required_skills array<string>, summary_text string, experience_years double"
-    ).withColumns({"company": F.lit("C"), "location": F.lit("Paris"), "description": F.col("summary_text"), "url": F.lit(""), "canonical_url": F.lit(""), "job_type": F.lit("full-time"), "remote_mode": F.lit("remote"), "clearance_terms": F.array(F.lit("Secret")), "preferred_skills": none.cast("array<string>"), "skills": none.cast("array<string>"), "salary_text": F.lit("$20 - $30 per hour"), "application_status": none.cast("string"), "application_confirmation_needed": F.lit(False), "active": F.lit(True), "source_id": F.lit(1), "last_seen_at": F.lit(NOW), "last_updated_at": F.lit(NOW), "first_seen_at": F.lit(NOW)})
-    people = spark.createDataFrame([(10, "python services engineer", ["python"], 3.0, ["secret"])], "profile_id long, summary_text string, skills array<string>, experience_years double, clearance_terms array<string>")
+        [
+            (1, "Python engineer", ["Python"], "build python services", 2.0), (2, "Welder", ["Welding"], "weld steel", 1.0),
+            (3, "Python engineer", ["Python"], "build", 2.0)
+        ], "id long, title string, required_skills array<string>, summary_text string, experience_years double"
+    ).withColumns(
+        {
+            "company": F.lit("C"), "location": F.lit("Paris"), "description": F.col("summary_text"), "url": F.lit(""),
+            "canonical_url": F.lit(""), "job_type": F.lit("full-time"), "remote_mode": F.lit("remote"),
+            "clearance_terms": F.array(F.lit("Secret")), "preferred_skills": none.cast("array<string>"),
+            "skills": none.cast("array<string>"), "salary_text": F.lit("$20 - $30 per hour"),
+            "application_status": none.cast("string"), "application_confirmation_needed": F.lit(False), "active": F.lit(True),
+            "source_id": F.lit(1), "last_seen_at": F.lit(NOW), "last_updated_at": F.lit(NOW), "first_seen_at": F.lit(NOW)
+        }
+    )
+    people = spark.createDataFrame(
+        [(10, "python services engineer", ["python"], 3.0, ["secret"])],
+        "profile_id long, summary_text string, skills array<string>, experience_years double, clearance_terms array<string>"
+    )
     got = matching.rank_matches(people, postings, active_only=True, location_query="PARIS").orderBy("rank").collect()
     assert [r.posting_id for r in got] == [1, 2]  # 3 is merged into 1
     assert got[0].matched_skills == ["Python"] and got[1].missing_skills == ["Welding"] and got[0].matched_clearance == ["Secret"]
@@ -148,7 +188,10 @@ Python, Azure
 
 def test_profile_structure(spark):
     texts = spark.createDataFrame([(1, RESUME), (2, "short"), (3, None)], "resume_id long, text string")
-    got = profiles.structure(texts, {"Python": ["python"], "Azure": ["azure"]}, {"Python": "language", "Azure": "cloud"}, {"CISSP": ["cissp"]}, dt.date(2024, 1, 1)).collect()
+    got = profiles.structure(
+        texts, {"Python": ["python"], "Azure": ["azure"]}, {"Python": "language", "Azure": "cloud"}, {"CISSP": ["cissp"]},
+        dt.date(2024, 1, 1)
+    ).collect()
     assert [r.resume_id for r in got] == [1]
     r = got[0]
     assert r.titles == ["Platform Engineer", "Analyst"] and r.skills == ["Azure", "Python"] and r.tools == ["Azure"] and r.clearance_terms == ["Secret"]
@@ -161,28 +204,45 @@ def test_profile_structure(spark):
 def test_history_and_education(spark):
     rows = profiles.sectioned(profiles.lines(spark.createDataFrame([(1, RESUME)], "resume_id long, text string")))
     work = profiles.work_history(rows.where("section = 'experience'"), dt.date(2024, 1, 1)).orderBy("n").collect()
-    assert [(w.title, w.start_date.isoformat(), w.is_current) for w in work] == [("Platform Engineer", "2020-01-01", False), ("Analyst", "2019-06-01", False)]
+    assert [(w.title, w.start_date.isoformat(), w.is_current) for w in work] == [
+        ("Platform Engineer", "2020-01-01", False), ("Analyst", "2019-06-01", False)
+    ]
     assert work[0].description == "Built pipelines Ran clusters"
     school = profiles.education(rows.where("section = 'education'"), dt.date(2024, 1, 1)).collect()
     assert [(e.school, e.degree, e.description) for e in school] == [("State University", "Bachelor of Science", "Honors")]
-    plain = profiles.education(spark.createDataFrame([(1, 1, "Some School"), (1, 2, "Other")], "resume_id long, pos int, line string"), dt.date(2024, 1, 1)).orderBy("n").collect()
+    plain = profiles.education(
+        spark.createDataFrame([(1, 1, "Some School"), (1, 2, "Other")], "resume_id long, pos int, line string"),
+        dt.date(2024, 1, 1)
+    ).orderBy("n").collect()
     assert [e.school for e in plain] == ["Some School", "Other"]
 
 
 def test_normalize_and_enrich(spark):
     sources = spark.createDataFrame([(1, "Acme", "https://acme.org/jobs", "custom_url")], "id long, name string, url string, source_type string")
     rows = spark.createDataFrame(
-        [(1, "a", "Engineer", "Remote role. Requirements: Python and 5+ years of experience. Preferred: Azure. Pay: $100,000 - $120,000 per year. Active Secret clearance.", None), (1, "b", "", "x", None), (1, "c", "Clerk", "office", "Contract")],
+        [
+            (
+                1, "a", "Engineer",
+                "Remote role. Requirements: Python and 5+ years of experience. Preferred: Azure. Pay: $100,000 - $120,000 per year. Active Secret clearance.",
+                None
+            ),
+            (1, "b", "", "x", None), (1, "c", "Clerk", "office", "Contract")
+        ],
         "source_id long, raw_id string, title string, description string, salary_text string",
     )
     skills = {"Python": ["python"], "Azure": ["azure"], "Go": ["go"]}
     got = {r.external_id: r for r in normalize.normalize_postings(rows, sources, skills).collect()}
     assert set(got) == {"a", "c"} and normalize.split_valid(rows)[1].first()["reason"] == "missing title"
     a = got["a"]
-    assert (a.remote_mode, a.salary_text, a.salary_interval, a.experience_years, a.company) == ("remote", "$100,000 - $120,000/yr", "year", 5.0, "Acme")
+    assert (
+        a.remote_mode, a.salary_text, a.salary_interval, a.experience_years, a.company
+    ) == ("remote", "$100,000 - $120,000/yr", "year", 5.0, "Acme")
     assert a.preferred_skills == ["Azure"] and "Python" in a.required_skills and a.clearance_terms == ["Secret"] and a.canonical_url == "https://acme.org/jobs"
     assert got["c"].employment_text == "Contract" and got["c"].job_type == "contract" and got["c"].salary_text is None
-    replies = spark.createDataFrame([(1, "c", 'Sure: {"required_skills": ["Go"], "salary_text": "$20 per hour", "experience_years_hint": 2}'), (1, "a", "no")], "source_id long, external_id string, reply string")
+    replies = spark.createDataFrame(
+        [(1, "c", 'Sure: {"required_skills": ["Go"], "salary_text": "$20 per hour", "experience_years_hint": 2}'), (1, "a", "no")],
+        "source_id long, external_id string, reply string"
+    )
     parsed = normalize.parse_replies(replies)
     assert [r.external_id for r in parsed.collect()] == ["c"]
     more = {r.external_id: r for r in normalize.normalize_postings(rows, sources, skills, parsed).collect()}
@@ -199,12 +259,26 @@ PAGE = """<html><head><link rel="next" href="/jobs?page=2"><script type="applica
 
 
 def test_extraction(spark):
-    pages = spark.createDataFrame([(1, "https://x.org/jobs", PAGE, "list"), (2, "https://x.org/none", None, "list")], "page_id long, url string, html string, layout string")
-    assert [(r.url, r.text) for r in extract.extract_links(pages).orderBy("pos").collect()] == [("https://boards.greenhouse.io/acme/jobs/1", "Acme jobs"), ("https://x.org/careers", "Careers")]
+    pages = spark.createDataFrame(
+        [(1, "https://x.org/jobs", PAGE, "list"), (2, "https://x.org/none", None, "list")],
+        "page_id long, url string, html string, layout string"
+    )
+    assert [(r.url, r.text) for r in extract.extract_links(pages).orderBy("pos").collect()] == [
+        ("https://boards.greenhouse.io/acme/jobs/1", "Acme jobs"), ("https://x.org/careers", "Careers")
+    ]
     assert [(r.page_id, r.next_url) for r in extract.next_page(pages).collect()] == [(1, "https://x.org/jobs?page=2")]
     job = extract.jsonld_postings(pages).collect()
-    assert [(j.raw_id, j.title, j.company, j.location, j.salary_text, j.url) for j in job] == [("77", "Cook", "Diner", "Oslo, NO", "$10 - $12/hr", "https://x.org/c")]
-    layout = spark.createDataFrame([("list", "card", "container", 0, "div.card"), ("list", "card", "title", 0, "h2"), ("list", "card", "company", 0, "span.co"), ("list", "card", "company", 1, "p"), ("list", "card", "key", 0, "@data-id"), ("list", "detail", "title", 0, "h2")], "layout string, scope string, field string, ord int, selector string")
+    assert [
+        (j.raw_id, j.title, j.company, j.location, j.salary_text, j.url) for j in job
+    ] == [("77", "Cook", "Diner", "Oslo, NO", "$10 - $12/hr", "https://x.org/c")]
+    layout = spark.createDataFrame(
+        [
+            ("list", "card", "container", 0, "div.card"), ("list", "card", "title", 0, "h2"),
+            ("list", "card", "company", 0, "span.co"), ("list", "card", "company", 1, "p"),
+            ("list", "card", "key", 0, "@data-id"), ("list", "detail", "title", 0, "h2")
+        ],
+        "layout string, scope string, field string, ord int, selector string"
+    )
     cards = extract.extract_layout(pages, layout, "card").orderBy("pos").collect()
     assert [(c.title, c.company, c["key"]) for c in cards] == [("First & best", "A", "1"), ("Second", "B", "")]
     assert [d.title for d in extract.extract_layout(pages.where("page_id = 1"), layout, "detail").collect()] == ["First & best"]
@@ -213,7 +287,11 @@ def test_extraction(spark):
 def test_discovery_follows_career_pages(spark):
     html = lambda *links: "".join(f"<a href='{u}'>{t}</a>" for u, t in links)
     pages = spark.createDataFrame(
-        [(1, "https://a.org/", html(("/careers", "Careers"), ("https://linkedin.com/x", "in"))), (2, "https://a.org/careers", html(("https://jobs.lever.co/acme/1", "x"), ("https://jobs.lever.co/acme/2", "y"))), (3, "https://b.org/jobs", html(("/about", "About")))],
+        [
+            (1, "https://a.org/", html(("/careers", "Careers"), ("https://linkedin.com/x", "in"))),
+            (2, "https://a.org/careers", html(("https://jobs.lever.co/acme/1", "x"), ("https://jobs.lever.co/acme/2", "y"))),
+            (3, "https://b.org/jobs", html(("/about", "About")))
+        ],
         "page_id long, url string, html string",
     )
     seeds = spark.createDataFrame([("acme", "https://a.org/"), ("b", "https://b.org/jobs")], "query string, url string")
@@ -230,14 +308,21 @@ def test_only_rows_without_vectors_are_encoded(spark, tmp_path):
             f.write("".join(f"{t}\n" for t in texts))
         return np.array([[float(len(t)), 1.0] for t in texts])
 
-    rows = spark.createDataFrame([(1, "a", [9.0, 9.0]), (2, "bb", None), (3, None, None), (4, "dddd", [1.0, 1.0])], "id long, summary_text string, embedding array<double>").coalesce(1)
+    rows = spark.createDataFrame(
+        [(1, "a", [9.0, 9.0]), (2, "bb", None), (3, None, None), (4, "dddd", [1.0, 1.0])],
+        "id long, summary_text string, embedding array<double>"
+    ).coalesce(1)
     got = {r.id: r.embedding for r in matching.encode(rows, encoder=encoder).collect()}
     assert got == {1: [9.0, 9.0], 2: [2.0, 1.0], 3: [0.0, 1.0], 4: [1.0, 1.0]}
     assert sorted(open(seen).read().split("\n")[:-1]) == ["", "bb"]
     assert {r.id: r.embedding for r in matching.encode(rows.drop("embedding").limit(2), encoder=encoder).collect()} == {1: [1.0, 1.0], 2: [2.0, 1.0]}
 
 
-CASES = [("Straße", ["Road"]), ("strasse!", ["Road"]), ("use asp.net", []), ("use .NET", ["Dot"]), ("c++x", []), ("C++ and x", ["Cpp"]), ("big  data", ["Big"]), ("bigdata big-data", []), ("", []), (None, []), ("#c++#", ["Cpp"]), ("c#, .net", ["Dot", "Sharp"])]
+CASES = [
+    ("Straße", ["Road"]), ("strasse!", ["Road"]), ("use asp.net", []), ("use .NET", ["Dot"]), ("c++x", []),
+    ("C++ and x", ["Cpp"]), ("big  data", ["Big"]), ("bigdata big-data", []), ("", []), (None, []), ("#c++#", ["Cpp"]),
+    ("c#, .net", ["Dot", "Sharp"])
+]
 ALIASES = [("Road", "straße"), ("Dot", ".net"), ("Cpp", "c++"), ("Big", "Big   Data"), ("Sharp", "C#"), ("Empty", "  ")]
 
 
@@ -257,8 +342,14 @@ def test_best_matches_equal_all_pairs(spark):
     vector = lambda: None if r.random() < 0.1 else [0.0] * 5 if r.random() < 0.1 else [r.gauss(0, 1) for _ in range(5)]
     jobs = [(i, vector(), pick(3), pick(3), pick(4) or None, r.choice([None, 0.0, 1.0, 4.0]), r.choice([None, 3, 4])) for i in range(300)]
     jobs += [(300 + i, *jobs[7][1:]) for i in range(200)]  # very many copies of one posting
-    postings = spark.createDataFrame(jobs, "id long, embedding array<double>, required_skills array<string>, preferred_skills array<string>, skills array<string>, experience_years double, last_seen_at int").repartition(3)
-    people = spark.createDataFrame([(f"p{i}", vector(), pick(6) or None, r.choice([None, 0.0, 2.0])) for i in range(30)], "profile_id string, embedding array<double>, skills array<string>, experience_years double")
+    postings = spark.createDataFrame(
+        jobs,
+        "id long, embedding array<double>, required_skills array<string>, preferred_skills array<string>, skills array<string>, experience_years double, last_seen_at int"
+    ).repartition(3)
+    people = spark.createDataFrame(
+        [(f"p{i}", vector(), pick(6) or None, r.choice([None, 0.0, 2.0])) for i in range(30)],
+        "profile_id string, embedding array<double>, skills array<string>, experience_years double"
+    )
     known = spark.createDataFrame([(a, b) for a in names for b in names if a[-1] == b[-1]], "left string, right string")
     for pairs in (None, known):
         want = matching.top_k(matching.score_pairs(people, postings, pairs), 7).select("p_profile_id", "id", "rank", "score").collect()
@@ -269,7 +360,13 @@ def test_best_matches_equal_all_pairs(spark):
 
 def test_reasons_tell_only_what_is_known(spark):
     a = F.array().cast("array<string>")
-    rows = spark.range(1).withColumns({"embedding_score": F.lit(0.5), "skill_score": F.lit(0.0), "experience_score": F.lit(1.0), "matched_skills": a, "missing_skills": a, "required_skills": a, "matched_clearance": a, "clearance_terms": a, "salary_text": F.lit("Full-time")})
+    rows = spark.range(1).withColumns(
+        {
+            "embedding_score": F.lit(0.5), "skill_score": F.lit(0.0), "experience_score": F.lit(1.0), "matched_skills": a,
+            "missing_skills": a, "required_skills": a, "matched_clearance": a, "clearance_terms": a,
+            "salary_text": F.lit("Full-time")
+        }
+    )
     assert len(rows.select(matching.reasons().alias("r")).first().r) == 3
     more = rows.withColumns({"required_skills": F.array(F.lit("x")), "salary_text": F.lit("pay $20 to $30 per hour")})
     assert more.select(matching.reasons().alias("r")).first().r[3:] == ["No skill gap.", "Pay: $20 - $30/hr."]
@@ -283,19 +380,29 @@ def test_salary_of_long_texts_is_linear(spark):
 
 
 def test_scan_log_and_reset(spark):
-    sources = spark.createDataFrame([(1, "e"), (2, "f")], "id long, etag string").withColumns({"last_modified": F.lit("m"), "last_scan_at": F.lit(NOW), "last_status": F.lit("ok")})
+    sources = spark.createDataFrame(
+        [(1, "e"), (2, "f")], "id long, etag string"
+    ).withColumns({"last_modified": F.lit("m"), "last_scan_at": F.lit(NOW), "last_status": F.lit("ok")})
     from talentweave.sources import sinks
 
     log = sinks.begin_scans(sources, NOW)
     assert [r.status for r in log.collect()] == ["running"] * 2 and log.select("id").distinct().count() == 2
     done = log.where("source_id = 2").select("id", F.lit("error").alias("status"), F.lit("why").alias("error_text"))
     got = {r.source_id: r for r in sinks.finish_scans(log, done, LATER).collect()}
-    assert (got[1].status, got[1].finished_at, got[2].status, got[2].error_text, got[2].finished_at, got[2].jobs_found) == ("running", None, "error", "why", LATER, 0)
+    assert (
+        got[1].status, got[1].finished_at, got[2].status, got[2].error_text, got[2].finished_at, got[2].jobs_found
+    ) == ("running", None, "error", "why", LATER, 0)
     rows, scans, back = sync.cleared(sources, log, sources)
-    assert rows.count() == scans.count() == 0 and back.select("etag", "last_modified", "last_scan_at", "last_status").distinct().collect() == [(None, None, None, None)]
+    assert rows.count() == scans.count() == 0 and back.select(
+        "etag", "last_modified", "last_scan_at", "last_status"
+    ).distinct().collect() == [(None, None, None, None)]
 
 
 def test_words_of_cards_and_links(spark, col):
-    assert [col(filters.bundled(F.lit(x))) for x in ("Multiple  Openings", "hiring multiple cooks", "see all", "oversee allied", "multiple positions")] == [True, True, True, False, False]
-    assert [col(filters.job_like(F.lit(h), F.lit("title"))) for h in ("/posting/1", "/opportunities", "/vacancies", "/Careers")] == [True, True, False, True]
+    assert [
+        col(filters.bundled(F.lit(x))) for x in ("Multiple  Openings", "hiring multiple cooks", "see all", "oversee allied", "multiple positions")
+    ] == [True, True, True, False, False]
+    assert [
+        col(filters.job_like(F.lit(h), F.lit("title"))) for h in ("/posting/1", "/opportunities", "/vacancies", "/Careers")
+    ] == [True, True, False, True]
     assert col(annotate.clearance_token(F.lit("TS/SCI"))) and not col(annotate.clearance_token(F.lit("day shift")))
