@@ -164,12 +164,18 @@ def index(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding") ->
                 at = np.flatnonzero(dims == dim)
                 packed, norm[at], fit[at] = codes(_matrix(pa.chunked_array([batch.column(1).take(pa.array(at))]), dim), rotation(dim))
                 code[at] = [x.tobytes() for x in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.binary()), pa.array(norm), pa.array(fit)], ["id", "v", "dim", "code", "norm", "fit"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(code, pa.binary()), pa.array(norm), pa.array(fit)],
+                ["id", "v", "dim", "code", "norm", "fit"]
+            )
 
     return rows.mapInArrow(run, f"id long, v {kind}, dim int, code binary, norm double, fit double")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, bound: float = 2.5, id_: str = "vec_id", vector: str = "embedding", block_bytes: int = 24 << 20) -> DataFrame:
+def nearest(
+    vectors: DataFrame, every: int = 20, k: int = 20, bound: float = 2.5, id_: str = "vec_id", vector: str = "embedding",
+    block_bytes: int = 24 << 20
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every vector whose id is divisible by ``every``.
 
     The index is written once.  Blocks of its rows meet blocks of queries, each of about ``block_bytes``: a vector
@@ -184,7 +190,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, bound: float = 2.5
     spark = vectors.sparkSession
     rows = index(vectors, id_, vector).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
     rows = written(rows, "index")
-    sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("dim") * 8).alias("b"), F.count_if(F.col("id") % every == 0).alias("q"), F.sum(F.when(F.col("id") % every == 0, F.col("dim") * 8)).alias("qb")).first()
+    sizes = rows.agg(
+        F.count("*").alias("n"), F.sum(F.col("dim") * 8).alias("b"), F.count_if(F.col("id") % every == 0).alias("q"),
+        F.sum(F.when(F.col("id") % every == 0, F.col("dim") * 8)).alias("qb")
+    ).first()
     if not sizes["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     blocks = max(-(-sizes["b"] // block_bytes), min(partitions(spark), -(-sizes["n"] // 8192)))
@@ -193,14 +202,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, bound: float = 2.5
     number = lambda c, n: F.pmod(c, F.lit(n)).cast("int")
     all_ = number(F.col("salt"), blocks)
     left = rows.select("id", "v", "dim", "code", "norm", "fit", all_.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = asked.select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("dim").alias("q_dim"), number(F.xxhash64("id"), query_blocks).alias("q_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_b"))
+    right = asked.select(
+        F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("dim").alias("q_dim"),
+        number(F.xxhash64("id"), query_blocks).alias("q_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q_b")
+    )
 
     def search(mine: pa.Table, queries: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if mine.num_rows and queries.num_rows:
             dim = mine.column("dim")[0].as_py()
             packed = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint64).reshape(mine.num_rows, -1)
-            block = Block(mine.column("id").to_numpy(), _matrix(mine.column("v"), dim), packed, mine.column("norm").to_numpy(), mine.column("fit").to_numpy())
+            block = Block(
+                mine.column("id").to_numpy(), _matrix(mine.column("v"), dim), packed, mine.column("norm").to_numpy(),
+                mine.column("fit").to_numpy()
+            )
             ids = queries.column("q_id").to_numpy()
             qi, vi, score = nearest_in_block(_matrix(queries.column("q_v"), dim), ids, block, k, bound)
             found = [ids[qi], block.ids[vi], score]

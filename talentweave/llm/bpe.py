@@ -128,7 +128,10 @@ class Encoder:
         long = [i for i, p in enumerate(pieces) if len(p) > LONG]
         if long and len(long) < len(pieces):  # long ones after the others, and back in place
             order = np.array([i for i, p in enumerate(pieces) if len(p) <= LONG] + long)
-            ids, counts, decoded, sizes = (x + y if isinstance(x, bytes) else np.concatenate([x, y]) for x, y in zip(self.encode([pieces[i] for i in order[: -len(long)]], most), self.encode([pieces[i] for i in long], most), strict=True))
+            ids, counts, decoded, sizes = (
+                x + y if isinstance(x, bytes) else np.concatenate([x, y]) for x,
+                y in zip(self.encode([pieces[i] for i in order[: -len(long)]], most), self.encode([pieces[i] for i in long], most), strict=True)
+            )
             back = np.argsort(order)
             begin, at = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
             ids = np.concatenate([ids[begin[i] : begin[i] + counts[i]] for i in back])
@@ -337,7 +340,10 @@ def round_trip(documents: DataFrame, ranks: str | None = None, key: str = "doc_i
                 bytes_sha.append(hashlib.sha256(decoded).hexdigest())
 
             pieces.encode(texts, each)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     return only(documents, key, text).toDF("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -355,6 +361,9 @@ def encoded(documents: DataFrame, ranks: str | None = None, key: str = "doc_id",
                 decoded_.append(decoded.decode())
 
             pieces.encode(texts, each)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids_, pa.list_(pa.int32())), pa.array(decoded_, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(ids_, pa.list_(pa.int32())), pa.array(decoded_, pa.string())],
+                ["doc_id", "ids", "decoded"]
+            )
 
     return only(documents, key, text).toDF("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

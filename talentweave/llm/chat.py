@@ -124,7 +124,10 @@ def digest(batches: Iterator[pa.RecordBatch], template: Template = instruct) ->
     def out() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "fault"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+            ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "fault"]
+        )
 
     for held in _conversations(batches):
         pieces, fault = _pieces([(role or "", text or "") for _, role, text in held], template)
@@ -160,7 +163,10 @@ def format_conversations(conversations: DataFrame, template: Template = instruct
     """
     rows = only(conversations, "conv_id", "role", "text", "turn")
     rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(lambda it: digest(it, template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fault string")
+    return rows.select("conv_id", "role", "text").mapInArrow(
+        lambda it: digest(it, template),
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fault string"
+    )
 
 
 def formatted(conversations: DataFrame, template: Template = instruct) -> DataFrame:
@@ -177,7 +183,14 @@ def formatted(conversations: DataFrame, template: Template = instruct) -> DataFr
             marks = [(0, 0)] * len(held) if fault else loss_spans([(role or "", text or "") for _, _, role, text in held], pieces, template)
             pieces = pieces or [None] * len(held)
             ids, turns, roles, _ = zip(*held, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(turns, pa.int64()), pa.array(roles, pa.string()), pa.array(pieces, pa.string()), pa.array([s for s, _ in marks], pa.int64()), pa.array([e for _, e in marks], pa.int64()), pa.array([fault] * len(held), pa.string())], ["conv_id", "turn", "role", "piece", "loss_start", "loss_end", "fault"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()), pa.array(turns, pa.int64()), pa.array(roles, pa.string()),
+                    pa.array(pieces, pa.string()), pa.array([s for s, _ in marks], pa.int64()),
+                    pa.array([e for _, e in marks], pa.int64()), pa.array([fault] * len(held), pa.string())
+                ],
+                ["conv_id", "turn", "role", "piece", "loss_start", "loss_end", "fault"]
+            )
 
     rows = only(conversations, "conv_id", "turn", "role", "text").withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
     rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")

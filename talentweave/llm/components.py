@@ -38,7 +38,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node and comes from an exchange of its own, so adaptive execution can split a hub's links or a large group.  Null nodes, loops and repeated links add nothing; no links give no rows.
     """
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    both = written(links.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct(), "links")
+    both = written(
+        links.select(
+            F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
+        ).select("e.*").distinct(),
+        "links"
+    )
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
     while True:
         near = both.hint("merge").join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

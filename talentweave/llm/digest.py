@@ -200,7 +200,9 @@ def in_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
         group = F.aggregate(_constant([c[0] for c in coarse], "array<double>"), F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0))
         rows = rows.withColumn("g", group)
         inner = F.element_at(_constant(coarse, "array<array<double>>"), F.greatest(F.col("g"), F.lit(1)))
-        place = F.when(F.col("g") == 0, 0).otherwise((F.col("g") - 1) * wide + F.aggregate(inner, F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0)))
+        place = F.when(F.col("g") == 0, 0).otherwise(
+            (F.col("g") - 1) * wide + F.aggregate(inner, F.lit(0), lambda a, x: a + F.when(x <= at, 1).otherwise(0))
+        )
     else:
         rows, place = rows.withColumn("g", F.lit(0)), F.lit(0)
     # rows without an id come last, by a hash of their texts, so that many of them make several ranges
@@ -210,7 +212,9 @@ def in_order(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     last = F.lit(lone - 1) - F.least(F.floor(share * lone), F.lit(lone - 1))
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), last).otherwise(place + lone).cast("int")).drop("g")
     order = F.struct("doc_id", "tie")
-    tops = {r["bucket"]: (r["top"]["doc_id"], r["top"]["tie"]) for r in rows.groupBy("bucket").agg(F.max(order).alias("top")).collect()}  # one row a range
+    tops = {
+        r["bucket"]: (r["top"]["doc_id"], r["top"]["tie"]) for r in rows.groupBy("bucket").agg(F.max(order).alias("top")).collect()
+    }  # one row a range
     falling = sorted(tops, reverse=True)
     after = {b: falling[(i - 1) % len(falling)] for i, b in enumerate(falling)}  # the range whose end is closed by b's first row
     if not falling:
@@ -254,7 +258,9 @@ def fingerprints_with_edits(documents: DataFrame, key: str = "doc_id", text: str
 
         closed = None
         for part, texts in slices(batches):
-            for bucket, halo, doc_id, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts, strict=True):
+            for bucket, halo, doc_id, raw in zip(
+                part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), texts, strict=True
+            ):
                 if halo and bucket == closed:
                     continue  # a repeated first row closes its range once
                 closed = bucket if halo else closed

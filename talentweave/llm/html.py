@@ -27,14 +27,24 @@ TAGS = (
 ).split()
 TAG_NUMBER = {t: i for i, t in enumerate(TAGS)}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr #text".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr #text".split()
+)
 #: Never text of a page: their contents are skipped.
 HIDDEN = frozenset("script style noscript template head title iframe object svg math".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 #: A start tag of the key ends an open element of the value, up to the nearest list or table.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}}
-_HOLDS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}, "body": set()}
-_P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+_CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "body": {"head"}
+}
+_HOLDS = {
+    "li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"},
+    "option": {"select"}, "body": set()
+}
+_P_ENDS = frozenset(
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+)
 #: Words in class, id and role attributes, by what they usually mark.
 HINTS = [re.compile(x) for x in (
     r"nav|menu|breadcrumb|pagination|pager|toc", r"header|masthead|topbar|toolbar|branding", r"foot|copyright|legal", r"side|aside|widget|related|recommend|trending|rail|more-",
@@ -43,8 +53,14 @@ HINTS = [re.compile(x) for x in (
 )]
 #: Comments, other declarations, tags with well-formed attributes (nothing is tried twice), any other tag.
 _ATTRIBUTES = r"""(?:\s++|/|[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)*+"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)", re.S)
-_MARKS = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)|(\shidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I)
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)",
+    re.S
+)
+_MARKS = re.compile(
+    r"(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)|(\shidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)",
+    re.I
+)
 
 
 @dataclass
@@ -236,7 +252,9 @@ def forest(pages: list[Page]) -> Forest:
         above[level] = above[q] | hints[q]
         section[level] = np.where(_SECTION[tag[q]], tag[q], section[q])
     link = chars * in_link
-    total, marks, linked, forms, leaves = chars.copy(), commas.copy(), link.copy(), np.isin(tag, [TAG_NUMBER[x] for x in ("input", "button", "select", "textarea", "form")]).astype(float), (chars > 0).astype(float)
+    total, marks, linked, forms, leaves = chars.copy(), commas.copy(), link.copy(), np.isin(
+        tag, [TAG_NUMBER[x] for x in ("input", "button", "select", "textarea", "form")]
+    ).astype(float), (chars > 0).astype(float)
     for level in levels[:0:-1]:
         for sums in (total, marks, linked, forms, leaves):
             np.add.at(sums, parent[level], sums[level])
@@ -251,7 +269,11 @@ def forest(pages: list[Page]) -> Forest:
     q = np.maximum(parent, 0)
     base = N_TAG + 2 * N_HINT + N_TAG
     density = linked / np.maximum(total, 1)
-    numbers = (np.ones(n), np.log1p(total) / 5, density, (density > 0.6), marks / np.maximum(total, 1) * 20, total / np.maximum(whole, 1), forms > 0, np.minimum(depth, 12) / 6, total > 80, total > 250, total == 0, np.log1p(leaves) / 3, density[q], np.log1p(total[q]) / 5)
+    numbers = (
+        np.ones(n), np.log1p(total) / 5, density, (density > 0.6), marks / np.maximum(total, 1) * 20,
+        total / np.maximum(whole, 1), forms > 0, np.minimum(depth, 12) / 6, total > 80, total > 250, total == 0,
+        np.log1p(leaves) / 3, density[q], np.log1p(total[q]) / 5
+    )
     for i, v in enumerate(numbers):
         x[:, base + i] = v
     kind = np.where(tag == 0, 0, np.where(_SECTION[tag], 3, np.where(_INLINE_TAG[tag], 1, 2)))
@@ -372,37 +394,64 @@ def labelled(n: int = 240, seed: int = 5) -> list[Page]:
 
     def links(lo: int, hi: int) -> str:
         items = [f"<a href='/{word()}'>\x02{words(1, 3)}</a>" for _ in range(r.randint(lo, hi))]
-        return r.choice([lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", lambda: " | ".join(items), lambda: "".join(f"<div>{x}</div>" for x in items)])()
+        return r.choice(
+            [
+                lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", lambda: " | ".join(items),
+                lambda: "".join(f"<div>{x}</div>" for x in items)
+            ]
+        )()
 
     def nav() -> str:
         return wrap(["nav", "nav", "div", "header"], ["nav", "menu", "main-menu", "breadcrumbs", "navbar"], links(2, 9))
 
     def head() -> str:
-        return wrap(["header", "header", "div"], ["header", "masthead", "topbar", "site-header"], r.choice([f"<h2>\x02{words(1, 3)}</h2>", f"<p>\x02{words(1, 6)}</p>", f"<a href='/'>\x02{words(1, 2)}</a>", f"<div>\x02{sentence()}</div>"]) + (links(1, 6) if r.random() < 0.5 else ""))
+        return wrap(
+            ["header", "header", "div"], ["header", "masthead", "topbar", "site-header"],
+            r.choice(
+                [f"<h2>\x02{words(1, 3)}</h2>", f"<p>\x02{words(1, 6)}</p>", f"<a href='/'>\x02{words(1, 2)}</a>", f"<div>\x02{sentence()}</div>"]
+            ) + (links(1, 6) if r.random() < 0.5 else "")
+        )
 
     def foot() -> str:
-        return wrap(["footer", "footer", "div"], ["footer", "site-footer", "copyright"], f"\x02&copy; {words(1, 3)} &middot; {sentence() * r.randint(1, 3)}" + (links(1, 6) if r.random() < 0.4 else ""))
+        return wrap(
+            ["footer", "footer", "div"], ["footer", "site-footer", "copyright"],
+            f"\x02&copy; {words(1, 3)} &middot; {sentence() * r.randint(1, 3)}" + (links(1, 6) if r.random() < 0.4 else "")
+        )
 
     def advert() -> str:
-        return wrap(["div", "div", "aside", "section", "p"], ["ad", "ads", "advert", "sponsored", "promo", "ad-box", "banner"], r.choice([f"\x02{sentence()}", f"<p>{prose(1, 3, chr(2))}</p>", f"<a href='/buy'>\x02{words(2, 9)}</a>"]))
+        return wrap(
+            ["div", "div", "aside", "section", "p"], ["ad", "ads", "advert", "sponsored", "promo", "ad-box", "banner"],
+            r.choice([f"\x02{sentence()}", f"<p>{prose(1, 3, chr(2))}</p>", f"<a href='/buy'>\x02{words(2, 9)}</a>"])
+        )
 
     def notice() -> str:
-        return wrap(["div", "div", "section", "aside"], ["cookie-notice", "consent", "notice", "alert", "popup", "newsletter", "gdpr-banner"], f"<p>{prose(1, 3, chr(2))}</p>" + (f"<button>\x02{word()}</button>" if r.random() < 0.7 else ""))
+        return wrap(
+            ["div", "div", "section", "aside"],
+            ["cookie-notice", "consent", "notice", "alert", "popup", "newsletter", "gdpr-banner"],
+            f"<p>{prose(1, 3, chr(2))}</p>" + (f"<button>\x02{word()}</button>" if r.random() < 0.7 else "")
+        )
 
     def sidebar() -> str:
         body = f"<h3>\x02{words(1, 3)}</h3>" + r.choice([lambda: links(2, 8), lambda: f"<p>{prose(1, 4, chr(2))}</p>"])()
         return wrap(["aside", "aside", "div"], ["sidebar", "related", "widget", "side-rail", "trending", "recommended"], body * r.randint(1, 2))
 
     def form() -> str:
-        body = "".join(f"<label>\x02{words(1, 3)}</label><input name='{word()}'>" for _ in range(r.randint(1, 4))) + f"<button>\x02{words(1, 2)}</button>"
+        body = "".join(
+            f"<label>\x02{words(1, 3)}</label><input name='{word()}'>" for _ in range(r.randint(1, 4))
+        ) + f"<button>\x02{words(1, 2)}</button>"
         body += f"<p>\x02{sentence()}</p>" if r.random() < 0.4 else ""
         body += f"<select><option>\x02{word()}<option>\x02{word()}</select>" if r.random() < 0.2 else ""
         body += f"<textarea>\x02{words(1, 5)}</textarea>" if r.random() < 0.2 else ""
         return wrap(["form", "form", "form"], ["search", "login", "signup", "contact-form"], body)
 
     def comments() -> str:
-        one = lambda: wrap(["div", "li", "article"], ["comment", "reply", "comment-body"], f"<b>\x02{word()}</b> <p>{prose(1, 5, chr(2))}</p>")
-        return wrap(["section", "div", "ol", "aside"], ["comments", "comment-list", "discussion", "responses", "replies"], f"<h3>\x02{words(1, 2)}</h3>" + "".join(one() for _ in range(r.randint(1, 5))) + (form() if r.random() < 0.3 else ""))
+        one = lambda: wrap(
+            ["div", "li", "article"], ["comment", "reply", "comment-body"], f"<b>\x02{word()}</b> <p>{prose(1, 5, chr(2))}</p>"
+        )
+        return wrap(
+            ["section", "div", "ol", "aside"], ["comments", "comment-list", "discussion", "responses", "replies"],
+            f"<h3>\x02{words(1, 2)}</h3>" + "".join(one() for _ in range(r.randint(1, 5))) + (form() if r.random() < 0.3 else "")
+        )
 
     def article() -> str:
         parts = [f"<h1>\x01{words(1, 10)}</h1>"] if r.random() < 0.85 else []
@@ -486,6 +535,9 @@ def extract(pages: DataFrame, model: Model | None = None, at_least: float = 0.5)
         for page in parsed:
             out.append(main_text(page, p[at : at + len(page.parent)], at_least))
             at += len(page.parent)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
+            ["page_id", "url", "text", "n_chars"]
+        )
 
     return map_slices(only(pages, "page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long", text="html")

@@ -63,7 +63,10 @@ def targets_of(sizes: DataFrame, weights: tuple[float, ...], amount: float, most
     whole, level, n_full = amount * (ranked.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
     while True:
         is_full = full < F.lit(level) * F.col("weight")
-        r = ranked.agg(F.count_if(is_full).alias("n"), F.sum(F.when(is_full, full).otherwise(0.0)).alias("taken"), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        r = ranked.agg(
+            F.count_if(is_full).alias("n"), F.sum(F.when(is_full, full).otherwise(0.0)).alias("taken"),
+            F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open")
+        ).first()
         if r["n"] == n_full or not r["open"]:
             break
         n_full, level = r["n"], (whole - r["taken"]) / r["open"]
@@ -83,7 +86,10 @@ def _with_size(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.withColumns({"mix_size": word_count(f"`{text}`"), "mix_hash": F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit("mix"))})
 
 
-def thresholds(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, bool]:
+def thresholds(
+    documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id",
+    text: str = "text", source: str = "source"
+) -> tuple[DataFrame, bool]:
     """One row a source: name, source_size, target, whole passes, and where its last, partial pass ends.
 
     b1 and b2 are the boundary buckets of the first and second histogram, b3 the hash at the boundary, ``missing``
@@ -98,7 +104,10 @@ def thresholds(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amo
     if few:
         held = {r["name"]: r["source_size"] for r in sizes.collect()}  # at most BROADCAST_SOURCES rows
         targets = shares(held, weights, amount, most)
-        sources = spark.createDataFrame([(i, name, size, float(targets[name])) for i, (name, size) in enumerate(held.items())], "sk long, name string, source_size long, target double")
+        sources = spark.createDataFrame(
+            [(i, name, size, float(targets[name])) for i, (name, size) in enumerate(held.items())],
+            "sk long, name string, source_size long, target double"
+        )
     else:
         sources = targets_of(sizes, weights, amount, most)
     size = F.col("source_size")
@@ -123,7 +132,10 @@ def _bits(h: str) -> tuple[F.Column, F.Column]:
     return F.shiftrightunsigned(h, 64 - BITS), F.shiftrightunsigned(F.shiftleft(h, BITS), 64 - BITS)
 
 
-def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_rows(
+    documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False,
+    key: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
     """The rows with mix_size, mix_source_size, mix_target and mix_taken added; nothing but the thresholds is moved."""
     bounds, few = thresholds(documents, weights, amount, most, key, text, source)
     names = ["source_size", "target", "passes", "b1", "b2", "b3", "missing", "tied"]
@@ -146,7 +158,10 @@ def mixed_rows(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amo
     return rows.withColumn("mix_taken", taken).drop("mix_name", "mix_hash", *[f"mix_{c}" for c in names[2:]])
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(
+    documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, whole: bool = False,
+    key: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row.
 
     ``taken`` is the row's words times its whole passes, plus its size again for rows below the source's
@@ -157,10 +172,16 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: fl
     one number a source for at most BROADCAST_SOURCES of them, and none for more.
     """
     rows = mixed_rows(only(documents, key, source, text).toDF("doc_id", "source", "text"), weights, amount, most, whole)
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    return rows.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken")
+    )
 
 
-def repeated(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def repeated(
+    documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, most: float = 2.0, key: str = "doc_id",
+    text: str = "text", source: str = "source"
+) -> DataFrame:
     """The mix itself: every row as often as the mix takes it (not at all, once, or more), with its columns."""
     rows = mixed_rows(documents, weights, amount, most, True, key, text, source)
     times = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(0).cast("int")

@@ -147,7 +147,10 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, rou
     held, learn = order[: len(y) // 5], order[len(y) // 5 :]
     mean, scale = x[learn].mean(0), x[learn].std(0) + 1e-6
     z = (x - mean) / scale
-    w = [rng.standard_normal((x.shape[1], hidden)) * np.sqrt(2 / x.shape[1]), np.zeros(hidden), rng.standard_normal(hidden) * np.sqrt(2 / hidden), np.zeros(())]
+    w = [
+        rng.standard_normal((x.shape[1], hidden)) * np.sqrt(2 / x.shape[1]), np.zeros(hidden),
+        rng.standard_normal(hidden) * np.sqrt(2 / hidden), np.zeros(())
+    ]
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     for step in range(1, rounds + 1):
         batch = rng.choice(learn, min(512, len(learn)), replace=False)
@@ -187,9 +190,14 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         x = pooled(texts, vectors)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "y", "x"])
-
-    rows = map_slices(chosen.select("doc_id", "y", "text"), run, "doc_id long, y int, x array<float>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))],
+            ["doc_id", "y", "x"]
+        )
+
+    rows = map_slices(
+        chosen.select("doc_id", "y", "text"), run, "doc_id long, y int, x array<float>"
+    ).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     if not rows.num_rows:
         return Network(vectors, 0.5)
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)

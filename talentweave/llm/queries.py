@@ -36,7 +36,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     # the added conversation rides on the first scan as two rows of a one-row range
     roles = F.when(F.col("id") == 0, "user").otherwise("assistant")
-    added = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), said.alias("text"))
+    added = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), said.alias("text")
+    )
     return chat.format_conversations(given.unionByName(added)).drop("fault")
 
 

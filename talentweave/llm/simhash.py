@@ -172,7 +172,9 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
         label = to[label]
 
 
-def tile_proposals(a: Tile, b: Tile, radius: int, same: bool, wide_radius: int, similarity: float, thin: bool, size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def tile_proposals(
+    a: Tile, b: Tile, radius: int, same: bool, wide_radius: int, similarity: float, thin: bool, size: int = 512
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(nodes, nodes, set sizes, set sizes) of pairs that may have the similarity: within both radii, sizes that allow it.
 
     Pairs of one known group are left out.  With ``thin`` a spanning forest of the nearest pairs, else all of them.
@@ -216,7 +218,10 @@ def _fitting(p: np.ndarray, q: np.ndarray, n_p: np.ndarray, n_q: np.ndarray, mos
         yield from _fitting(p[part], q[part], n_p[part], n_q[part], most)
 
 
-def _tile_pairs(distinct: DataFrame, radius: int, tile: int, compare: Callable[[int, int, dict[int, Tile]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _tile_pairs(
+    distinct: DataFrame, radius: int, tile: int, compare: Callable[[int, int, dict[int, Tile]], Iterator[pa.RecordBatch]],
+    schema: str
+) -> DataFrame:
     """``compare`` of every two tiles that can hold pairs within the radius.
 
     ``distinct`` has columns node and fp, for wide fingerprints also w1, w2, w3, n and label.  The driver collects
@@ -242,7 +247,9 @@ def _tile_pairs(distinct: DataFrame, radius: int, tile: int, compare: Callable[[
     ends = {pc: max(first[p] + chunks[p] for p in range(pc, pc + reach + 1) if p in chunks) for pc in chunks}
     starts = {pc: min(first[p] for p in range(pc - reach, pc + 1) if p in chunks) for pc in chunks}
     # a tile travels as one packed row to each pair of tiles it belongs to, so a fingerprint costs a few bytes a partner
-    packed = tiles.select("node", F.array("fp", *more).alias("fps"), own.alias("t"), number(starts).alias("from"), number(ends).alias("to")).groupBy("t").applyInArrow(_pack, "t int, `from` int, `to` int, nodes binary, fps binary")
+    packed = tiles.select(
+        "node", F.array("fp", *more).alias("fps"), own.alias("t"), number(starts).alias("from"), number(ends).alias("to")
+    ).groupBy("t").applyInArrow(_pack, "t int, `from` int, `to` int, nodes binary, fps binary")
     sent = packed.select("t", "nodes", "fps", F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("u"))
     sent = sent.select(F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi"), "t", "nodes", "fps")
     width = 1 + len(more)
@@ -288,7 +295,10 @@ def proposals(distinct: DataFrame, similarity: float, thin: bool, tile: int = 13
             order = np.lexsort((pairs[1], pairs[0]))
             for nodes, a, b in _fitting(*[x[order] for x in pairs], most):
                 ids = [pa.array([x], pa.int32()) for x in (lo, hi, seq)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array([nodes], pa.list_(pa.int64())), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (a, b)]], ["lo", "hi", "seq", "nodes", "a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [*ids, pa.array([nodes], pa.list_(pa.int64())), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (a, b)]],
+                    ["lo", "hi", "seq", "nodes", "a", "b"]
+                )
                 seq += 1
 
     return _tile_pairs(distinct, radius, tile, compare, "lo int, hi int, seq int, nodes array<long>, a binary, b binary")
@@ -333,7 +343,12 @@ def _pack(table: pa.Table) -> pa.Table:
     """All fingerprints of one tile as one row."""
     fps = table.column("fps").combine_chunks().flatten().to_numpy().tobytes()
     nodes = table.column("node").to_numpy().tobytes()
-    return pa.table({"t": table.column("t")[:1], "from": table.column("from")[:1], "to": table.column("to")[:1], "nodes": pa.array([nodes], pa.binary()), "fps": pa.array([fps], pa.binary())})
+    return pa.table(
+        {
+            "t": table.column("t")[:1], "from": table.column("from")[:1], "to": table.column("to")[:1],
+            "nodes": pa.array([nodes], pa.binary()), "fps": pa.array([fps], pa.binary())
+        }
+    )
 
 
 def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -346,7 +361,9 @@ def near_duplicates(documents: DataFrame, words: int = 4, radius: int = 4, key:
     fps = written(fingerprints(documents, words, key, text), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     of = components(links(classes.select(F.col("fp").alias("node"), "fp"), radius))
-    joined = classes.hint("merge").join(of, classes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = classes.hint("merge").join(of, classes["fp"] == of["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component")
+    )
     joined = written(joined, "class-components")
     # both sides of the two joins come from tables, so adaptive execution can split a very large group
     least = written(joined.groupBy("component").agg(F.min("least").alias("component_id")), "least")
@@ -378,7 +395,9 @@ def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[Da
         sets = [shingle_set(x, words) for x in texts]
         fps = wide_fingerprints(sets).view(np.int64)
         sizes = pa.array([len(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([*part.columns[:3], _node_ids(sets), *[pa.array(fps[:, i]) for i in range(4)], sizes], ["doc_id", "k1", "k2", *_CLASS])
+        return pa.RecordBatch.from_arrays(
+            [*part.columns[:3], _node_ids(sets), *[pa.array(fps[:, i]) for i in range(4)], sizes], ["doc_id", "k1", "k2", *_CLASS]
+        )
 
     keyed = rows_by_text(docs).select("doc_id", "k1", "k2", "text")
     fps = written(map_slices(keyed, run, "doc_id long, k1 long, k2 long, node long, fp long, w1 long, w2 long, w3 long, n long"), "fingerprints")
@@ -391,7 +410,10 @@ def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[Da
     more = written(proposals(grouped, similarity, False), "pairs")
     also = written(confirmed(more, _sets(docs, more, classes, words), similarity), "confirmed")
     of = components(near.unionByName(also))
-    joined = written(classes.hint("merge").join(of, "node", "left").select("node", "best", F.coalesce("component", "node").alias("component")), "class-components")
+    joined = written(
+        classes.hint("merge").join(of, "node", "left").select("node", "best", F.coalesce("component", "node").alias("component")),
+        "class-components"
+    )
     discard(classes, blocks, near, grouped, more, also)
     return fps, joined
 
@@ -430,13 +452,18 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, k
     kept = written(kept.hint("merge").join(times, ["k1", "k2"]), "kept")
     columns = [F.col(f"`{c}`") for c in documents.columns]
     names = [f"c{i}" for i in range(len(columns))]
-    rows = rows_by_text(documents.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), names[documents.columns.index(key)], names[documents.columns.index(text)])
+    rows = rows_by_text(
+        documents.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]), names[documents.columns.index(key)],
+        names[documents.columns.index(text)]
+    )
     back = [F.col(n).alias(c) for n, c in zip(names, documents.columns, strict=True)]
     out = rows.join(kept.where("times = 1").hint("shuffle_hash"), ["k1", "k2"], "left_semi").select(*back)
     if kept.where("times > 1").limit(1).count():
         # repeated rows: their few keys go to all of SPREAD places, so that no task gets all rows of one key
         several = kept.where("times > 1").select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("place"))
-        met = rows.withColumn("place", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")).join(several.hint("shuffle_hash"), ["k1", "k2", "place"], "left_semi")
+        met = rows.withColumn(
+            "place", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+        ).join(several.hint("shuffle_hash"), ["k1", "k2", "place"], "left_semi")
         whole = F.struct(*names)
         for by in (["k1", "k2", "place"], ["k1", "k2"]):
             met = met.groupBy(*by).agg(F.min(whole).alias("row")).select(*by, "row.*")

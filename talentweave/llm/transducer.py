@@ -291,6 +291,8 @@ def token_counts(documents: DataFrame, model: str | None = None, limit: int = 40
             path = public_tokenizers.path("piece_bpe_32k.model")
         n = transducer(path).counts([x.decode() for x in texts])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        return pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array(sizes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+        )
 
     return map_slices(only(documents, key, text).toDF("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

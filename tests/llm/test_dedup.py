@@ -43,7 +43,9 @@ def _texts():
 
 def test_fingerprints_and_components(spark):
     texts = _texts()
-    rows = spark.createDataFrame([(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumns({"fp": F.lit("x"), "component": F.lit(1), "lang": F.lit(None).cast("string")}).repartition(5)
+    rows = spark.createDataFrame(
+        [(i + 100, t) for i, t in enumerate(texts)], "doc_id long, text string"
+    ).withColumns({"fp": F.lit("x"), "component": F.lit(1), "lang": F.lit(None).cast("string")}).repartition(5)
     got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(rows).collect()}
     fps = [brute_fingerprint(t) for t in texts]
     want = dict(zip([i + 100 for i in range(len(texts))], zip(fps, brute_components(fps, [i + 100 for i in range(len(texts))], 4), strict=True), strict=True))
@@ -135,14 +137,19 @@ def _passages(seed):
 def test_repeats_equal_brute_force(spark):
     for seed in (1, 2):
         texts = _passages(seed)
-        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"k1": F.lit(1), "runs": F.lit("x")}).repartition(4)
+        rows = spark.createDataFrame(
+            list(enumerate(texts)), "doc_id long, text string"
+        ).withColumns({"k1": F.lit(1), "runs": F.lit("x")}).repartition(4)
         got = [tuple(r[1:]) for r in substrings.repeated_passages(rows).orderBy("doc_id").collect()]
         assert got == brute_repeats(texts)
 
 
 def test_repeats_keep_columns_and_clean_texts(spark):
     passage = " ".join(f"w{i}" for i in range(50))
-    rows = spark.createDataFrame([(1, f"own  start {passage} end", "s1", 9), (2, f"{passage}", "s2", 9), (3, "left \n alone", None, 9), (None, None, "s", 9)], "doc_id long, text string, source string, n int")
+    rows = spark.createDataFrame(
+        [(1, f"own  start {passage} end", "s1", 9), (2, f"{passage}", "s2", 9), (3, "left \n alone", None, 9), (None, None, "s", 9)],
+        "doc_id long, text string, source string, n int"
+    )
     got = {r.doc_id: r for r in substrings.without_repeats(rows).collect()}
     assert got[1].text == "own start end" and got[2].text == "" and got[3].text == "left \n alone" and got[None].text is None
     assert got[1].source == "s1" and substrings.without_repeats(rows).columns == rows.columns
@@ -272,7 +279,9 @@ def test_spans_of_one_hash_are_told_apart(monkeypatch):
 def test_one_of_each_group(spark):
     text = "a b c d e f g h i j"
     rows = [(60, text, "en", 1), (60, text, "en", 1), (60, text, "de", 0), (None, text, "en", 1), (61, text, None, None)]
-    rows += [(None, "null id text of its own here", "x", i) for i in (3, 2, 2)] + [(7, None, "n", 0), (8, "", "n", 0), (9, "another text that stands alone", None, None)]
+    rows += [(None, "null id text of its own here", "x", i) for i in (3, 2, 2)] + [
+        (7, None, "n", 0), (8, "", "n", 0), (9, "another text that stands alone", None, None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, k1 string, component long").repartition(3)
     want = [(60, text, "de", 0), (None, "null id text of its own here", "x", 2), (7, None, "n", 0), (9, "another text that stands alone", None, None)]
     got = simhash.one_of_each(df)

@@ -100,7 +100,9 @@ def test_stages_equal_brute_force(spark, tmp_path):
     texts = [" ".join(w) for w in base]
     texts += [" ".join([*w[:20], word(), *w[21:]]) for w in base[:20]] + [" ".join([*w, *passage]) for w in base[20:26] if len(w) > 3]
     rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, len(t)) for i, t in enumerate(texts)]
-    rows += [rows[5]] * 3 + [(None, texts[6], "en", "s1", 9), (None, "alone " + texts[7][::-1], "en", "s1", 9)] + [(None, "twice but no id " * 9, None, None, None)] * 2 + [(900, None, None, "s1", None), (901, " ", "en", "s2", 1)]
+    rows += [rows[5]] * 3 + [
+        (None, texts[6], "en", "s1", 9), (None, "alone " + texts[7][::-1], "en", "s1", 9)
+    ] + [(None, "twice but no id " * 9, None, None, None)] * 2 + [(900, None, None, "s1", None), (901, " ", "en", "s2", 1)]
     kept = [tuple(x) for x in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path)).collect()]
     assert len(kept) == len(_brute_near(rows)) and {(d, t) for d, t, *_ in kept} == _brute_near(rows)
     cut = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(kept, SCHEMA).repartition(3), str(tmp_path)).collect()
@@ -115,7 +117,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
     for s, n in words.items():
         taken = sum(len(x.text.split()) for x in mixed if x.source == s)
         assert abs(taken - level[s]) <= max(len(x.text.split()) for x in cut if x.source == s)
-    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")),
+        special_tokens={}
+    )
     ids = lambda t: hashlib.sha256(np.array(library.encode_ordinary(t), "<u4").tobytes()).hexdigest()
     got = corpus_pipeline.encode(spark, spark.createDataFrame(mixed, SCHEMA), str(tmp_path)).collect()
     want = [(x.doc_id, len(library.encode_ordinary(x.text)), ids(x.text), hashlib.sha256(x.text.encode()).hexdigest()) for x in mixed]
@@ -126,8 +131,14 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_stages_take_what_comes(spark, tmp_path, stage):
     """Empty tables, nulls in all columns, repeated rows, and columns of the names that the operators use."""
     text = " ".join(f"w{i}" for i in range(50))
-    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (None, text, None, None, None), (2, None, None, None, None), (2, None, None, None, None), (3, "", "", "", 0), (4, "short", "en", "b", 5), (None, "no id", None, "b", 5), (None, "no id", None, "b", 5)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("fp", "node", "k1", "component", "marks", "mix_size", "mix_hash", "name", "x_lang", "score", "n_tokens", "place")}).repartition(3)
+    rows = [
+        (1, text, "en", "a", 9), (1, text, "en", "a", 9), (None, text, None, None, None), (2, None, None, None, None),
+        (2, None, None, None, None), (3, "", "", "", 0), (4, "short", "en", "b", 5), (None, "no id", None, "b", 5),
+        (None, "no id", None, "b", 5)
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns(
+        {c: F.lit("x") for c in ("fp", "node", "k1", "component", "marks", "mix_size", "mix_hash", "name", "x_lang", "score", "n_tokens", "place")}
+    ).repartition(3)
     spark.createDataFrame([(1, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     few = stage(spark, docs, str(tmp_path)).collect()
     none = stage(spark, docs.where("false"), str(tmp_path))
@@ -137,7 +148,9 @@ def test_stages_take_what_comes(spark, tmp_path, stage):
         assert len(few) == expected[stage]
     else:
         assert all((x.text or "").strip() for x in few)
-    assert none.columns == (["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if stage is corpus_pipeline.encode else list(corpus_pipeline.COLUMNS))
+    assert none.columns == (
+        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if stage is corpus_pipeline.encode else list(corpus_pipeline.COLUMNS)
+    )
 
 
 def test_entry_without_this_subpackage(tmp_path):

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from talentweave.llm import ann, bpe, chat, digest, html, mixing, quality, queries, transducer
 
-EDGE = [None, "", " ", "  a", " " * 100, "it's we're 's ''s \"'s I'll'd x 're' r' 'r 'l 'v", "don't\n\n  x\n y \n", "a" * 3000, "日本語 12345 ½", "é́\x00 z", " x y  z", "🙂🙂 a🙂", "<s> x</s><|endoftext|>", "▁▁ ▁x", "ab" * 900, "'", " '", "x" * 3000 + " " * 3000 + "y"]
+EDGE = [
+    None, "", " ", "  a", " " * 100, "it's we're 's ''s \"'s I'll'd x 're' r' 'r 'l 'v", "don't\n\n  x\n y \n", "a" * 3000,
+    "日本語 12345 ½", "é́\x00 z", " x y  z", "🙂🙂 a🙂", "<s> x</s><|endoftext|>", "▁▁ ▁x", "ab" * 900, "'", " '",
+    "x" * 3000 + " " * 3000 + "y"
+]
 
 
 def _random_texts(n, seed=1, alphabet="ab 'srt\n\t  1é.!日ll▁"):
@@ -25,7 +29,9 @@ def _random_texts(n, seed=1, alphabet="ab 'srt\n\t  1é.!日ll▁"):
 
 
 def _rows(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"ids": F.lit(3), "n_tokens": F.lit(None).cast("int")})
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({
+        "ids": F.lit(3), "n_tokens": F.lit(None).cast("int")
+    })
 
 
 def test_byte_pairs_equal_the_library(spark):
@@ -35,7 +41,9 @@ def test_byte_pairs_equal_the_library(spark):
     got = {r.doc_id: r for r in bpe.round_trip(_rows(spark, texts)).collect()}
     for i, t in enumerate(texts):
         ids = library.encode_ordinary(t or "")
-        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), t
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (
+            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
+        ), t
     back = {r.doc_id: (r.ids, r.decoded) for r in bpe.encoded(_rows(spark, texts[:30])).collect()}
     assert all(back[i] == (library.encode_ordinary(t or ""), t or "") for i, t in enumerate(texts[:30]))
     assert bpe.round_trip(_rows(spark, []).limit(0)).count() == 0
@@ -77,8 +85,12 @@ assert got == [len(library.encode(t)) for t in texts], got
 
 def test_mix_is_near_its_targets(spark):
     r = random.Random(3)
-    docs = [(i, "w " * r.randint(0, 40), r.choice(["a", "b", "c", "d", "é", None])) for i in range(400)] + [(7, "same words here", "a")] * 3 + [(None, "x y", "a"), (500, None, "e"), (501, "one", "zz")]
-    rows = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"name": F.lit("x"), "rest": F.lit(1), "size": F.lit("s")})
+    docs = [(i, "w " * r.randint(0, 40), r.choice(["a", "b", "c", "d", "é", None])) for i in range(400)] + [(7, "same words here", "a")] * 3 + [
+        (None, "x y", "a"), (500, None, "e"), (501, "one", "zz")
+    ]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({
+        "name": F.lit("x"), "rest": F.lit(1), "size": F.lit("s")
+    })
     got = mixing.mix(rows.repartition(5)).toPandas()
     sizes = {}
     for _, t, s in docs:
@@ -89,7 +101,9 @@ def test_mix_is_near_its_targets(spark):
     by = got.groupby(["source_size", "target"]).taken.sum()
     for (_, target), taken in by.items():
         assert abs(taken - target) <= 2
-    assert got.sort_values(list(got.columns)).reset_index(drop=True).equals(mixing.mix(rows.repartition(3)).toPandas().sort_values(list(got.columns)).reset_index(drop=True))
+    assert got.sort_values(list(got.columns)).reset_index(drop=True).equals(
+        mixing.mix(rows.repartition(3)).toPandas().sort_values(list(got.columns)).reset_index(drop=True)
+    )
     mixed = mixing.repeated(rows)
     assert mixed.columns == rows.columns
     assert mixing.mix(rows.where("false")).count() == 0
@@ -102,7 +116,10 @@ def test_shares_stop_at_twice_the_size():
 
 
 def test_chat_reads_back(spark):
-    talk = [(1, 0, "user", "hi <s>[INST] \\ x"), (1, 1, "assistant", "[/INST]</s>é"), (1, 1, "assistant", None), (2, 5, None, "z"), (2, 3, "system", ""), (None, 0, "assistant", "n")]
+    talk = [
+        (1, 0, "user", "hi <s>[INST] \\ x"), (1, 1, "assistant", "[/INST]</s>é"), (1, 1, "assistant", None), (2, 5, None, "z"),
+        (2, 3, "system", ""), (None, 0, "assistant", "n")
+    ]
     talk += [(3, i, "assistant" if i % 2 else "user", f"t{i}<") for i in range(300)]
     rows = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).repartition(4)
     got = {r.conv_id: r for r in chat.format_conversations(rows).collect()}
@@ -126,7 +143,9 @@ def test_chat_finds_templates_that_rewrite():
 
 
 def test_added_conversation(spark, tmp_path):
-    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame(
+        [(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"
+    ).write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: r for r in queries.op5_chat(spark, str(tmp_path)).collect()}
     said = "</s>[INST] ok [/INST]"
     assert got[-1].n_turns == 2 and got[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[-1].loss_chars == len(said)
@@ -134,7 +153,9 @@ def test_added_conversation(spark, tmp_path):
 
 def test_digests(spark):
     r = random.Random(5)
-    texts = ["".join(r.choice("abcdefghij ößé,.\n") for _ in range(r.choice([0, 5, 70, 200, 900, 4000]))) for _ in range(60)] + ["same " * 400, "same " * 400, "", None]
+    texts = [
+        "".join(r.choice("abcdefghij ößé,.\n") for _ in range(r.choice([0, 5, 70, 200, 900, 4000]))) for _ in range(60)
+    ] + ["same " * 400, "same " * 400, "", None]
     rows = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("bucket", F.lit(1)).repartition(6)
     got = {x.doc_id: x for x in digest.fingerprints_with_edits(rows).collect()}
     order = sorted(got, reverse=True)
@@ -165,7 +186,10 @@ def test_entropy_bins():
 
 def test_pages(spark):
     page = "<html><head><title>T</title><style>p{}</style><script>x='</p>'</script></head><body><nav><ul><li><a href='/a'>Menu</a></li><li><a href='/b'>More</a></li></ul></nav><div class='ad'>Buy it now, friends.</div><article><h1>Head &amp; more</h1><p><b>First\n one.<br><p>Second &lt;two&gt; of them, with <i>in</i>line.</p></article><section class='comments'><p>I like it, really.</p></section><form><label>Name</label><input></form><footer>&copy; foot, all rights.</footer>"
-    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p"), (5, "x", "<div>" * 3000 + "deep" + "<a " * 500)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    rows = spark.createDataFrame(
+        [(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p"), (5, "x", "<div>" * 3000 + "deep" + "<a " * 500)],
+        "page_id long, url string, html string"
+    ).withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in html.extract(rows).collect()}
     assert got[1].text == "Head & more First one. Second <two> of them, with inline." and got[1].n_chars == len(got[1].text) and got[1].url == "u"
     assert got[2].text == "" and got[3].text == "" and got[2].url is None
@@ -210,7 +234,12 @@ def test_messages_equal_enumeration():
 def test_quality(spark):
     r = random.Random(2)
     good = lambda: " ".join("".join(r.choice("aeioumnr") for _ in range(r.randint(2, 8))) for _ in range(80)).capitalize() + "."
-    bad = lambda: r.choice([lambda: good().upper().replace(" ", "!! "), lambda: " ".join([w + "&&&" for w in good().split()]), lambda: " ".join(w for w in good().split()[:6] for _ in range(15))])()
+    bad = lambda: r.choice(
+        [
+            lambda: good().upper().replace(" ", "!! "), lambda: " ".join([w + "&&&" for w in good().split()]),
+            lambda: " ".join(w for w in good().split()[:6] for _ in range(15))
+        ]
+    )()
     docs = [(i, good() if i % 4 else bad()) for i in range(900)]
     rows = spark.createDataFrame(docs + [(900, None), (901, "")], "doc_id long, text string").withColumn("y", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(900)] + [(None, 1), (3, None)], "doc_id long, quality int")
@@ -230,7 +259,9 @@ def test_nearest(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(900, 40))
     x[100:160] = x[100]  # one common vector: ties go to the smaller id
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 40), (2040, [float("nan")] * 40), (2060, [None] * 40), (2080, [1.0, 2.0]), (None, [1.0] * 40)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [
+        (2000, None), (2020, [0.0] * 40), (2040, [float("nan")] * 40), (2060, [None] * 40), (2080, [1.0, 2.0]), (None, [1.0] * 40)
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"label": F.lit(1), "dim": F.lit("clash")})
     got = ann.nearest(df, block_bytes=200 * 40 * 8).toPandas()
     x = x.astype(np.float32).astype(float)
