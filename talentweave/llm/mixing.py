@@ -81,9 +81,15 @@ def _crossing(rows: DataFrame, bucket: F.Column, budgets: DataFrame) -> DataFram
     return seen.where("upto >= rest and upto - held < rest").select("sk", "bound", (F.col("rest") - F.col("upto") + F.col("held")).alias("rest"))
 
 
+def row_hash(key: F.Column, text: F.Column) -> F.Column:
+    """The first 64 bits of the MD5 of a row's key and text; nulls count as empty."""
+    whole = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 16), 16, -10).cast("long")
+
+
 def _with_size(documents: DataFrame, key: str, text: str) -> DataFrame:
     """The rows with columns mix_size and mix_hash added."""
-    return documents.withColumns({"mix_size": word_count(f"`{text}`"), "mix_hash": F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit("mix"))})
+    return documents.withColumns({"mix_size": word_count(f"`{text}`"), "mix_hash": row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"))})
 
 
 def thresholds(

@@ -88,10 +88,28 @@ SELECT page_id, url, text, length(text) AS n_chars FROM b
 """
 
 
+#: Thresholds as sums over ordered hashes; the level of the shares by rounds, as many as ever are needed here.
+_MIX = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 16) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT 0 AS n, 0.0::DOUBLE AS level UNION ALL
+  SELECT n + 1, (SELECT coalesce((1.5 * sum(source_size)::DOUBLE - coalesce(sum(2.0 * source_size) FILTER (2.0 * source_size < level * w), 0)::DOUBLE) / sum(w) FILTER (2.0 * source_size >= level * w), level) FROM s) FROM r WHERE n < 40),
+t AS (SELECT source, source_size, CASE WHEN 2.0 * source_size < level * w THEN 2.0 * source_size ELSE level * w END::DOUBLE AS target FROM s, (SELECT level FROM r WHERE n = 40)),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS passes FROM t),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target - passes * source_size ELSE 0 END AS rest FROM p),
+g AS (SELECT source, h, sum(size) AS held FROM d GROUP BY source, h),
+c AS (SELECT source, h, held, sum(held) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+b AS (SELECT c.source, h AS bound, rest - (upto - held) AS missing, held AS tied FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source WHERE rest > 0 AND upto >= rest AND upto - held < rest)
+SELECT doc_id, size, source_size, target, least(passes * size + CASE WHEN bound IS NULL OR h > bound THEN 0 WHEN h < bound THEN size ELSE least(size, CAST(round(missing * size / tied) AS BIGINT)) END, 2 * size)::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_nearest, op4_quality, op5_chat, op6_digest, op7_bpe, op8_mix, op9_counts, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on 64-bit xxHash, trained models, token merges or bit estimates, and are tested by brute force."""
-    return {"op2_repeats": _REPEATS, "op5_chat": _CHAT, "op10_html": _PAGES}
+    return {"op2_repeats": _REPEATS, "op5_chat": _CHAT, "op8_mix": _MIX, "op10_html": _PAGES}

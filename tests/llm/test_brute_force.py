@@ -186,7 +186,7 @@ def test_mix_equals_brute_force(spark, monkeypatch, seed):
     for _, t, s in docs:
         size[s] += len((t or "").split())
     want = _targets(size)
-    hashes = rows.select("doc_id", "text", "source", F.xxhash64("doc_id", "text", F.lit("mix")).alias("h")).collect()
+    hashes = rows.select("doc_id", "text", "source", mixing.row_hash(F.col("doc_id"), F.col("text")).alias("h")).collect()
     mixed = collections.defaultdict(list)
     for x in mixing.mix(rows).collect():
         mixed[x.doc_id, x.size].append(x)
