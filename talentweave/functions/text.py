@@ -35,8 +35,22 @@ def fold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+def _numbered(c: Column) -> Column:
+    """Numeric character references as characters; those of no character stay."""
+
+    def decoded(piece: Column) -> Column:
+        plain, hexed = F.regexp_extract(piece, r"^&#([0-9]{1,7});", 1), F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).otherwise(plain).try_cast("int")
+        fine = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(fine, F.concat(sign, F.regexp_replace(piece, "^&#[xX]?[0-9a-fA-F]+;", ""))).otherwise(piece)
+
+    return let(c, lambda t: F.when(t.contains("&#"), F.array_join(F.transform(F.split(t, "(?=&#)"), decoded), "")).otherwise(t))
+
+
 def unescape(c: Column) -> Column:
-    """Character references of ENTITIES as characters; the ampersand last, so nothing is decoded twice."""
+    """Character references, numeric ones and those of ENTITIES; the ampersand last, so nothing is decoded twice."""
+    c = _numbered(c)
     for name, char in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(char))
     return c

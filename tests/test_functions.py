@@ -60,3 +60,10 @@ def test_dates(col):
     assert [p("Jan 2021"), p("january 2021"), p("3/2020"), p("2020"), p("Present"), p("x")] == [
         dt.date(2021, 1, 1), dt.date(2021, 1, 1), dt.date(2020, 3, 1), dt.date(2020, 1, 1), dt.date(2024, 5, 1), None
     ]
+
+
+def test_character_references(col):
+    read = lambda x: col(text.unescape(F.lit(x)))
+    assert read("caf&#233; &#x1F642;&#X41;&amp;#65; &lt;b&gt;") == "café 🙂A&#65; <b>"
+    assert read("&#0; &#xD800; &#99999999; &#; &#x110000;") == "&#0; &#xD800; &#99999999; &#; &#x110000;"
+    assert read("plain") == "plain" and col(text.unescape(F.lit(None).cast("string"))) is None
