@@ -95,7 +95,7 @@ def resume_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("resume_id", "experience_years", *[F.array_join(c, ", ").alias(c) for c in ("clearance_terms", "titles", "skills", "tools")])
 
 
-@query("SELECT s_suppkey AS resume_id, 1 AS n, 'Data Engineer' AS title, '' AS company, (2001 + s_suppkey % 9) || '-01-01' AS start_date, (2003 + s_suppkey % 9) || '-01-01' AS end_date, false AS is_current FROM supplier")
+@query("SELECT s_suppkey AS resume_id, 1::BIGINT AS n, 'Data Engineer' AS title, '' AS company, (2001 + s_suppkey % 9) || '-01-01' AS start_date, (2003 + s_suppkey % 9) || '-01-01' AS end_date, false AS is_current FROM supplier")
 def resume_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experience without an entry that names a title or company: spans and titles are paired."""
     texts = table(spark, sf_dir, "supplier").select(
