@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentweave.llm import ann, bpe, chat, digest, html, mixing, quality, simhash, substrings, transducer
+from talentweave.llm import ann, bpe, chat, digest, divergence, html, interaction, lines, mixing, quality, simhash, substrings, transducer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.without_repeated_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Windows as rows: fine for small tables.
 _REPEATS = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -105,11 +118,56 @@ SELECT doc_id, size, source_size, target, least(passes * size + CASE WHEN bound
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
+#: Every term of every pair of sources, by the formula.
+_DIVERGENCE = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, lang, source, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+  lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS of_all FROM w GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(of_all)::HUGEINT AS whole FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (total + v) AS p, 1 + 1000000000::HUGEINT * (of_all + 1) // (whole + v) AS q
+  FROM s JOIN k ON s.lang = k.lang JOIN v ON s.lang = v.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+  coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y ON x.term = y.term AND x.lang = y.lang WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+#: Each order walked through for each mask.
+_INTERACTION = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text),
+  regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails FROM w),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+l AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT [a.x, b.x, c.x, e.x, g.x] AS o FROM l a, l b, l c, l e, l g WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+t AS (SELECT part, o, s.x AS step, n, good, toxic, fails[o[s.x]] AS failing, len(list_filter(o[1:s.x - 1], lambda i: fails[i])) > 0 AS gone,
+  len(list_filter(fails, lambda y: y)) AS many FROM m, o, l s),
+r AS (SELECT part, list_aggregate(list_transform(o, lambda i: substr('ABCDE', i, 1)), 'string_agg', '') AS filter_order, step, sum(n) FILTER (NOT failing AND NOT gone) AS kept,
+  sum(n) FILTER (failing AND NOT gone) AS removed, sum(n) FILTER (failing AND gone) AS redundant, sum(n) FILTER (failing AND many = 1) AS unique_fails,
+  sum(good) FILTER (failing AND NOT gone) AS good_lost, sum(toxic) FILTER (failing AND NOT gone) AS toxic_lost FROM t GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0)::BIGINT AS shapley FROM r
+"""
+_LINES = r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM s, unnest(range(1, len(l) + 1)) AS g(i)),
+c AS (SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT l.*, coalesce(l.doc_id <> first, false) AS dropped FROM l LEFT JOIN c ON l.k = c.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_nearest, op4_quality, op5_chat, op6_digest, op7_bpe, op8_mix, op9_counts, op10_html)}
+    return {f.__name__: f for f in (op1_simhash, op2_repeats, op3_nearest, op4_quality, op5_chat, op6_digest, op7_bpe, op8_mix, op9_counts, op10_html, op11_divergence, op12_interaction, op13_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others rest on 64-bit xxHash, trained models, token merges or bit estimates, and are tested by brute force."""
-    return {"op2_repeats": _REPEATS, "op5_chat": _CHAT, "op8_mix": _MIX, "op10_html": _PAGES}
+    return {"op2_repeats": _REPEATS, "op5_chat": _CHAT, "op8_mix": _MIX, "op10_html": _PAGES, "op11_divergence": _DIVERGENCE, "op12_interaction": _INTERACTION, "op13_lines": _LINES}
