@@ -6,14 +6,21 @@ A lexicon is a table (canonical, alias, category, ord).
 from __future__ import annotations
 
 import re
+import uuid
 
+import ahocorasick
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentweave.functions.text import distinct_sorted, fold, let, squeeze
 
-#: Up to so many aliases become one column expression; larger lexicons are joined.
+#: Up to so many aliases become one column expression.
 INLINE_ALIASES = 200
+#: Larger lexicons of up to so many letters (all aliases and terms) become an automaton, of which each worker holds one
+#: (some 60 bytes a letter at most); those beyond are joined.
+AUTOMATON_LETTERS = 4 << 20
 # Short tokens that count in comparisons of skills, and rewritings before them.
 SHORT_TOKENS = ("c#", "c++", "ci", "ai", "ml", "ui", "ux")
 REWRITTEN = (("c plus plus", "c++"), ("c sharp", "c#"))
@@ -41,21 +48,59 @@ def terms_column(text: Column, lexicon: dict[str, list[str]]) -> Column:
     return let(fold(squeeze(text)), lambda folded: terms_of(folded, lexicon))
 
 
-def annotate_terms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "terms", key: str = "id") -> DataFrame:
-    """``df`` with a column of the sorted canonical terms in ``text``; null and empty texts have none.
-
-    A lexicon of at most INLINE_ALIASES aliases (its size is looked at first) is one narrow expression.  A larger
-    one is joined to the runs of one to several tokens of each text; ``key`` then names the rows.
+# The automaton of the lexicon that this worker used last: (its name, the automaton, terms by number, and their folded forms by number).
+_COMPILED: list[tuple[str, ahocorasick.Automaton, list[str], list[int]]] = []
+_BESIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _compiled(name: str, lexicon: Broadcast) -> tuple[str, ahocorasick.Automaton, list[str], list[int]]:
+    """Aliases as a trie with failure links, whose ends hold (length, numbers of terms)."""
+    if not _COMPILED or _COMPILED[0][0] != name:
+        order = sorted({(folded, term) for _, term, folded in lexicon.value})
+        number = {pair: i for i, pair in enumerate(order)}
+        by_alias: dict[str, list[int]] = {}
+        for alias, term, folded in lexicon.value:
+            by_alias.setdefault(alias, []).append(number[folded, term])
+        machine = ahocorasick.Automaton()
+        for alias, numbers in by_alias.items():
+            machine.add_word(alias, (len(alias), tuple(numbers)))
+        machine.make_automaton()
+        forms = {folded: i for i, folded in enumerate(dict.fromkeys(folded for folded, _ in order))}
+        _COMPILED[:] = [(name, machine, [term for _, term in order], [forms[folded] for folded, _ in order])]
+    return _COMPILED[0]
+
+
+def found_terms(text: str, machine: ahocorasick.Automaton, terms: list[str], forms: list[int]) -> list[str]:
+    """Terms of all aliases that stand in the text without a letter or digit beside, in order; of equal folded forms the first."""
+    numbers: set[int] = set()
+    for end, (size, hit) in machine.iter(text):
+        before, after = end - size, end + 1
+        if (before < 0 or text[before] not in _BESIDE) and (after == len(text) or text[after] not in _BESIDE):
+            numbers.update(hit)
+    by_form: dict[int, str] = {}
+    for i in sorted(numbers):
+        by_form.setdefault(forms[i], terms[i])
+    return list(by_form.values())
+
+
+def terms_by_automaton(folded: Column, lexicon: Broadcast) -> Column:
+    """Sorted terms of a broadcast lexicon, rows (folded alias, term, folded term), in texts that are folded and squeezed.
+
+    Each text is walked once, whatever the number of aliases; a worker compiles the lexicon once.
     """
-    few = lexicon.select("canonical", "alias").where("trim(alias) <> ''").limit(INLINE_ALIASES + 1).collect()
-    if len(few) <= INLINE_ALIASES:
-        table: dict[str, list[str]] = {}
-        for row in few:
-            table.setdefault(row["canonical"], []).append(row["alias"])
-        # a column of its own is computed once a row, and the patterns stay in generated code
-        return df.withColumn("_folded", fold(squeeze(F.col(text)))).withColumn(out, terms_of(F.col("_folded"), table)).drop("_folded")
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        _, machine, terms, forms = _compiled(name, lexicon)
+        return texts.map(lambda t: found_terms(t, machine, terms, forms))
+
+    return find(folded)
+
+
+def _joined(df: DataFrame, text: str, names: DataFrame, out: str, key: str) -> DataFrame:
+    """Terms by joining the aliases to the runs of one to several tokens of each text."""
     piece = "( ?(?:[a-z0-9]+|[^a-z0-9 ]))"
-    names = lexicon.select("canonical", fold(squeeze(F.col("alias"))).alias("alias")).where("alias <> ''").distinct()
     longest = names.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(piece), 1)))).first()[0]
     tokens = df.select(key, F.regexp_extract_all(fold(squeeze(F.col(text))), F.lit(piece), 1).alias("t"))
     # no letter or digit stands beside a run: where its own first or last sign is none, the neighbour decides
@@ -67,10 +112,34 @@ def annotate_terms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "ter
             F.array_distinct(F.expr(f"flatten(transform({begins}, i -> transform({ends}, n -> ltrim(array_join(slice(t, i, n), '')))))"))
         ).alias("alias")
     )
-    found = runs.hint("merge").join(names.hint("merge"), "alias").groupBy(key).agg(distinct_sorted(F.collect_set("canonical")).alias(out))
+    found = runs.hint("merge").join(names.hint("merge"), "alias").groupBy(key).agg(distinct_sorted(F.array_sort(F.collect_set("canonical"))).alias(out))
     return df.hint("merge").join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
+def annotate_terms(df: DataFrame, text: str, lexicon: DataFrame, out: str = "terms", key: str = "id") -> DataFrame:
+    """``df`` with a column of the sorted canonical terms in ``text``; null and empty texts have none.
+
+    The lexicon's size is looked at first.  One of at most INLINE_ALIASES aliases is one narrow expression; one of at
+    most AUTOMATON_LETTERS letters an automaton that walks each text once and moves no rows; a larger one is joined to
+    the runs of one to several tokens of each text, and ``key`` then names the rows.
+    """
+    term = squeeze(F.col("canonical"))
+    names = lexicon.select(fold(squeeze(F.col("alias"))).alias("alias"), term.alias("canonical"), fold(term).alias("form"))
+    names = names.where("alias <> '' and canonical <> ''").distinct()
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("alias") + F.length("canonical")), F.lit(0)).alias("letters")).first()
+    if size["n"] > INLINE_ALIASES and size["letters"] > AUTOMATON_LETTERS:
+        return _joined(df, text, names.select("canonical", "alias"), out, key)
+    # a column of its own is computed once a row, and the patterns stay in generated code
+    df = df.withColumn("_folded", fold(squeeze(F.col(text))))
+    held = [tuple(row) for row in names.collect()]  # at most INLINE_ALIASES rows or AUTOMATON_LETTERS letters
+    if len(held) > INLINE_ALIASES:
+        return df.withColumn(out, terms_by_automaton(F.col("_folded"), df.sparkSession.sparkContext.broadcast(held))).drop("_folded")
+    table: dict[str, list[str]] = {}
+    for alias, canonical, _ in sorted(held):
+        table.setdefault(canonical, []).append(alias)
+    return df.withColumn(out, terms_of(F.col("_folded"), table)).drop("_folded")
+
+
 def in_categories(terms: Column, lexicon: dict[str, str], categories: tuple[str, ...]) -> Column:
     """The terms whose category is one of the given."""
     chosen = sorted(name for name, c in lexicon.items() if c in categories)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions import urls
 from talentweave.functions.dates import iso
+from talentweave.functions.text import fold, squeeze
 from talentweave.operators import annotate, extract, filters, matching, reports, sync, terms
 from talentweave.plans import derived as d
 from talentweave.plans.derived import table
@@ -300,6 +301,26 @@ def doc_terms_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.annotate_terms(rows, "text", lexicon, key="doc_id").select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
+@query(r"""WITH f AS (SELECT item_id AS id, regexp_extract_all(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'), '[a-z0-9]+|[^a-z0-9]') AS w, 'x' AS t FROM benchmark
+  UNION ALL SELECT doc_id, regexp_extract_all(replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), 'ß', 'ss'), '[a-z0-9]+|[^a-z0-9]'), 'd' FROM documents),
+p AS (SELECT id, t, w[i] AS a, w[i + 2] AS b FROM f, unnest(range(1, len(w) - 1)) AS g(i) WHERE w[i + 1] = ' ' AND regexp_matches(w[i], '[a-z0-9]') AND regexp_matches(w[i + 2], '[a-z0-9]')),
+l AS (SELECT DISTINCT a, b FROM p WHERE t = 'x'),
+h AS (SELECT DISTINCT p.id, l.a FROM p JOIN l ON p.a = l.a AND p.b = l.b WHERE t = 'd'),
+s AS (SELECT id, count(*) AS n, string_agg(a, ',' ORDER BY a) AS terms FROM h GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_terms, coalesce(terms, '') AS terms FROM documents LEFT JOIN s ON doc_id = id""")
+def doc_terms_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon that grows with the tables: all pairs of words of the benchmark's texts, names of parts, numbers of orders."""
+    words = F.regexp_extract_all(fold(squeeze(F.col("text"))), F.lit("[a-z0-9]+|[^a-z0-9]"), F.lit(0))
+    pairs = table(spark, sf_dir, "benchmark").select(words.alias("w")).select(
+        F.explode(F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> struct(get(w, i - 1) AS a, get(w, i) AS gap, get(w, i + 1) AS b))")).alias("p")
+    ).where("p.gap = ' ' and p.a rlike '[a-z0-9]' and p.b rlike '[a-z0-9]'")
+    lexicon = pairs.select(F.col("p.a").alias("canonical"), F.concat_ws(" ", "p.a", "p.b").alias("alias"))
+    for name, column in (("part", F.concat(F.lit("Part of the name "), "p_name")), ("orders", F.concat(F.lit("order no. "), "o_orderkey"))):
+        lexicon = lexicon.unionByName(table(spark, sf_dir, name).select(column.alias("canonical"), column.alias("alias")))
+    rows = terms.annotate_terms(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", lexicon, key="doc_id")
+    return rows.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.array_join("terms", ",").alias("terms"))
+
+
 @query("SELECT DISTINCT l || k AS \"left\", r || k AS \"right\" FROM (SELECT 'nr' || (1000 + s_suppkey) AS k, unnest(['Python ', 'Amazon Web Services ', 'machine learning ']) AS l, unnest(['python ', 'AWS ', 'machine learning models ']) AS r FROM supplier)")
 def skill_pairs_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names alike by folding, by a lexicon's aliases, and by their words; others are not paired."""

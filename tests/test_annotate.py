@@ -50,13 +50,39 @@ LEXICON = [
 SCHEMA = "canonical string, alias string, category string, ord int"
 
 
-def test_terms_small_and_large_lexicon(spark, monkeypatch):
-    lexicon = spark.createDataFrame(LEXICON, SCHEMA)
-    rows = spark.createDataFrame([(1, "Azure Active\nDirectory and C++."), (2, "azured xc++"), (3, None), (4, "c++")], "id long, text string")
-    small = {r.id: r.terms for r in terms.annotate_terms(rows, "text", lexicon).collect()}
+def test_terms_small_medium_and_large_lexicon(spark, monkeypatch):
+    lexicon = spark.createDataFrame([*LEXICON, ("Blank", " ", "x", 6), ("azure", "AZURE", "cloud", 7), ("Street", "Straße", "x", 8)], SCHEMA)
+    rows = spark.createDataFrame([(1, "Azure Active\nDirectory and C++."), (2, "azured xc++"), (3, None), (4, "c++"), (5, ""), (6, "\U0001f600 strasse\U0001f600c++")], "id long, text string")
+
+    def found():
+        return {r.id: r.terms for r in terms.annotate_terms(rows, "text", lexicon).collect()}
+
+    want = {1: ["Azure", "Azure AD", "C++", "Entra"], 2: [], 3: [], 4: ["C++"], 5: [], 6: ["C++", "Street"]}
+    assert found() == want
     monkeypatch.setattr(terms, "INLINE_ALIASES", 2)
-    large = {r.id: r.terms for r in terms.annotate_terms(rows, "text", lexicon).collect()}
-    assert small == large == {1: ["Azure", "Azure AD", "C++", "Entra"], 2: [], 3: [], 4: ["C++"]}
+    assert found() == want
+    monkeypatch.setattr(terms, "AUTOMATON_LETTERS", 2)
+    assert found() == want
+
+
+def test_terms_of_100_000_aliases_as_joined_and_without_an_exchange(spark, monkeypatch):
+    many = spark.range(100_000).select(
+        F.concat(F.lit("Term "), F.col("id") % 5000).alias("canonical"), F.concat(F.lit("t"), F.col("id") % 1000, F.lit("-x "), F.col("id")).alias("alias")
+    )
+    text = F.concat_ws(" ", *[F.concat(F.lit("T"), (F.col("id") * k) % 1000, F.lit("-X  "), (F.col("id") * k) % 3000 + 100 * k, F.lit(",")) for k in range(1, 9)])
+    rows = spark.range(500).select("id", text.alias("text"))
+    walked = terms.annotate_terms(rows, "text", many)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "Generate" not in plan
+    got = {r.id: r.terms for r in walked.collect()}
+    monkeypatch.setattr(terms, "AUTOMATON_LETTERS", 0)
+    assert got == {r.id: r.terms for r in terms.annotate_terms(rows, "text", many).collect()}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_empty_lexicon(spark):
+    rows = spark.createDataFrame([(1, "a b")], "id long, text string")
+    assert terms.annotate_terms(rows, "text", spark.createDataFrame([], SCHEMA)).collect()[0].terms == []
 
 
 def test_skill_pairs(spark):
