@@ -15,7 +15,8 @@ from talentweave.plans import derived as d
 from talentweave.plans.derived import table
 from talentweave.plans.registry import AS_OF, QUERIES, SQL, query
 from talentweave.sources.shared import shared_path
-from talentweave.sources.sinks import flat, read_current
+from talentweave.sources.sinks import flat
+from talentweave.sources.snapshots import manifest, publish_sources, read_current
 from talentweave.streaming import flows
 
 # ---- pages -------------------------------------------------------------------------------------------------
@@ -554,6 +555,26 @@ def sync_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "external_id", "active", "first_seen_at", "last_seen_at", "last_updated_at", "content_hash")
 
 
+@query(f"""WITH {d.SNAPSHOTS_SQL}, n AS (SELECT source_id, external_id, 1 AS v FROM old UNION SELECT source_id, external_id, 2 FROM new WHERE source_id IN (1, 3) UNION SELECT source_id, external_id, 3 FROM new WHERE source_id IN (3, 5))
+SELECT source_id, CASE source_id WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 3 ELSE 1 END AS version, count(DISTINCT external_id) AS n FROM n GROUP BY source_id""")
+def snapshot_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, of all sources, of two and of two: the version that holds each source, and its rows."""
+    root, new = shared_path(spark, "snapshots"), d.new_snapshot(spark, sf_dir).drop("active")
+    then = F.lit(None).cast("timestamp")
+    old = d.old_snapshot(spark, sf_dir).drop("active")
+    empty = old.where("false").withColumns(
+        {
+            "active": F.lit(True), "first_seen_at": then, "last_seen_at": then, "last_updated_at": then,
+            "application_status": F.lit("x"), "application_confirmation_needed": F.lit(False)
+        }
+    )
+    for version, batch in enumerate((old, new.where("source_id in (1, 3)"), new.where("source_id in (3, 5)")), 1):
+        publish_sources(spark, root, version, batch, lambda stored, sent: sync.publish(stored, sent, AS_OF), empty)
+    rows = read_current(spark, root).groupBy("source_id").agg(F.count("*").alias("n"))
+    held = manifest(spark, root, 3).select(F.col("part").cast("long").alias("source_id"), "version", F.col("n").alias("listed"))
+    return rows.hint("merge").join(held, "source_id").where("n = listed").select("source_id", F.col("version").cast("int").alias("version"), "n")
+
+
 _LAYOUT = [
     ("page", "detail", "title", 0, "h1"), ("page", "card", "container", 0, "li"), ("page", "card", "text", 0, "a"),
     ("page", "card", "href", 0, "a@href")

@@ -1,8 +1,8 @@
-"""Exports of ranked matches, snapshot versions, scan logs."""
+"""Exports of ranked matches, scan logs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentweave.functions.dates import iso
@@ -50,26 +50,6 @@ def write_csv(matches: DataFrame, path: str) -> None:
     flat(matches).write.mode("overwrite").option("header", True).csv(path)
 
 
-def publish_version(rows: DataFrame, root: str, version: int) -> None:
-    """A snapshot as its own version, then the pointer to it; the same version again writes the same files."""
-    rows.write.mode("overwrite").parquet(f"{root}/version={version}")
-    rows.sparkSession.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{root}/_current")
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
-    try:
-        return spark.read.parquet(f"{root}/_current").first()["version"]
-    except Exception as e:  # only a missing pointer means that nothing is published yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    version = current_version(spark, root)
-    return None if version is None else spark.read.parquet(f"{root}/version={version}")
-
-
 def begin_scans(sources: DataFrame, started) -> DataFrame:
     """Scan log rows of a run that begins: one a source (column ``id``), running, with an id that a rerun gives again."""
     number = F.xxhash64(F.col("id"), F.lit(started))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talentweave.operators.state import SETTLED, normal_state
 from talentweave.operators.sync import publish
-from talentweave.sources.sinks import current_version, publish_version, read_current
+from talentweave.sources.snapshots import publish_sources
 
 STATE = "posting_id long, status string, confirmation_needed boolean, pending_since timestamp"
 
@@ -64,21 +64,26 @@ def capture_counts(captures: DataFrame, late: str = "2 hours") -> DataFrame:
     ).agg(F.count("*").alias("n"))
 
 
+def once(captures: DataFrame, keys: tuple[str, ...] = ("source_id", "external_id", "content_hash"), at: str = "captured_at", late: str = "1 day") -> DataFrame:
+    """Captures without those that came before within the watermark, in this micro-batch or an earlier one.
+
+    A capture without a time counts as made when its micro-batch began.  State is dropped as the watermark passes.
+    """
+    timed = captures.withColumn(at, F.coalesce(at, F.current_timestamp())).withWatermark(at, late)
+    return timed.dropDuplicatesWithinWatermark(list(keys))
+
+
 def merge_batches(
     prepare: Callable[[DataFrame], DataFrame], root: str, empty: DataFrame, as_of: Callable[[int], dt.datetime]
 ) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each micro-batch is merged into the snapshot and published as version batch id + 1.
 
-    A batch that is replayed reads the version before its own, so it writes the same rows again.
+    Only sources that the batch holds are rewritten.  A batch that is replayed finds its version published, or writes
+    it anew on top of the version before.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = current_version(spark, root)
-        if version is not None and version > batch_id:
-            stored = spark.read.parquet(f"{root}/version={batch_id}") if batch_id else empty
-        else:
-            stored = read_current(spark, root) if version is not None else empty
-        publish_version(publish(stored, prepare(batch), as_of(batch_id), deactivate_missing=False), root, batch_id + 1)
+        update = lambda stored, incoming: publish(stored, incoming, as_of(batch_id), deactivate_missing=False)
+        publish_sources(batch.sparkSession, root, batch_id + 1, prepare(batch), update, empty)
 
     return merge

@@ -69,7 +69,7 @@ def test_terms_of_100_000_aliases_as_joined_and_without_an_exchange(spark, monke
     many = spark.range(100_000).select(
         F.concat(F.lit("Term "), F.col("id") % 5000).alias("canonical"), F.concat(F.lit("t"), F.col("id") % 1000, F.lit("-x "), F.col("id")).alias("alias")
     )
-    text = F.concat_ws(" ", *[F.concat(F.lit("T"), (F.col("id") * k) % 1000, F.lit("-X  "), (F.col("id") * k) % 3000 + 100 * k, F.lit(",")) for k in range(1, 9)])
+    text = F.concat_ws(" ", *[F.concat(F.lit("T"), (F.col("id") * k) % 1000, F.lit("-X  "), (F.col("id") * k) % 3000 + 1000 * k + k % 2, F.lit(",")) for k in range(1, 9)])
     rows = spark.range(500).select("id", text.alias("text"))
     walked = terms.annotate_terms(rows, "text", many)
     plan = walked._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from talentweave.operators import state, sync
 from talentweave.plans import derived
-from talentweave.sources import readers, sinks
+from talentweave.sources import readers, sinks, snapshots
 from talentweave.streaming import flows
 
 NOW = dt.datetime(2024, 5, 1)
@@ -54,14 +54,39 @@ def test_capture_stream_is_idempotent(spark, tmp_path):
 
     _capture(landed, 0, JOBS)
     run()
-    assert {r.external_id for r in sinks.read_current(spark, root).collect()} == {"k1", "k2"}
+    assert {r.external_id for r in snapshots.read_current(spark, root).collect()} == {"k1", "k2"}
     _capture(landed, 1, JOBS)
     run()
-    rows = sinks.read_current(spark, root).collect()
+    rows = snapshots.read_current(spark, root).collect()
     assert len(rows) == 2 and all(r.first_seen_at == NOW and r.last_updated_at == NOW for r in rows)
     merge(readers.captures(spark, str(landed / "b1.json")), 1)  # the same batch again
-    assert sinks.read_current(spark, root).count() == 2 and sinks.current_version(spark, root) == 2
-    assert sinks.current_version(spark, str(tmp_path / "none")) is None
+    assert snapshots.read_current(spark, root).count() == 2 and snapshots.current_version(spark, root) == 2
+    assert snapshots.current_version(spark, str(tmp_path / "none")) is None
+
+
+def test_repeated_captures_change_nothing(spark, tmp_path):
+    """The same captures in a later micro-batch are dropped before the merge: not even the time they were seen changes."""
+    landed, root = tmp_path / "in", str(tmp_path / "snap")
+    landed.mkdir()
+    merge = flows.merge_batches(lambda b: b.drop("captured_at"), root, spark.createDataFrame([], EMPTY), lambda i: NOW + dt.timedelta(days=i))
+
+    def run():
+        rows = readers.capture_rows(spark.readStream.schema(readers.CAPTURE).option("multiLine", True).json(str(landed)))
+        rows = rows.select(
+            "source_id", F.col("raw_id").alias("external_id"), "title", "url", F.sha2("title", 256).alias("content_hash"), F.lit(None).cast("timestamp").alias("captured_at")
+        )
+        q = flows.once(rows).writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {(r.external_id, r.last_seen_at, r.title) for r in snapshots.read_current(spark, root).collect()}
+
+    _capture(landed, 0, [*JOBS, JOBS[0]])
+    first = run()
+    assert len(first) == 2
+    _capture(landed, 1, JOBS)
+    assert run() == first
+    _capture(landed, 2, [JOBS[0] | {"title": "Chef"}])
+    later = run()
+    assert {x[2] for x in later} == {"Chef", "Clerk"} and len(later & first) == 1
 
 
 def test_state_stream_equals_batch(spark, tmp_path):
