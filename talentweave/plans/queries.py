@@ -15,6 +15,7 @@ from talentweave.plans import derived as d
 from talentweave.plans.derived import table
 from talentweave.plans.registry import AS_OF, QUERIES, SQL, query
 from talentweave.sources.shared import shared_path
+from talentweave.sources.buckets import bucketed_scratch
 from talentweave.sources.sinks import flat
 from talentweave.sources.snapshots import manifest, publish_sources, read_current
 from talentweave.streaming import flows
@@ -300,6 +301,12 @@ def sync_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.compare(d.old_snapshot(spark, sf_dir), d.new_snapshot(spark, sf_dir))
 
 
+@query(_sync_sql("deactivated"))
+def sync_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sync_full``, against a stored table in buckets, which the join reads where it lies."""
+    return sync.compare(bucketed_scratch(d.old_snapshot(spark, sf_dir)), d.new_snapshot(spark, sf_dir))
+
+
 @query(_sync_sql("kept"))
 def sync_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.compare(d.old_snapshot(spark, sf_dir), d.new_snapshot(spark, sf_dir), deactivate_missing=False)
