@@ -141,7 +141,7 @@ def pairs(profiles: DataFrame, postings: DataFrame) -> DataFrame:
     return met.withColumn("_p", F.explode("_ps")).select(*postings.columns, "_p.*")
 
 
-def _prepared(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None) -> tuple[DataFrame, DataFrame, Callable[[Column], Column]]:
+def prepared(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None) -> tuple[DataFrame, DataFrame, Callable[[Column], Column]]:
     """Profiles with the names they cover, postings with their weighted skills, and how a posting's name is looked up."""
     none = F.array().cast("array<string>")
     name: Callable[[Column], Column] = fold
@@ -178,11 +178,11 @@ def _scored(rows: DataFrame, name: Callable[[Column], Column], weights: dict[str
 def score_pairs(profiles: DataFrame, postings: DataFrame, skill_pairs: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Scores of all pairs.  ``skill_pairs`` (left: profile's, right: posting's) says which names are equivalent; without
     it equal folded names are."""
-    profiles, postings, name = _prepared(profiles, postings, skill_pairs)
+    profiles, postings, name = prepared(profiles, postings, skill_pairs)
     return _scored(pairs(profiles, postings), name, normalized_weights(weights))
 
 
-def _rows(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
+def vector_rows(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
     """Rows of a list column; zeros for vectors that are null or of another length."""
     column = vectors.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy()) * ~np.asarray(column.is_null())
@@ -193,7 +193,7 @@ def _rows(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norm > 0, norm, 1)
 
@@ -225,43 +225,25 @@ def _skill_shares(people: pa.Table, jobs: pa.Table) -> np.ndarray:
     return np.where((np.bincount(of, minlength=n) == 0)[:, None], blank[None], share)
 
 
-def candidates(
-    profiles: DataFrame, postings: DataFrame, k: int, weights: dict[str, float], order: tuple[str, ...], margin: float = 1e-9
-) -> DataFrame:
-    """(p_profile_id, id): for each profile and block of postings those that can be among the k best of all.
+def searched(left: DataFrame, right: DataFrame, k: int, weights: dict[str, float], order: tuple[str, ...], margin: float = 1e-9) -> DataFrame:
+    """(p_profile_id, id, score): of each block of postings the k best (and what is as good within ``margin``) of each profile.
 
-    A block of postings meets a block of profiles as matrices; every pair's score is worked out but only k (and
-    what is as good within ``margin``) stay.  Of postings that are alike in all that scores depend on only the
-    first k by ``order`` take part, so that copies can't crowd in.  ``profiles`` and ``postings`` are those of
-    ``_prepared``, with the posting's ``names`` and ``weights``.
+    A block of postings (``left``, by b and q) meets a block of profiles (``right``, by p_b and p_q) as matrices.  Of
+    postings that are alike in all that scores depend on only the first k by ``order`` take part, so that copies
+    can't crowd in.
     """
-    spark = profiles.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    asks = max(1, -(-profiles.count() // (8 * BLOCK)))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = postings.select(
-        *[F.col(c).alias(f"o_{c}") for c in order], "id", F.col("embedding").cast("array<double>").alias("e"),
-        F.col("experience_years").cast("double").alias("years"), "names", "weights", number("id", blocks).alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q")
-    )
-    right = profiles.select(
-        F.col("profile_id").alias("p_profile_id"), F.col("embedding").cast("array<double>").alias("p_e"),
-        F.col("experience_years").cast("double").alias("p_years"), F.col("covered").alias("p_covered"),
-        (F.size(F.coalesce("skills", F.array().cast("array<string>"))) > 0).alias("p_any"),
-        number("profile_id", asks).alias("p_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p_b")
-    )
     kinds = left.schema["id"].dataType, right.schema["p_profile_id"].dataType
     id_type, profile_type = (to_arrow_type(x) for x in kinds)
     orders = [f"o_{c}" for c in order]
 
     def search(jobs: pa.Table, people: pa.Table) -> pa.Table:
-        who, what = pa.array([], profile_type), pa.array([], id_type)
+        who, what, worth = pa.array([], profile_type), pa.array([], id_type), pa.array([], pa.float64())
         if jobs.num_rows and people.num_rows:
             ranked = jobs.select(orders).to_pandas().sort_values(orders, ascending=False, na_position="last", kind="stable").index.to_numpy()
             jobs = jobs.take(pa.array(ranked))
             sizes = [len(x) for col in (people.column("p_e"), jobs.column("e")) for x in col if x.is_valid]
             dim = max(sizes, default=0)
-            vectors = _rows(jobs.column("e"), dim)
+            vectors = vector_rows(jobs.column("e"), dim)
             kind = pd.DataFrame(
                 {
                     "u": [x.tobytes() for x in vectors], "n": jobs.column("names").to_pylist(),
@@ -272,7 +254,7 @@ def candidates(
             stay = np.flatnonzero(again < k)
             jobs = jobs.take(pa.array(stay))
             score = weights["embedding"] * np.clip(
-                _unit(vectors[stay]) @ _unit(_rows(people.column("p_e"), dim)).T, 0, 1
+                unit(vectors[stay]) @ unit(vector_rows(people.column("p_e"), dim)).T, 0, 1
             ) + weights["skill"] * _skill_shares(people, jobs)
             wanted, have = (
                 np.nan_to_num(t.column(c).to_numpy(zero_copy_only=False).astype(float)) for t,
@@ -284,13 +266,51 @@ def candidates(
             cut = np.partition(score, len(stay) - k, axis=0)[len(stay) - k] if len(stay) > k else score.min(0)
             rows, columns = np.nonzero(score >= cut[None] - margin)
             who, what = people.column("p_profile_id").take(pa.array(columns)), jobs.column("id").take(pa.array(rows))
-        return pa.table({"p_profile_id": who, "id": what})
+            worth = pa.array(score[rows, columns])
+        return pa.table({"p_profile_id": who, "id": what, "score": worth})
 
     return left.groupBy("b", "q").cogroup(right.groupBy("p_b", "p_q")).applyInArrow(
-        search, f"p_profile_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}"
+        search, f"p_profile_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double"
     )
 
 
+def search_rows(profiles: DataFrame, postings: DataFrame, order: tuple[str, ...], asks: int) -> tuple[DataFrame, DataFrame]:
+    """What ``searched`` needs of postings and of profiles (both ``prepared``), but for b and p_b: postings ``asks`` times."""
+    left = postings.select(
+        *[F.col(c).alias(f"o_{c}") for c in order], "id", F.col("embedding").cast("array<double>").alias("e"),
+        F.col("experience_years").cast("double").alias("years"), "names", "weights", *[c for c in ("b",) if c in postings.columns],
+        F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("q")
+    )
+    right = profiles.select(
+        F.col("profile_id").alias("p_profile_id"), F.col("embedding").cast("array<double>").alias("p_e"),
+        F.col("experience_years").cast("double").alias("p_years"), F.col("covered").alias("p_covered"),
+        (F.size(F.coalesce("skills", F.array().cast("array<string>"))) > 0).alias("p_any"), dealt_to(F.col("profile_id"), asks).alias("p_q")
+    )
+    return left, right
+
+
+def dealt_to(c: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+
+def candidates(profiles: DataFrame, postings: DataFrame, k: int, weights: dict[str, float], order: tuple[str, ...], margin: float = 1e-9) -> DataFrame:
+    """(p_profile_id, id, score): for each profile and block of postings those that can be among the k best of all.
+
+    Every posting's score is worked out.  ``profiles`` and ``postings`` are those of ``prepared``, with the posting's
+    ``names`` and ``weights``.
+    """
+    blocks = int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    asks = max(1, -(-profiles.count() // (8 * BLOCK)))
+    left, right = search_rows(profiles, postings.withColumn("b", dealt_to(F.col("id"), blocks)), order, asks)
+    right = right.withColumn("p_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return searched(left, right, k, weights, order, margin)
+
+
+def named(postings: DataFrame, name: Callable[[Column], Column]) -> DataFrame:
+    """Postings of ``prepared`` with the names that profiles may cover and their weights as columns."""
+    return postings.withColumns({"names": F.transform("_weighted", lambda x: name(x["skill"])), "weights": F.transform("_weighted", lambda x: x["w"])})
+
+
 def best_matches(
     profiles: DataFrame, postings: DataFrame, k: int = 20, skill_pairs: DataFrame | None = None,
     weights: dict[str, float] | None = None, order: tuple[str, ...] = ("last_seen_at", "id"), digits: int | None = None
@@ -301,14 +321,19 @@ def best_matches(
     ``digits`` scores are rounded before they are ranked.  Postings and profiles have one row an id.
     """
     w = normalized_weights(weights)
-    profiles, postings, name = _prepared(profiles, postings, skill_pairs)
-    given = postings.withColumns(
-        {"names": F.transform("_weighted", lambda x: name(x["skill"])), "weights": F.transform("_weighted", lambda x: x["w"])}
-    )
-    found = candidates(profiles, given, k, w, order, 1e-9 + (10.0**-digits if digits is not None else 0.0))
+    profiles, postings, name = prepared(profiles, postings, skill_pairs)
+    found = candidates(profiles, named(postings, name), k, w, order, 1e-9 + (10.0**-digits if digits is not None else 0.0))
+    return ranked_rows(profiles, postings, found, name, w, k, order, digits)
+
+
+def ranked_rows(
+    profiles: DataFrame, postings: DataFrame, found: DataFrame, name: Callable[[Column], Column], weights: dict[str, float], k: int,
+    order: tuple[str, ...], digits: int | None
+) -> DataFrame:
+    """The candidates ``found`` as rows, scored as columns and ranked."""
     own = profiles.select(*[F.col(c).alias(f"p_{c}") for c in profiles.columns])
-    rows = postings.hint("merge").join(found.hint("merge"), "id").join(own.hint("merge"), "p_profile_id")
-    scored = _scored(rows, name, w)
+    rows = postings.hint("merge").join(found.drop("score").hint("merge"), "id").join(own.hint("merge"), "p_profile_id")
+    scored = _scored(rows, name, weights)
     return top_k(scored if digits is None else scored.withColumn("score", F.round("score", digits)), k, order)
 
 

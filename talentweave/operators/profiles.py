@@ -120,10 +120,25 @@ def spans(texts: DataFrame, as_of: dt.date, key: str = "resume_id", text: str =
     return rows.where("start is not null and end >= start")
 
 
+def merged_spans(spans_: DataFrame, key: str = "resume_id") -> DataFrame:
+    """(key, first, last): what the spans of each key cover, in months since year 0; spans that meet or overlap are one.
+
+    Spans are combined by first month before they are moved, so a key has no more rows to put in order than months.
+    A running maximum of their ends tells where a gap begins.
+    """
+    month = lambda c: F.year(c) * 12 + F.month(c) - 1
+    rows = spans_.select(key, month(F.col("start")).alias("first"), month(F.col("end")).alias("last")).where("last >= first")
+    rows = rows.groupBy(key, "first").agg(F.max("last").alias("last"))
+    w = Window.partitionBy(key).orderBy("first")
+    rows = rows.withColumn("before", F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = F.when(F.col("before") + 1 >= F.col("first"), 0).otherwise(1)
+    rows = rows.withColumn("n", F.sum(gap).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "n").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("n")
+
+
 def months_covered(spans_: DataFrame, key: str = "resume_id") -> DataFrame:
-    """(key, months): distinct months of overlapping spans."""
-    rows = spans_.select(key, F.explode(F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))).alias("month"))
-    return rows.distinct().groupBy(key).agg(F.count("*").alias("months"))
+    """(key, months): months in at least one span."""
+    return merged_spans(spans_, key).groupBy(key).agg(F.sum(F.col("last") - F.col("first") + 1).cast("long").alias("months"))
 
 
 def experience_years(texts: DataFrame, as_of: dt.date) -> DataFrame:

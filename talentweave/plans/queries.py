@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talentweave.functions.text import EMAIL, excerpt, first_match, fold, squeeze, strip_html, text_hash
 from talentweave.functions.urls import TRACKING_KEYS, canonical_url
-from talentweave.operators import annotate, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
+from talentweave.operators import annotate, bounds, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
 from talentweave.plans import derived as d
 from talentweave.plans.derived import table
 from talentweave.plans.registry import AS_OF, QUERIES, SQL, query
@@ -420,6 +420,13 @@ def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("profile_id", "posting_id", "rank", *six)
 
 
+@query(f"WITH {d.RANK_SQL} SELECT profile_id, posting_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 20")
+def bounded_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``hybrid_rank``, without looking at blocks of postings that can't be among the best."""
+    ranked, _ = bounds.bounded_matches(d.vector_profiles(spark, sf_dir), d.vector_postings(spark, sf_dir), 20, order=("id",))
+    return ranked.select(F.col("p_profile_id").alias("profile_id"), F.col("id").alias("posting_id"), "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {d.RANK_SQL} SELECT posting_id FROM j WHERE posting_id NOT IN (SELECT posting_id FROM r WHERE rank <= 20)")
 def unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.unmatched(d.vector_postings(spark, sf_dir).select("id"), _ranked(spark, sf_dir)).withColumnRenamed("id", "posting_id")
