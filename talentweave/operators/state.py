@@ -18,25 +18,20 @@ def normal_state(c: Column) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """(posting_id, status, confirmation_needed, last_opened_at) after all events (posting_id, ts, seq, action).
+    """(posting_id, status, confirmation_needed, pending_since) after all events (posting_id, ts, seq, action).
 
     ``opened`` makes a posting pending unless it is applied or not of interest; any other action sets that state;
-    unknown actions do nothing.  Since a set state decides alone, the last set event and the openings after it are
-    enough: two aggregations that combine on the map side, no sorted list.
+    unknown actions do nothing.  A set state decides alone and only the last opening counts, so the last of each is
+    all that need be known: one aggregation that combines on the map side, in a stream as well as in a batch, and in
+    whatever order events come.
     """
     rows = events.withColumns({"at": F.struct("ts", "seq"), "set": normal_state(F.col("action"))}).where("set is not null or action = 'opened'")
-    last = rows.where("set is not null").groupBy("posting_id").agg(F.max_by("set", "at").alias("set"), F.max("at").alias("set_at"))
-    rows = rows.select("posting_id", "ts", "seq", "at", "set").withColumnRenamed("set", "own")
-    joined = rows.hint("merge").join(last, "posting_id", "left")
-    free = F.col("own").isNull() & (F.col("set_at").isNull() | ((F.col("at") > F.col("set_at")) & ~F.col("set").isin(*SETTLED)))
-    # openings before the last set event count for the time of the last opening if they made the posting pending then
-    folded = joined.groupBy("posting_id").agg(
-        F.first("set").alias("set"), F.first("set_at.ts").alias("set_ts"), F.max(F.when(free, F.col("ts"))).alias("opened")
-    )
-    pending = F.col("opened").isNotNull() | (F.col("set") == "pending")
-    status = F.when(pending, "pending").otherwise(F.col("set"))
-    opened = F.coalesce("opened", F.when(F.col("set") == "pending", F.col("set_ts")))
-    return folded.select(
-        "posting_id", status.alias("status"), F.coalesce(status == "pending", F.lit(False)).alias("confirmation_needed"),
-        opened.alias("pending_since")
+    is_set = F.col("set").isNotNull()
+    last = rows.groupBy("posting_id").agg(
+        F.max_by("set", F.when(is_set, F.col("at"))).alias("set"), F.max(F.when(is_set, F.col("at"))).alias("set_at"),
+        F.max(F.when(~is_set, F.col("at"))).alias("opened_at")
     )
+    free = F.col("opened_at").isNotNull() & (F.col("set").isNull() | ((F.col("opened_at") > F.col("set_at")) & ~F.col("set").isin(*SETTLED)))
+    status = F.when(free | (F.col("set") == "pending"), "pending").otherwise(F.col("set"))
+    since = F.when(free, F.col("opened_at.ts")).when(F.col("set") == "pending", F.col("set_at.ts"))
+    return last.select("posting_id", status.alias("status"), F.coalesce(status == "pending", F.lit(False)).alias("confirmation_needed"), since.alias("pending_since"))

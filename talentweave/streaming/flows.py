@@ -3,47 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from talentweave.operators.state import SETTLED, normal_state
+from talentweave.operators.state import fold_events
 from talentweave.operators.sync import publish
 from talentweave.sources.snapshots import publish_sources
 
-STATE = "posting_id long, status string, confirmation_needed boolean, pending_since timestamp"
-
 
 def application_states(events: DataFrame) -> DataFrame:
-    """A posting's state after each micro-batch, by the rules of ``fold_events``; events (posting_id, ts, seq, action).
+    """A posting's state after each micro-batch (update mode), as ``fold_events`` has it; events (posting_id, ts, seq, action).
 
-    Events of one micro-batch are put in order of (ts, seq); one that arrives after later ones were folded is applied
-    when it arrives, as in a log.
+    The state is two events a posting, the last that set a state and the last opening, whatever the number of events.
+    An event that arrives after later ones gives what it would have given in order, however late it is.
     """
-    rows = events.select("posting_id", "ts", "seq", "action", normal_state(F.col("action")).alias("set")).where("set is not null or action = 'opened'")
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, since = state.get if state.exists else (None, None)
-        held = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for ts, action, new in zip(held.ts, held.action, held["set"], strict=True):
-            if action == "opened":
-                if status not in SETTLED:
-                    status, since = "pending", ts.to_pydatetime()
-            else:
-                status = new
-                since = ts.to_pydatetime() if new == "pending" else None
-        state.update((status, since))
-        yield pd.DataFrame(
-            {
-                "posting_id": [key[0]], "status": [status], "confirmation_needed": [status == "pending"],
-                "pending_since": [pd.Timestamp(since) if since is not None else pd.NaT]
-            }
-        )
-
-    return rows.groupBy("posting_id").applyInPandasWithState(fold, STATE, "status string, since timestamp", "update", GroupStateTimeout.NoTimeout)
+    return fold_events(events)
 
 
 def progress_states(events: DataFrame) -> DataFrame:

@@ -100,10 +100,34 @@ def test_state_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = {r.posting_id: (r.status, r.confirmation_needed, r.pending_since) for r in state.fold_events(derived.app_events(events)).collect()}
     assert {r.posting_id for r in spark.table("states").collect()} == set(batch)
+    last = {r.posting_id: r for r in spark.table("states").collect()}  # as collected, in order of micro-batches
+    assert {k: (r.status, r.confirmation_needed, r.pending_since) for k, r in last.items()} == batch
     progress = flows.progress_states(derived.progress_events(events)).collect()
     assert sum(r.n_events for r in progress) == 120
 
 
+def test_late_events_give_what_they_would_have_given_in_order(spark, tmp_path):
+    schema = "posting_id long, ts timestamp, seq long, action string"
+    at = lambda m: NOW + dt.timedelta(minutes=m)
+    batches = [
+        [(1, at(10), 1, "opened"), (2, at(10), 2, "applied"), (3, at(30), 3, "opened"), (4, at(10), 4, "Not-Applied")],
+        [(1, at(5), 5, "applied"), (2, at(5), 6, "opened"), (3, at(20), 7, "not_applied"), (4, at(10), 8, "opened"), (5, at(1), 9, "what")],
+        [(1, at(20), 10, "not-applied"), (2, at(3), 11, "not_interested"), (3, at(1), 12, "opened"), (4, at(9), 13, "applied")],
+    ]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "e"))
+        write = lambda rows, n: rows.withColumn("n", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))
+        q = flows.application_states(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp"))
+        q.trigger(availableNow=True).start().awaitTermination()
+    got = {r.posting_id: (r.status, r.confirmation_needed, r.pending_since) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect()}
+    whole = state.fold_events(spark.createDataFrame([e for b in batches for e in b], schema)).collect()
+    assert got == {r.posting_id: (r.status, r.confirmation_needed, r.pending_since) for r in whole}
+    assert got == {
+        1: ("not_applied", False, None), 2: ("applied", False, None), 3: ("pending", True, at(30)), 4: ("pending", True, at(10))
+    }
+
+
 def test_readers_of_board_files(spark, tmp_path):
     (tmp_path / "board.json").write_text(
         json.dumps({"jobs": [{"id": "1", "title": "A", "absolute_url": "u", "content": "<p>x &amp; y</p>", "location": {"name": "Rome"}}]})
