@@ -11,7 +11,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import only, rows_by_text
+from talentweave.llm.common import only, rows_by_text, written
 
 #: What is stripped at the ends of a line: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -46,6 +46,7 @@ def without_repeated_lines(documents: DataFrame, chars: int = 10, least: int = 2
         F.min("doc_id").alias("first_id"), F.min("other").alias("first_other")
     ).where(F.col("n") >= least)
     first = F.when(F.col("first_id").isNull(), F.col("other") == F.col("first_other")).otherwise(F.col("doc_id").eqNullSafe(F.col("first_id")))
+    held = written(held, "held")  # of its own, so that both sides of the join have a plain exchange
     drops = lines.join(held.hint("merge"), ["h1", "h2"]).where(~first).groupBy("k1", "k2").agg(F.collect_set("pos").alias("drops"))
     rows = rows.join(drops.hint("merge"), ["k1", "k2"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     n = F.size("lines")
