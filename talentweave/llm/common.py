@@ -96,11 +96,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
     give_back()
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` of ``fn(batch, texts)`` over slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, most):
             yield fn(part, texts)
 
     return df.mapInArrow(run, schema)

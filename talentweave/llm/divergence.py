@@ -21,8 +21,9 @@ from talentweave.llm.common import concatenated, discard, give_back, map_slices,
 SCALE = 1_000_000_000
 #: A table of groups (lang, source) of at most so many rows is broadcast.
 BROADCAST_GROUPS = 10_000
-#: Pairs of sources held at once by a task, and rows of a skyband compared at once.
-PAIRS, BLOCK = 1 << 20, 1024
+#: Pairs of sources held at once by a task, rows of a skyband compared at once, and bytes of text counted at once: terms
+#: repeat, so larger slices send fewer rows.
+PAIRS, BLOCK, SLICE = 1 << 20, 1024, 2 << 20
 
 #: 1 for the bytes of terms: A-Z, a-z and all of other characters than ASCII; and A-Z lower-cased.
 _IN_TERM = np.zeros(256, bool)
@@ -56,7 +57,7 @@ def term_counts(documents: DataFrame) -> DataFrame:
             pa.array(np.bincount(at, n, len(key)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(key)).astype(np.int64)),
         ], names=["lang", "source", "term", "n", "docs"])
 
-    sliced = map_slices(documents.select("lang", "source", "text"), count, "lang string, source string, term string, n long, docs long")
+    sliced = map_slices(documents.select("lang", "source", "text"), count, "lang string, source string, term string, n long, docs long", most=SLICE)
     return sliced.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -80,36 +81,54 @@ class Skyband:
 
     def keep(self, of_all: np.ndarray, terms: np.ndarray) -> np.ndarray:
         """Which rows of the next block stay."""
-        before, own = _ordered(self.terms, terms)
+        stays = np.zeros(len(terms), bool)
+        before, own = (x.astype(np.int32) for x in _ordered(self.terms, terms))
         by = np.count_nonzero((self.of_all[None, :] <= of_all[:, None]) & (before[None, :] < own[:, None]), axis=1)
-        by += np.count_nonzero(np.tril((of_all[None, :] <= of_all[:, None]) & (own[None, :] < own[:, None]), -1), axis=1)
-        stays = by < self.k
-        self.of_all, self.terms = np.concatenate([self.of_all, of_all[stays]]), np.concatenate([self.terms, terms[stays]])
+        some = np.flatnonzero(by < self.k)
+        if len(some):
+            of_all, own = of_all[some], own[some]
+            within = np.tril((of_all[None, :] <= of_all[:, None]) & (own[None, :] < own[:, None]), -1)
+            some = some[by[some] + np.count_nonzero(within, axis=1) < self.k]
+            stays[some] = True
         return stays
 
+    def add(self, of_all: np.ndarray, terms: np.ndarray) -> None:
+        self.of_all, self.terms = np.concatenate([self.of_all, of_all]), np.concatenate([self.terms, terms])
+
 
 def skybands(rows: DataFrame, k: int) -> DataFrame:
     """The skyband of each group within each partition of (lang, source, term, n, of_all, p, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, band = None, Skyband(k)
+        cell, held = None, 0  # the last cell of equal counts of a group, and how many of its rows came
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                of_all = batch.column(4).to_numpy()
-                terms = np.array(batch.column(2).cast(pa.binary()).to_pylist(), object)
-                stays = np.zeros(len(names), bool)
-                begin = 0
-                while begin < len(names):
-                    end = begin + 1
-                    while end < len(names) and names[end] == names[begin]:
-                        end += 1
-                    if names[begin] != group:
-                        group, band = names[begin], Skyband(k)
-                    stays[begin:end] = band.keep(of_all[begin:end], terms[begin:end])
-                    begin = end
-                yield batch.filter(pa.array(stays))
+            if not whole.num_rows:
+                continue
+            names = pd.MultiIndex.from_arrays([whole.column(0).to_pylist(), whole.column(1).to_pylist()])
+            of_group, groups = pd.factorize(names)
+            cells = np.stack([of_group, whole.column(3).to_numpy(), whole.column(4).to_numpy()])
+            begins = np.flatnonzero(np.concatenate([[True], (cells[:, 1:] != cells[:, :-1]).any(axis=0)]))
+            sizes = np.diff(np.concatenate([begins, [whole.num_rows]]))
+            place = np.arange(whole.num_rows) - np.repeat(begins, sizes)
+            if cell == (*groups[0], cells[1, 0], cells[2, 0]):
+                place[: sizes[0]] += held
+            cell, held = (*groups[of_group[-1]], cells[1, -1], cells[2, -1]), int(place[-1]) + 1
+            # of rows with equal counts the first k by term alone can stay
+            first = np.flatnonzero(place < k)
+            batch, of_group = whole.take(pa.array(first)), of_group[first]
+            of_all = cells[2, first]
+            terms = np.array(batch.column(2).cast(pa.binary()).to_pylist(), object)
+            stays = np.zeros(len(first), bool)
+            for number in pd.unique(of_group):
+                begin, end = np.searchsorted(of_group, [number, number + 1])  # groups follow each other
+                if groups[number] != group:
+                    group, band = groups[number], Skyband(k)
+                for at in range(begin, end, BLOCK):
+                    part = slice(at, min(at + BLOCK, end))
+                    stays[part] = now = band.keep(of_all[part], terms[part])
+                    band.add(of_all[part][now], terms[part][now])
+            yield batch.filter(pa.array(stays))
 
     rows = rows.sortWithinPartitions("lang", "source", F.desc("n"), "of_all", "term")
     return rows.mapInArrow(run, rows.schema)
@@ -127,7 +146,7 @@ def shared_terms(terms: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(lang: list, no: np.ndarray, size: np.ndarray, p: np.ndarray, p0: np.ndarray) -> pa.RecordBatch:
+        def block(lang: np.ndarray, names: np.ndarray, no: np.ndarray, size: np.ndarray, p: np.ndarray, p0: np.ndarray) -> Iterator[pa.RecordBatch]:
             """``size``: the number of sources of each row's term, whose rows follow each other."""
             first = np.concatenate([[0], np.cumsum(size)])
             for begin in _cuts(np.repeat(size, size), PAIRS):
@@ -137,21 +156,30 @@ def shared_terms(terms: DataFrame) -> DataFrame:
                 ends = np.cumsum(size[term])
                 j = np.arange(len(i)) - np.repeat(ends - size[term], size[term]) + np.repeat(first[term], size[term])
                 value = above(p[i], p[j]) - above(p[i], p0[j]) - above(p0[i], p[j]) + above(p0[i], p0[j])
-                langs, names = pd.factorize(np.array(lang, object)[np.repeat(term, size[term])])
-                key = pd.MultiIndex.from_arrays([langs, no[i], no[j]])
-                code, unique = pd.factorize(key)
-                out = np.zeros(len(unique), np.int64)
-                np.add.at(out, code, value)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([names[x[0]] for x in unique], pa.string()), pa.array([x[1] for x in unique], pa.int64()),
-                    pa.array([x[2] for x in unique], pa.int64()), pa.array(out)
-                ], names=["lang", "a", "b", "value"])
+                wide = int(max(no[i].max(), no[j].max())) + 1
+                key = (np.repeat(lang[term], size[term]) * wide + no[i]) * wide + no[j]
+                if len(names) * wide * wide <= len(key):
+                    out = np.zeros(len(names) * wide * wide, np.int64)
+                    np.add.at(out, key, value)
+                    key = np.flatnonzero(out)
+                    out = out[key]
+                else:
+                    key, code = np.unique(key, return_inverse=True)
+                    out = np.zeros(len(key), np.int64)
+                    np.add.at(out, code, value)
+                head, b = np.divmod(key, wide)
+                of, a = np.divmod(head, wide)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[of], pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out)], names=["lang", "a", "b", "value"]
+                )
 
         for batch in batches:
             held = batch.column(1)
             size = np.diff(held.offsets.to_numpy()).astype(np.int64)
             flat = held.flatten()
-            yield from block(batch.column(0).to_pylist(), *(x if x is size else flat.field(x).to_numpy() for x in (0, size, 1, 2)))
+            lang, names = pd.factorize(np.array(batch.column(0).to_pylist(), object))
+            no, p, p0 = (flat.field(x).to_numpy() for x in range(3))
+            yield from block(lang, names, no, size, p, p0)
         give_back()
 
     out = terms.mapInArrow(run, "lang string, a long, b long, value long")
