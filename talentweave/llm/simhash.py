@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentweave.llm.common import discard, give_back, map_slices, mixed, only, rows_by_text, written
+from talentweave.llm.common import discard, give_back, map_slices, mixed, only, partitions, rows_by_text, written
 from talentweave.llm.components import components, local_forest
+from talentweave.llm.prefixes import candidates
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Further 64-bit words of a wide fingerprint come from the same shingle hashes, scrambled with these.
@@ -282,8 +283,24 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = 65536) -> DataFrame:
     return _tile_pairs(distinct, radius, tile, compare, "a long, b long")
 
 
-def proposals(distinct: DataFrame, similarity: float, thin: bool, tile: int = 131072, most: int = 1 << 21) -> DataFrame:
-    """(lo, hi, seq, nodes, a, b): blocks of pairs that may have the similarity, as places in the block's nodes.
+#: Pairs to confirm, in blocks: places in the block's nodes, as packed 32-bit numbers.
+_BLOCK = "lo int, hi int, seq int, nodes array<long>, a binary, b binary"
+
+
+def _packed(lo: int, hi: int, pairs: tuple[np.ndarray, ...], most: int, seq: int = 0) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, set sizes of a, set sizes of b) as blocks, numbered from ``seq`` on."""
+    order = np.lexsort((pairs[1], pairs[0]))
+    for nodes, a, b in _fitting(*[x[order] for x in pairs], most):
+        ids = [pa.array([x], pa.int32()) for x in (lo, hi, seq)]
+        yield pa.RecordBatch.from_arrays(
+            [*ids, pa.array([nodes], pa.list_(pa.int64())), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (a, b)]],
+            ["lo", "hi", "seq", "nodes", "a", "b"]
+        )
+        seq += 1
+
+
+def proposals(distinct: DataFrame, similarity: float, tile: int = 131072, most: int = 1 << 21) -> DataFrame:
+    """(lo, hi, seq, nodes, a, b): a spanning forest of the nearest pairs that may have the similarity, in blocks.
 
     A block's nodes have at most ``most`` shingles (or it is one pair), so that one task can hold their sets.
     """
@@ -291,17 +308,44 @@ def proposals(distinct: DataFrame, similarity: float, thin: bool, tile: int = 13
 
     def compare(lo: int, hi: int, held: dict[int, Tile]) -> Iterator[pa.RecordBatch]:
         seq = 0
-        for pairs in tile_proposals(held[lo], held[hi], radius, lo == hi, wide, similarity, thin):
-            order = np.lexsort((pairs[1], pairs[0]))
-            for nodes, a, b in _fitting(*[x[order] for x in pairs], most):
-                ids = [pa.array([x], pa.int32()) for x in (lo, hi, seq)]
-                yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array([nodes], pa.list_(pa.int64())), *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (a, b)]],
-                    ["lo", "hi", "seq", "nodes", "a", "b"]
-                )
+        for pairs in tile_proposals(held[lo], held[hi], radius, lo == hi, wide, similarity, True):
+            for block in _packed(lo, hi, pairs, most, seq):
+                yield block
                 seq += 1
 
-    return _tile_pairs(distinct, radius, tile, compare, "lo int, hi int, seq int, nodes array<long>, a binary, b binary")
+    return _tile_pairs(distinct, radius, tile, compare, _BLOCK)
+
+
+def partnered(distinct: DataFrame, similarity: float, tile: int = 131072) -> DataFrame:
+    """(node): fingerprints for which another group has one that may have the similarity.
+
+    A pair of tiles sends no more rows than the tiles have, whatever the number of pairs.
+    """
+    radius, wide = wide_radius(similarity, 64), wide_radius(similarity, 256)
+
+    def compare(lo: int, hi: int, held: dict[int, Tile]) -> Iterator[pa.RecordBatch]:
+        seen, new, count = np.zeros(0, np.int64), [], 0
+        for p, q, _, _ in tile_proposals(held[lo], held[hi], radius, lo == hi, wide, similarity, False):
+            new += [np.unique(p), np.unique(q)]
+            count += len(new[-1]) + len(new[-2])
+            if count > 1 << 20:
+                seen, new, count = np.unique(np.concatenate([seen, *new])), [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([seen, *new])))], ["node"])
+
+    return _tile_pairs(distinct, radius, tile, compare, "node long").distinct()
+
+
+def in_blocks(pairs: DataFrame, size: int = 1 << 16, most: int = 1 << 21) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) as blocks for ``confirmed``; those of one a go to at most 16 of them.  ``pairs`` is a table."""
+    parts = max(partitions(pairs.sparkSession), -(-pairs.count() // size))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        yield from _packed(key[0].as_py(), 0, tuple(table.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b")), most)
+
+    place = F.pmod(F.xxhash64("a", F.pmod("b", F.lit(16))), F.lit(parts)).cast("int")  # a's pairs mostly meet its set once
+    dealt = pairs.select(place.alias("lo"), "a", "b", "n_a", "n_b")
+    return dealt.groupBy("lo").applyInArrow(run, _BLOCK)
 
 
 def jaccard_at_least(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -403,18 +447,22 @@ def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[Da
     fps = written(map_slices(keyed, run, "doc_id long, k1 long, k2 long, node long, fp long, w1 long, w2 long, w3 long, n long"), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("best")
     classes = written(fps.groupBy(*_CLASS).agg(best), "classes")
-    blocks = written(proposals(classes.withColumn("label", F.col("node")), similarity, True), "nearest-pairs")
-    near = written(confirmed(blocks, _sets(docs, blocks, classes, words), similarity), "confirmed")
+    blocks = written(proposals(classes.withColumn("label", F.col("node")), similarity), "nearest-pairs")
+    asked = blocks.select(F.explode("nodes").alias("node")).distinct()
+    near = written(confirmed(blocks, _sets(docs, asked, classes, words), similarity), "confirmed")
     grouped = classes.hint("merge").join(components(near), "node", "left").withColumn("label", F.coalesce("component", "node"))
     grouped = written(grouped.select(*_CLASS, "label"), "grouped")
-    more = written(proposals(grouped, similarity, False), "pairs")
-    also = written(confirmed(more, _sets(docs, more, classes, words), similarity), "confirmed")
+    nodes = written(partnered(grouped, similarity), "partnered")
+    sets = _sets(docs, nodes, classes, words)
+    pairs = candidates(sets, grouped, similarity)
+    more = written(in_blocks(pairs), "pairs")
+    also = written(confirmed(more, sets, similarity), "confirmed")
     of = components(near.unionByName(also))
     joined = written(
         classes.hint("merge").join(of, "node", "left").select("node", "best", F.coalesce("component", "node").alias("component")),
         "class-components"
     )
-    discard(classes, blocks, near, grouped, more, also)
+    discard(classes, blocks, near, grouped, nodes, pairs, more, also)
     return fps, joined
 
 
@@ -425,8 +473,9 @@ def similar(documents: DataFrame, words: int = 5, similarity: float = 0.8, key:
     pairs of classes: pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits,
     so that pairs at the given similarity are proposed with a probability of over 0.98 (less for sets of a few
     shingles).  Every link is a pair whose sets were compared.  First a spanning forest of the nearest pairs is
-    compared; then all pairs between the groups found so, as the others can't change the groups.  Null and blank
-    texts are equal; null keys count for no component's id; an empty table gives no rows.
+    compared.  Of pairs between the groups found so (the others can't change the groups) only the texts are noted
+    that stand in one; ``prefixes`` then finds among these all pairs that can have the similarity, by their rarest
+    shingles, so that texts of one template which stay below it don't meet.  Null and blank texts are equal; null keys count for no component's id; an empty table gives no rows.
     """
     fps, joined = _similar_classes(only(documents, key, text).toDF("doc_id", "text"), words, similarity)
     least = written(joined.groupBy("component").agg(F.min("best.doc_id").alias("component_id")), "least")
@@ -475,9 +524,8 @@ def _node_ids(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
 
 
-def _sets(docs: DataFrame, blocks: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the sets of the classes that stand in a block, from the texts that represent them."""
-    nodes = blocks.select(F.explode("nodes").alias("node")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the sets of the classes named, from the texts that represent them."""
     wanted = written(classes.select("node", "best.k1", "best.k2").hint("merge").join(nodes.hint("merge"), "node", "left_semi"), "wanted")
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from talentweave.llm import common, simhash, substrings
+from talentweave.llm import common, prefixes, simhash, substrings
 from talentweave.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -189,6 +189,44 @@ def test_similar_links_only_confirmed_pairs(spark):
     assert sum(got[i] != label[i] for i in range(len(texts))) <= 0.02 * len(texts)
 
 
+def _nodes(spark, sets, labels):
+    packed = [(i, np.array(sorted(x), np.int64).tobytes()) for i, x in enumerate(sets)]
+    held = spark.createDataFrame(packed, "node long, shingles binary").repartition(3)
+    return held, spark.createDataFrame([(i, len(x), labels[i]) for i, x in enumerate(sets)], "node long, n long, label long")
+
+
+def test_candidates_hold_all_pairs_of_the_similarity(spark):
+    r, sets = random.Random(4), []
+    for _ in range(30):
+        base = [r.randrange(10**9) for _ in range(r.choice([1, 4, 5, 30, 100]))] + r.sample(range(300), r.choice([0, 2, 40]))
+        sets.append(set(base))
+        for _ in range(6):
+            share = r.choice([0.02, 0.08, 0.1, 0.12, 0.2])
+            sets.append({x if r.random() > share else r.randrange(10**9) for x in base} | {r.randrange(10**9) for _ in range(r.choice([0, 0, 3, 10]))})
+    labels = [i if i % 5 else i - i % 10 for i in range(len(sets))]
+    for similarity in (0.8, 0.5):
+        got = {frozenset(x) for x in prefixes.candidates(*_nodes(spark, sets, labels), similarity).select("a", "b").collect()}
+        want = {
+            frozenset((i, j)) for i in range(len(sets)) for j in range(i) if labels[i] != labels[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])
+        }
+        assert want <= got and len(want) > 50
+
+
+def test_pages_of_one_template_below_the_similarity_do_not_meet(spark):
+    """Pairs of 0.7 to 0.79: their number of candidates must not grow with the square of the pages."""
+    r = np.random.default_rng(2)
+    for pages in (500, 2000):
+        sets = []
+        for i in range(pages):
+            own = int(r.integers(120, 170))  # of 1,000: a similarity of 0.7 to 0.79
+            sets.append(set(range(1000 - own)) | set(range(10**6 * (i + 1), 10**6 * (i + 1) + own)))
+        assert prefixes.candidates(*_nodes(spark, sets, list(range(pages))), 0.8).count() <= 2 * pages
+    text = lambda k: " ".join([f"menu{i}" for i in range(260)] + [f"p{k}w{i}" for i in range(45)])
+    rows = spark.createDataFrame([(k, text(k)) for k in range(600)] + [(600, text(5) + " more")], "doc_id long, text string").repartition(4)
+    got = dict(simhash.similar(rows).collect())
+    assert got == {k: k for k in range(600)} | {600: 5}
+
+
 def test_blocks_hold_bounded_sets():
     r = np.random.default_rng(1)
     p, q = np.sort(r.integers(0, 50, 300)), r.integers(50, 100, 300)
