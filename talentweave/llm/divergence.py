@@ -23,7 +23,7 @@ SCALE = 1_000_000_000
 BROADCAST_GROUPS = 10_000
 #: Pairs of sources held at once by a task, rows of a skyband compared at once, and bytes of text counted at once: terms
 #: repeat, so larger slices send fewer rows.
-PAIRS, BLOCK, SLICE = 1 << 20, 1024, 2 << 20
+PAIRS, BLOCK, SLICE = 1 << 20, 1024, 4 << 20
 
 #: 1 for the bytes of terms: A-Z, a-z and all of other characters than ASCII; and A-Z lower-cased.
 _IN_TERM = np.zeros(256, bool)
