@@ -200,9 +200,9 @@ def parse(source: str) -> Page:
 
 #: Features of a node: tags, hints, hints of an ancestor, then numbers.
 N_TAG, N_HINT = len(TAGS) + 1, len(HINTS) + 1
-_NUMBERS = 14
+_NUMBERS = 22
 WIDTH = N_TAG + 2 * N_HINT + N_TAG + _NUMBERS
-KINDS = 4  # of a parent and child: text, inline, block, boundary tags
+KINDS = 5  # of a parent and child: text, inline, block, boundary tags, text beside blocks
 
 
 @dataclass
@@ -216,6 +216,8 @@ class Forest:
     first: np.ndarray
 
 
+#: The last of HINTS: what usually holds a page's content.
+_CONTENT_HINT = len(HINTS) - 1
 _SECTION = np.array([t in ("nav", "header", "footer", "aside", "form", "article", "main", "section") for t in TAGS] + [False])
 _INLINE_TAG = np.array([t in INLINE for t in TAGS] + [False])
 
@@ -244,13 +246,19 @@ def forest(pages: list[Page]) -> Forest:
         depth[levels[-1]] = len(levels) - 1
     # sums over subtrees, leaves first; what an ancestor says, roots first
     in_link = (tag == TAG_NUMBER["a"]).astype(np.int64)
+    inside = np.isin(tag, [TAG_NUMBER["article"], TAG_NUMBER["main"]]) | (hints >> _CONTENT_HINT & 1 > 0) & ~_INLINE_TAG[tag] & (tag > TAG_NUMBER["body"])
+    aside = (hints & ((1 << _CONTENT_HINT) - 1) > 0) | np.isin(tag, [TAG_NUMBER[t] for t in ("nav", "aside", "footer", "form")])
     above = np.zeros(n, np.int64)
     section = np.where(_SECTION[tag], tag, len(TAGS))
     for level in levels[1:]:
         q = parent[level]
         in_link[level] |= in_link[q]
+        aside[level] |= aside[q]
+        inside[level] = (inside[level] | inside[q]) & ~aside[level]
         above[level] = above[q] | hints[q]
         section[level] = np.where(_SECTION[tag[q]], tag[q], section[q])
+    page_of = np.repeat(np.arange(len(pages)), sizes)
+    named = np.bincount(page_of[inside], minlength=len(pages))[page_of] > 0  # whether the page names a container of its content
     link = chars * in_link
     total, marks, linked, forms, leaves = chars.copy(), commas.copy(), link.copy(), np.isin(
         tag, [TAG_NUMBER[x] for x in ("input", "button", "select", "textarea", "form")]
@@ -272,17 +280,22 @@ def forest(pages: list[Page]) -> Forest:
     numbers = (
         np.ones(n), np.log1p(total) / 5, density, (density > 0.6), marks / np.maximum(total, 1) * 20,
         total / np.maximum(whole, 1), forms > 0, np.minimum(depth, 12) / 6, total > 80, total > 250, total == 0,
-        np.log1p(leaves) / 3, density[q], np.log1p(total[q]) / 5
+        np.log1p(leaves) / 3, density[q], np.log1p(total[q]) / 5, inside, named & ~inside, ~named, ~named & (total > 40) & (density < 0.5),
+        (tag == 0) * np.log1p(total) / 5, (tag == 0) & (total > 80), (tag == 0) & ~named & (in_link == 0), (in_link > 0) & ~inside
     )
     for i, v in enumerate(numbers):
         x[:, base + i] = v
     kind = np.where(tag == 0, 0, np.where(_SECTION[tag], 3, np.where(_INLINE_TAG[tag], 1, 2)))
+    blocks = np.zeros(n, bool)  # elements that hold blocks; text beside these is told apart from text in a paragraph
+    blocks[q[kind >= 2]] = True
+    blocks[np.isin(tag, [TAG_NUMBER["html"], TAG_NUMBER["body"]])] = True
+    kind = np.where((kind < 2) & blocks[q] & (parent >= 0), 4, kind)
     return Forest(parent, kind, levels, x, first)
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis)
-    return top + np.log(np.exp(a - np.expand_dims(top, axis)).sum(axis))
+def _sum_of(a: np.ndarray, axis: int) -> np.ndarray:
+    """Log of the sum over the two states on an axis."""
+    return np.logaddexp(*np.moveaxis(a, axis, 0))
 
 
 def messages(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +304,7 @@ def messages(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray
     up = unary.copy()  # a node's own potential and what its children said
     sent = np.zeros((n, 2))
     for above, level in zip(f.levels[-2::-1], f.levels[:0:-1], strict=True):
-        sent[level] = _lse(pair[f.kind[level]] + up[level][:, None, :], 2)
+        sent[level] = _sum_of(pair[f.kind[level]] + up[level][:, None, :], 2)
         at = np.searchsorted(above, f.parent[level])  # work by the level's size, so deep pages stay linear
         for s in (0, 1):
             up[above, s] += np.bincount(at, weights=sent[level, s], minlength=len(above))
@@ -300,16 +313,16 @@ def messages(f: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray
     for level in f.levels[1:]:
         rest = up[f.parent[level]] + down[f.parent[level]] - sent[level]
         joint = rest[:, :, None] + pair[f.kind[level]]
-        down[level] = _lse(joint, 1)
-        joint = joint + up[level][:, None, :]
-        joint -= joint.max((1, 2), keepdims=True)
-        joint = np.exp(joint)
-        edges[level] = joint / joint.sum((1, 2), keepdims=True)
+        down[level] = _sum_of(joint, 1)
+        joint = (joint + up[level][:, None, :]).reshape(-1, 4)
+        a, b, c, d = joint.T
+        joint = np.exp(joint - np.maximum(np.maximum(a, b), np.maximum(c, d))[:, None])
+        a, b, c, d = joint.T
+        edges[level] = (joint / (a + b + c + d)[:, None]).reshape(-1, 2, 2)
     belief = up + down
-    log_z = _lse(up[f.levels[0]], 1)
-    belief -= belief.max(1, keepdims=True)
-    p = np.exp(belief)
-    return p / p.sum(1, keepdims=True), edges, log_z
+    log_z = _sum_of(up[f.levels[0]], 1)
+    content = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
+    return np.stack([1 - content, content], axis=1), edges, log_z
 
 
 @dataclass
@@ -329,18 +342,18 @@ def fit(pages: list[Page], rounds: int = 150, rate: float = 0.3, decay: float =
     f = forest(pages)
     y = np.array([v for p in pages for v in p.label])
     weights, pair = np.zeros(WIDTH), np.zeros((KINDS, 2, 2))
-    child = np.flatnonzero(f.parent >= 0)
+    x, child = np.asfortranarray(f.x), np.flatnonzero(f.parent >= 0)
     seen = np.zeros((KINDS, 2, 2))
     np.add.at(seen, (f.kind[child], y[f.parent[child]], y[child]), 1)
+    of_kind = [child[f.kind[child] == k] for k in range(KINDS)]
     grown_w, grown_p = np.full(WIDTH, 1e-8), np.full(pair.shape, 1e-8)
     n = len(y)
     for _ in range(rounds):
         unary = np.zeros((n, 2))
-        unary[:, 1] = f.x @ weights
+        unary[:, 1] = x @ weights.astype(np.float32)
         p, edges, _ = messages(f, unary, pair)
-        g = f.x.T @ (y - p[:, 1]) / n - decay * weights
-        expected = np.zeros_like(seen)
-        np.add.at(expected, f.kind[child], edges[child])
+        g = x.T @ (y - p[:, 1]).astype(np.float32) / n - decay * weights
+        expected = np.stack([edges[of].sum(0) for of in of_kind])
         gp = (seen - expected) / n - decay * pair
         grown_w += g * g
         grown_p += gp * gp
@@ -362,7 +375,7 @@ def main_text(page: Page, content: np.ndarray, at_least: float = 0.5) -> str:
     return " ".join("".join(out).split())
 
 
-def labelled(n: int = 240, seed: int = 5) -> list[Page]:
+def labelled(n: int = 400, seed: int = 5) -> list[Page]:
     """Labelled pages to learn from: articles among all usual kinds of surroundings, drawn at random.
 
     The marks \\x01 and \\x02 in the drawn source say whether a text is content; they are read off and removed.
@@ -389,7 +402,7 @@ def labelled(n: int = 240, seed: int = 5) -> list[Page]:
 
     def wrap(tags: list[str], names: list[str], body: str) -> str:
         tag = r.choice(tags)
-        attribute = f" {r.choice(['class', 'id'])}='{r.choice(names)}'" if names and (tag in ("div", "section") or r.random() < 0.5) else ""
+        attribute = f" {r.choice(['class', 'id'])}='{r.choice(names)}'" if names and (tag in ("div", "section", "p", "ol", "li", "article") or r.random() < 0.5) else ""
         return f"<{tag}{attribute}>{body}</{tag}>"
 
     def links(lo: int, hi: int) -> str:
@@ -453,8 +466,24 @@ def labelled(n: int = 240, seed: int = 5) -> list[Page]:
             f"<h3>\x02{words(1, 2)}</h3>" + "".join(one() for _ in range(r.randint(1, 5))) + (form() if r.random() < 0.3 else "")
         )
 
-    def article() -> str:
-        parts = [f"<h1>\x01{words(1, 10)}</h1>"] if r.random() < 0.85 else []
+    def linked(mark: str) -> str:
+        """A sentence in which some words are links."""
+        return " ".join(f"<a href='/{word()}'>{mark}{words(1, 4)}</a>{mark}," if r.random() < 0.4 else mark + words(1, 5) for _ in range(r.randint(2, 6))) + "."
+
+    def loose() -> str:
+        """Prose between line breaks, without elements of its own."""
+        return "<br><br>".join(prose(1, 4, chr(1)) for _ in range(r.randint(1, 5)))
+
+    def article() -> tuple[str, bool]:
+        """An article, and whether it has a container that is named."""
+        title = f"<h1>\x01{words(1, 10)}</h1>"
+        if r.random() < 0.15:
+            title = f"<header>{title}" + (f"<p>{prose(1, 2, chr(1))}</p>" if r.random() < 0.5 else "") + "</header>"
+        parts = [title] if r.random() < 0.85 else []
+        layout = r.choices(["named", "bare", "div", "table", "loose"], [10, 3, 2, 3, 1.5])[0]
+        if layout == "loose":
+            body = "".join(parts) + loose()
+            return r.choice([body, body, f"<div>{body}</div>", f"<table><tr><td>{links(1, 8)}</td><td>{body}</td></tr></table>"]), False
         for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14])):
             parts.append(r.choices([
                 lambda: f"<p>{prose(1, 7, chr(1))}" + r.choice(["</p>", "</p>", "</p>", ""]),
@@ -467,22 +496,35 @@ def labelled(n: int = 240, seed: int = 5) -> list[Page]:
                 lambda: f"<figure><img src='x'><figcaption>\x01{words(2, 8)}</figcaption></figure>",
                 lambda: f"<div>{prose(1, 5, chr(1))}</div>",
                 lambda: f"<section><h3>\x01{words(1, 4)}</h3><p>{prose(1, 4, chr(1))}</p></section>",
-            ], [12, 2, 2, 2, 1, 1, 1, 1, 1.5, 1])[0]())
-            if r.random() < 0.06:
+                lambda: f"<p>{linked(chr(1))}</p>",
+                lambda: "<ul>" + "".join(f"<li><a href='/{word()}'>\x01{words(1, 6)}</a></li>" for _ in range(r.randint(1, 5))) + "</ul>" if layout == "named" else f"<p>{prose(1, 7, chr(1))}</p>",
+                lambda: f"<p>\x01{words(1, 3)}.</p>",
+            ], [12, 2, 2, 2, 1, 1, 1, 1, 1.5, 1, 1.5, 1, 1])[0]())
+            if r.random() < 0.06 and layout == "named":
                 parts.append(r.choice([advert, notice, form, sidebar])())
+        if layout != "named":
+            if len(parts) < 2:
+                parts.append(f"<p>{prose(1, 7, chr(1))}</p>")
+            body = "".join(parts)
+            if layout == "table":
+                side = f"<td>{links(1, r.choice([1, 2, 8]))}</td>" if r.random() < 0.8 else ""
+                return f"<table><tr>{side}<td>{body}</td></tr></table>", False
+            return (body if layout == "bare" else f"<div>{body}</div>"), False
         tag = r.choice(["article"] * 5 + ["main", "div", "section"])
         name = f" class='{r.choice(['article', 'post', 'entry-content', 'story', 'content', 'main-text'])}'" if tag in ("div", "section") or r.random() < 0.2 else ""
-        return f"<{tag}{name}>{''.join(parts)}</{tag}>"
+        return f"<{tag}{name}>{''.join(parts)}</{tag}>", True
 
     pages = []
     for _ in range(n):
         before = [f() for f in (nav, head, advert, notice, form, sidebar) if r.random() < (0.75 if f is nav else 0.3)]
         after = [f() for f in (sidebar, comments, advert, form, notice, nav) if r.random() < 0.3] + ([foot()] if r.random() < 0.9 else [])
         r.shuffle(before)
-        middle = article()
-        if r.random() < 0.3:
+        middle, is_named = article()
+        if not is_named and r.random() < 0.25:
+            before, after = [], []
+        if is_named and r.random() < 0.3:
             middle = f"<div class='{r.choice(['wrapper', 'page', 'container', 'content', 'main'])}'>{middle + (after.pop(0) if after else '')}</div>"
-        if r.random() < 0.25:
+        if is_named and r.random() < 0.25:
             middle = f"<main>{middle}</main>"
         page = parse(f"<html><head><title>{word()}</title></head><body>{''.join(before)}{middle}{''.join(after)}</body></html>")
         _read_labels(page)
@@ -504,7 +546,9 @@ def _read_labels(page: Page) -> None:
     for i in range(n - 1, 0, -1):
         total_good[page.parent[i]] += total_good[i]
         total_bad[page.parent[i]] += total_bad[i]
-    page.label = [int(total_good[i] > 0 and total_bad[i] == 0) for i in range(n)]
+    # the page itself is never content, so its parts don't speak for each other
+    whole = TAG_NUMBER["html"], TAG_NUMBER["body"]
+    page.label = [int(total_good[i] > 0 and total_bad[i] == 0 and page.tag[i] not in whole) for i in range(n)]
     for i in range(n):  # an element or text without marks goes with its parent
         if not total_good[i] and not total_bad[i] and page.parent[i] >= 0:
             page.label[i] = page.label[page.parent[i]]

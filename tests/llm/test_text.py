@@ -204,6 +204,48 @@ def test_page_model_on_unseen_pages():
     assert ((p > 0.5) == y)[texts].mean() > 0.97
 
 
+SENTENCES = [
+    "The bridge was built in 1890, and it crosses the river near the mill.", "Later it was closed; nobody knows why, but many people asked.",
+    "Two engineers, who had studied abroad, drew the first plans.", "Hardly anyone came.", "Its arches are of stone, its railings of iron.",
+    "When the flood came, in the spring of 1911, the water rose to the third step of the toll house.", "What did it cost? Less than the town had feared.",
+    "Today a path for walkers leads across it, and boats pass below."
+]
+NAV = "<nav><a href='/'>Home</a> <a href='/n'>News</a> <a href='/c'>Contact</a></nav>"
+FOOT = "<footer>&copy; The Town Paper. All rights reserved.</footer>"
+# how a page holds its title and paragraphs, without a container that says so, and with others
+LAYOUTS = {
+    "bare body": lambda t, ps: f"<body><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "</body>",
+    "body with surroundings": lambda t, ps: f"<body>{NAV}<h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"{FOOT}</body>",
+    "bare div": lambda t, ps: f"<body>{NAV}<div><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"</div>{FOOT}</body>",
+    "table": lambda t, ps: f"<body><table><tr><td><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "</td></tr></table></body>",
+    "table with links": lambda t, ps: "<body><table><tr><td><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></td>" f"<td><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + "</td></tr></table></body>",
+    "line breaks": lambda t, ps: f"<body>{NAV}<h1>{t}</h1>" + "<br><br>".join(ps) + f"{FOOT}</body>",
+    "no end tags": lambda t, ps: f"<h1>{t}</h1>" + "".join(f"<p>{p}" for p in ps),
+    "header in article": lambda t, ps: f"<body>{NAV}<article><header><h1>{t}</h1></header>" + "".join(f"<p>{p}</p>" for p in ps) + f"</article>{FOOT}</body>",
+    "many links": lambda t, ps: f"<body>{NAV}<article><h1>{t}</h1>" + "".join("<p>" + " ".join(f"<a href='/{i}'>{w}</a>" if i % 4 == 0 else w for i, w in enumerate(p.split())) + "</p>" for p in ps) + f"</article>{FOOT}</body>",
+    "named div, comments": lambda t, ps: f"<body>{NAV}<div class='content'><h1>{t}</h1>" + "".join(f"<p>{p}</p>" for p in ps) + f"</div><div class='comments'><h3>Comments</h3><div class='comment'><b>Ann</b> <p>I walked there once, it is lovely.</p></div></div>{FOOT}</body>",
+}
+
+
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_layouts_give_their_whole_text(layout):
+    r = random.Random(layout)
+    for n in (1, 2, 3, 5, 8):
+        title, paragraphs = r.choice(["Bridge", "A bridge and its town"]), [" ".join(r.sample(SENTENCES, r.randint(2, 5))) for _ in range(n)]
+        page = html.parse(LAYOUTS[layout](title, paragraphs))
+        assert html.main_text(page, html.default_model().marginals([page])) == " ".join([title, *paragraphs])
+
+
+@pytest.mark.parametrize("source, text", [
+    ("just text", "just text"), ("<p>a<p>b<div>c", "a b c"), (f"<body>{NAV}<article><p>Hi.</p></article>{FOOT}</body>", "Hi."),
+    (f"<body>{NAV}<article><p>See <a href='x'>this link</a>.</p><ul><li><a href='1'>One thing</a></li><li><a href='2'>Two things</a></li></ul></article></body>", "See this link. One thing Two things"),
+    (f"<body>{NAV}{FOOT}</body>", ""),
+])
+def test_short_pages(source, text):
+    page = html.parse(source)
+    assert html.main_text(page, html.default_model().marginals([page])) == text
+
+
 def test_deep_pages_are_linear():
     import time
 
