@@ -255,6 +255,22 @@ def test_repeats_inside_one_run(spark):
     assert got == brute_repeats(texts) and all(x[1] >= 78 for x in got)
 
 
+def test_a_passage_of_every_slice_has_two_counted_rows_a_task():
+    r = random.Random(3)
+    fresh = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage, sent, rows = fresh(40), substrings.Sent(), substrings.Sent()
+    counted, known, all_ = collections.Counter(), 0, 0
+    for k in range(300):
+        texts = [f"{fresh(30)} {passage} {fresh(30)}".encode(), fresh(60).encode()]
+        part = pa.RecordBatch.from_arrays([pa.array([b.decode() for b in texts]), pa.array([2 * k, 2 * k + 1]), pa.array([0, 0])], ["text", "k1", "k2"])
+        out = substrings._runs(part, texts, 35, sent, rows)
+        counted.update(x for x, y in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True) if y == 0)  # its key is the symbol
+        known += sum(out.column(6).to_pylist())
+        all_ += out.num_rows
+    hot = [n for n in counted.values() if n > 1]
+    assert hot and max(hot) == 2 and known >= 299 and len(counted) < all_
+
+
 def test_hot_symbols_are_spread(spark, monkeypatch):
     r = random.Random(3)
     fresh = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
