@@ -630,6 +630,6 @@ def normalized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other modules register their queries when they are imported
-from talentweave.plans import boards, resumes, upkeep  # noqa: E402
+from talentweave.plans import boards, resumes, upkeep, whole  # noqa: E402
 
-__all__ = ["QUERIES", "SQL", "boards", "resumes", "upkeep"]
+__all__ = ["QUERIES", "SQL", "boards", "resumes", "upkeep", "whole"]
