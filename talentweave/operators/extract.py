@@ -333,6 +333,30 @@ def best_candidates(candidates: DataFrame, by: list[str], limit: int = 10) -> Da
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def walk(seeds: DataFrame, steps: DataFrame, max_depth: int) -> DataFrame:
+    """(query, page_url, depth): pages reached from seeds (query, page_url) by steps (page_url, to), and in how few of them.
+
+    One recursive query; the depth guard ends it, also where pages lead back.  A page that is reached again at the same
+    depth goes on once.
+    """
+    spark = seeds.sparkSession
+    limit, held = "spark.sql.cteRecursionRowLimit", spark.conf.get("spark.sql.cteRecursionRowLimit", None)
+    spark.conf.set(limit, "-1")  # the depth is what bounds it
+    try:
+        return settled(spark.sql(
+            f"""WITH RECURSIVE reached(query, page_url, depth) AS (
+                SELECT query, page_url, 0 FROM {{seeds}}
+                UNION ALL
+                SELECT query, to, depth + 1 FROM (
+                    SELECT DISTINCT r.query, s.to, r.depth FROM reached r JOIN {{steps}} s ON r.page_url = s.page_url WHERE r.depth < {int(max_depth)}
+                )
+            ) SELECT query, page_url, min(depth) AS depth FROM reached GROUP BY query, page_url""",
+            seeds=seeds, steps=steps
+        ), "walk")
+    finally:
+        spark.conf.unset(limit) if held is None else spark.conf.set(limit, held)
+
+
 def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: int = 2) -> DataFrame:
     """Candidates from captured pages, starting at seed URLs (query, url).
 
@@ -341,34 +365,26 @@ def discover(pages: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: i
     """
     clean = lambda c: source_url(c, "custom_url")
     held = pages.withColumn("page_key", clean(F.col("url")))
-    # written, since every round looks them up again
+    # written, since links are looked up for candidates, for steps and for pages without any
     links = settled(extract_links(held.select("page_id", F.col("page_key").alias("url"), "html")), "links")
     known = classify_links(links).where("platform <> 'careers page'")
+    lively = known.select("page_url").distinct()
     careers = links.where(careers_text(F.col("text")) | careers_path(F.col("url"))).withColumn("to", clean(F.col("url")))
     careers = careers.groupBy("page_url", "to").agg(F.min("pos").alias("pos"))
-    careers = careers.withColumn(
-        "n", F.row_number().over(Window.partitionBy("page_url").orderBy("pos"))
-    ).where(F.col("n") <= per_page).select("page_url", "to")
-    front = seeds.select("query", clean(F.col("url")).alias("page_url")).distinct()
-    seen, out = front, None
-    for depth in range(max_depth + 1):
-        found = front.join(known.hint("merge"), "page_url").select(
-            "query", "name", "source_type", "board_url", "platform", "identifier", "priority",
-            F.concat(F.lit("Found on "), "page_url").alias("reason"), (F.lit(depth * 1_000_000) + F.col("pos")).alias("seq")
-        )
-        dry = front.join(known.select("page_url").distinct().hint("merge"), "page_url", "left_anti")
-        own = dry.where(careers_path(F.col("page_url"))).select(
-            "query", host_label(F.col("page_url")).alias("name"), F.lit("custom_url").alias("source_type"),
-            F.col("page_url").alias("board_url"), F.lit("careers page").alias("platform"),
-            F.lit(None).cast("string").alias("identifier"), F.lit(3).alias("priority"),
-            F.concat(F.lit("Careers page: "), "page_url").alias("reason"), F.lit(depth * 1_000_000).alias("seq")
-        )
-        out = found.unionByName(own) if out is None else out.unionByName(found).unionByName(own)
-        if depth < max_depth:
-            next_ = dry.join(careers.hint("merge"), "page_url").select("query", F.col("to").alias("page_url")).distinct()
-            front = settled(next_.join(seen.hint("merge"), ["query", "page_url"], "left_anti"), "front")
-            seen = seen.unionByName(front)
-    return best_candidates(out, ["query"])
+    first = F.row_number().over(Window.partitionBy("page_url").orderBy("pos"))
+    careers = careers.withColumn("n", first).where(F.col("n") <= per_page).join(lively.hint("merge"), "page_url", "left_anti").select("page_url", "to")
+    front = walk(seeds.select("query", clean(F.col("url")).alias("page_url")).distinct(), careers, max_depth)
+    found = front.join(known.hint("merge"), "page_url").select(
+        "query", "name", "source_type", "board_url", "platform", "identifier", "priority",
+        F.concat(F.lit("Found on "), "page_url").alias("reason"), (F.col("depth") * 1_000_000 + F.col("pos")).alias("seq")
+    )
+    own = front.join(lively.hint("merge"), "page_url", "left_anti").where(careers_path(F.col("page_url"))).select(
+        "query", host_label(F.col("page_url")).alias("name"), F.lit("custom_url").alias("source_type"),
+        F.col("page_url").alias("board_url"), F.lit("careers page").alias("platform"),
+        F.lit(None).cast("string").alias("identifier"), F.lit(3).alias("priority"),
+        F.concat(F.lit("Careers page: "), "page_url").alias("reason"), (F.col("depth") * 1_000_000).alias("seq")
+    )
+    return best_candidates(found.unionByName(own), ["query"])
 
 
 def to_sources(candidates: DataFrame) -> DataFrame:

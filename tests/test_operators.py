@@ -406,3 +406,13 @@ def test_words_of_cards_and_links(spark, col):
         col(filters.job_like(F.lit(h), F.lit("title"))) for h in ("/posting/1", "/opportunities", "/vacancies", "/Careers")
     ] == [True, True, False, True]
     assert col(annotate.clearance_token(F.lit("TS/SCI"))) and not col(annotate.clearance_token(F.lit("day shift")))
+
+
+def test_walk_ends_where_pages_lead_back(spark):
+    steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("b", "a"), ("x", "x")], "page_url string, to string")
+    seeds = spark.createDataFrame([("q", "a"), ("r", "c"), ("r", "x"), ("s", None)], "query string, page_url string")
+    got = {(r["query"], r.page_url): r.depth for r in extract.walk(seeds, steps, 3).collect()}
+    assert got == {
+        ("q", "a"): 0, ("q", "b"): 1, ("q", "c"): 2, ("q", "d"): 3, ("r", "c"): 0, ("r", "a"): 1, ("r", "d"): 1, ("r", "b"): 2, ("r", "e"): 2, ("r", "x"): 0, ("s", None): 0
+    }
+    assert {r.page_url for r in extract.walk(seeds, steps, 0).collect()} == {"a", "c", "x", None}
