@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talentweave.functions.text import blank, filled, fold, squeeze
 from talentweave.functions.urls import absolute_url
 from talentweave.operators.annotate import best_salary, clearance_token, employment_fragment, placeholder
-from talentweave.operators.extract import extract_layout, jsonld_postings
+from talentweave.operators.extract import extract_layout, extract_layouts, jsonld_postings
 from talentweave.operators.filters import job_like
 
 # Where the layouts of the boards have their fields (layout, scope, field, selectors in order).
@@ -171,17 +171,18 @@ def cards(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
 def details(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """(page_id, pos, FIELDS): the one posting of each detail page that has a title.
 
-    A clearance page is read by its layout if that gives a title; else the page's first posting in JSON-LD is taken;
+    Each page is parsed once.  A clearance page is read by its layout if that gives a title; else the page's first posting in JSON-LD is taken;
     else the generic layout, with the page's title as the last resort.
     """
-    rules = layout or layouts(pages.sparkSession)
     url = pages.select("page_id", F.col("url").alias("page_url"))
-    clear = extract_layout(pages.where("layout = 'clearance'"), rules, "detail").where("title <> ''").join(url.hint("merge"), "page_id")
-    pay = best_salary(F.concat("`salary[]`", F.array("description", "requirements_text")))
-    apart = lambda t: (t != F.col("salary_text")) & (fold(t) != fold(F.col("location"))) & ~clearance_token(t) & ~placeholder(t)
-    clear = clear.withColumn("salary_text", pay).withColumn("employment_text", _joined(F.filter("`employment[]`", apart)))
-    clear = clear.select(
-        "page_id", F.lit(0).alias("way"), *[c for c in FIELDS if c in clear.columns], F.col("page_url").alias("url"),
+    named = F.when(F.col("layout") == "clearance", F.array(F.lit("clearance"), F.lit("generic"))).otherwise(F.array(F.lit("generic")))
+    read = extract_layouts(pages.withColumn("layouts", named), layout or layouts(pages.sparkSession), "detail").where("title <> ''").join(url.hint("merge"), "page_id")
+    clear = F.col("layout") == "clearance"
+    pay = F.when(clear, best_salary(F.concat("`salary[]`", F.array("description", "requirements_text")))).otherwise(best_salary(F.col("`salary[]`"), readable=False))
+    apart = lambda t: (t != F.col("salary_text")) & (~clear | ((fold(t) != fold(F.col("location"))) & ~clearance_token(t) & ~placeholder(t)))
+    read = read.withColumn("salary_text", pay).withColumn("employment_text", _joined(F.filter("`employment[]`", apart)))
+    read = read.select(
+        "page_id", F.when(clear, 0).otherwise(2).alias("way"), *[c for c in FIELDS if c in read.columns], F.col("page_url").alias("url"),
         F.col("page_url").alias("raw_id")
     )
     first = jsonld_postings(pages)
@@ -190,14 +191,6 @@ def details(pages: DataFrame, layout: DataFrame | None = None) -> DataFrame:
         "page_id", F.lit(1).alias("way"), *[c for c in FIELDS if c in first.columns and c != "url"],
         filled(F.col("url"), F.col("page_url")).alias("url")
     )
-    plain = extract_layout(pages.withColumn("layout", F.lit("generic")), rules, "detail").where("title <> ''").join(url.hint("merge"), "page_id")
-    plain = plain.withColumn("salary_text", best_salary(F.col("`salary[]`"), readable=False)).withColumn(
-        "employment_text", _joined(F.filter("`employment[]`", lambda t: t != F.col("salary_text")))
-    )
-    plain = plain.select(
-        "page_id", F.lit(2).alias("way"), *[c for c in FIELDS if c in plain.columns], F.col("page_url").alias("url"),
-        F.col("page_url").alias("raw_id")
-    )
-    rows = clear.unionByName(first, allowMissingColumns=True).unionByName(plain, allowMissingColumns=True).where(~blank(F.col("title")))
+    rows = read.unionByName(first, allowMissingColumns=True).where(~blank(F.col("title")))
     best = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("way"))).where("n = 1").withColumn("pos", F.lit(0))
     return _filled_in(best)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -138,6 +139,12 @@ def _compound(selector: str) -> tuple[str, tuple[str, ...], tuple[str, ...], tup
     return tag, tuple(re.findall(r"#([\w-]+)", plain)), tuple(re.findall(r"\.([\w-]+)", plain)), tuple(_ATTRIBUTE.findall(selector))
 
 
+@functools.cache
+def _chains(selector: str) -> list[list[str]]:
+    """Each of a list of selectors as the chain of its compounds and ``>``."""
+    return [re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", x) for x in re.split(r",\s*(?![^\[]*\])", selector)]
+
+
 class _Tree(HTMLParser):
     """Elements of a page in order: tag, attributes, parent, and where their descendants and texts end."""
 
@@ -155,6 +162,12 @@ class _Tree(HTMLParser):
         self.close()
         while self.open:
             self._shut()
+        # where to look for a selector: elements in order by what they are, have and are called
+        self.places: dict[str, list[int]] = {}
+        for i, (tag, attributes, _) in enumerate(self.nodes[1:], 1):
+            keys = {tag, f"#{attributes.get('id', '')}", *(f".{x}" for x in attributes.get("class", "").split()), *(f"[{k}" for k in attributes)}
+            for key in keys:
+                self.places.setdefault(key, []).append(i)
 
     def _shut(self) -> None:
         i = self.open.pop()
@@ -212,8 +225,15 @@ class _Tree(HTMLParser):
     def find(self, selector: str, top: int = 0) -> list[int]:
         """Elements under ``top`` of a list of selectors: tag, .class, #id, [name], [name=value], [name*=value],
         combinations of these; after a space the elements inside, after ``>`` the children."""
-        chains = [re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", x) for x in re.split(r",\s*(?![^\[]*\])", selector)]
-        return [i for i in range(top + 1, self.end[top]) if any(self._matches(i, c) for c in chains)]
+        found: set[int] = set()
+        for chain in _chains(selector):
+            tag, ids, classes, conditions = _compound(chain[-1])
+            keys = [*(f"#{x}" for x in ids), *(f".{x}" for x in classes), *(f"[{k}" for k, _, _ in conditions), *([tag] if tag else [])]
+            # the rarest of what the last selector asks for
+            held = min((self.places.get(k, []) for k in keys), key=len) if keys else range(len(self.nodes))
+            lo, hi = bisect.bisect_right(held, top), bisect.bisect_left(held, self.end[top])
+            found.update(i for i in held[lo:hi] if self._matches(i, chain))
+        return sorted(found)
 
 
 def _value(tree: _Tree, selectors: list[str], top: int, anchor: int | None = None) -> str:
@@ -232,12 +252,19 @@ def _values(tree: _Tree, selectors: list[str], top: int, anchor: int | None = No
 
 
 def extract_layout(pages: DataFrame, layout: DataFrame, scope: str) -> DataFrame:
-    """Rows of fields by a layout table (layout, scope, field, ord, selector).
+    """``extract_layouts`` of the one layout that each page names."""
+    return extract_layouts(pages.withColumn("layouts", F.array("layout")), layout, scope).drop("layout")
+
+
+def extract_layouts(pages: DataFrame, layout: DataFrame, scope: str) -> DataFrame:
+    """(page_id, layout, pos, rule, fields) by a layout table (layout, scope, field, ord, selector).
+
+    Pages (page_id, layouts, html) are parsed once and read by each of their layouts.
 
     ``detail`` gives one row a page; ``card`` one for each element that the field ``container`` selects, numbered in
     ``pos``, with the place of its selector in ``rule``.  A container that is a link itself is a card of what is
-    around it.  A field whose name ends in ``[]`` gives all texts of all its selectors, each once.  Pages carry their
-    layout's name; pages of unknown layouts give nothing.  The table is small by nature; its size is checked before
+    around it.  A field whose name ends in ``[]`` gives all texts of all its selectors, each once.  Unknown and null
+    layouts give nothing.  The table is small by nature; its size is checked before
     it goes to the tasks.
     """
     rules = layout.where(F.col("scope") == scope).orderBy("layout", "field", "ord").limit(10_001).collect()
@@ -259,22 +286,21 @@ def extract_layout(pages: DataFrame, layout: DataFrame, scope: str) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for page_id, name, html in zip(batch.page_id, batch.layout, batch.html, strict=True):
-                by = table.get(name)
-                if by is None:
-                    continue
-                tree = _Tree(html)
-                tops = {None: 0}
-                if scope == "card":
-                    tops = {}
-                    for rule, selector in enumerate(by.get("container", [])):
-                        for node in tree.find(selector):
-                            tops.setdefault(node, rule)
-                out += [(page_id, pos, rule, *card(tree, by, node)) for pos, (node, rule) in enumerate(tops.items())]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "rule", *fields])
+            for page_id, names, html in zip(batch.page_id, batch.layouts, batch.html, strict=True):
+                names = [x for x in names if x in table] if names is not None else []
+                tree = _Tree(html) if names else None
+                for name in names:
+                    by, tops = table[name], {None: 0}
+                    if scope == "card":
+                        tops = {}
+                        for rule, selector in enumerate(by.get("container", [])):
+                            for node in tree.find(selector):
+                                tops.setdefault(node, rule)
+                    out += [(page_id, name, pos, rule, *card(tree, by, node)) for pos, (node, rule) in enumerate(tops.items())]
+            yield pd.DataFrame(out, columns=["page_id", "layout", "pos", "rule", *fields])
 
     kinds = "".join(f", `{f}` {'array<string>' if f.endswith('[]') else 'string'}" for f in fields)
-    return pages.select("page_id", "layout", "html").mapInPandas(run, "page_id long, pos int, rule int" + kinds)
+    return pages.select("page_id", "layouts", "html").mapInPandas(run, "page_id long, layout string, pos int, rule int" + kinds)
 
 
 # Link rules in order (host pattern, path pattern, platform, source type, kept path segments, priority).

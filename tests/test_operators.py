@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from talentweave.operators import annotate, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
+from talentweave.operators import annotate, boards, dedupe, extract, filters, listings, matching, normalize, profiles, reports, state, sync, terms
 
 NOW, LATER = dt.datetime(2024, 5, 1), dt.datetime(2024, 5, 2)
 POSTING = "source_id long, external_id string, id long, title string, url string, canonical_url string, content_hash string, embedding array<double>, active boolean, first_seen_at timestamp, last_seen_at timestamp, last_updated_at timestamp, application_status string, application_confirmation_needed boolean"
@@ -416,3 +416,28 @@ def test_walk_ends_where_pages_lead_back(spark):
         ("q", "a"): 0, ("q", "b"): 1, ("q", "c"): 2, ("q", "d"): 3, ("r", "c"): 0, ("r", "a"): 1, ("r", "d"): 1, ("r", "b"): 2, ("r", "e"): 2, ("r", "x"): 0, ("s", None): 0
     }
     assert {r.page_url for r in extract.walk(seeds, steps, 0).collect()} == {"a", "c", "x", None}
+
+
+def test_selectors_by_places_and_by_scan():
+    import random
+
+    r = random.Random(9)
+    tag = lambda: r.choice(["div", "p", "a", "li", "span"])
+    extra = lambda: r.choice(["", " class='x'", " class='x y'", " id='one'", " href='/j'", " class='y' data-testid='t1'"])
+    for _ in range(30):
+        source = ""
+        for _ in range(40):
+            name = tag()
+            source += f"<{name}{extra()}>t" + ("</div></p>" if r.random() < 0.3 else f"</{name}>" if r.random() < 0.6 else "")
+        tree = extract._Tree(source)
+        for selector in ("div", ".x", ".x.y", "#one", "a[href]", "div .y", "div > .x", "[data-testid='t1']", "p[data-testid*='t'], li.x", "div p > span", "[href='/j'].x", "b"):
+            chains = extract._chains(selector)
+            for top in (0, 3, len(tree.nodes) - 1):
+                scanned = [i for i in range(top + 1, tree.end[top]) if any(tree._matches(i, c) for c in chains)]
+                assert tree.find(selector, top) == scanned
+
+
+def test_a_detail_page_is_parsed_once(spark):
+    pages = spark.createDataFrame([(1, "https://x.example/1", "<h1>Cook</h1>", "generic")], "page_id long, url string, html string, layout string")
+    rows = boards.details(pages)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1 and rows.first()["title"] == "Cook"
