@@ -17,7 +17,7 @@ def with_known(listings: DataFrame, known: DataFrame) -> DataFrame:
         "source_id", "external_id", *[F.col(c).alias(f"k_{c}") for c in fields], F.col("listing_hash").alias("k_hash"),
         F.lit(True).alias("k_is")
     )
-    rows = listings.join(old, ["source_id", "external_id"], "left")
+    rows = listings.join(old.hint("merge"), ["source_id", "external_id"], "left")
     same = F.coalesce(F.col("k_hash") == F.col("listing_hash"), F.lit(False))
     salary_missing = (F.col("source_type") == "clearance") & blank(F.col("salary_text")) & blank(F.col("k_salary_text")) if "source_type" in listings.columns else F.lit(False)
     needs = F.col("k_is").isNull() | blank(F.col("k_description")) | ~same | salary_missing
@@ -81,7 +81,7 @@ def detail_budget(listings: DataFrame, most: int = 10) -> DataFrame:
 def override(listings: DataFrame, details: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Detail values over list values where they are not empty."""
     new = details.select(*keys, *[F.col(c).alias(f"d_{c}") for c in fields])
-    return listings.join(new, keys, "left").withColumns(
+    return listings.join(new.hint("merge"), keys, "left").withColumns(
         {c: F.coalesce(F.nullif(F.col(f"d_{c}"), F.lit("")), F.col(c)) for c in fields}
     ).drop(*[f"d_{c}" for c in fields])
 

@@ -51,7 +51,7 @@ def normalize_postings(payloads: DataFrame, sources: DataFrame, skills: dict[str
         F.col("id").cast("long").alias("source_id"), F.col("name").alias("source_name"), F.col("url").alias("source_url"),
         "source_type"
     )
-    rows = split_valid(rows)[0].join(names, "source_id", "left")
+    rows = split_valid(rows)[0].join(names.hint("merge"), "source_id", "left")
     url = filled(F.col("url"), F.col("source_url"))
     company = squeeze(filled(F.col("company"), F.col("source_name")))
     rows = rows.withColumns(

@@ -20,6 +20,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def looked_up(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a hint for its join: broadcast if it has at most ``most`` rows, merged by key otherwise."""
+    """The table with a hint for its join: broadcast if it has at most ``most`` rows, merged by key otherwise.
+
+    It is written and counted at once, while the plan is still being built, since its size decides what the plan is.
+    """
     rows = settled(df, name)
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")

@@ -100,7 +100,7 @@ def resolve_sources(batches: DataFrame, sources: DataFrame) -> DataFrame:
     rows = batches.select("page", "source", F.coalesce("jobs", F.array().cast(CAPTURED)).alias("jobs"))
     ids = sources.select(F.col("id").alias("by_id"))
     urls = sources.where("source_type = 'browser_capture'").groupBy("url").agg(F.max("id").alias("by_url")).withColumnRenamed("url", "s_url")
-    rows = rows.join(ids, rows["source.id"] == ids["by_id"], "left").join(urls, rows["page.url"] == urls["s_url"], "left")
+    rows = rows.join(ids.hint("merge"), rows["source.id"] == ids["by_id"], "left").join(urls.hint("merge"), rows["page.url"] == urls["s_url"], "left")
     named = F.filter("jobs", lambda j: ~blank(squeeze(j["company"])))
     company = squeeze(filled(F.col("source.company"), F.get(named, 0)["company"]))
     site = squeeze(filled(F.col("source.site"), F.col("page.site")))
