@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from talentweave.functions.text import blank, filled
 from talentweave.operators.dedupe import keep_first
+from talentweave.operators.keyfilter import key_filter, may_match
 from talentweave.operators.sizes import looked_up
 
 
-def with_known(listings: DataFrame, known: DataFrame) -> DataFrame:
-    """Listings with what is known of them: missing texts filled, flags known_listing and needs_detail."""
+def with_known(listings: DataFrame, known: DataFrame, prune: bool = False) -> DataFrame:
+    """Listings with what is known of them: missing texts filled, flags known_listing and needs_detail.
+
+    With ``prune`` the listings' keys are read first, and rows of ``known`` that can't be among them are dropped where
+    they are scanned, before the join moves them: for few listings against a large index.
+    """
+    if prune:
+        keys = ["source_id", "external_id"]
+        known = may_match(known, key_filter(listings, keys), keys)
     fields = ("description", "employment_text", "salary_text")
     old = known.select(
         "source_id", "external_id", *[F.col(c).alias(f"k_{c}") for c in fields], F.col("listing_hash").alias("k_hash"),

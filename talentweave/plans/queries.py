@@ -326,6 +326,15 @@ def needs_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.with_known(new, known).select("source_id", "external_id", "known_listing", "needs_detail")
 
 
+@query(f"""WITH {d.SNAPSHOTS_SQL} SELECT new.source_id, new.external_id, coalesce(old.h = new.h, false) AS known_listing, coalesce(old.h <> new.h, true) AS needs_detail
+FROM new LEFT JOIN old ON old.source_id = new.source_id AND old.external_id = new.external_id""")
+def needs_detail_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = {"description": F.lit("told"), "employment_text": F.lit(""), "salary_text": F.lit("")}
+    known = d.old_snapshot(spark, sf_dir).withColumnRenamed("content_hash", "listing_hash").withColumns(texts)
+    new = d.new_snapshot(spark, sf_dir).withColumnRenamed("content_hash", "listing_hash").withColumns(texts | {"description": F.lit("")})
+    return listings.with_known(new, known, prune=True).select("source_id", "external_id", "known_listing", "needs_detail")
+
+
 _FIRST = f"WITH l AS ({d.LISTINGS_SQL}), f AS (SELECT *, row_number() OVER (PARTITION BY source_id, external_id ORDER BY page, pos) AS n FROM l), g AS (SELECT * FROM f WHERE n = 1), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page, pos) AS m FROM g) WHERE m <= 120)"
 
 
