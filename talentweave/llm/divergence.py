@@ -213,6 +213,7 @@ def audit(documents: DataFrame, first: int = 200, least: int = 3) -> DataFrame:
     # a term's rows stand together, so one exchange serves its sum and what follows; the number of sources bounds them
     whole = counted.groupBy("lang", "term").agg(F.sum("n").alias("of_all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
     kept = written(counted.drop("docs").join(whole.hint("merge"), ["lang", "term"]), "kept")
+    discard(counted)
     groups = docs.select("lang", "source").distinct()
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(sums.hint("merge"), ["lang", "source"], "left").fillna(0, ["total"])
@@ -225,6 +226,7 @@ def audit(documents: DataFrame, first: int = 200, least: int = 3) -> DataFrame:
     rows = kept.join(near(groups), ["lang", "source"])
     rows = rows.withColumns({"p": _p("n", "total", "terms"), "q": _p("of_all", "lang_total", "terms")})
     rows = written(rows.select("lang", "source", "term", "n", "of_all", "p", "q", "no", "p0"), "proportions")
+    discard(kept)
 
     found = skybands(rows.where("p > q").drop("no", "p0"), first)
     share = max(2, round(partitions(spark) ** 0.5))
