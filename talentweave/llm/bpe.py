@@ -26,7 +26,7 @@ from talentweave.llm.common import only, slices, span_codes, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Bytes of text to a slice, and pieces remembered by a worker before it starts anew (some 60 bytes each).
-SLICE, KEPT = 3 << 19, 500_000
+SLICE, KEPT = 3 << 18, 300_000
 
 #: Pieces longer than this are contracted in place, so that a query holds one row a token however many rounds it takes.
 LONG = 1000
@@ -110,7 +110,7 @@ class Encoder:
             self.meet[b[:-1], b[1:]] = True
         # what does not fit goes where Spark itself spills, and goes with the executor
         spill = os.path.join(SparkFiles.getRootDirectory(), f"duckdb-{os.getpid()}")
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": spill})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "120MB", "temp_directory": spill})
         given = merge_rows(ranks)
         self.con.register("given", given)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -340,8 +340,10 @@ def round_trip(documents: DataFrame, ranks: str | None = None, key: str = "doc_i
                 bytes_sha.append(hashlib.sha256(decoded).hexdigest())
 
             pieces.encode(texts, each)
+            keys = part.column(0).take(pa.array(np.arange(part.num_rows)))  # a copy, which does not hold the batch's texts
+            del part, texts
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())],
+                [keys, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 

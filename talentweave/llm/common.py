@@ -73,6 +73,7 @@ def partitions(spark: SparkSession) -> int:
 
 def give_back() -> None:
     """Free memory goes back to the system, so that a worker that lives on does not hold what its last task used."""
+    _KEPT.clear()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -91,8 +92,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             last = max(first + 1, int(np.searchsorted(ends, base + most, side="right")))
             part = batch.slice(first, last - first)
             texts = part.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            yield part, [x or b"" for x in texts]
+            texts = [x or b"" for x in texts]
+            yield part, texts
             first = last
+        batch = column = lengths = part = texts = None  # the next batch is read with none of this one held
     give_back()
 
 
@@ -101,7 +104,10 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], pa.Rec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text, most):
-            yield fn(part, texts)
+            out = fn(part, texts)
+            del part, texts
+            yield out
+            del out
 
     return df.mapInArrow(run, schema)
 
