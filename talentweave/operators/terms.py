@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentweave.functions.text import distinct_sorted, fold, let, squeeze
+from talentweave.operators.sizes import settled
 
 #: Up to so many aliases become one column expression.
 INLINE_ALIASES = 200
@@ -174,19 +175,34 @@ def _described(names: DataFrame, lexicon: DataFrame, side: str) -> DataFrame:
     return rows.select(side, "canonical", "phrases", F.filter(token, lambda t: (F.length(t) >= 3) | t.isin(*SHORT_TOKENS)).alias("tokens"))
 
 
+def _holders(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Pairs of which all tokens of a name of ``small`` are tokens of the name of ``large``.
+
+    A name that holds another's tokens holds the rarest of them, so each name of ``small`` looks under that one alone;
+    tokens that most names have bring no rows together.
+    """
+    a, b = small.columns[0], large.columns[0]
+    held = large.select(b, F.col("tokens").alias("_held"), F.explode("tokens").alias("_token"))
+    often = held.groupBy("_token").agg(F.count("*").alias("_n"))
+    each = small.select(a, "tokens", F.explode("tokens").alias("_token")).join(often.hint("merge"), "_token")
+    rarest = each.groupBy(a).agg(F.min_by("_token", F.struct("_n", "_token")).alias("_token"), F.first("tokens").alias("tokens"))
+    return rarest.hint("merge").join(held, "_token").select(a, b, (F.size(F.array_except("tokens", "_held")) == 0).alias("alike"))
+
+
+def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left, right, alike): what has to be compared; names of one canonical term or with a common phrase are alike as they are."""
+    keys = F.array_distinct(F.concat(F.when(F.col("canonical") != "", F.array(F.concat(F.lit("="), "canonical"))).otherwise(F.array().cast("array<string>")), F.col("phrases")))
+    same = a.select("left", F.explode(keys).alias("key")).hint("merge").join(b.select("right", F.explode(keys).alias("key")), "key")
+    rows = same.select("left", "right", F.lit(True).alias("alike"))
+    return rows.unionByName(_holders(a, b)).unionByName(_holders(b, a))
+
+
 def skill_pairs(left: DataFrame, right: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(left, right): all equivalent names of two tables with a column ``name``.
 
     Equivalent are names of one canonical term, with a common phrase, of which one's tokens hold the other's, or
-    with two common tokens that are all of the smaller.  Candidates share a phrase, a canonical term or a token, so
-    the join is on those keys; it is symmetric but not transitive.
+    with two common tokens that are all of the smaller; it is symmetric but not transitive.  Candidates share a
+    phrase, a canonical term, or the rarest token of one of them, so the joins grow with the names and the pairs.
     """
-    a, b = _described(left, lexicon, "left"), _described(right, lexicon, "right")
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "canonical")), F.col("phrases"), F.col("tokens")))
-    one = a.select(F.col("left"), *[F.col(c).alias(f"l_{c}") for c in ("canonical", "phrases", "tokens")], F.explode(keys).alias("key"))
-    two = b.select(F.col("right"), *[F.col(c).alias(f"r_{c}") for c in ("canonical", "phrases", "tokens")], F.explode(keys).alias("key"))
-    common = F.size(F.array_intersect("l_tokens", "r_tokens"))
-    small = F.least(F.size("l_tokens"), F.size("r_tokens"))
-    same = (F.col("l_canonical") != "") & (F.col("l_canonical") == F.col("r_canonical"))
-    alike = same | F.arrays_overlap("l_phrases", "r_phrases") | ((small > 0) & (common >= small))
-    return one.hint("merge").join(two, "key").where(alike).select("left", "right").distinct()
+    a, b = (settled(_described(rows, lexicon, side), side) for rows, side in ((left, "left"), (right, "right")))
+    return _paired(a, b).where("alike").select("left", "right").distinct()
