@@ -609,8 +609,10 @@ def _with_layout(spark: SparkSession, sf_dir: str, scope: str) -> DataFrame:
     return extract.extract_layout(table(spark, sf_dir, "pages").withColumn("layout", F.lit("page")), layout, scope)
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS t FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g'), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS title FROM h""")
 def page_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's title; references count with and without their semicolon, as browsers read them."""
     return _with_layout(spark, sf_dir, "detail").select("page_id", "title")
 
 

@@ -1,8 +1,17 @@
 """What joins bring together and what tasks hold grows with the tables, not with their squares."""
 
+import os
+import sys
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(__file__))
+from oracle import rows as plain_rows
+
 from pyspark.sql import functions as F
 
 from talentweave.operators import terms
+from talentweave.plans.queries import QUERIES, SQL
 
 
 def test_common_tokens_bring_no_names_together(spark):
@@ -13,3 +22,14 @@ def test_common_tokens_bring_no_names_together(spark):
     a, b = terms._described(left, lexicon, "left"), terms._described(right, lexicon, "right")
     assert terms._paired(a, b).count() < 3000  # of 90,000 pairs
     assert terms.skill_pairs(left, right, lexicon).count() == 300
+
+
+def test_titles_of_references_without_semicolon(spark, tmp_path):
+    titles = ["a &amp; b&amp", "&lt;x&gt &quot;y&quot", "cut &am", " &amp;lt; ", "none"]
+    html = [f"<html><h1>{t}</h1></html>" for t in titles]
+    spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(SQL["page_detail"]).df()
+    assert dict(zip(want.page_id, want.title)) == {0: "a & b&", 1: '<x> "y"', 2: "cut &am", 3: "&lt;", 4: "none"}
+    assert plain_rows(QUERIES["page_detail"](spark, str(tmp_path)).toPandas()) == plain_rows(want)
