@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from talentweave.operators import boards, extract, listings
 from talentweave.operators.annotate import best_salary
-from talentweave.plans.derived import table
+from talentweave.plans.derived import spread, table
 from talentweave.plans.registry import chosen, query
 from talentweave.sources import readers
 from talentweave.sources.shared import shared_path
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")), "k")
 
 
 # ---- structured data in pages --------------------------------------------------------------------------------
@@ -129,15 +129,16 @@ def salary_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- landed files --------------------------------------------------------------------------------------------
 def _landed(rows: DataFrame, name: str, text: str = "text") -> str:
-    """Texts of (file, text) as files of their own in the shared folder, one folder a file."""
+    """Texts of (file, text) as files of their own in one folder of the shared one; tasks put them in place themselves."""
     path = shared_path(rows.sparkSession, name)
-    rows.select("file", text).repartition("file").write.partitionBy("file").text(path)
+    rows.select(text).write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
     return path
 
 
 def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A supplier's parts, each once."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("k")).distinct()
+    """A supplier's parts, each once, all of one supplier in one task."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("k"))
+    return spread(rows, "file", 200_000).distinct()
 
 
 _PARTS_SHIPPED = "s AS (SELECT DISTINCT l_suppkey AS f, l_partkey AS k FROM lineitem)"
@@ -152,7 +153,7 @@ def board_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.concat(F.lit("City "), "file").alias("name")).alias("location")
     )
     files = _shipped(spark, sf_dir).groupBy("file").agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("text"))
-    rows = readers.board_payloads(spark, f"{_landed(files, 'boards')}/*", 7)
+    rows = readers.board_payloads(spark, _landed(files, "boards"), 7)
     return rows.select("source_id", "raw_id", "title", "location", "description", "url", "posted_at")
 
 
@@ -166,7 +167,7 @@ def postings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         told.alias("lists")
     )
     files = _shipped(spark, sf_dir).groupBy("file").agg(F.to_json(F.collect_list(posting)).alias("text"))
-    rows = readers.postings_payloads(spark, f"{_landed(files, 'postings')}/*", 7)
+    rows = readers.postings_payloads(spark, _landed(files, "postings"), 7)
     return rows.select("raw_id", "title", "location", "requirements_text", "employment_text", "posted_at")
 
 
@@ -182,7 +183,7 @@ def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.struct(F.when(F.col("file") % 3 == 0, F.col("file")).alias("id"))
     files = _shipped(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_list(job)).alias("jobs"))
     files = files.select("file", F.to_json(F.struct(F.lit("list").alias("parser"), page.alias("page"), source.alias("source"), "jobs")).alias("text"))
-    return readers.captures(spark, f"{_landed(files, 'captures')}/*")
+    return readers.captures(spark, _landed(files, "captures"))
 
 
 @query(f"WITH {_PARTS_SHIPPED} SELECT CASE WHEN f % 3 = 0 THEN f END AS source_id, CAST(k AS VARCHAR) AS raw_id, 'Part ' || k AS title, CASE WHEN k % 2 = 0 THEN 'Maker' ELSE '' END AS company, 'good work' AS summary, 'https://www.indeed.com/viewjob?jk=' || k AS url, 'list' AS capture_parser FROM s")
@@ -210,7 +211,7 @@ def resume_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("résumé\nof nr. "), F.col("s_suppkey"),
         F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.repeat(F.lit(" work"), F.lit(10)))
     )
-    files = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), text.alias("text"))
+    files = spread(table(spark, sf_dir, "supplier"), "s_suppkey", 2_000).select(F.col("s_suppkey").alias("file"), text.alias("text"))
     rows = readers.resume_texts(spark, _landed(files, "texts"))
     return rows.select(F.regexp_extract("text", r"nr\. (\d+)", 1).alias("number"), "status", (F.length("text") - 1).cast("long").alias("n_chars"))
 

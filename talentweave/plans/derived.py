@@ -5,6 +5,8 @@ Every derivation here has the same rule in SQL beside the query that uses it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, per_task: int = 20_000) -> DataFrame:
+    """``rows`` of a table dealt by ``key``, at most some ``per_task`` to a task, and to all cores at least.
+
+    A table of keys is a small file that one task reads, whatever is then worked out from each key; the number of
+    tasks must come from its rows, which the file itself tells.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / per_task))
+    return rows.repartition(n, key)
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customers as postings."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
