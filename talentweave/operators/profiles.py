@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentweave.functions.dates import partial_date
-from talentweave.functions.text import EMAIL, LINK, PHONE, blank, clean_text, distinct_folded, filled, first_match, fold, squeeze, text_hash
+from talentweave.functions.text import EMAIL, LINK, PHONE, blank, clean_text, distinct_folded, filled, first_match, fold, let, squeeze, text_hash
 from talentweave.operators.annotate import clearance, years_mentioned
 from talentweave.operators.dedupe import keep_first
 from talentweave.operators.terms import in_categories, terms_column
@@ -110,13 +110,10 @@ def recent_titles(experience: DataFrame) -> DataFrame:
 
 def spans(texts: DataFrame, as_of: dt.date, key: str = "resume_id", text: str = "text") -> DataFrame:
     """(resume_id, pos, start, end, label): date ranges of the texts whose end is not before their start."""
-    take = lambda i: F.regexp_extract_all(F.col(text), F.lit(f"({DATE_RANGE})".replace("((?i)", "(?i)(", 1)), i)
-    zipped = F.arrays_zip(take(1).alias("label"), take(2).alias("a"), take(3).alias("b"))
-    rows = texts.select(F.col(key).alias("resume_id"), F.posexplode(zipped).alias("pos", "m"))
-    rows = rows.select(
-        "resume_id", "pos", partial_date(F.col("m.a"), as_of).alias("start"), partial_date(F.col("m.b"), as_of).alias("end"),
-        F.col("m.label").alias("label")
-    )
+    found = F.regexp_extract_all(F.col(text), F.lit(DATE_RANGE), 0)  # one walk of the text; a range tells its ends
+    rows = texts.select(F.col(key).alias("resume_id"), F.posexplode(found).alias("pos", "label"))
+    end = lambda i: partial_date(F.regexp_extract("label", DATE_RANGE, i), as_of)
+    rows = rows.select("resume_id", "pos", end(1).alias("start"), end(2).alias("end"), "label")
     return rows.where("start is not null and end >= start")
 
 
@@ -162,12 +159,15 @@ def work_history(experience: DataFrame, as_of: dt.date) -> DataFrame:
     """
     line, w = F.col("line"), Window.partitionBy("resume_id").orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    plain = ~dated(line) & ~line.rlike(BULLET)
-    rows = segments(experience, dated(line)).withColumn("plain_before", F.last(F.when(plain, line), ignorenulls=True).over(before))
-    rows = rows.where("segment > 0").withColumn("parts", split_title(F.when(dated(line), clean_title(_before_dates(line))).otherwise(line)))
-    rows = rows.withColumn("parts", F.when(dated(line) & (F.col("parts.title") == ""), split_title(F.col("plain_before"))).otherwise(F.col("parts")))
+    heads, plain = F.col("_dated"), F.col("_plain")  # columns of their own below the windows, so that they are worked out once
+    experience = experience.select("resume_id", "pos", "line", dated(line).alias("_dated")).withColumn("_plain", ~heads & ~line.rlike(BULLET))
+    rows = segments(experience, heads).withColumn("plain_before", F.last(F.when(plain, line), ignorenulls=True).over(before))
+    rows = rows.where("segment > 0").withColumn("parts", let(
+        F.when(heads, clean_title(_before_dates(line))).otherwise(line),
+        lambda t: let(split_title(t), lambda p: F.when(heads & (p["title"] == ""), split_title(F.col("plain_before"))).otherwise(p))
+    ))
     gives = plain & (F.col("parts.company") != "")
-    head = lambda c: F.min_by(F.when(dated(line), c), F.when(dated(line), F.col("pos")))
+    head = lambda c: F.min_by(F.when(heads, c), F.when(heads, F.col("pos")))
     found = rows.groupBy("resume_id", "segment").agg(
         F.min("pos").alias("pos"), head(F.col("parts.title")).alias("title"), head(F.col("parts.company")).alias("company"),
         F.min_by(F.when(gives, F.col("parts")), F.when(gives, F.col("pos"))).alias("named"),

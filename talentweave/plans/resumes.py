@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talentweave.functions.dates import parse_time, partial_date
 from talentweave.operators import normalize, profiles
 from talentweave.operators.annotate import clearance
-from talentweave.plans.derived import table
+from talentweave.plans.derived import spread, table
 from talentweave.plans.registry import AS_OF, chosen, query
 
 DAY = AS_OF.date()
@@ -32,8 +32,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _ENTRY
     until = f"CASE WHEN i = k % 3 THEN 'present' ELSE concat('Dec ', {e['y']} + 1) END"
     entry = f"concat_ws('\n', concat({e['title']}, ' Jan ', {e['y']}, ' - ', {until}), concat({e['title']}, ' at ', {e['company']}), {e['place']}, concat('- Did thing ', i, ' for ', k), '* And more')"
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return rows.select(F.col("k").alias("resume_id"), F.expr(f"""concat_ws('\n', {chosen('k', NAMES)}, concat('alex', k, '@mail.example | 555-123-', lpad(cast(k % 10000 as string), 4, '0')), {chosen('k', CITIES)},
+    rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id")), "resume_id").withColumn("k", F.col("resume_id"))
+    return rows.select("resume_id", F.expr(f"""concat_ws('\n', {chosen('k', NAMES)}, concat('alex', k, '@mail.example | 555-123-', lpad(cast(k % 10000 as string), 4, '0')), {chosen('k', CITIES)},
         concat('https://www.linkedin.com/in/alex', k), concat('https://alex', k, '.example/home'), 'SUMMARY', CASE WHEN k % 2 = 0 THEN 'Holds an active Secret clearance.' ELSE 'Works with care.' END, 'Experience:',
         array_join(transform(sequence(0, cast(k % 3 as int)), i -> {entry}), '\n'), 'Page 2 of 3', 'EDUCATION', 'Bachelor of Science 1995 - 1999', concat({chosen('k', SCHOOLS)}, ' University'), concat('Honors ', k % 7), 'Skills', {chosen('k', SKILLS)})""").alias("text"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talentweave.functions.text import SCRIPT_NOISE, drop_noise, excerpt, lines, squeeze, text_hash
 from talentweave.operators import extract, filters, listings, matching, normalize, profiles
 from talentweave.plans import derived as d
-from talentweave.plans.derived import table
+from talentweave.plans.derived import spread, table
 from talentweave.plans.registry import AS_OF, query
 from talentweave.sources import readers, sinks
 from talentweave.sources.shared import shared_path
@@ -196,7 +196,8 @@ def browsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT resume_id, least(n, 8) AS n_titles, least(n, 8) AS n_entries, 'Data Engineer ' || resume_id || 'x' || least(n, 8) AS last_title, 'Firm ' || least(n, 8) || ' of ' || resume_id AS last_company FROM c""")
 def history_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Résumés of one to thirteen entries, all different: eight titles and eight entries stay, the first ones."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id"), F.explode(F.expr("sequence(1, 1 + cast(c_custkey % 13 as int))")).alias("i"))
+    rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id")), "resume_id")
+    rows = rows.select("resume_id", F.explode(F.expr("sequence(1, 1 + cast(resume_id % 13 as int))")).alias("i"))
     dated = F.concat(F.lit("Data Engineer "), "resume_id", F.lit("x"), "i", F.lit(" | Jan "), 2020 - F.col("i"), F.lit(" - Dec "), 2020 - F.col("i"))
     place = F.concat(F.lit("Duties at Firm "), "i", F.lit(" of "), "resume_id")
     rows = rows.select("resume_id", F.col("i").alias("i"), F.posexplode(F.array(dated, place)).alias("n", "line"))
