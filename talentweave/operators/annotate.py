@@ -167,7 +167,7 @@ def pay_interval(text: Column) -> Column:
 
 
 def _segments(text: Column) -> Column:
-    """The whole text and its parts, the first spelling of equal ones, in order; by sorting, so long texts are fine."""
+    """The whole text and its parts that hold a digit, the first spelling of equal ones, in order; by sorting, so long texts are fine."""
     parts = lambda w: F.filter(F.transform(F.split(w, r"\s*\|\s*|(?<=[.;])\s+"), squeeze), lambda p: F.length(p) >= 3)
     keyed = lambda v: F.array_sort(F.transform(v, lambda s, i: F.struct(fold(s).alias("k"), i.alias("i"), s.alias("s"))))
 
@@ -176,7 +176,9 @@ def _segments(text: Column) -> Column:
         new = F.zip_with(v, before, lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["i"].alias("i"), a["s"].alias("s"))))
         return F.transform(F.array_sort(F.array_compact(new)), lambda x: x["s"])
 
-    return let(squeeze(text), lambda w: let(keyed(F.concat(F.array(w), parts(w))), firsts))
+    # amounts are digits: a part without any has no candidate
+    told = lambda v: F.filter(v, lambda s: s.rlike("[0-9]"))
+    return let(squeeze(text), lambda w: F.when(w.rlike("[0-9]"), let(keyed(told(F.concat(F.array(w), parts(w)))), firsts)).otherwise(F.array().cast("array<string>")))
 
 
 _CANDIDATE = "array<struct<score:int,len:int,timed:int,seg:int,pat:int,nth:int,low:double,high:double,interval:string>>"
@@ -247,10 +249,15 @@ def _candidates(segment: Column, seg_no: Column, pattern: str, ranged: bool, ord
 
 def salary(text: Column) -> Column:
     """struct(low, high, currency, interval, display): the best-scored candidate of all segments, first of equals."""
-    patterns = ((RANGE, True), (DASHED, True), (NAMED, False), (BOUNDED, False))
-    found = F.flatten(
-        F.transform(_segments(text), lambda s, n: F.flatten(F.array(*[_candidates(s, n, p, ranged, i) for i, (p, ranged) in enumerate(patterns)])))
+    # beside each pattern what must stand in a segment for it to be found there, which is quicker to look for
+    patterns = (
+        (RANGE, True, r"(?i)[0-9]\s*[km]?\s*(?:[-–—]|to|and|through|up to)"), (DASHED, True, "[–—]"),
+        (NAMED, False, r"(?i)salary|compensation|pay|hourly rate"), (BOUNDED, False, r"(?i)start(?:ing|s) at|from|up to|m(?:in|ax)imum of")
     )
+    none = F.array().cast(_CANDIDATE)
+    found = F.flatten(F.transform(_segments(text), lambda s, n: F.flatten(F.array(*[
+        F.when(s.rlike(sign), _candidates(s, n, p, ranged, i)).otherwise(none) for i, (p, ranged, sign) in enumerate(patterns)
+    ]))))
 
     def shown(best: Column) -> Column:
         display = salary_display(best["low"], best["high"], best["interval"])

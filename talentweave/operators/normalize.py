@@ -10,6 +10,7 @@ from talentweave.functions.dates import parse_time
 from talentweave.functions.text import blank, clean_text, distinct_folded, distinct_sorted, excerpt, filled, joined_distinct, lines, section_after, squeeze, text_hash
 from talentweave.functions.urls import canonical_url
 from talentweave.operators.annotate import clearance, job_type, salary, work_mode, years_mentioned
+from talentweave.operators.sizes import looked_up
 from talentweave.operators.terms import terms_column
 
 # Headers of the required and preferred parts of a description.
@@ -51,7 +52,7 @@ def normalize_postings(payloads: DataFrame, sources: DataFrame, skills: dict[str
         F.col("id").cast("long").alias("source_id"), F.col("name").alias("source_name"), F.col("url").alias("source_url"),
         "source_type"
     )
-    rows = split_valid(rows)[0].join(names.hint("merge"), "source_id", "left")
+    rows = split_valid(rows)[0].join(looked_up(names, "sources"), "source_id", "left")
     url = filled(F.col("url"), F.col("source_url"))
     company = squeeze(filled(F.col("company"), F.col("source_name")))
     rows = rows.withColumns(

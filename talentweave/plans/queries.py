@@ -184,7 +184,7 @@ CASE WHEN p_retailprice + 50 >= 1000 THEN format('{:,}', CAST(round_even(p_retai
 def salary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = lambda c: F.format_number(c, 2)
     text = F.concat(F.lit("Pay: $"), money(F.col("p_retailprice")), F.lit(" - $"), money(F.col("p_retailprice") + 50), F.lit(" per hour"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", annotate.salary(text).alias("s"))
+    rows = d.spread(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_partkey").select("p_partkey", annotate.salary(text).alias("s"))
     return rows.select("p_partkey", "s.low", "s.high", "s.interval", "s.display")
 
 
@@ -629,7 +629,7 @@ p_name || ' at ' || p_brand || chr(10) || 'Remote mode: hybrid' || chr(10) || 'T
 def normalized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as payload rows, normalised to postings."""
     text = F.concat(F.lit("Hybrid contract work, 3 years of care. Salary $"), F.format_number("p_retailprice", 2), F.lit(" per hour"))
-    payloads = table(spark, sf_dir, "part").select(
+    payloads = d.spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice"), "p_partkey").select(
         F.lit(1).alias("source_id"), F.col("p_partkey").cast("string").alias("raw_id"), F.col("p_name").alias("title"),
         F.col("p_brand").alias("company"), text.alias("description")
     )

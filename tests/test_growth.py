@@ -1,5 +1,6 @@
 """What joins bring together and what tasks hold grows with the tables, not with their squares."""
 
+import datetime as dt
 import os
 import sys
 
@@ -10,7 +11,9 @@ from oracle import rows as plain_rows
 
 from pyspark.sql import functions as F
 
-from talentweave.operators import terms
+from talentweave.functions.dates import partial_date
+from talentweave.operators import annotate, normalize, profiles, terms
+from talentweave.plans import boards, derived, resumes
 from talentweave.plans.queries import QUERIES, SQL
 
 
@@ -33,3 +36,44 @@ def test_titles_of_references_without_semicolon(spark, tmp_path):
     want = con.sql(SQL["page_detail"]).df()
     assert dict(zip(want.page_id, want.title)) == {0: "a & b&", 1: '<x> "y"', 2: "cut &am", 3: "&lt;", 4: "none"}
     assert plain_rows(QUERIES["page_detail"](spark, str(tmp_path)).toPandas()) == plain_rows(want)
+
+
+def test_few_rows_of_keys_use_all_cores(spark, tmp_path):
+    keys = spark.range(100).select(F.col("id").alias("c_custkey"))
+    keys.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    texts = resumes._texts(spark, str(tmp_path))
+    assert texts.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert derived.spread(keys, "c_custkey", per_task=10).rdd.getNumPartitions() == 10  # as many as the rows ask for
+
+
+def test_texts_land_as_one_file_each_in_one_folder(spark):
+    texts = [(i, f"line {i}\nand more") for i in range(5)]
+    path = boards._landed(spark.createDataFrame(texts, "file long, text string"), "texts")
+    got = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").collect()
+    assert sorted(r.value for r in got) == [t + "\n" for _, t in texts]
+    assert len({r.file_path for r in got}) == 5 and len({os.path.dirname(r.file_path) for r in got}) == 1
+
+
+def test_ranges_and_partial_dates(spark):
+    given = ["jan 2021", "Sept. 2020", "September 2019", "Sep 2019", "may 2010", "03/2020", "13/2020", "0/2020", "2018", "0000", "Jan  2021", "janu 2021", "now", None]
+    want = ["2021-01-01", None, "2019-09-01", "2019-09-01", "2010-05-01", "2020-03-01", None, None, "2018-01-01", None, None, None, "2024-01-01", None]
+    rows = spark.createDataFrame(list(enumerate(given)), "id int, t string").withColumn("d", partial_date(F.col("t"), dt.date(2024, 1, 31)).cast("string"))
+    assert [r.d for r in rows.orderBy("id").collect()] == want
+    plan = rows._jdf.queryExecution().toString()
+    assert "gettimestamp" not in plan.lower()  # a format that does not fit costs an exception
+    text = "Lead Jan 2001 - Dec 2003, Clerk 4/2010 to now\nCook 2015–2012"
+    got = profiles.spans(spark.createDataFrame([(1, text)], "resume_id int, text string"), dt.date(2024, 1, 31)).orderBy("pos").collect()
+    assert [(r.label, str(r.start), str(r.end)) for r in got] == [("Jan 2001 - Dec 2003", "2001-01-01", "2003-12-01"), ("4/2010 to now", "2010-04-01", "2024-01-01")]
+
+
+def test_parts_without_digits_are_not_searched_for_pay(spark, col):
+    assert "Contract" not in col(annotate._segments(F.lit("Contract | $20 - $30 per hour | Overtime")))
+    for text, shown in (("from 20k – 30k a year, salary", "$20,000 - $30,000/yr"), ("Pay: up to $50 per hour", "$50/hr"), ("no pay told", None), ("salary is 1,000 and 2,000 per month", "$1,000 - $2,000/mo")):
+        assert col(annotate.salary(F.lit(text)))["display"] == shown
+
+
+def test_all_postings_of_one_source_do_not_meet_in_one_task(spark):
+    rows = spark.range(50).select(F.lit(1).alias("source_id"), F.concat(F.lit("t"), "id").alias("title"))
+    sources = spark.createDataFrame([(1, "S", "https://s.example/", "custom_url")], "id long, name string, url string, source_type string")
+    got = normalize.normalize_postings(rows, sources, {})
+    assert "Broadcast" in got._jdf.queryExecution().executedPlan().toString() and got.where("source_name = 'S'").count() == 50
