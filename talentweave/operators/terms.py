@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from talentweave.functions.text import distinct_sorted, fold, let, squeeze
 from talentweave.operators.sizes import settled
@@ -22,6 +26,8 @@ INLINE_ALIASES = 200
 #: Larger lexicons of up to so many letters (all aliases and terms) become an automaton, of which each worker holds one
 #: (some 60 bytes a letter at most); those beyond are joined.
 AUTOMATON_LETTERS = 4 << 20
+#: Bits of what tells which runs of tokens may be joined: of beginnings of one or two tokens, of longer ones and of whole aliases (16 MB each).
+STARTS, INNER = 1 << 25, 1 << 27
 # Short tokens that count in comparisons of skills, and rewritings before them.
 SHORT_TOKENS = ("c#", "c++", "ci", "ai", "ml", "ui", "ux")
 REWRITTEN = (("c plus plus", "c++"), ("c sharp", "c#"))
@@ -51,6 +57,7 @@ def terms_column(text: Column, lexicon: dict[str, list[str]]) -> Column:
 
 # The automaton of the lexicon that this worker used last: (its name, the automaton, terms by number, and their folded forms by number).
 _COMPILED: list[tuple[str, ahocorasick.Automaton, list[str], list[int]]] = []
+_PIECES = re.compile(" ?(?:[a-z0-9]+|[^a-z0-9 ])")
 _BESIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -99,21 +106,61 @@ def terms_by_automaton(folded: Column, lexicon: Broadcast) -> Column:
     return find(folded)
 
 
+def _bits(names: DataFrame, tokens: Column, bits: int) -> bytearray:
+    """A bitmap of at most ``bits``, whatever the lexicon's size, in which the place of each CRC of ``tokens`` (arrays) is set."""
+    at = F.pmod(F.crc32("v"), F.lit(bits)) + 1
+    rows = names.select(F.explode(tokens).alias("v")).groupBy(F.bitmap_bucket_number(at).alias("b"))
+    out = bytearray(bits >> 3)
+    for r in rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return out
+
+
+def _runs_of(text: str, longest: int, starts: bytes, inner: bytes, whole: bytes) -> set[str]:
+    """Runs of tokens of which each beginning may be one of an alias and the whole an alias; none that is one is missing."""
+    tokens, out = _PIECES.findall(text), set()
+    raw = [t.encode() for t in tokens]
+    for i, token in enumerate(tokens):
+        # no letter or digit stands beside a run: where its own first or last sign is none, the neighbour decides
+        if i and token[0] != " " and tokens[i - 1][-1] in _BESIDE:
+            continue
+        crc = zlib.crc32(raw[i].lstrip(b" "))
+        for n in range(1, min(longest, len(tokens) - i) + 1):
+            if n > 1:
+                crc = zlib.crc32(raw[i + n - 1], crc)
+            held, place = (starts, crc % STARTS) if n < 3 else (inner, crc % INNER)
+            if not held[place >> 3] >> (place & 7) & 1:
+                break
+            place, end = crc % INNER, i + n
+            if whole[place >> 3] >> (place & 7) & 1 and (end == len(tokens) or tokens[end][0] not in _BESIDE):
+                out.add("".join(tokens[i:end]).lstrip(" "))
+    return out
+
+
 def _joined(df: DataFrame, text: str, names: DataFrame, out: str, key: str) -> DataFrame:
-    """Terms by joining the aliases to the runs of one to several tokens of each text."""
-    piece = "( ?(?:[a-z0-9]+|[^a-z0-9 ]))"
-    longest = names.agg(F.max(F.size(F.regexp_extract_all("alias", F.lit(piece), 1)))).first()[0]
-    tokens = df.select(key, F.regexp_extract_all(fold(squeeze(F.col(text))), F.lit(piece), 1).alias("t"))
-    # no letter or digit stands beside a run: where its own first or last sign is none, the neighbour decides
-    begins = "filter(sequence(1, greatest(size(t), 1)), i -> i = 1 or get(t, i - 1) like ' %' or not get(t, i - 2) rlike '[a-z0-9]$')"
-    ends = f"filter(sequence(1, {longest or 1}), n -> i + n - 1 <= size(t) and (i + n - 1 = size(t) or not get(t, i + n - 1) rlike '^[a-z0-9]'))"
-    runs = tokens.where("size(t) > 0").select(
-        key,
-        F.explode(
-            F.array_distinct(F.expr(f"flatten(transform({begins}, i -> transform({ends}, n -> ltrim(array_join(slice(t, i, n), '')))))"))
-        ).alias("alias")
-    )
-    found = runs.hint("merge").join(names.hint("merge"), "alias").groupBy(key).agg(distinct_sorted(F.array_sort(F.collect_set("canonical"))).alias(out))
+    """Terms by joining the aliases to the runs of one to several tokens of each text.
+
+    Bitmaps of the aliases and of their beginnings, of a size that the lexicon does not change, drop runs that are no
+    alias where they are made; the join decides about the others.
+    """
+    held = settled(names.select("alias", F.regexp_extract_all("alias", F.lit(f"({_PIECES.pattern})"), 1).alias("t")), "aliases")
+    longest = held.agg(F.max(F.size("t"))).first()[0] or 1
+    begun = lambda a, b: F.expr(f"transform(filter(sequence(1, greatest(size(t), 1)), n -> n between {a} and {b}), n -> array_join(slice(t, 1, n), ''))")
+    maps = _bits(held, begun(1, 2), STARTS), _bits(held, begun(3, longest), INNER), _bits(held, F.array("alias"), INNER)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(map(bytes, maps)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, runs = [], []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                mine = _runs_of(value, longest, *shared.value)
+                at += [i] * len(mine)
+                runs += mine
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(runs, pa.string())], names=[key, "alias"])
+
+    texts = df.select(key, fold(squeeze(F.col(text))).alias("t"))
+    schema = StructType([df.schema[key], StructField("alias", StringType())])
+    found = texts.mapInArrow(run, schema).hint("merge").join(names.hint("merge"), "alias").groupBy(key).agg(distinct_sorted(F.array_sort(F.collect_set("canonical"))).alias(out))
     return df.hint("merge").join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 

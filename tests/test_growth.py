@@ -77,3 +77,13 @@ def test_all_postings_of_one_source_do_not_meet_in_one_task(spark):
     sources = spark.createDataFrame([(1, "S", "https://s.example/", "custom_url")], "id long, name string, url string, source_type string")
     got = normalize.normalize_postings(rows, sources, {})
     assert "Broadcast" in got._jdf.queryExecution().executedPlan().toString() and got.where("source_name = 'S'").count() == 50
+
+
+def test_runs_that_are_no_alias_are_dropped_before_the_join(spark):
+    names = spark.createDataFrame([("order no. 7",), ("order",), (".net",), ("a b c d",)], "alias string")
+    held = names.select("alias", F.regexp_extract_all("alias", F.lit(f"({terms._PIECES.pattern})"), 1).alias("t"))
+    begun = lambda a, b: F.expr(f"transform(filter(sequence(1, size(t)), n -> n between {a} and {b}), n -> array_join(slice(t, 1, n), ''))")
+    starts, inner, whole = terms._bits(held, begun(1, 2), terms.STARTS), terms._bits(held, begun(3, 4), terms.INNER), terms._bits(held, F.array("alias"), terms.INNER)
+    find = lambda t: terms._runs_of(t, 4, bytes(starts), bytes(inner), bytes(whole))
+    assert find(" ".join(f"w{i}" for i in range(300))) == set()
+    assert find("my order no. 7, not order no. 77 of asp.net or .net; a b c d") == {"order no. 7", "order", ".net", "a b c d"}
