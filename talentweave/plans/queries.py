@@ -531,14 +531,18 @@ def capture_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey % 7 AS source_id, CAST(o_orderkey AS VARCHAR) AS external_id, true AS active, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS first_batch, CASE WHEN o_orderkey % 4 = 3 THEN 2 ELSE 3 END AS last_batch,
 CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS updated_batch FROM orders""")
 def capture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as captures that arrive in four batches, each without a quarter of the keys, merged into a published snapshot."""
-    orders, root = table(spark, sf_dir, "orders"), shared_path(spark, "captures")
+    """Orders as captures that arrive in four batches, each without a quarter of the keys, merged into a published snapshot.
+
+    Captures land with the columns that they are made of, and their hash is kept as its 32 bytes, not as 64 digits: it
+    is most of what a row weighs, and every row moves with each batch.
+    """
+    orders, root = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), shared_path(spark, "captures")
     none = F.lit(None).cast("timestamp")
     prepare = lambda b: b.select(
         (F.col("o_custkey") % 7).alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"),
-        F.sha2(F.col("o_totalprice").cast("string"), 256).alias("content_hash")
+        F.unhex(F.sha2(F.col("o_totalprice").cast("string"), 256)).alias("content_hash")
     )
-    empty = prepare(table(spark, sf_dir, "orders")).where("false").withColumns(
+    empty = prepare(orders).where("false").withColumns(
         {
             "active": F.lit(True), "first_seen_at": none, "last_seen_at": none, "last_updated_at": none,
             "application_status": F.lit("x"), "application_confirmation_needed": F.lit(False)

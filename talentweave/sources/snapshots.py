@@ -21,6 +21,8 @@ from talentweave.operators.sizes import BROADCAST_ROWS, looked_up, settled
 from talentweave.sources.shared import filesystem
 
 MANIFEST = "part string, version long, n long"
+#: Rows of at most so many sources are written by the tasks that merged them, one file a task and source.
+FEW_PARTS = 32
 
 
 def part_of(source: Column) -> Column:
@@ -94,6 +96,15 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
     return read_version(spark, root, current_version(spark, root))
 
 
+def _dealt(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """Rows as they are to be written, with even files, also where one source holds a third of all rows.
+
+    A merge deals rows by key, so each of its tasks has a like share of every source, and moving all rows once more
+    gains nothing unless sources are so many that files would be, too; only then rows are dealt by source.
+    """
+    return rows if touched.limit(FEW_PARTS + 1).count() <= FEW_PARTS else rows.hint("rebalance", "part")
+
+
 def publish_sources(
     spark: SparkSession, root: str, version: int, incoming: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], empty: DataFrame, source: str = "source_id"
 ) -> bool:
@@ -114,8 +125,7 @@ def publish_sources(
     stored = read_version(spark, root, base, touched)
     rows = merge(empty if stored is None else stored, incoming)
     rows = rows.withColumns({"version": F.lit(version).cast("long"), "part": part_of(F.col(source))})
-    # files of even size, also where one source holds a third of all rows
-    out = rows.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = _dealt(rows, touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     out.partitionBy("version", "part").parquet(f"{root}/rows")
     now = _rows(spark, root, [f"{root}/rows/version={version}"])
     kept = manifest(spark, root, base).join(touched, "part", "left_anti")

@@ -15,6 +15,7 @@ from talentweave.functions.dates import partial_date
 from talentweave.operators import annotate, normalize, profiles, terms
 from talentweave.plans import boards, derived, resumes
 from talentweave.plans.queries import QUERIES, SQL
+from talentweave.sources import snapshots
 
 
 def test_common_tokens_bring_no_names_together(spark):
@@ -87,3 +88,22 @@ def test_runs_that_are_no_alias_are_dropped_before_the_join(spark):
     find = lambda t: terms._runs_of(t, 4, bytes(starts), bytes(inner), bytes(whole))
     assert find(" ".join(f"w{i}" for i in range(300))) == set()
     assert find("my order no. 7, not order no. 77 of asp.net or .net; a b c d") == {"order no. 7", "order", ".net", "a b c d"}
+
+
+def test_captures_land_and_move_with_what_they_need(spark, tmp_path):
+    """A capture's landed columns and its hash of 32 bytes are all that moves; SQL gives the same rows."""
+    orders = spark.range(40).select(F.col("id").alias("o_orderkey"), (F.col("id") % 11).alias("o_custkey"), (F.col("id") * 1.5).alias("o_totalprice"), F.lit("x" * 50).alias("o_comment"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["capture_stream"](spark, str(tmp_path))
+    root = got.inputFiles()[0].split("/snapshots/")[0]
+    assert spark.read.parquet(f"{root}/in").columns == ["o_orderkey", "o_custkey", "o_totalprice"]
+    assert {r.n for r in spark.read.parquet(f"{root}/snapshots/rows").select(F.length("content_hash").alias("n")).collect()} == {32}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert plain_rows(got.toPandas()) == plain_rows(con.sql(SQL["capture_stream"]).df())
+
+
+def test_rows_of_few_sources_are_written_where_they_were_merged(spark):
+    rows = spark.range(9).select(F.col("id").cast("string").alias("part"))
+    plan = lambda n: snapshots._dealt(rows, spark.range(n))._jdf.queryExecution().toString()
+    assert "Rebalance" not in plan(snapshots.FEW_PARTS) and "Rebalance" in plan(snapshots.FEW_PARTS + 1)
