@@ -137,4 +137,4 @@ def bounded_matches(
     limits = settled(limits.withColumn("open", (F.col("n") <= PROBES) | open_), "limits")
     found = first.unionByName(search(limits.where((F.col("n") > PROBES) & F.col("open"))))
     visited = limits.groupBy(F.col("p_profile_id").alias("profile_id")).agg(F.count("*").alias("blocks"), F.count_if("open").alias("searched"))
-    return matching.ranked_rows(profiles, postings, found, name, w, k, order, digits), visited
+    return matching.ranked_rows(profiles, postings, found, name, w, k, order, digits, margin), visited

@@ -320,19 +320,31 @@ def best_matches(
     Matrices find the candidates (a few times k a profile); only these become rows and are scored as columns.  With
     ``digits`` scores are rounded before they are ranked.  Postings and profiles have one row an id.
     """
-    w = normalized_weights(weights)
+    w, margin = normalized_weights(weights), 1e-9 + (10.0**-digits if digits is not None else 0.0)
     profiles, postings, name = prepared(profiles, postings, skill_pairs)
-    found = candidates(profiles, named(postings, name), k, w, order, 1e-9 + (10.0**-digits if digits is not None else 0.0))
-    return ranked_rows(profiles, postings, found, name, w, k, order, digits)
+    found = candidates(profiles, named(postings, name), k, w, order, margin)
+    return ranked_rows(profiles, postings, found, name, w, k, order, digits, margin)
+
+
+def nearest_of_all(found: DataFrame, k: int, margin: float) -> DataFrame:
+    """(p_profile_id, id): of the candidates of all blocks those that can be among a profile's k best.
+
+    Every block sends its own k best, so candidates are as many times k a profile as there are blocks.  They are ids and
+    scores, and are thinned out as such: a vector is joined only to what stays.
+    """
+    best = Window.partitionBy("p_profile_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    least = found.withColumn("_least", F.nth_value("score", k).over(best))
+    return least.where(F.col("_least").isNull() | (F.col("score") >= F.col("_least") - margin)).select("p_profile_id", "id")
 
 
 def ranked_rows(
     profiles: DataFrame, postings: DataFrame, found: DataFrame, name: Callable[[Column], Column], weights: dict[str, float], k: int,
-    order: tuple[str, ...], digits: int | None
+    order: tuple[str, ...], digits: int | None, margin: float
 ) -> DataFrame:
-    """The candidates ``found`` as rows, scored as columns and ranked."""
+    """The candidates ``found`` (with scores that are right within ``margin``) as rows, scored as columns and ranked."""
     own = profiles.select(*[F.col(c).alias(f"p_{c}") for c in profiles.columns])
-    rows = postings.hint("merge").join(found.drop("score").hint("merge"), "id").join(own.hint("merge"), "p_profile_id")
+    near = nearest_of_all(found, k, margin)
+    rows = postings.hint("merge").join(near.hint("merge"), "id").join(own.hint("merge"), "p_profile_id")
     scored = _scored(rows, name, weights)
     return top_k(scored if digits is None else scored.withColumn("score", F.round("score", digits)), k, order)
 

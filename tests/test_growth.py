@@ -12,7 +12,7 @@ from oracle import rows as plain_rows
 from pyspark.sql import functions as F
 
 from talentweave.functions.dates import partial_date
-from talentweave.operators import annotate, normalize, profiles, terms
+from talentweave.operators import annotate, matching, normalize, profiles, terms
 from talentweave.plans import boards, derived, resumes
 from talentweave.plans.queries import QUERIES, SQL
 from talentweave.sources import snapshots
@@ -107,3 +107,21 @@ def test_rows_of_few_sources_are_written_where_they_were_merged(spark):
     rows = spark.range(9).select(F.col("id").cast("string").alias("part"))
     plan = lambda n: snapshots._dealt(rows, spark.range(n))._jdf.queryExecution().toString()
     assert "Rebalance" not in plan(snapshots.FEW_PARTS) and "Rebalance" in plan(snapshots.FEW_PARTS + 1)
+
+
+def test_only_a_profiles_best_of_all_blocks_become_rows(spark, monkeypatch):
+    people = spark.range(3).select(
+        F.col("id").alias("profile_id"), F.array(F.lit(1.0), F.col("id") / 9).alias("embedding"), F.array(F.lit("a")).alias("skills"), F.lit(1.0).alias("experience_years")
+    )
+    none = F.array().cast("array<string>")
+    posts = spark.range(400).select(
+        "id", F.array(F.cos("id"), F.sin("id")).alias("embedding"), F.array(F.lit("a")).alias("required_skills"), none.alias("preferred_skills"), none.alias("skills"),
+        F.lit(1.0).alias("experience_years"), F.lit(0).alias("last_seen_at")
+    )
+    scored, given = matching._scored, []
+    monkeypatch.setattr(matching, "_scored", lambda rows, *more: given.append(rows) or scored(rows, *more))
+    got = {(r.p_profile_id, r.id, r.rank) for r in matching.best_matches(people, posts, 5).collect()}
+    assert given[0].count() == 15  # five a profile, not five of each block
+    assert got == {(r.p_profile_id, r.id, r.rank) for r in matching.top_k(matching.score_pairs(people, posts), 5).collect()}
+    found = spark.createDataFrame([(1, i, s) for i, s in enumerate([0.9, 0.7, 0.7, 0.5, 0.695, 0.8])] + [(2, 9, 0.1)], "p_profile_id long, id long, score double")
+    assert {tuple(r) for r in matching.nearest_of_all(found, 3, 0.01).collect()} == {(1, 0), (1, 1), (1, 2), (1, 4), (1, 5), (2, 9)}  # ties and what is near them stay
