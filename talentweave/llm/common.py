@@ -190,24 +190,24 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in names])
 
 
-def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of all bytes of the spans, one span after the other."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each span, equal where the bytes are, and the first span of each number.
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal where the bytes are, and the first span of each number; hashes: of the spans, if there are any.
 
     Hashes only propose which spans are equal; their bytes are compared, and should two contents ever share a hash,
     the spans are numbered by their bytes.
     """
-    code, unique = pd.factorize(span_hashes(data, starts, ends))
+    code, unique = pd.factorize(span_hashes(data, starts, ends) if hashes is None else hashes)
     first = np.empty(len(unique), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
     like, sizes = first[code], ends - starts
     other = np.flatnonzero(like != np.arange(len(code)))
     like, own = like[other], sizes[other]
-    if np.array_equal(own, sizes[like]) and np.array_equal(data[_flat(starts[other], own)], data[_flat(starts[like], own)]):
+    if np.array_equal(own, sizes[like]) and np.array_equal(data[flat(starts[other], own)], data[flat(starts[like], own)]):
         return code, first
     seen: dict[bytes, int] = {}
     raw = data.tobytes()

@@ -49,6 +49,41 @@ def test_byte_pairs_equal_the_library(spark):
     assert bpe.round_trip(_rows(spark, []).limit(0)).count() == 0
 
 
+def test_frequent_pieces_are_learnt_once(spark, monkeypatch):
+    """A worker that forgets keeps what keeps coming, and a query is made for the new pieces of several parts."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    asked, encode = [], bpe.Encoder.encode
+    monkeypatch.setattr(bpe.Encoder, "encode", lambda self, pieces, *a: asked.append(list(pieces)) or encode(self, pieces, *a))
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    monkeypatch.setattr(bpe, "PART", 100, raising=False)
+    monkeypatch.setattr(bpe, "STAY", 20, raising=False)
+    pieces, out = bpe.Pieces(path), []
+    for i in range(20):
+        texts = [f" the word that comes x{''.join(chr(97 + (7 * i + j * k) % 26) for k in range(9))}" for j in range(5)]
+        pieces.encode([t.encode() for t in texts], lambda ids, decoded: out.append((ids.tolist(), decoded)))
+    assert [d.decode().split()[0] for _, d in out] == ["the"] * 100
+    flat = [x for some in asked for x in some]
+    assert flat.count(b" word") == 1 and len(asked) == 20
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert all(ids == library.encode_ordinary(d.decode()) for ids, d in out)
+
+
+def test_sure_pairs_go_in_one_round(spark):
+    """Pairs that nothing beside them can stop are contracted together, also in runs of one letter and in long pieces."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    r = random.Random(4)
+    pieces = [b"llll", b" lllles", b"Rallll", b"l" * 3000] + ["".join(r.choice(a) for _ in range(n)).encode() for a in ("l", "ab", "thernd", "étioné") for n in (2, 5, 9, 40, 1500)]
+    ids, counts, decoded, sizes = bpe.encoder(path).encode(pieces)
+    assert decoded == b"".join(pieces) and sizes.tolist() == list(map(len, pieces))
+    at = np.append(0, np.cumsum(counts))
+    for i, p in enumerate(pieces):
+        assert ids[at[i] : at[i + 1]].tolist() == library._encode_single_piece(p), p
+    rules = bpe.merge_rows(bpe.read_ranks(path))
+    sure = [not any(x) for x in rules.column("before").to_pylist()]
+    assert sum(sure) > len(sure) // 10
+
+
 def test_counts_equal_the_library(spark, monkeypatch):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     r = random.Random(7)
