@@ -7,7 +7,8 @@ whose counts differ beyond the radius never meet; inside a pair of tiles the sam
 16-bit words, skips small blocks.  A pair of tiles sends on a spanning forest of its links, not the links, so a
 large group of near copies stays linear.
 
-The pipeline's groups (``similar``) are made of exact Jaccard similarities; there fingerprints only propose pairs.
+The pipeline's groups (``similar``) are made of exact Jaccard similarities; there fingerprints only propose pairs, and
+only those are made and compared whose texts share a band of least hashes with another's.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from talentweave.llm.prefixes import candidates
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Further 64-bit words of a wide fingerprint come from the same shingle hashes, scrambled with these.
 _MORE = (0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xFF51AFD7ED558CCD)
+#: Sets of the similarity asked for share no band in one of so many cases at most.
+MISSED = 30_000
 #: What travels with a wide fingerprint besides fp: its further words, its set's size and the group known so far.
 _WIDE = ("w1", "w2", "w3", "n", "label")
 
@@ -67,6 +70,28 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([_majorities(h, counts), *[_majorities(mixed(h ^ np.uint64(m)), counts) for m in _MORE]], axis=1)
 
 
+def bands_for(similarity: float) -> tuple[int, int]:
+    """Least hashes to a band, and bands, for sets of the similarity: 4 and 20 for 0.8."""
+    rows = 1
+    while rows < 16 and similarity ** (rows + 1) >= 0.4:
+        rows += 1
+    share = similarity**rows
+    return rows, 1 if share >= 1 else int(np.ceil(np.log(MISSED) / -np.log1p(-share)))
+
+
+def band_keys(sets: list[np.ndarray], rows: int, bands: int) -> np.ndarray:
+    """(sets, bands) of numbers: two sets have one in common where ``rows`` least hashes are the same in both; none is empty."""
+    h, counts = np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
+    starts, out = np.cumsum(counts) - counts, np.empty((len(sets), bands), np.uint64)
+    factors = mixed(np.arange(1, rows * bands + 1, dtype=np.uint64)) | np.uint64(1)
+    for band in range(bands):
+        key = np.full(len(sets), band, np.uint64)
+        for factor in factors[band * rows : (band + 1) * rows]:
+            key = mixed(key ^ np.minimum.reduceat(h * factor, starts))
+        out[:, band] = key
+    return out
+
+
 def _majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of hashes the number whose bits are those set in over half of them."""
     out, first = np.zeros(len(counts), np.uint64), 0
@@ -426,51 +451,81 @@ def wide_radius(similarity: float, bits: int, slack: float = 2.5) -> int:
     return int(np.ceil(bits * p + slack * np.sqrt(bits * p * (1 - p))))
 
 
-_CLASS = ["node", "fp", "w1", "w2", "w3", "n"]
+def sharing(classes: DataFrame) -> DataFrame:
+    """(node): the classes (node, bands) that share a band with another.
+
+    Bands are counted on the map side, and both sides of the join come from tables, so that adaptive execution splits
+    a band of very many sets; no pairs are made.
+    """
+    bands = written(classes.select("node", F.explode("bands").alias("band")), "bands")
+    shared = written(bands.groupBy("band").agg(F.count("*").alias("sets")).where("sets > 1").select("band"), "shared")
+    out = written(bands.hint("merge").join(shared.hint("merge"), "band", "left_semi").select("node").distinct(), "sharing")
+    discard(bands, shared)
+    return out
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(node, fp, w1, w2, w3, n) of sets (node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            fps = wide_fingerprints(held).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(fps[:, i]) for i in range(4)], pa.array([len(x) for x in held], pa.int64())], ["node", "fp", "w1", "w2", "w3", "n"]
+            )
+        give_back()
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, fp long, w1 long, w2 long, w3 long, n long")
 
 
 def _similar_classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, k1, k2, node...) of ``docs`` (doc_id, text), and classes (node, best, component) of one shingle set.
+    """Rows (doc_id, k1, k2, node) of ``docs`` (doc_id, text), and classes (node, best, component) of one shingle set.
 
     ``best`` is the class's first row: by doc_id, nulls last, then by the 128 bits of its key and text.
     """
+    least, many = bands_for(similarity)
 
     def run(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = [shingle_set(x, words) for x in texts]
-        fps = wide_fingerprints(sets).view(np.int64)
-        sizes = pa.array([len(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [*part.columns[:3], _node_ids(sets), *[pa.array(fps[:, i]) for i in range(4)], sizes], ["doc_id", "k1", "k2", *_CLASS]
-        )
+        sizes = np.array([len(x) for x in sets], np.int64)
+        full = [x for x in sets if len(x)]
+        keys = band_keys(full, least, many).view(np.int64).ravel() if full else np.zeros(0, np.int64)
+        bands = pa.ListArray.from_arrays(np.append(0, np.cumsum(np.where(sizes > 0, many, 0))).astype(np.int32), keys)
+        return pa.RecordBatch.from_arrays([*part.columns[:3], _node_ids(sets), bands], ["doc_id", "k1", "k2", "node", "bands"])
 
     keyed = rows_by_text(docs).select("doc_id", "k1", "k2", "text")
-    fps = written(map_slices(keyed, run, "doc_id long, k1 long, k2 long, node long, fp long, w1 long, w2 long, w3 long, n long"), "fingerprints")
+    rows = written(map_slices(keyed, run, "doc_id long, k1 long, k2 long, node long, bands array<long>"), "shingled")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("best")
-    classes = written(fps.groupBy(*_CLASS).agg(best), "classes")
-    blocks = written(proposals(classes.withColumn("label", F.col("node")), similarity), "nearest-pairs")
-    asked = blocks.select(F.explode("nodes").alias("node")).distinct()
-    near = written(confirmed(blocks, _sets(docs, asked, classes, words), similarity), "confirmed")
-    grouped = classes.hint("merge").join(components(near), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    grouped = written(grouped.select(*_CLASS, "label"), "grouped")
-    nodes = written(partnered(grouped, similarity), "partnered")
+    classes = written(rows.groupBy("node").agg(best, F.first("bands").alias("bands")), "classes")
+    nodes = sharing(classes)
     sets = _sets(docs, nodes, classes, words)
-    pairs = candidates(sets, grouped, similarity)
+    wide = written(_wide(sets), "fingerprints")
+    blocks = written(proposals(wide.withColumn("label", F.col("node")), similarity), "nearest-pairs")
+    near = written(confirmed(blocks, sets, similarity), "confirmed")
+    grouped = written(wide.hint("merge").join(components(near), "node", "left").select(*wide.columns, F.coalesce("component", "node").alias("label")), "grouped")
+    discard(nodes, wide, blocks)
+    nodes = written(partnered(grouped, similarity), "partnered")
+    some = written(sets.hint("merge").join(nodes.hint("merge"), "node", "left_semi"), "partnered-sets")
+    pairs = candidates(some, grouped, similarity)
     more = written(in_blocks(pairs), "pairs")
-    also = written(confirmed(more, sets, similarity), "confirmed")
+    also = written(confirmed(more, some, similarity), "confirmed")
     of = components(near.unionByName(also))
     joined = written(
         classes.hint("merge").join(of, "node", "left").select("node", "best", F.coalesce("component", "node").alias("component")),
         "class-components"
     )
-    discard(classes, blocks, near, grouped, nodes, pairs, more, also)
-    return fps, joined
+    discard(classes, sets, near, grouped, nodes, some, pairs, more, also)
+    return rows.select("doc_id", "k1", "k2", "node"), joined
 
 
 def similar(documents: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): groups of texts linked by a Jaccard similarity of their shingle sets of at least the given one.
 
-    Texts of one shingle set are one class.  Fingerprints of four 64-bit words, built from the sets, only propose
-    pairs of classes: pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits,
+    Texts of one shingle set are one class.  Sets at the given similarity share a band of least hashes but in 1 of
+    30,000 cases, whatever their sizes; classes that share none with another are compared with nothing, so that the
+    comparison of all tiles grows with the texts that have something like them.  Of the others,
+    fingerprints of four 64-bit words, built from the sets, only propose pairs of classes: pairs of tiles compare the first words within a wide radius, and what is left in all 256 bits,
     so that pairs at the given similarity are proposed with a probability of over 0.98 (less for sets of a few
     shingles).  Every link is a pair whose sets were compared.  First a spanning forest of the nearest pairs is
     compared.  Of pairs between the groups found so (the others can't change the groups) only the texts are noted

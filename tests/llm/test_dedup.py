@@ -227,6 +227,35 @@ def test_pages_of_one_template_below_the_similarity_do_not_meet(spark):
     assert got == {k: k for k in range(600)} | {600: 5}
 
 
+def test_only_texts_that_share_a_band_are_compared(spark, monkeypatch):
+    """Tiles of fingerprints are compared with each other, so only what has something like it may go there."""
+    compared, old = [], simhash.proposals
+    monkeypatch.setattr(simhash, "proposals", lambda distinct, *a: compared.append(distinct.count()) or old(distinct, *a))
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(400)]
+    texts += [t + " more" for t in texts[:10]] + ["", None, "two words", "two words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dict(simhash.similar(rows).collect())
+    assert got == {i: i for i in range(414)} | {400 + i: i for i in range(10)} | {411: 410, 413: 412}
+    assert compared == [20]
+
+
+def test_sets_of_the_similarity_share_a_band():
+    r = np.random.default_rng(5)
+    for similarity in (0.5, 0.8, 0.95):
+        shape, found = simhash.bands_for(similarity), 0
+        for _ in range(300):
+            n = int(r.choice([20, 100, 1000]))
+            both = int(np.ceil(similarity * n))
+            x = r.integers(1, 2**63, 2 * n - both, np.int64).view(np.uint64)
+            keys = simhash.band_keys([x[:n - (n - both) // 2], np.concatenate([x[:both], x[n - (n - both) // 2 : n]])], *shape)
+            found += bool((keys[0] == keys[1]).any())
+        assert found >= 299
+    assert simhash.bands_for(0.8) == (4, 20)
+    far = simhash.band_keys([r.integers(1, 2**63, 200, np.int64).view(np.uint64) for _ in range(200)], 4, 20)
+    assert len(np.unique(far)) == far.size
+
+
 def test_blocks_hold_bounded_sets():
     r = np.random.default_rng(1)
     p, q = np.sort(r.integers(0, 50, 300)), r.integers(50, 100, 300)
